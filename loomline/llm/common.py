@@ -90,6 +90,7 @@ def materialize(df: DataFrame) -> DataFrame:
     path = scratch_dir(df.sparkSession)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
+    df.sparkSession.sparkContext._jvm.System.gc()  # lets Spark delete shuffle files that nothing refers to now
     out._scratch = path
     return out
 

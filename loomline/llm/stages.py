@@ -9,13 +9,23 @@ DOCUMENTS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose noisy-or score is below one half."""
-    raise NotImplementedError
+    """Documents whose noisy-or score is below one half; the model learns from all labelled documents of the input."""
+    from loomline.llm import toxicity as model
+
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    docs = docs.select(*DOCUMENTS)
+    scored = model.score(docs, model.train(docs, labels), carry=True)
+    return scored.where("score < 0.5").select(*[F.col(f"row.{c}") for c in DOCUMENTS])
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents, the one with the smallest id."""
-    raise NotImplementedError
+    """Of each group of documents linked by five-word shingles at 0.8 or more, the one with the smallest id."""
+    from loomline.llm.jaccard_join import jaccard_components
+
+    docs = docs.select(*DOCUMENTS)
+    found = jaccard_components(docs, size=5, percent=80)
+    gone = found.where("id != component_id").select(F.col("id").alias("doc_id"))
+    return docs.join(gone, "doc_id", "left_anti")
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +46,9 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    raise NotImplementedError
+    from loomline.llm.decontaminate import clean
+
+    return clean(docs.select(*DOCUMENTS), spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text"))
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
