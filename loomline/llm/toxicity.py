@@ -47,7 +47,20 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit(rows: list[tuple[str, int]], max_features: int = 5000, steps: int = 300, ridge: float = 1e-3) -> Model:
+def _gain(a: int, ones: float, b: int, zeros: float) -> float:
+    """Log-likelihood ratio of a feature that a of the label-1 and b of the label-0 rows have; 0 if it speaks for 0."""
+    if a / ones <= b / zeros:
+        return 0.0
+    share = (a + b) / (ones + zeros)
+    part = lambda seen, expected: seen * np.log(seen / expected) if seen else 0.0
+    return 2 * (part(a, ones * share) + part(b, zeros * share) + part(ones - a, ones * (1 - share)) + part(zeros - b, zeros * (1 - share)))
+
+
+#: Features with less evidence than this stay out, so that rare words of few rows are not learned by heart.
+LEAST_GAIN = 12.0
+
+
+def fit(rows: list[tuple[str, int]], max_features: int = 5000, steps: int = 300, ridge: float = 0.02) -> Model:
     """Noisy-or weights from (text, label) rows by full-batch Adam; rows with two kinds of label are needed."""
     labels = np.array([y for _, y in rows], float)
     if not len(rows) or labels.min() == labels.max():
@@ -59,8 +72,8 @@ def fit(rows: list[tuple[str, int]], max_features: int = 5000, steps: int = 300,
         for f in set().union(*parts):
             seen[y][f] = seen[y].get(f, 0) + 1
     ones, zeros = labels.sum(), (1 - labels).sum()
-    odds = {f: np.log((n + 0.1) / (ones + 0.2)) - np.log((seen[0].get(f, 0) + 0.1) / (zeros + 0.2)) for f, n in seen[1].items() if n >= 2}
-    chosen = sorted((f for f in odds if odds[f] > 1.5), key=lambda f: (-odds[f] * seen[1][f], f))[:max_features]
+    gain = {f: g for f, n in seen[1].items() if (g := _gain(n, ones, seen[0].get(f, 0), zeros)) >= LEAST_GAIN}
+    chosen = sorted(gain, key=lambda f: (-gain[f], f))[:max_features]
     number = {f: k for k, f in enumerate(chosen)}
     at, sentence, owner = [], [], []
     for d, parts in enumerate(sentences):
