@@ -96,7 +96,8 @@ def format_chat(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
 
 def read_turns(formatted: Column) -> Column:
     """Array of struct(role, text) read back from a formatted conversation; placeholders stay in the text."""
-    pieces = F.slice(F.split(formatted, "<s>"), 2, 2**31 - 1)
+    pieces = F.split(formatted, "<s>")
+    pieces = F.slice(pieces, F.lit(2), F.size(pieces))
 
     def turn(piece: Column) -> Column:
         body = F.regexp_replace(F.regexp_extract(piece, r"(?s)^.*?\[INST\](.*)$", 1), r"(?s)(?:\[/INST\]|</s>)\z", "")

@@ -9,8 +9,8 @@ at most and close to 2k for typical edits. Each of ``repetitions`` tables has it
 steps of the embedding as key; the number of tables follows from the target recall at the stated share of differing
 steps. Windows whose key equals an item's are verified by exact semi-global edit distance around the window.
 
-Before the walks, a window must hold enough adjacent word pairs of the benchmark: k edits break at most 2k of an
-item's m - 1 pairs, so this filter loses nothing, and it leaves few windows.
+Before the walks, a window must hold enough adjacent word pairs of some item: k edits break at most 2k of an item's
+m - 1 pairs, so this filter loses nothing, and it leaves few windows. Windows of a whole batch of texts walk at once.
 
 The benchmark is broadcast in chunks of at most ``chunk_bytes`` of text, one pass over the documents each, so its size
 has no limit; documents are never shuffled but for the few rows of the result.
@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.common import mix64, sized_batches
+from loomline.llm.common import GOLDEN, mix64, sized_batches
 
 WORD = re.compile(r"\w+")
 MIN_WORDS, TARGET_RECALL, SAMPLED, DIFFERING = 5, 0.99, 3, 0.5
@@ -52,20 +52,33 @@ def edits_allowed(m: int, percent: int) -> int:
     return m * (100 - percent) // 100
 
 
-def cgk_keys(windows: np.ndarray, seed: int, sampled: int) -> np.ndarray:
-    """One key for each row of word numbers: the sampled steps of its embedding of 3m steps (0 after the end)."""
-    rows, m = windows.shape
+def sampled_steps(m: int, seed: int, sampled: int) -> np.ndarray:
+    """The steps of the embedding of an m-word window that one table samples."""
+    return np.sort(np.random.default_rng((seed, m)).choice(3 * m, sampled, replace=False))
+
+
+def cgk_keys(windows: np.ndarray, lengths: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    """Keys [rows, tables] of word-number windows [rows, width] whose first lengths[row] words count.
+
+    ``steps`` [rows, tables, sampled] are the sampled steps; a walk that has passed its window's end writes 0.
+    All rows and tables walk at once.
+    """
+    rows, tables, sampled = steps.shape
     padded = np.concatenate((windows, np.zeros((rows, 1), windows.dtype)), axis=1)
-    steps = np.sort(np.random.default_rng(seed).choice(3 * m, sampled, replace=False))
-    at, line = np.zeros(rows, np.int64), np.arange(rows)
-    key = np.full(rows, seed + 1, np.uint64)
-    for j in range(steps[-1] + 1):
-        word = padded[line, at]
-        if j in steps:
-            key = mix64(key + word.astype(np.uint64))
-        move = mix64(word.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64((seed << 20) + j))
-        at = np.minimum(at + (move >> np.uint64(63)).astype(np.int64), m)
-    return key
+    line, ends = np.repeat(np.arange(rows), tables), np.repeat(lengths, tables)
+    seeds = np.tile(np.arange(tables, dtype=np.uint64) << np.uint64(20), rows)
+    at = np.zeros(rows * tables, np.int64)
+    written = np.zeros((int(steps.max()) + 1, rows * tables), np.uint64)
+    for j in range(len(written)):
+        word = np.where(at < ends, padded[line, np.minimum(at, ends)], 0).astype(np.uint64)
+        written[j] = word
+        move = mix64(word * GOLDEN + seeds + np.uint64(j + 1))
+        at += (move >> np.uint64(63)).astype(np.int64)
+    flat = steps.reshape(rows * tables, sampled)
+    key = seeds + ends.astype(np.uint64)
+    for k in range(sampled):
+        key = mix64(key * GOLDEN + written[flat[:, k], np.arange(rows * tables)])
+    return key.reshape(rows, tables)
 
 
 def best_place(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
@@ -84,78 +97,101 @@ def best_place(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
 
 
 class Matcher:
+    """A benchmark's items, their word pairs and their LSH tables."""
+
     def __init__(self, items: list[tuple[int, str]], percent: int, recall: float, min_words: int):
-        self.percent, self.tables, self.sampled = percent, repetitions(recall), SAMPLED
+        self.percent, self.tables = percent, repetitions(recall)
         self.number: dict[str, int] = {}
         self.items: list[tuple[int, np.ndarray]] = []
-        by_length = defaultdict(list)
         for item, text in items:
             words = words_of(text)
             if len(words) >= min_words:
-                by_length[len(words)].append(len(self.items))
                 self.items.append((item, np.array([self.number.setdefault(w, len(self.number) + 1) for w in words], np.int64)))
-        self.width = len(self.number) + 1
-        pairs = [w[:-1] * self.width + w[1:] for _, w in self.items]
-        self.pairs = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
-        self.lengths = {}
-        for m, own in by_length.items():
-            stacked = np.stack([self.items[k][1] for k in own])
-            tables = []
-            for seed in range(self.tables):
-                table = defaultdict(list)
-                for k, key in zip(own, cgk_keys(stacked, seed, self.sampled).tolist(), strict=True):
-                    table[key].append(k)
-                tables.append(dict(table))
-            self.lengths[m] = (edits_allowed(m, percent), tables)
-        self.memo = _Numbers(self.number)
-
-    def places(self, text: str) -> list[dict]:
-        """Items in a text: item, distance, and the character span of the first best place."""
+        self.memo, self.width = _Numbers(self.number), len(self.number) + 1
         if not self.items:
-            return []
+            return
+        self.m = np.array([len(w) for _, w in self.items])
+        self.k = np.array([edits_allowed(int(m), percent) for m in self.m])
+        self.need = np.maximum(self.m - 1 - 2 * self.k, 1)
+        own = [np.unique(w[:-1] * self.width + w[1:]) for _, w in self.items]
+        codes, holders = np.concatenate(own), np.repeat(np.arange(len(own)), [len(c) for c in own])
+        order = np.argsort(codes, kind="stable")
+        self.pairs, first = np.unique(codes[order], return_index=True)
+        self.holders, self.first, self.count = holders[order], first, np.diff(np.append(first, len(codes)))
+        self.steps = {int(m): np.stack([sampled_steps(int(m), t, SAMPLED) for t in range(self.tables)]) for m in np.unique(self.m)}
+        keys = self._keys([w for _, w in self.items])
+        self.buckets: list[dict[int, list[int]]] = [defaultdict(list) for _ in range(self.tables)]
+        for i, row in enumerate(keys.tolist()):
+            for bucket, key in zip(self.buckets, row, strict=True):
+                bucket[key].append(i)
+
+    def _keys(self, windows: list[np.ndarray], at_once: int = 512) -> np.ndarray:
+        out = []
+        for s in range(0, len(windows), at_once):
+            part = windows[s : s + at_once]
+            lengths = np.array([len(w) for w in part])
+            block = np.zeros((len(part), lengths.max()), np.int64)
+            for row, w in zip(block, part, strict=True):
+                row[: len(w)] = w
+            out.append(cgk_keys(block, lengths, np.stack([self.steps[int(m)] for m in lengths])))
+        return np.concatenate(out) if out else np.zeros((0, self.tables), np.uint64)
+
+    def _numbers(self, text: str) -> np.ndarray:
         tokens = WORD.findall(text)
-        ids = np.fromiter(map(self.memo.__getitem__, tokens), np.int64, len(tokens))
-        n = len(ids)
+        return np.fromiter(map(self.memo.__getitem__, tokens), np.int64, len(tokens))
+
+    def _starts(self, ids: np.ndarray) -> list[tuple[int, np.ndarray]]:
+        """Items with the starts of item-sized windows that hold enough of their word pairs."""
         both = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0))
+        if len(both) < self.need.min():
+            return []
         codes = ids[both] * self.width + ids[both + 1]
         at = np.minimum(np.searchsorted(self.pairs, codes), len(self.pairs) - 1)
-        found = both[self.pairs[at] == codes]
-        if not len(found):
-            return []
-        hits = np.zeros(n + 1, np.int64)
-        hits[found + 1] = 1
-        hits = np.cumsum(hits)
-        # a window lies in one of the greatest length, so most texts are done after this line
-        span = max(self.lengths) - 1
-        densest = int((hits[np.minimum(found + span, n)] - hits[found]).max())
-        best: dict[int, tuple[int, int, int]] = {}
-        for m, (k, tables) in self.lengths.items():
-            need = max(m - 1 - 2 * k, 1)
-            if densest < need:
-                continue
-            # windows may stick out at the end by the words that an item lost to edits
-            starts = np.arange(max(1, n - m + k + 1))
-            starts = starts[hits[np.minimum(starts + m - 1, n)] - hits[starts] >= need]
-            if not len(starts):
-                continue
-            padded = np.concatenate((ids, np.zeros(m, np.int64)))
-            windows = padded[starts[:, None] + np.arange(m)]
-            candidates = set()
-            for seed, table in enumerate(tables):
-                for s, key in zip(starts.tolist(), cgk_keys(windows, seed, self.sampled).tolist(), strict=True):
-                    candidates.update((s, i) for i in table.get(key, ()))
-            for s, i in sorted(candidates):
-                lo = max(0, s - k)
-                distance, a, b = best_place(self.items[i][1], ids[lo : s + m + k])
-                if distance <= k:
-                    best[i] = min(best.get(i, (distance, lo + a, lo + b)), (distance, lo + a, lo + b))
-        if not best:
+        hit = self.pairs[at] == codes
+        both, at = both[hit], at[hit]
+        if len(both) < self.need.min():
             return []
-        spans = [m.span() for m in WORD.finditer(text)]
-        return [
-            {"item": self.items[i][0], "distance": d, "n_item_words": len(self.items[i][1]), "start": spans[a][0], "end": spans[max(a, b - 1)][1]}
-            for i, (d, a, b) in sorted(best.items())
-        ]
+        times = self.count[at]
+        place = np.repeat(both, times)
+        offset = np.arange(len(place)) - np.repeat(np.cumsum(times) - times, times)
+        holder = self.holders[np.repeat(self.first[at], times) + offset]
+        out = []
+        for i in np.flatnonzero(np.bincount(holder, minlength=len(self.items)) >= self.need):
+            p, m, need = place[holder == i], int(self.m[i]), int(self.need[i])
+            lo, hi = p[need - 1 :] - (m - 2), p[: len(p) - need + 1]
+            spans = [np.arange(max(0, a), b + 1) for a, b in zip(lo, hi, strict=True) if a <= b]
+            if spans:
+                out.append((int(i), np.unique(np.concatenate(spans))))
+        return out
+
+    def places(self, texts: list[str]) -> list[list[dict]]:
+        """For each text the items in it: item, distance, and the character span of the first best place."""
+        found: list[list[dict]] = [[] for _ in texts]
+        if not self.items:
+            return found
+        windows, origin, numbers = [], [], {}
+        for d, text in enumerate(texts):
+            ids = self._numbers(text)
+            for i, starts in self._starts(ids):
+                m = int(self.m[i])
+                padded = np.concatenate((ids, np.zeros(m, np.int64)))
+                numbers[d] = ids
+                for s in starts.tolist():
+                    windows.append(padded[s : s + m])
+                    origin.append((d, s))
+        candidates = {(d, s, i) for (d, s), row in zip(origin, self._keys(windows).tolist(), strict=True) for bucket, key in zip(self.buckets, row, strict=True) for i in bucket.get(key, ())}
+        best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        for d, s, i in sorted(candidates):
+            k, lo = int(self.k[i]), max(0, s - int(self.k[i]))
+            if best.get((d, i), (1,))[0] == 0:
+                continue  # an exact place at an earlier start is known
+            distance, a, b = best_place(self.items[i][1], numbers[d][lo : s + int(self.m[i]) + k])
+            if distance <= k:
+                best[d, i] = min(best.get((d, i), (distance, lo + a, lo + b)), (distance, lo + a, lo + b))
+        for (d, i), (distance, a, b) in sorted(best.items()):
+            spans = [x.span() for x in WORD.finditer(texts[d])]
+            found[d].append({"item": self.items[i][0], "distance": distance, "n_item_words": int(self.m[i]), "start": spans[a][0], "end": spans[max(a, b - 1)][1]})
+        return found
 
 
 class _Numbers(dict):
@@ -202,7 +238,8 @@ def contaminated(
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(*shared.value)
             for batch in batches:
-                rows = [{"id": i} | p for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for p in matcher.places(t or "")]
+                places = matcher.places([t or "" for t in batch.column(1).to_pylist()])
+                rows = [{"id": i} | p for i, found in zip(batch.column(0).to_pylist(), places, strict=True) for p in found]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r[c] for r in rows], pa.int64()) for c in ("id", "item", "distance", "n_item_words", "start", "end")],
                     names=["id", "item", "distance", "n_item_words", "start", "end"],
@@ -228,7 +265,7 @@ def clean(
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(*shared.value)
             for batch in batches:
-                yield batch.filter(pa.array([not matcher.places(t or "") for t in batch.column(at).to_pylist()], pa.bool_()))
+                yield batch.filter(pa.array([not found for found in matcher.places([t or "" for t in batch.column(at).to_pylist()])], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs
