@@ -194,6 +194,7 @@ def read_records(f, wanted, payload: bool) -> Iterator[dict]:
             yield row | {"payload": _payload(headers, block)}
         else:
             stream.drop(n)
+        stream.drop(4)  # the two line ends that close a record
 
 
 def _read_members(f, start: bytes, wanted, payload: bool) -> Iterator[dict]:
