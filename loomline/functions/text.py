@@ -1,0 +1,160 @@
+"""Text columns: redaction, detection, classification, tokens. JVM expressions but for accents, which need Python."""
+
+from __future__ import annotations
+
+import re
+import unicodedata
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from loomline.functions import patterns as P
+
+
+def redact(text: Column) -> Column:
+    """Text with every secret replaced by [REDACTED:kind], each pattern over the output of those before."""
+    for kind, pattern in P.SECRETS:
+        text = F.regexp_replace(text, pattern, f"[REDACTED:{kind}]")
+    for kind, before, value, after in P.SECRET_VALUES:
+        text = F.regexp_replace(text, _value_pattern(before, value, after), f"$1[REDACTED:{kind}]")
+    return text
+
+
+def _value_pattern(before: str, value: str, after: str) -> str:
+    """The value is taken whole (possessive), so that a placeholder cannot be half replaced."""
+    flags, before = (before[:4], before[4:]) if before.startswith("(?i)") else ("", before)
+    tail = f"(?={after})" if after else ""
+    whole = re.sub(r"(\{\d+,\})$", r"\1+", value) if not after else value
+    end = after or f"(?!{value[: value.rindex('{')]})"
+    return f"{flags}({before})(?!{P.PLACEHOLDER}{end}){whole}{tail}"
+
+
+def redaction_counts(text: Column) -> Column:
+    """Map of kind to number of replacements, counted on the running text."""
+    steps, running = [], text
+    for kind, pattern in P.SECRETS:
+        steps.append((kind, F.regexp_count(running, F.lit(pattern))))
+        running = F.regexp_replace(running, pattern, f"[REDACTED:{kind}]")
+    for kind, before, value, after in P.SECRET_VALUES:
+        pattern = _value_pattern(before, value, after)
+        steps.append((kind, F.regexp_count(running, F.lit(pattern))))
+        running = F.regexp_replace(running, pattern, f"$1[REDACTED:{kind}]")
+    kinds = list(dict.fromkeys(k for k, _ in steps))
+    sums = [(k, sum((c for q, c in steps if q == k), F.lit(0))) for k in kinds]
+    return F.map_filter(F.create_map(*[x for k, c in sums for x in (F.lit(k), c)]), lambda _, n: n > 0)
+
+
+def redact_all(value: Column, kind: T.DataType) -> Column:
+    """Redaction of every string inside arrays, maps and structs."""
+    if isinstance(kind, T.StringType):
+        return redact(value)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: redact_all(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(value, lambda _, v: redact_all(v, kind.valueType))
+    if isinstance(kind, T.StructType):
+        return F.when(value.isNotNull(), F.struct(*[redact_all(value[f.name], f.dataType).alias(f.name) for f in kind.fields]))
+    return value
+
+
+def suggest_category(text: Column) -> Column:
+    out = F.lit("unknown")
+    for category, pattern in reversed(P.CATEGORIES):
+        out = F.when(text.rlike(pattern), F.lit(category)).otherwise(out)
+    return out
+
+
+def category_keywords(text: Column, most: int = 5) -> Column:
+    """First distinct lower-cased keywords of the deciding pattern."""
+    out = F.array().cast("array<string>")
+    for _, pattern in reversed(P.CATEGORIES):
+        found = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda k: F.lower(F.trim(k)))
+        out = F.when(text.rlike(pattern), F.slice(F.array_distinct(found), 1, most)).otherwise(out)
+    return out
+
+
+def is_routine(summary: Column, facts: Column) -> Column:
+    """Raw log entries: empty, captured automatically, synchronised, or tool calls only."""
+    s = F.trim(F.coalesce(summary, F.lit("")))
+    noise = F.forall(facts, lambda f: (F.lower(F.trim(F.coalesce(f, F.lit("")))) == P.FLUSH_MARKER) | F.trim(F.coalesce(f, F.lit(""))).rlike(P.ROUTINE_TOOL))
+    return (s == "") | s.startswith(P.ROUTINE_PREFIX) | s.rlike(P.ROUTINE_SYNC) | (F.coalesce(F.size(facts) > 0, F.lit(False)) & F.coalesce(noise, F.lit(False))) | s.rlike(P.ROUTINE_TOOL)
+
+
+def parse_category(reply: Column, allowed: tuple[str, ...]) -> Column:
+    """A model's reply: an exact category, else the only one it mentions; 'idea' counts only on its own."""
+    clean = F.regexp_replace(F.lower(F.trim(reply)), r"[^a-z_ ]", "")
+    named = F.array_distinct(F.regexp_extract_all(clean, F.lit(r"\b(" + "|".join(c for c in allowed if c != "idea") + r")\b"), F.lit(1)))
+    return F.when(clean.isin(list(allowed)), clean).when(F.size(named) == 1, named[0])
+
+
+def detector_counts(text: Column) -> dict[str, Column]:
+    """Findings per personal-data detector."""
+    out = {}
+    for name, _, _, pattern in P.PII:
+        if name == "pii_credit_card_luhn":
+            out[name] = F.size(F.filter(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: luhn(F.regexp_replace(m, r"\D", ""))))
+        else:
+            out[name] = F.regexp_count(text, F.lit(pattern))
+    return out
+
+
+def luhn(digits: Column) -> Column:
+    """13 to 19 digits whose doubled sum ends in 0."""
+    n = F.length(digits)
+    each = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: (F.ascii(F.substr(digits, n - i, F.lit(1))) - 48) * F.when(i % 2 == 1, 2).otherwise(1))
+    total = F.aggregate(each, F.lit(0), lambda s, d: s + F.when(d > 9, d - 9).otherwise(d))
+    return n.between(13, 19) & (total % 10 == 0)
+
+
+def injection_count(text: Column) -> Column:
+    return F.regexp_count(text, F.lit(r"(?i)\b(?:" + "|".join(P.INJECTIONS) + r")\b"))
+
+
+def is_fluff(claim: Column) -> Column:
+    low = F.lower(claim)
+    hit = F.lit(False)
+    for pattern in P.FLUFF:
+        hit = hit | low.rlike(pattern)
+    return hit | (F.size(F.filter(F.split(F.trim(claim), r"\s+"), lambda w: w != "")) < 3)
+
+
+def stem_token(word: Column) -> Column:
+    """First fitting suffix off (not after 'ss'), then a final e."""
+    out = word
+    for suffix in reversed(P.SUFFIXES):
+        fits = (F.length(word) > len(suffix) + 2) & word.endswith(suffix) & ~word.endswith("ss")
+        out = F.when(fits, F.substr(word, F.lit(1), F.length(word) - len(suffix))).otherwise(out)
+    return F.when((F.length(out) > 3) & out.endswith("e"), F.substr(out, F.lit(1), F.length(out) - 1)).otherwise(out)
+
+
+def ascii_token_set(text: Column) -> Column:
+    """Token set of text without accents, all in the JVM: for ASCII input equal to ``token_set``."""
+    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
+    kept = F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(list(P.STOP_WORDS)))
+    return F.array_sort(F.array_distinct(F.transform(kept, stem_token)))
+
+
+@F.pandas_udf("string")
+def decomposed(text: pd.Series) -> pd.Series:
+    """Lower-cased compatibility decomposition, which Spark has no function for."""
+    return text.map(lambda t: unicodedata.normalize("NFKD", t.lower()) if t else t)
+
+
+def token_set(text: Column) -> Column:
+    return ascii_token_set(decomposed(text))
+
+
+def overlap(a: Column, b: Column) -> Column:
+    """Shared tokens over the smaller set; 0 if one is empty."""
+    least = F.least(F.size(a), F.size(b))
+    return F.when(least > 0, F.size(F.array_intersect(a, b)) / least).otherwise(F.lit(0.0))
+
+
+def slug(text: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(text), r"[^a-z0-9]+", "-"), F.lit("-"))
+
+
+def short_hash(*parts: Column, n: int = 16, sep: str = ":") -> Column:
+    return F.substring(F.sha2(F.concat_ws(sep, *parts), 256), 1, n)
