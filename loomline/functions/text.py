@@ -136,7 +136,7 @@ def ascii_token_set(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(kept, stem_token)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def decomposed(text: pd.Series) -> pd.Series:
     """Lower-cased compatibility decomposition, which Spark has no function for."""
     return text.map(lambda t: unicodedata.normalize("NFKD", t.lower()) if t else t)

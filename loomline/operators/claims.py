@@ -7,6 +7,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomline.functions import patterns as P
 from loomline.functions import text as X
@@ -71,7 +72,7 @@ def validate(observations: DataFrame, evidence: DataFrame, id_col: str = "obs_id
     return j.select(id_col, disposition.alias("disposition"), reasons.alias("reasons")).withColumn("portability", portability)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def similarity_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp ratio, for which there is no built-in function; inputs are short claims."""
     return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])

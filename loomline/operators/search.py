@@ -13,9 +13,13 @@ def terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
 
 
+def weighted_terms(column: str, weight: float) -> Column:
+    return F.transform(terms(F.coalesce(F.col(column), F.lit(""))), lambda t: F.struct(t.alias("term"), F.lit(float(weight)).alias("w")))
+
+
 def inverted_index(docs: DataFrame, id_col: str, columns: dict[str, float]) -> DataFrame:
     """(id, term, weighted frequency, weighted length); columns carry their weights."""
-    weighted = [F.transform(terms(F.coalesce(F.col(c), F.lit(""))), lambda t, w=w: F.struct(t.alias("term"), F.lit(float(w)).alias("w"))) for c, w in columns.items()]
+    weighted = [weighted_terms(c, w) for c, w in columns.items()]
     rows = docs.select(F.col(id_col).alias("id"), F.concat(*weighted).alias("all"))
     rows = rows.select("id", F.aggregate("all", F.lit(0.0), lambda s, x: s + x["w"]).alias("length"), F.explode("all").alias("x"))
     return rows.groupBy("id", F.col("x.term").alias("term"), "length").agg(F.sum("x.w").alias("tf"))
@@ -27,11 +31,12 @@ def bm25(docs: DataFrame, query: list[str], id_col: str, columns: dict[str, floa
     ``matched`` counts the query terms that a document has; ``prefix`` lets a term match every word it begins.
     """
     wanted = [t.lower() for t in query]
-    weighted = [F.transform(terms(F.coalesce(F.col(c), F.lit(""))), lambda t, w=w: F.struct(t.alias("term"), F.lit(float(w)).alias("w"))) for c, w in columns.items()]
+    weighted = [weighted_terms(c, w) for c, w in columns.items()]
     rows = docs.select(F.col(id_col).alias("id"), F.concat(*weighted).alias("all"))
     size = F.aggregate("all", F.lit(0.0), lambda s, x: s + x["w"])
     fits = lambda x, t: x["term"].startswith(t) if prefix else x["term"] == t
-    tf = [F.aggregate(F.filter("all", lambda x, t=t: fits(x, t)), F.lit(0.0), lambda s, x: s + x["w"]).alias(f"tf{k}") for k, t in enumerate(wanted)]
+    weight_of = lambda t: F.aggregate(F.filter("all", lambda x: fits(x, t)), F.lit(0.0), lambda s, x: s + x["w"])
+    tf = [weight_of(t).alias(f"tf{k}") for k, t in enumerate(wanted)]
     counted = rows.select("id", size.alias("length"), *tf)
     stats = counted.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *[F.sum((F.col(f"tf{k}") > 0).cast("int")).alias(f"df{k}") for k in range(len(wanted))])
     hits = counted.where(F.greatest(F.lit(0.0), *[F.col(f"tf{k}") for k in range(len(wanted))]) > 0).crossJoin(F.broadcast(stats))

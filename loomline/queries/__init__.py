@@ -1,8 +1,6 @@
 """Registered queries over the driver's tables with their DuckDB twins."""
 
-from loomline.queries import recall
+from loomline.queries import recall, texts, twins
 
-_PARTS = (recall,)
-
-QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
-ORACLE_SQL = {name: sql for part in _PARTS for name, sql in part.ORACLE_SQL.items()}
+QUERIES = {**recall.QUERIES, **texts.QUERIES}
+ORACLE_SQL = {**recall.ORACLE_SQL, **twins.ORACLE_SQL}
