@@ -9,8 +9,9 @@ at most and close to 2k for typical edits. Each of ``repetitions`` tables has it
 steps of the embedding as key; the number of tables follows from the target recall at the stated share of differing
 steps. Windows whose key equals an item's are verified by exact semi-global edit distance around the window.
 
-Before the walks, a window must hold enough adjacent word pairs of some item: k edits break at most 2k of an item's
-m - 1 pairs, so this filter loses nothing, and it leaves few windows. Windows of a whole batch of texts walk at once.
+Before the walks, a window must hold enough runs of two or three words of some item: k edits break at most g * k of an
+item's m - g + 1 runs of g words, so this filter loses nothing, and it leaves few windows. Windows of a whole batch of
+texts walk at once.
 
 The benchmark is broadcast in chunks of at most ``chunk_bytes`` of text, one pass over the documents each, so its size
 has no limit; documents are never shuffled but for the few rows of the result.
@@ -24,16 +25,16 @@ from __future__ import annotations
 
 import math
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
+from itertools import compress, groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.common import GOLDEN, mix64, sized_batches
+from loomline.llm.common import GOLDEN, mix64, shingle_hashes, sized_batches
 
 WORD = re.compile(r"\w+")
 MIN_WORDS, TARGET_RECALL, SAMPLED, DIFFERING = 5, 0.99, 3, 0.5
@@ -97,7 +98,7 @@ def best_place(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
 
 
 class Matcher:
-    """A benchmark's items, their word pairs and their LSH tables."""
+    """A benchmark's items, their word runs and their LSH keys."""
 
     def __init__(self, items: list[tuple[int, str]], percent: int, recall: float, min_words: int):
         self.percent, self.tables = percent, repetitions(recall)
@@ -112,18 +113,18 @@ class Matcher:
             return
         self.m = np.array([len(w) for _, w in self.items])
         self.k = np.array([edits_allowed(int(m), percent) for m in self.m])
-        self.need = np.maximum(self.m - 1 - 2 * self.k, 1)
-        own = [np.unique(w[:-1] * self.width + w[1:]) for _, w in self.items]
-        codes, holders = np.concatenate(own), np.repeat(np.arange(len(own)), [len(c) for c in own])
-        order = np.argsort(codes, kind="stable")
-        self.pairs, first = np.unique(codes[order], return_index=True)
-        self.holders, self.first, self.count = holders[order], first, np.diff(np.append(first, len(codes)))
+        # k edits break at most g * k of the m - g + 1 runs of g words; threes tell more where enough are left
+        self.gram = np.where(self.m - 2 - 3 * self.k >= 2, 3, 2)
+        self.need = np.maximum(self.m - self.gram + 1 - self.gram * self.k, 1)
+        self.runs = {}
+        for g in np.unique(self.gram).tolist():
+            own = [(i, np.unique(shingle_hashes(w.astype(np.uint64), g))) for i, (_, w) in enumerate(self.items) if self.gram[i] == g]
+            codes, holders = np.concatenate([c for _, c in own]), np.repeat([i for i, _ in own], [len(c) for _, c in own])
+            order = np.argsort(codes, kind="stable")
+            values, first = np.unique(codes[order], return_index=True)
+            self.runs[g] = (values, holders[order], first, np.diff(np.append(first, len(codes))), int(min(self.need[i] for i, _ in own)))
         self.steps = {int(m): np.stack([sampled_steps(int(m), t, SAMPLED) for t in range(self.tables)]) for m in np.unique(self.m)}
-        keys = self._keys([w for _, w in self.items])
-        self.buckets: list[dict[int, list[int]]] = [defaultdict(list) for _ in range(self.tables)]
-        for i, row in enumerate(keys.tolist()):
-            for bucket, key in zip(self.buckets, row, strict=True):
-                bucket[key].append(i)
+        self.keys = self._keys([w for _, w in self.items])
 
     def _keys(self, windows: list[np.ndarray], at_once: int = 512) -> np.ndarray:
         out = []
@@ -140,29 +141,31 @@ class Matcher:
         tokens = WORD.findall(text)
         return np.fromiter(map(self.memo.__getitem__, tokens), np.int64, len(tokens))
 
-    def _starts(self, ids: np.ndarray) -> list[tuple[int, np.ndarray]]:
-        """Items with the starts of item-sized windows that hold enough of their word pairs."""
-        both = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0))
-        if len(both) < self.need.min():
-            return []
-        codes = ids[both] * self.width + ids[both + 1]
-        at = np.minimum(np.searchsorted(self.pairs, codes), len(self.pairs) - 1)
-        hit = self.pairs[at] == codes
-        both, at = both[hit], at[hit]
-        if len(both) < self.need.min():
-            return []
-        times = self.count[at]
-        place = np.repeat(both, times)
-        offset = np.arange(len(place)) - np.repeat(np.cumsum(times) - times, times)
-        holder = self.holders[np.repeat(self.first[at], times) + offset]
-        out = []
-        for i in np.flatnonzero(np.bincount(holder, minlength=len(self.items)) >= self.need):
-            p, m, need = place[holder == i], int(self.m[i]), int(self.need[i])
-            lo, hi = p[need - 1 :] - (m - 2), p[: len(p) - need + 1]
-            spans = [np.arange(max(0, a), b + 1) for a, b in zip(lo, hi, strict=True) if a <= b]
-            if spans:
-                out.append((int(i), np.unique(np.concatenate(spans))))
-        return out
+    def _starts(self, ids: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """Items with the starts of item-sized windows that hold enough of their word runs."""
+        known = ids > 0
+        for g, (values, holders, first, count, least) in self.runs.items():
+            if len(ids) < g:
+                continue
+            at = np.flatnonzero(known[: len(ids) - g + 1] & known[g - 1 :] & (known[1 : len(ids) - g + 2] if g == 3 else True))
+            if len(at) < least:
+                continue
+            codes = shingle_hashes(np.stack([ids[at + k] for k in range(g)], axis=1).astype(np.uint64).ravel(), g)[::g]
+            slot = np.minimum(np.searchsorted(values, codes), len(values) - 1)
+            hit = values[slot] == codes
+            at, slot = at[hit], slot[hit]
+            if len(at) < least:
+                continue
+            times = count[slot]
+            place = np.repeat(at, times)
+            offset = np.arange(len(place)) - np.repeat(np.cumsum(times) - times, times)
+            holder = holders[np.repeat(first[slot], times) + offset]
+            for i in np.flatnonzero(np.bincount(holder, minlength=len(self.items)) >= self.need):
+                p, m, need = place[holder == i], int(self.m[i]), int(self.need[i])
+                lo, hi = p[need - 1 :] - (m - g), p[: len(p) - need + 1]
+                spans = [np.arange(max(0, a), b + 1) for a, b in zip(lo, hi, strict=True) if a <= b]
+                if spans:
+                    yield int(i), np.unique(np.concatenate(spans))
 
     def places(self, texts: list[str]) -> list[list[dict]]:
         """For each text the items in it: item, distance, and the character span of the first best place."""
@@ -178,22 +181,36 @@ class Matcher:
                 numbers[d] = ids
                 for s in starts.tolist():
                     windows.append(padded[s : s + m])
-                    origin.append((d, s))
-        candidates = {(d, s, i) for (d, s), row in zip(origin, self._keys(windows).tolist(), strict=True) for bucket, key in zip(self.buckets, row, strict=True) for i in bucket.get(key, ())}
+                    origin.append((d, i, s))
+        if not windows:
+            return found
+        # a window meets its item if some table gives both the same key
+        meets = (self._keys(windows) == self.keys[[i for _, i, _ in origin]]).any(axis=1)
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for d, s, i in sorted(candidates):
-            k, lo = int(self.k[i]), max(0, s - int(self.k[i]))
-            if best.get((d, i), (1,))[0] == 0:
-                continue  # an exact place at an earlier start is known
-            distance, a, b = best_place(self.items[i][1], numbers[d][lo : s + int(self.m[i]) + k])
-            if distance <= k:
-                best[d, i] = min(best.get((d, i), (distance, lo + a, lo + b)), (distance, lo + a, lo + b))
+        for (d, i), near in groupby(compress(origin, meets), key=lambda x: x[:2]):
+            m, k = int(self.m[i]), int(self.k[i])
+            for lo, hi in _runs([s for _, _, s in near], m):
+                lo = max(0, lo - k)
+                distance, a, b = best_place(self.items[i][1], numbers[d][lo : hi + m + k])
+                if distance <= k:
+                    best[d, i] = min(best.get((d, i), (distance, lo + a, lo + b)), (distance, lo + a, lo + b))
         for (d, i), (distance, a, b) in sorted(best.items()):
             spans = [x.span() for x in WORD.finditer(texts[d])]
             found[d].append({"item": self.items[i][0], "distance": distance, "n_item_words": int(self.m[i]), "start": spans[a][0], "end": spans[max(a, b - 1)][1]})
         return found
 
 
+def _runs(starts: list[int], reach: int) -> list[tuple[int, int]]:
+    """First and last of ascending starts that lie within reach of one another: they are verified together."""
+    runs = [[starts[0], starts[0]]]
+    for s in starts[1:]:
+        if s - runs[-1][1] <= reach:
+            runs[-1][1] = s
+        else:
+            runs.append([s, s])
+    return [(a, b) for a, b in runs]
+
+
 class _Numbers(dict):
     """Words as they stand in a text to the benchmark's word numbers; 0 for words it lacks."""
 
