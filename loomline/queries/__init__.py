@@ -1,6 +1,6 @@
 """Registered queries over the driver's tables with their DuckDB twins."""
 
-from loomline.queries import recall, streams, texts, twins
+from loomline.queries import batch, recall, streams, texts, twins
 
-QUERIES = {**recall.QUERIES, **texts.QUERIES, **streams.QUERIES}
-ORACLE_SQL = {**recall.ORACLE_SQL, **twins.ORACLE_SQL, **streams.ORACLE_SQL}
+QUERIES = {**recall.QUERIES, **texts.QUERIES, **batch.QUERIES, **streams.QUERIES}
+ORACLE_SQL = {**recall.ORACLE_SQL, **twins.ORACLE_SQL, **batch.ORACLE_SQL, **streams.ORACLE_SQL}

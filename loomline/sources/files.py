@@ -26,7 +26,7 @@ def memories(spark: SparkSession, path: str) -> DataFrame:
 def canonical_text(rows: DataFrame) -> DataFrame:
     """Summary and facts as one text of at most 4000 characters; rows without text go."""
     text = F.substring(F.concat_ws("\n", F.nullif("summary", F.lit("")), F.array_join(F.coalesce("key_facts", F.array()), "\n")), 1, TEXT_CAP)
-    return rows.withColumn("text", F.trim(text)).where("text != ''")
+    return rows.withColumn("text", text).where(F.trim("text") != "")
 
 
 def exchange_log(spark: SparkSession, path: str) -> DataFrame:

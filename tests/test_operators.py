@@ -144,4 +144,23 @@ def test_streams_equal_batches(spark, tmp_path):
 def test_registry_has_a_twin_for_every_query_but_the_named():
     from loomline.queries import ORACLE_SQL, QUERIES
 
-    assert set(QUERIES) - set(ORACLE_SQL) == {"fuzzy_claims"} and set(ORACLE_SQL) <= set(QUERIES)
+    assert set(QUERIES) - set(ORACLE_SQL) == {"fuzzy_claims", "salvaged_notes", "packed_briefs"} and set(ORACLE_SQL) <= set(QUERIES)
+
+
+def test_salvage_and_section_packing(spark):
+    from loomline.operators import nightly
+
+    replies = spark.createDataFrame([(1, '[{"a": 1}, {"b": {"c": "}"}}, {"d": '), (2, "no json"), (3, None)], "id int, r string")
+    got = {r["id"]: r["o"] for r in replies.select("id", nightly.salvaged(F.col("r")).alias("o")).collect()}
+    assert got == {1: ['{"a": 1}', '{"b": {"c": "}"}}'], 2: [], 3: []}
+    brief = "# Notes\nlong line of notes\n## Built\n- x\n## Open\n- y"
+    assert nightly.pack_sections(brief, 10_000) == brief
+    short = nightly.pack_sections(brief, 30)
+    assert "## Built\n- x" in short and "long line" not in short and short.endswith("left out]")
+
+
+def test_drop_lines_and_grades(spark):
+    from loomline.operators import nightly
+
+    row = spark.range(1).select(nightly.drop_lines(F.lit("a\nb\nc"), F.array(F.lit(2))).alias("d"), nightly.recall_grade(F.lit("the Port is 80"), F.lit("nope"), F.array(F.lit("port"), F.lit("80"), F.lit("x"))).alias("g")).first()
+    assert row["d"] == "a\nc\n[1 lines dropped]" and row["g"] == 0.5
