@@ -8,6 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Ids that are broadcast at most.
+MAX_BROADCAST = 1_000_000
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
@@ -40,7 +44,8 @@ def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = _table(spark, sf_dir, "documents", "doc_id", "text")
     good = _table(spark, sf_dir, "labels", "doc_id", "quality").where("quality = 1").select("doc_id", F.lit(True).alias("good")).distinct()
-    model = lm_score.train(docs.join(good, "doc_id", "left"), F.col("good"))
+    few = good.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST  # beyond that both sides are shuffled
+    model = lm_score.train(docs.join(F.broadcast(good) if few else good, "doc_id", "left"), F.col("good"))
     return lm_score.score(docs, model).select(F.col("id").alias("doc_id"), "n_tokens", "target_loss", "background_loss", "score")
 
 
