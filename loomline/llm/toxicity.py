@@ -17,6 +17,7 @@ scored alike; other columns are not returned.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -66,19 +67,23 @@ def fit(rows: list[tuple[str, int]], max_features: int = 5000, steps: int = 300,
     if not len(rows) or labels.min() == labels.max():
         share = float(labels.mean()) if len(rows) else 0.0
         return Model(float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))))
-    sentences = [[set(f for w in set(WORD.findall(s)) for f in word_features(w)) for s in SENTENCE_END.split(t or "")] for t, _ in rows]
-    seen = ({}, {})
-    for (_, y), parts in zip(rows, sentences, strict=True):
-        for f in set().union(*parts):
-            seen[y][f] = seen[y].get(f, 0) + 1
     ones, zeros = labels.sum(), (1 - labels).sum()
-    gain = {f: g for f, n in seen[1].items() if (g := _gain(n, ones, seen[0].get(f, 0), zeros)) >= LEAST_GAIN}
+    # texts are gone through three times, so that only counts and the chosen features' places are ever held
+    seen, other = Counter(), Counter()
+    for text, y in rows:
+        if y:
+            seen.update(set(f for w in set(WORD.findall(text or "")) for f in word_features(w)))
+    seen = {f: n for f, n in seen.items() if n >= 2}
+    for text, y in rows:
+        if not y:
+            other.update(set(f for w in set(WORD.findall(text or "")) for f in word_features(w) if f in seen))
+    gain = {f: g for f, n in seen.items() if (g := _gain(n, ones, other[f], zeros)) >= LEAST_GAIN}
     chosen = sorted(gain, key=lambda f: (-gain[f], f))[:max_features]
     number = {f: k for k, f in enumerate(chosen)}
     at, sentence, owner = [], [], []
-    for d, parts in enumerate(sentences):
-        for part in parts:
-            hit = sorted(number[f] for f in part if f in number)
+    for d, (text, _) in enumerate(rows):
+        for part in SENTENCE_END.split(text or ""):
+            hit = sorted({number[f] for w in set(WORD.findall(part)) for f in word_features(w) if f in number})
             at += hit
             sentence += [len(owner)] * len(hit)
             owner.append(d)
