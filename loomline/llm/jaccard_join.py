@@ -12,11 +12,13 @@ Plan.
 2. One pass over the texts writes (id, set size, hash of the set, prefix). Equal sets become one class, classes with
    equal prefix and size one group.
 3. Groups post their prefix shingles. Shingles that one group posts end there. Round one pairs each group with the
-   first group of its posting list and size band, and each class with the first class of its group: a number of
-   pairs linear in the postings. Pairs are verified on the whole sets, and links become components.
-4. Round two takes what can still matter: group pairs that share a shingle, pass the size and position filters and
-   are not in one component, from lists with more than one component, are expanded to their classes and verified.
-   Pairs within a component need no check, so thousands of near copies never become all pairs.
+   first group of the posting lists and size bands of its three rarest shingles, and each class with the first class
+   of its group: a number of pairs linear in the groups. Pairs are verified on whole sets, links become components.
+4. Round two takes what can still matter: from lists with more than one component, group pairs of fitting size and of
+   different components, counted over all shingles they share in their prefixes. Of a pair that links, all shared
+   shingles but the ones past a prefix are among those, so a pair that shares too few is out. The others are expanded
+   to their classes and verified. Pairs within a component need no check, so thousands of near copies never become
+   all pairs.
 
 Links that round two skips join classes that are connected already, so components are those of all links.
 
@@ -40,7 +42,9 @@ from loomline.llm.components import connected_components
 
 #: Bounds of memory: hashes one task gathers before it sends, hashes of one counting range, entries of the table of
 #: frequent shingles, and the least count that makes a shingle frequent.
-SEND_HASHES, RANGE_HASHES, MAX_FREQUENT, LEAST_FREQUENT = 3_000_000, 1_500_000, 1_000_000, 32
+SEND_HASHES, RANGE_HASHES, MAX_FREQUENT, LEAST_FREQUENT = 3_000_000, 1_500_000, 2_000_000, 8
+#: Ids that are broadcast at most; prefix shingles of a group that round one uses.
+MAX_BROADCAST, LEADING = 1_000_000, 3
 
 
 def shingle_set(words: WordHash, text: bytes, size: int) -> np.ndarray:
@@ -202,48 +206,46 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     shared_tokens = posted.groupBy("token").agg(F.count("*").alias("groups")).where("groups > 1").select("token")
     lists = materialize(posted.join(shared_tokens, "token").select("token", "gid", "n", "pos"))
 
+    # round one: linear in the postings of each group's rarest shingles
     band = F.floor(F.log(F.col("n").cast("double")) / float(-np.log(percent / 100))) if percent < 100 else F.col("n")
-    banded = lists.select("token", band.alias("band"), "gid")
+    banded = lists.where(F.col("pos") < LEADING).select("token", band.alias("band"), "gid")
     heads = banded.groupBy("token", "band").agg(F.min("gid").alias("other"))
     star = banded.join(heads, ["token", "band"]).where("gid != other").select("gid", "other").distinct()
     head = groups.select("gid", "head")
     star = star.join(head, "gid").select(F.col("head").alias("a"), F.col("other").alias("gid")).join(head, "gid").select("a", F.col("head").alias("b"))
     inner = classes.join(groups.where("m > 1").select("gid", "head"), "gid").where("sid != head").select(F.col("sid").alias("a"), F.col("head").alias("b"))
     first_pairs = materialize(star.union(inner).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-
-    # whole sets of the classes that meet another class in a group or in a posting list
-    active = lists.select("gid").distinct().union(groups.where("m > 1").select("gid")).distinct()
-    wanted = classes.join(active, "gid", "left_semi").select("sid", F.col("rep").alias("id"))
-    sets = materialize(_whole_sets(docs, wanted, size))
-    links = materialize(_verified(first_pairs, sets, percent))
+    links = materialize(_verified(first_pairs, _whole_sets(docs, first_pairs, classes, size), percent))
     labels = connected_components(links)
     known = materialize(classes.select("sid", "gid", "n").join(labels, F.col("sid") == F.col("node"), "left").select("sid", "gid", "n", F.coalesce("component", "sid").alias("comp")))
 
     # round two: lists and groups that still hold several components
     by_group = known.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     state = by_group.select("gid", F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("comp"))
-    placed = lists.join(state, "gid")
-    mixed = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("comp").alias("known"), F.count("*").alias("all"))
-    mixed = mixed.where("known < all or lo != hi").select("token")
-    placed = materialize(placed.join(mixed, "token").select("token", "gid", "n", "pos", "comp"))
-    sizes = placed.where("comp is not null").groupBy("token", "comp").agg(F.count("*").alias("c"))
-    major = sizes.groupBy("token").agg(F.max(F.struct("c", "comp")).alias("top")).select("token", F.col("top.comp").alias("major"))
-    minor = placed.join(major, "token", "left").where("comp is null or major is null or comp != major").drop("major")
-    x, y = minor.select("token", *[F.col(c).alias(c + "1") for c in ("gid", "n", "pos", "comp")]), placed.select("token", *[F.col(c).alias(c + "2") for c in ("gid", "n", "pos", "comp")])
-    need = F.ceil(percent * (F.col("n1") + F.col("n2")) / (100 + percent))
-    left_over = F.least(F.col("n1") - F.col("pos1"), F.col("n2") - F.col("pos2")) + F.least("pos1", "pos2")
-    group_pairs = (
-        x.join(y, "token").where((F.col("gid1") != F.col("gid2")) & ~F.coalesce(F.col("comp1") == F.col("comp2"), F.lit(False)))
-        .where(_fits(percent, "n1", "n2") & (left_over >= need - 1))
-        .select(F.least("gid1", "gid2").alias("g"), F.greatest("gid1", "gid2").alias("h")).distinct()
-    )
+    placed = lists.select("token", "gid", "n").join(state, "gid")
+    sizes = placed.groupBy("token", "comp").agg(F.count("*").alias("c"))
+    mixed = sizes.groupBy("token").agg(F.max(F.when(F.col("comp").isNotNull(), F.struct("c", "comp"))).alias("top"), F.count("*").alias("comps"), F.count("comp").alias("whole"))
+    mixed = mixed.where("comps > 1 or whole < comps").select("token", F.col("top.comp").alias("major"))
+    minor = F.col("comp").isNull() | F.col("major").isNull() | (F.col("comp") != F.col("major"))
+    placed = materialize(placed.join(mixed, "token").select("token", "gid", "n", "comp", F.coalesce(minor, F.lit(True)).alias("minor")))
+    x = placed.where("minor").select("token", *[F.col(c).alias(c + "1") for c in ("gid", "n", "comp")])
+    y = placed.select("token", *[F.col(c).alias(c + "2") for c in ("gid", "n", "comp", "minor")])
+    apart = (F.col("gid1") != F.col("gid2")) & ~F.coalesce(F.col("comp1") == F.col("comp2"), F.lit(False)) & (~F.col("minor2") | (F.col("gid1") < F.col("gid2")))
+    met = x.join(y, "token").where(apart & _fits(percent, "n1", "n2")).select(
+        F.least("gid1", "gid2").alias("g"), F.greatest("gid1", "gid2").alias("h"), (F.col("n1") + F.col("n2")).alias("sum"), F.greatest("n1", "n2").alias("top")
+    )
+    # shingles past the prefix of the set whose prefix ends first are all that can be shared besides the ones met
+    beyond = F.ceil(percent * F.col("top") / 100) - 1
+    need = F.ceil(percent * F.col("sum") / (100 + percent))
+    group_pairs = met.groupBy("g", "h", "sum", "top").agg(F.count("*").alias("met")).where(F.col("met") >= need - beyond).select("g", "h")
     torn = by_group.where("lo != hi").select(F.col("gid").alias("g"), F.col("gid").alias("h"))
     member = lambda s, t: known.select(F.col("gid").alias(s), F.col("sid").alias(t), F.col("comp").alias(t + "_comp"))
     second_pairs = (
         group_pairs.union(torn).join(member("g", "a"), "g").join(member("h", "b"), "h")
         .where("a_comp != b_comp").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     )
-    more = materialize(_verified(second_pairs, sets, percent))
+    second_pairs = materialize(second_pairs)
+    more = materialize(_verified(second_pairs, _whole_sets(docs, second_pairs, classes, size), percent))
     final = labels
     if not more.isEmpty():
         final = connected_components(links.union(more))
@@ -254,13 +256,19 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     out = rows.join(by_class, F.col("sid") == F.col("class"), "left").select(
         "id", F.col("n").alias("n_shingles"), "sid", F.when(F.col("sid").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id")
     )
-    discard(classes, groups, lists, first_pairs, sets, links, known, placed, more)
+    discard(classes, groups, lists, first_pairs, links, known, placed, second_pairs, more)
     return out
 
 
-def _whole_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """The whole set of each wanted class, from the text of its smallest id, or from its texts if it has no id."""
-    texts = docs.join(wanted.where("id is not null").select("id"), "id", "left_semi").select("text")
+def _whole_sets(docs: DataFrame, pairs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
+    """The whole set of each class in the pairs, from the text of its smallest id, or from its texts if it has no id.
+
+    The ids are broadcast while they are at most MAX_BROADCAST; beyond that both sides are shuffled.
+    """
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(classes.select("sid", "rep"), "sid").select(F.col("rep").alias("id")).distinct()
+    few = wanted.count() <= MAX_BROADCAST
+    named = wanted.where("id is not null")
+    texts = docs.join(F.broadcast(named) if few else named, "id", "left_semi").select("text")
     if not wanted.where("id is null").isEmpty():
         texts = texts.union(docs.where("id is null").select("text").distinct())
     return texts.mapInArrow(_set_bytes(size), "sid long, members binary")
