@@ -1,13 +1,15 @@
 """Toxicity by multiple-instance learning: sentences are instances, documents carry the labels.
 
-A sentence scores sigmoid(b + sum of the weights of its distinct features); a document scores the noisy-or
-1 - product(1 - sentence score). Weights are learned from document labels alone through the noisy-or, so that the
-sentences which explain a label get the score; ``sentences`` locates them. A word's features are the word and its
-first four, five and six letters, lower-cased, so inflected forms share weight.
+A sentence scores sigmoid(b + sum of the weights of its distinct features); a document scores the leaky noisy-or
+1 - (1 - leak) * product(1 - sentence score). Weights, bias and leak are learned from document labels alone through it,
+so that the sentences which explain a label get the score; ``sentences`` locates them. The leak is once per document
+and explains labels that no sentence does, which the bias, once per sentence, would lay on long documents. A word's
+features are the word and its first four, five and six letters, lower-cased, so inflected forms share weight.
 
-Fitting uses a bounded sample: at most ``sample`` labelled rows (half of each label, in an order by hash of the id)
-with texts of at most ``sample_chars`` characters. The model has at most ``max_features`` weights, so it is small
-enough to broadcast. Scoring runs over whole texts of all rows.
+Fitting uses a bounded sample: at most ``sample`` labelled rows (half of each label, in an order by hash of the id),
+weighted back to the ratio of all labels, with their whole texts. Texts stay in Spark; the driver gets counts of words
+and, per row, the sets of chosen features that sentences have. The model has at most ``max_features`` weights, so it is
+small enough to broadcast. Scoring runs over whole texts of all rows.
 
 Defined cases: null and empty texts have one empty sentence; without labelled rows of both kinds every score is the
 share of label 1 (0 if there are no labels); rows with null label or null id are not learned from; repeated rows are
@@ -42,6 +44,7 @@ class Model:
     bias: float
     weights: dict[str, float] = field(default_factory=dict)
     cut: float = 0.5
+    leak: float = 0.0
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -61,56 +64,85 @@ def _gain(a: int, ones: float, b: int, zeros: float) -> float:
 LEAST_GAIN = 12.0
 
 
-def fit(rows: list[tuple[str, int]], max_features: int = 5000, steps: int = 300, ridge: float = 0.02) -> Model:
-    """Noisy-or weights from (text, label) rows by full-batch Adam; rows with two kinds of label are needed."""
-    labels = np.array([y for _, y in rows], float)
-    if not len(rows) or labels.min() == labels.max():
-        share = float(labels.mean()) if len(rows) else 0.0
-        return Model(float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))))
-    ones, zeros = labels.sum(), (1 - labels).sum()
-    # texts are gone through three times, so that only counts and the chosen features' places are ever held
-    seen, other = Counter(), Counter()
-    for text, y in rows:
-        if y:
-            seen.update(set(f for w in set(WORD.findall(text or "")) for f in word_features(w)))
-    seen = {f: n for f, n in seen.items() if n >= 2}
-    for text, y in rows:
-        if not y:
-            other.update(set(f for w in set(WORD.findall(text or "")) for f in word_features(w) if f in seen))
-    gain = {f: g for f, n in seen.items() if (g := _gain(n, ones, other[f], zeros)) >= LEAST_GAIN}
-    chosen = sorted(gain, key=lambda f: (-gain[f], f))[:max_features]
-    number = {f: k for k, f in enumerate(chosen)}
-    at, sentence, owner = [], [], []
-    for d, (text, _) in enumerate(rows):
-        for part in SENTENCE_END.split(text or ""):
-            hit = sorted({number[f] for w in set(WORD.findall(part)) for f in word_features(w) if f in number})
+def _counted_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(feature, ones, zeros): rows of each label that have the feature, the empty feature being in every row."""
+
+    def sent(counts: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([f for f, _ in counts], pa.string()), *(pa.array([n * (y == k) for (_, y), n in counts.items()], pa.int64()) for k in (1, 0))], names=["feature", "ones", "zeros"])
+
+    counts: Counter = Counter()
+    for batch in batches:
+        for text, y in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+            counts.update((f, y) for f in {"", *(f for w in set(WORD.findall(text.as_py() or "")) for f in word_features(w))})
+            if len(counts) > 300_000:
+                yield sent(counts)
+                counts = Counter()
+    if counts:
+        yield sent(counts)
+
+
+def _bag(text: str, number: dict[str, int]) -> list[tuple[tuple[int, ...], int]]:
+    """The distinct sets of chosen features that the sentences of a text have, and how many sentences have each."""
+    return sorted(Counter(tuple(sorted({number[f] for w in set(WORD.findall(part)) for f in word_features(w) if f in number})) for part in SENTENCE_END.split(text)).items())
+
+
+def fit(bags: list[tuple[list[tuple[tuple[int, ...], int]], int]], chosen: list[str], share: float, steps: int = 1000, ridge: float = 0.02) -> Model:
+    """Weights, bias and leak from (bag, label) rows of both labels by full-batch Adam; ``share`` is that of label 1 in all labels."""
+    labels = np.array([y for _, y in bags], float)
+    weight = np.where(labels == 1, share / labels.mean(), (1 - share) / (1 - labels.mean()))
+    at, sentence, owner, times = [], [], [], []
+    for d, (bag, _) in enumerate(bags):
+        for hit, n in bag:
             at += hit
             sentence += [len(owner)] * len(hit)
             owner.append(d)
-    at, sentence, owner = np.array(at, np.int64), np.array(sentence, np.int64), np.array(owner)
-    theta = np.concatenate((np.zeros(len(chosen)), [-6.0]))
+            times.append(n)
+    at, sentence, owner, times = np.array(at, np.int64), np.array(sentence, np.int64), np.array(owner), np.array(times, float)
+    theta = np.concatenate((np.zeros(len(chosen)), [-6.0, -6.0]))  # then the bias and the leak's logit
     m = v = np.zeros_like(theta)
     for t in range(1, steps + 1):
-        z = theta[-1] + np.bincount(sentence, theta[:-1][at], len(owner))
+        z = theta[-2] + np.bincount(sentence, theta[:-2][at], len(owner))
         p = _sigmoid(z)
-        clean = np.bincount(owner, -np.logaddexp(0, z), len(rows))  # log of the product of 1 - p
+        clean = np.bincount(owner, -times * np.logaddexp(0, z), len(bags)) - np.logaddexp(0, theta[-1])  # log of the product of 1 - p
         whole = -np.expm1(np.minimum(clean, -1e-12))
-        pull = np.where(labels == 1, -np.exp(clean) / whole, 1.0)
-        g = p * pull[owner] / len(rows)
-        grad = np.concatenate((np.bincount(at, g[sentence], len(chosen)) + ridge * theta[:-1] / len(rows), [g.sum()]))
+        pull = weight * np.where(labels == 1, -np.exp(clean) / whole, 1.0) / len(bags)
+        g = p * times * pull[owner]
+        leak = float(_sigmoid(theta[-1]))
+        grad = np.concatenate((np.bincount(at, g[sentence], len(chosen)) + ridge * theta[:-2] / len(bags), [g.sum(), leak * pull.sum()]))
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         theta -= 0.15 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
-    return Model(float(theta[-1]), {f: float(w) for f, w in zip(chosen, theta[:-1], strict=True) if abs(w) > 1e-3})
+    return Model(float(theta[-2]), {f: float(w) for f, w in zip(chosen, theta[:-2], strict=True) if abs(w) > 1e-3}, leak=float(_sigmoid(theta[-1])))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 4000, sample_chars: int = 40_000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 4000, max_features: int = 5000) -> Model:
     """Fit on a bounded sample of labelled rows, whose ids (at most ``sample``) are broadcast to the texts."""
+    sized_batches(docs.sparkSession)
     labels = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label in (0, 1)").distinct()
+    total = {r["label"]: r["count"] for r in labels.groupBy("label").count().collect()}
+    share = total.get(1, 0) / max(sum(total.values()), 1)
     order = [F.xxhash64("id"), F.col("id")]
     picked = labels.where("label = 1").orderBy(*order).limit(sample // 2).union(labels.where("label = 0").orderBy(*order).limit(sample // 2))
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where(F.length("text") <= sample_chars)
-    rows = texts.join(F.broadcast(picked), "id").select("id", "text", "label").collect()
-    return fit([(r["text"], r["label"]) for r in sorted(rows, key=lambda r: (r["id"], r["text"], r["label"]))])
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = texts.join(F.broadcast(picked), "id").select("text", "label", "id")
+    counts = rows.select("text", "label").mapInArrow(_counted_features, "feature string, ones long, zeros long").groupBy("feature").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros"))
+    counts = counts.where("ones >= 2 or feature = ''").persist()
+    whole = counts.where("feature = ''").first()
+    if not whole or not whole["ones"] or not whole["zeros"]:
+        counts.unpersist()
+        return Model(-40.0, leak=share)
+    gain = {r["feature"]: g for r in counts.where("feature != ''").toLocalIterator() if (g := _gain(r["ones"], whole["ones"], r["zeros"], whole["zeros"])) >= LEAST_GAIN}
+    counts.unpersist()
+    chosen = sorted(gain, key=lambda f: (-gain[f], f))[:max_features]
+    number = {f: k for k, f in enumerate(chosen)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text, label, at in zip(*batch.columns, strict=True):
+                bag = _bag(text.as_py() or "", number)
+                yield pa.RecordBatch.from_arrays([pa.array([at.as_py()], pa.int64()), pa.array([label.as_py()], pa.int32()), pa.array([[list(h) for h, _ in bag]], pa.list_(pa.list_(pa.int32()))), pa.array([[n for _, n in bag]], pa.list_(pa.int64()))], names=["id", "label", "hits", "times"])
+
+    bags = [(r["id"], [(tuple(h), n) for h, n in zip(r["hits"], r["times"], strict=True)], r["label"]) for r in rows.mapInArrow(run, "id long, label int, hits array<array<int>>, times array<long>").toLocalIterator()]
+    return fit([(bag, y) for _, bag, y in sorted(bags)], chosen, share)
 
 
 class _WordWeight(dict):
@@ -146,7 +178,7 @@ class Scorer:
             if (p := float(_sigmoid(np.array(z)))) >= model.cut:
                 start = ends[k - 1] if k else 0
                 spans.append({"start": start, "end": ends[k] if k < len(ends) else len(text), "score": p})
-        return float(min(1.0, max(0.0, -np.expm1(logs)))), spans
+        return float(min(1.0, max(0.0, -np.expm1(logs + np.log1p(-model.leak))))), spans
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:

@@ -49,6 +49,27 @@ def test_toxicity_held_out_and_location(spark):
         assert bool(spans) == bool(y) and all(any(w in t[s["start"] : s["end"]].lower() for w in ("grobnik", "zorch")) for s in spans)
 
 
+@pytest.mark.parametrize("scale", [1, 5])  # 449:2000 and 2000:2000 in the sample
+def test_toxicity_long_clean_documents(spark, scale):
+    """Label ratio, share of unexplained labels and long texts as in sf0.1."""
+    rng = random.Random(scale)
+    rows = []
+    for i in range(3980 * scale):
+        kind = "insult" if i % 3980 < 261 else "noise" if i % 3980 < 449 else "clean"
+        parts = [sentence(rng, 4) for _ in range(1500 if i % 100 == 7 and scale == 1 else 300 if i % 100 == 7 else rng.randrange(1, 12))]
+        if kind == "insult":
+            insult(rng, parts)
+        rows.append((i, " ".join(parts), int(kind != "clean")))
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    scorer = toxicity.Scorer(toxicity.train(docs, labels))
+    known = ("grobnik", "zorch")
+    clean = [t for _, t, _ in rows if not any(w in t.lower() for w in known)]
+    longest = sorted(clean, key=len)[-20:]
+    assert all(scorer.score(t)[0] < 0.5 for t in [*longest, *rng.sample(clean, 200)])
+    assert all(scorer.score(t)[0] >= 0.5 for _, t, _ in rows if any(w in t.lower() for w in known))
+
+
 def test_toxicity_noisy_or_by_hand():
     model = toxicity.Model(-3.0, {"bad": 2.0, "worse": 4.0})
     score, spans = toxicity.Scorer(model).score("Good day. Bad thing! worse and bad\nfine")
