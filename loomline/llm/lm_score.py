@@ -1,16 +1,20 @@
 """LM scoring by cross-entropy difference.
 
-Two bigram models, of the target texts and of all texts (the background), are matched: one vocabulary, one smoothing,
-one table size. A token's loss is -log2 of
+Two bigram models, of the target texts and of all texts (the background), are matched: one vocabulary, one smoothing.
+A token's loss is -log2 of
 
     mix * count(previous, word) / count(previous) + (1 - mix) * (count(word) + 1) / (words + vocabulary size)
 
 and a document's score is its mean background loss less its mean target loss: high if it reads like the target.
 
-The vocabulary is the ``vocabulary`` most frequent words of all texts (ties by word); others are one unknown word.
-Words are lower-cased. Bigram counts of both models live in one table of 2^table_bits hashed cells; every document
-takes part in both counts, each task sends the cells that it filled, packed, and cell ranges add them up. Model sizes
-are fixed by these two parameters, so both can be broadcast; what is gathered for them grows with the corpus.
+The vocabulary is every distinct word and one unknown word; words are lower-cased. Counts are exact but for meetings
+of hashes. They stay in Spark as packed sorted keys by hash range, and ranges grow in number with the corpus:
+every task sends each distinct word and bigram of its texts once, ranges add them up, and to score, blocks of
+documents ask the ranges for the counts of their distinct words and bigrams. No key is common enough to fill a task.
+
+``vocabulary`` and ``table_bits`` make smaller models: only the ``vocabulary`` most frequent words (ties by word) are
+told apart, and bigrams share 2^table_bits cells. Neither is set by default. Keys have 44 bits more than it takes to
+number the ranges, so the chance that a key meets another, about one in ten million, does not grow with the corpus.
 
 Defined cases: null and empty texts have no tokens and score 0; without target texts the target model is uniform over
 the vocabulary; rows with null ids are scored and counted; repeated rows count repeatedly; other columns are not
@@ -29,41 +33,76 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.common import GOLDEN, mix64, range_slices, sized_batches, texts_of
+from loomline.llm.common import GOLDEN, WordHash, materialize, mix64, pack_sorted, range_slices, sized_batches, texts_of, total_chars, unpack_sorted
+
+MIX = 0.6
+#: Hashes of the start of a text and of words outside a given vocabulary.
+START, UNKNOWN = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
+#: Characters that a block of documents, and a hash range, stand for; tokens that a task counts at a time.
+BLOCK_CHARS, RANGE_CHARS, CHUNK_TOKENS = 12_000_000, 32_000_000, 3_000_000
+LEAST_RANGE_BITS, KEY_BITS = 5, 44
+PACKED = "range int, keys binary, target binary, background binary, n_keys long, n_target long, n_background long"
+
+
+class _Known(WordHash):
+    """Hashes of the given words; others are one unknown word."""
 
-VOCABULARY, TABLE_BITS, MIX = 50_000, 21, 0.6
-RANGE_BITS = 5
+    def __init__(self, words: set[bytes] | None):
+        self.known = words
+
+    def __missing__(self, word: bytes) -> int:
+        if self.known is not None and word not in self.known:
+            return int(UNKNOWN)
+        return super().__missing__(word)
 
 
 @dataclass
 class Model:
-    """Counts of unigrams [2, vocabulary + 2] and of hashed bigrams [2, 2^table_bits]; row 0 target, 1 background."""
-
-    words: dict[bytes, int]
-    unigrams: np.ndarray
-    bigrams: np.ndarray
+    """Packed counts of words and bigrams by range, tokens of target and background, and what makes the keys."""
+
+    counts: DataFrame
+    tokens: tuple[int, int]
+    size: int
+    words: set[bytes] | None
+    table_bits: int | None
+    range_bits: int
     mix: float
 
-    def numbers(self, text: bytes) -> np.ndarray:
-        get = self.words.get
-        return np.array([get(w, 1) for w in text.lower().split()], np.int64)  # 0 is the start, 1 the unknown word
 
-    def losses(self, text: bytes) -> np.ndarray:
-        """[2, tokens] losses in bits."""
-        ids = self.numbers(text)
-        before = np.concatenate(([0], ids[:-1])) if len(ids) else ids
-        cells = bigram_cells(before, ids, int(np.log2(self.bigrams.shape[1])))
-        out = []
-        for uni, bi in zip(self.unigrams, self.bigrams, strict=True):
-            plain = (uni[ids] + 1) / (uni[1:].sum() + len(uni) - 1)
-            seen = uni[before]
-            joint = np.minimum(bi[cells], seen) / np.maximum(seen, 1)
-            out.append(-np.log2(self.mix * joint + (1 - self.mix) * plain))
-        return np.array(out)
+def _cells(hashes: np.ndarray, bits: int) -> np.ndarray:
+    return (hashes >> np.uint64(64 - bits)) << np.uint64(64 - bits)
+
+
+def _keys(words: WordHash, texts: list[bytes], table_bits: int | None, range_bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of all tokens of the texts one after another, of the tokens before them and of the bigrams; tokens per text."""
+    own = [words.of(t.lower().split()) for t in texts]
+    n = np.array([len(x) for x in own], np.int64)
+    ids = mix64(np.concatenate(own)) if len(own) else np.zeros(0, np.uint64)
+    before = np.roll(ids, 1)
+    before[(np.cumsum(n) - n)[n > 0]] = START
+    pairs = mix64(mix64(before * GOLDEN + np.uint64(1)) + ids)
+    bits = min(64, KEY_BITS + range_bits)
+    return _cells(ids, bits), _cells(before, bits), _cells(pairs, min(bits, table_bits or bits)), n
+
+
+def _start(range_bits: int) -> np.uint64:
+    return _cells(np.array([START]), min(64, KEY_BITS + range_bits))[0]
+
+
+def _squeeze(values: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes())
+
+
+def _expand(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view("<i8").ravel()
 
 
-def bigram_cells(before: np.ndarray, ids: np.ndarray, bits: int) -> np.ndarray:
-    return (mix64(before.astype(np.uint64) * GOLDEN + ids.astype(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
+def _by_range(keys: np.ndarray, kind: int, range_bits: int) -> Iterator[tuple[int, slice]]:
+    """Ranges of words (kind 0) come before those of bigrams (kind 1)."""
+    if len(keys):
+        for r, s in range_slices(keys, range_bits):
+            yield (kind << range_bits) + r, s
 
 
 def _counted_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,97 +122,121 @@ def _counted_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield sent(counts)
 
 
-def _squeeze(values: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+def _packed(rows: list[tuple]) -> dict[str, pa.Array]:
+    names = [x.split()[0] for x in PACKED.split(", ")]
+    types = [pa.int32(), *[pa.binary()] * 3, *[pa.int64()] * 3]
+    return {c: pa.array([r[k] for r in rows], t) for k, (c, t) in enumerate(zip(names, types, strict=True))}
 
 
-def _expand(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+def _row(r: int, keys: np.ndarray, target: np.ndarray, background: np.ndarray) -> tuple:
+    return r, pack_sorted(keys), _squeeze(target), _squeeze(background), len(keys), int(target.sum()), int(background.sum())
 
 
-def _counted_cells(shared, bits: int):
-    """Packed cell counts by cell range: first all bigram cells, then, in a range of their own, the unigrams."""
+def _counted(known, table_bits: int | None, range_bits: int):
+    """Packed counts of a task's words, starts and bigrams by range, sent whenever many tokens have gathered."""
+
+    def sent(words: WordHash, texts: list[bytes], target: list[bool]) -> pa.RecordBatch:
+        ids, before, pairs, n = _keys(words, texts, table_bits, range_bits)
+        marked = np.repeat(np.array(target, bool), n)
+        first = before == _start(range_bits)
+        rows = []
+        for kind, keys, good in ((0, np.concatenate((ids, before[first])), np.concatenate((marked, marked[first]))), (1, pairs, marked)):
+            found, back, times = np.unique(keys, return_inverse=True, return_counts=True)
+            mine = np.bincount(back, good, len(found)).astype(np.int64)
+            rows += [_row(r, found[s], mine[s], times[s]) for r, s in _by_range(found, kind, range_bits)]
+        return pa.RecordBatch.from_pydict(_packed(rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = shared.value
-        empty = Model(words, np.zeros((2, 1)), np.zeros((2, 1 << bits)), MIX)
-        uni = np.zeros((2, len(words) + 2), np.int64)
-        bi = np.zeros((2, 1 << bits), np.uint32)
-        some = False
+        words, texts, target, chars = _Known(known.value), [], [], 0
         for batch in batches:
-            for target, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):
-                ids = empty.numbers(text)
-                if not len(ids):
-                    continue
-                some = True
-                before = np.concatenate(([0], ids[:-1]))
-                cells = bigram_cells(before, ids, bits)
-                for k in (1, 0)[: 1 + bool(target)]:
-                    uni[k, 0] += 1
-                    np.add.at(uni[k], ids, 1)
-                    np.add.at(bi[k], cells, 1)
-        if not some:
-            return
-        used = np.flatnonzero(bi[1])
-        rows = []
-        for r, s in range_slices(used.astype(np.uint64), RANGE_BITS, bits):
-            own = used[s]
-            rows.append((r, _squeeze(np.diff(own, prepend=0)), _squeeze(bi[0, own]), _squeeze(bi[1, own])))
-        own = np.flatnonzero(uni[1])
-        rows.append((-1, _squeeze(np.diff(own, prepend=0)), _squeeze(uni[0, own]), _squeeze(uni[1, own])))
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int32())] + [pa.array([x[k] for x in rows], pa.binary()) for k in (1, 2, 3)], names=["range", "cells", "target", "background"])
+            for good, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):
+                texts.append(text)
+                target.append(good)
+                chars += len(text)
+                if chars > 5 * CHUNK_TOKENS:
+                    yield sent(words, texts, target)
+                    texts, target, chars = [], [], 0
+        if texts:
+            yield sent(words, texts, target)
 
     return run
 
 
 def _added(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     """One range's counts over all tasks, packed again."""
-    cells = np.concatenate([np.cumsum(_expand(c), dtype=np.int64) for c in table.column("cells").to_pylist()])
-    found, back = np.unique(cells, return_inverse=True)
+    found, back = np.unique(np.concatenate([unpack_sorted(k) for k in table.column("keys").to_pylist()]), return_inverse=True)
     sums = [np.bincount(back, np.concatenate([_expand(x) for x in table.column(c).to_pylist()]), len(found)).astype(np.int64) for c in ("target", "background")]
-    return pa.table(
-        {
-            "range": pa.array([key[0].as_py()], pa.int32()),
-            "cells": pa.array([found.astype("<i8").tobytes()], pa.binary()),
-            "target": pa.array([sums[0].astype("<i8").tobytes()], pa.binary()),
-            "background": pa.array([sums[1].astype("<i8").tobytes()], pa.binary()),
-        }
-    )
+    return pa.table(_packed([_row(key[0].as_py(), found, *sums)]))
 
 
-def train(docs: DataFrame, target: F.Column, text_col: str = "text", vocabulary: int = VOCABULARY, table_bits: int = TABLE_BITS, mix: float = MIX) -> Model:
+def train(docs: DataFrame, target: F.Column, text_col: str = "text", vocabulary: int | None = None, table_bits: int | None = None, mix: float = MIX) -> Model:
     """Both models from all rows of ``docs``; ``target`` marks the target's rows."""
     spark = docs.sparkSession
     sized_batches(spark)
     rows = docs.select(F.coalesce(target, F.lit(False)).alias("target"), F.col(text_col).cast("string").alias("text"))
-    counts = rows.select("text").mapInArrow(_counted_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.col("n").desc(), "word").limit(vocabulary).collect()
-    words = {bytes(r["word"]): k + 2 for k, r in enumerate(top)}
-    shared = spark.sparkContext.broadcast(words)
-    parts = rows.mapInArrow(_counted_cells(shared, table_bits), "range int, cells binary, target binary, background binary")
-    unigrams, bigrams = np.zeros((2, len(words) + 2)), np.zeros((2, 1 << table_bits), np.float32)
-    for r in parts.groupBy("range").applyInArrow(_added, "range int, cells binary, target binary, background binary").toLocalIterator():
-        into = unigrams if r["range"] < 0 else bigrams
-        at = np.frombuffer(r["cells"], "<i8")
-        into[0, at], into[1, at] = np.frombuffer(r["target"], "<i8"), np.frombuffer(r["background"], "<i8")
-    return Model(words, unigrams, bigrams, mix)
+    words = None
+    if vocabulary is not None:
+        counts = rows.select("text").mapInArrow(_counted_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+        words = {bytes(r["word"]) for r in counts.orderBy(F.col("n").desc(), "word").limit(vocabulary).collect()}
+    range_bits = max(LEAST_RANGE_BITS, (total_chars(docs.select(F.col(text_col).cast("string").alias("text")), "text")[1] // RANGE_CHARS).bit_length())
+    counts = materialize(rows.mapInArrow(_counted(spark.sparkContext.broadcast(words), table_bits, range_bits), PACKED).groupBy("range").applyInArrow(_added, PACKED))
+    pair = F.col("range") >= 1 << range_bits
+    total = counts.agg(*[F.sum(F.when(pair, F.col(c))).alias(c) for c in ("n_target", "n_background")], F.sum(F.when(~pair, F.col("n_keys"))).alias("n_words")).first()
+    spark.sparkContext._jvm.System.gc()  # lets Spark delete the shuffle files of the counts before those of the scores
+    size = len(words) if words is not None else max((total["n_words"] or 0) - 1, 0)  # the start is no word
+    return Model(counts, (total["n_target"] or 0, total["n_background"] or 0), size + 1, words, table_bits, range_bits, mix)
+
+
+def _losses(seen: np.ndarray, both: np.ndarray, own: np.ndarray, tokens: int, size: int, mix: float) -> np.ndarray:
+    """Bits of tokens by the counts of the token before, of the bigram and of the token."""
+    joint = np.minimum(both, seen) / np.maximum(seen, 1)
+    return -np.log2(mix * joint + (1 - mix) * (own + 1) / (tokens + size))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_tokens, target_loss, background_loss (mean bits a token) and score, their difference."""
-    sized_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            losses = [shared.value.losses(t) for t in texts_of(batch.column(1))]
-            n = [x.shape[1] for x in losses]
-            mean = np.array([x.mean(1) if x.shape[1] else np.zeros(2) for x in losses]).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(mean[:, 0]), pa.array(mean[:, 1]), pa.array(mean[:, 1] - mean[:, 0])], names=["id", "n_tokens", "target_loss", "background_loss", "score"]
-            )
-
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
-        run, "id long, n_tokens long, target_loss double, background_loss double, score double"
-    )
+    spark = docs.sparkSession
+    sized_batches(spark)
+    known = spark.sparkContext.broadcast(model.words)
+    table_bits, range_bits, tokens, size, mix = model.table_bits, model.range_bits, model.tokens, model.size, model.mix
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    blocks = max(1, -(-total_chars(rows, "text")[1] // BLOCK_CHARS))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int"))
+
+    def asked(ids: np.ndarray, pairs: np.ndarray) -> list[np.ndarray]:
+        """Distinct keys of words, with the start, and of bigrams."""
+        return [np.unique(np.append(ids, _start(range_bits))), np.unique(pairs)]
+
+    def ask(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        ids, _, pairs, _ = _keys(_Known(known.value), texts_of(table.column("text")), table_bits, range_bits)
+        out = [(r, key[0].as_py(), pack_sorted(keys[s])) for kind, keys in enumerate(asked(ids, pairs)) for r, s in _by_range(keys, kind, range_bits)]
+        return pa.table({"range": pa.array([x[0] for x in out], pa.int32()), "block": pa.array([x[1] for x in out], pa.int32()), "keys": pa.array([x[2] for x in out], pa.binary())})
+
+    def answer(left: pa.Table, right: pa.Table) -> pa.Table:
+        """Counts of the asked keys in their order; 0 for keys that the model lacks."""
+        have = [unpack_sorted(right["keys"][0].as_py()), *(_expand(right[c][0].as_py()) for c in ("target", "background"))] if len(right) else [np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 2]
+        out = {"target": [], "background": []}
+        for packed in left["keys"].to_pylist():
+            keys = unpack_sorted(packed)
+            at = np.minimum(np.searchsorted(have[0], keys), max(len(have[0]) - 1, 0))
+            hit = have[0][at] == keys if len(have[0]) else np.zeros(len(keys), bool)
+            for c, counts in zip(out, have[1:], strict=True):
+                out[c].append(_squeeze(np.where(hit, counts[at], 0) if len(counts) else np.zeros(len(keys), np.int64)))
+        return pa.table({"block": left["block"].cast(pa.int32()), "range": left["range"].cast(pa.int32()), **{c: pa.array(x, pa.binary()) for c, x in out.items()}})
+
+    def scored(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids, before, pairs, n = _keys(_Known(known.value), texts_of(left.column("text")), table_bits, range_bits)
+        keys = asked(ids, pairs)
+        order = np.argsort(right["range"].to_numpy())
+        doc, at = np.repeat(np.arange(len(n)), n), [np.searchsorted(k, x) for k, x in ((keys[0], before), (keys[1], pairs), (keys[0], ids))]
+        mean = []
+        for c, total in zip(("target", "background"), tokens, strict=True):
+            packed = right[c].to_pylist()
+            counts = np.concatenate([_expand(packed[k]) for k in order])
+            word, pair = counts[: len(keys[0])], counts[len(keys[0]) :]
+            mean.append(np.bincount(doc, _losses(word[at[0]], pair[at[1]], word[at[2]], total, size, mix), len(n)) / np.maximum(n, 1))
+        return pa.table({"id": left["id"], "n_tokens": pa.array(n), "target_loss": pa.array(mean[0]), "background_loss": pa.array(mean[1]), "score": pa.array(mean[1] - mean[0])})
+
+    asks = rows.groupBy("block").applyInArrow(ask, "range int, block int, keys binary")
+    answers = asks.groupBy("range").cogroup(model.counts.select("range", "keys", "target", "background").groupBy("range")).applyInArrow(answer, "block int, range int, target binary, background binary")
+    return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(scored, "id long, n_tokens long, target_loss double, background_loss double, score double")

@@ -1,6 +1,7 @@
 """Toxicity, quality and LM scores: held-out accuracy, location of sentences, a plain computation of the formula."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -156,6 +157,28 @@ def test_lm_scores_equal_plain_formula(spark):
         assert r["score"] == pytest.approx(loss(1, own) - loss(0, own))
 
 
+def test_lm_counts_grow_with_the_corpus(spark, monkeypatch):
+    """More distinct words than 50,000 and more bigrams than fit 2^21 cells apart; rare words keep their own counts."""
+    monkeypatch.setattr(lm_score, "BLOCK_CHARS", 2_000_000, raising=False)
+    rows = [(i, " ".join(f"w{(i * 977 + k * k * (i % 13 + 1)) % 130_000}" for k in range(1500)), i % 2 == 0) for i in range(800)]
+    rows += [(800, "rare1 rare2 rare1 rare2", True), (801, "rare3 rare2 rare3", False)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, good boolean")
+    got = {r["id"]: r for r in lm_score.score(docs, lm_score.train(docs, F.col("good"))).collect()}
+    uni, bi, total = [Counter(), Counter()], [Counter(), Counter()], [0, 0]
+    for _, t, good in rows:
+        own = t.split()
+        for k in (1, 0)[: 1 + good]:
+            uni[k].update(["^", *own])
+            bi[k].update(zip(["^", *own], own, strict=False))
+            total[k] += len(own)
+    size = len(uni[1])  # all words and the unknown one; the start is none
+    assert size > 50_000 and len(bi[1]) > 500_000
+    for i, t, _ in rows[::40] + rows[-2:]:
+        own = t.split()
+        want = [float(np.mean([-np.log2(lm_score.MIX * bi[k][a, b] / max(uni[k][a], 1) + (1 - lm_score.MIX) * (uni[k][b] + 1) / (total[k] + size)) for a, b in zip(["^", *own], own, strict=False)])) for k in (0, 1)]
+        assert [got[i]["target_loss"], got[i]["background_loss"]] == pytest.approx(want)
+
+
 def test_lm_empty_inputs(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, good boolean")
     model = lm_score.train(empty, F.col("good"))
