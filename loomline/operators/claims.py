@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import difflib
+from collections import Counter
+from functools import lru_cache, reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -73,9 +75,20 @@ def validate(observations: DataFrame, evidence: DataFrame, id_col: str = "obs_id
 
 
 @F.pandas_udf(T.DoubleType())
-def similarity_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratcliff-Obershelp ratio, for which there is no built-in function; inputs are short claims."""
-    return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])
+def similarity_ratio(a: pd.Series, b: pd.Series, least: pd.Series) -> pd.Series:
+    """Ratcliff-Obershelp ratio, for which there is no built-in function; null if it is under the least that counts."""
+
+    def one(x: str, y: str, low: float) -> float | None:
+        total = len(x) + len(y)
+        have = counted(x)
+        common = sum(min(n, have.get(c, 0)) for c, n in counted(y).items())
+        if total and 2 * common / total < low:
+            return None
+        ratio = difflib.SequenceMatcher(None, x, y).ratio()
+        return ratio if ratio >= low else None
+
+    counted = lru_cache(50_000)(Counter)
+    return pd.Series([one(x or "", y or "", low) for x, y, low in zip(a, b, least, strict=True)], dtype="float64")
 
 
 def normalized(claim: Column) -> Column:
@@ -85,17 +98,23 @@ def normalized(claim: Column) -> Column:
 def fuzzy_duplicates(claims: DataFrame, active: DataFrame, least: float = DUPLICATE_RATIO, most: int = 20_000) -> DataFrame:
     """(obs_id, claim_id, ratio) of the best active claim for each new one.
 
-    Active claims are the smaller side and checked before they are broadcast. Lengths bound the ratio from above, which
-    drops most pairs before Python sees them.
+    Equal texts are compared once, as the smallest claim id of a text is its best. Texts of active claims are broadcast
+    in blocks of about ``most``. Lengths and then common characters bound the ratio from above, so pairs that cannot
+    reach it are dropped early and none else.
     """
-    if active.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} active claims; compare in blocks")
-    a = F.broadcast(active.select("claim_id", normalized(F.col("claim")).alias("y")))
+    texts = active.select("claim_id", normalized(F.col("claim")).alias("y")).groupBy("y").agg(F.min("claim_id").alias("claim_id"))
+    blocks = max(1, -(-texts.count() // most))
     rows = claims.select("obs_id", normalized(F.col("claim")).alias("x"))
+    wanted = rows.select("x").distinct()
     able = 2 * F.least(F.length("x"), F.length("y")) >= least * (F.length("x") + F.length("y"))
-    pairs = rows.join(a, able).withColumn("ratio", similarity_ratio("x", "y")).where(F.col("ratio") >= least)
-    best = F.row_number().over(Window.partitionBy("obs_id").orderBy(F.col("ratio").desc(), "claim_id"))
-    return pairs.withColumn("r", best).where("r = 1").select("obs_id", "claim_id", F.round("ratio", 6).alias("ratio"))
+    best = F.row_number().over(Window.partitionBy("x").orderBy(F.col("ratio").desc(), "claim_id"))
+    found = []
+    for k in range(blocks):
+        block = F.broadcast(texts.where(F.pmod(F.xxhash64("y"), F.lit(blocks)) == k))
+        pairs = wanted.join(block, able).withColumn("ratio", similarity_ratio("x", "y", F.lit(least))).where(F.col("ratio") >= least)
+        found.append(pairs.withColumn("r", best).where("r = 1").select("x", "claim_id", "ratio"))
+    top = reduce(DataFrame.unionAll, found).withColumn("r", best).where("r = 1")
+    return rows.join(top, "x").select("obs_id", "claim_id", F.round("ratio", 6).alias("ratio"))
 
 
 def active_claims(claims: DataFrame, scopes: list[str] | None = None, limit: int = 20) -> DataFrame:

@@ -303,8 +303,8 @@ def observation_verdicts(spark: SparkSession, d: str) -> DataFrame:
 
 def fuzzy_claims(spark: SparkSession, d: str) -> DataFrame:
     parts = A.table(spark, d, "part")
-    active = parts.where("p_partkey % 10 = 0").select(F.col("p_partkey").alias("claim_id"), F.concat(F.lit("The user likes a "), "p_name", F.lit(" of "), "p_brand").alias("claim"))
-    new = parts.where("p_partkey % 50 = 1").select(F.col("p_partkey").alias("obs_id"), F.concat(F.lit("the user liked  a "), "p_name", F.lit(" of "), "p_brand").alias("claim"))
+    active = parts.select(F.col("p_partkey").alias("claim_id"), F.concat(F.lit("The user likes a "), "p_name", F.lit(" of "), "p_brand").alias("claim"))
+    new = parts.where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("obs_id"), F.concat(F.lit("the user liked  a "), "p_name", F.lit(" of "), "p_brand").alias("claim"))
     return C.fuzzy_duplicates(new, active)
 
 

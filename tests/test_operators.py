@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from loomline.queries import texts
 from loomline.operators import claims, facts, merge, pack, recall, search, sessions, vector
 from loomline.sources import files
 from loomline.streaming import exchanges
@@ -164,3 +165,31 @@ def test_drop_lines_and_grades(spark):
 
     row = spark.range(1).select(nightly.drop_lines(F.lit("a\nb\nc"), F.array(F.lit(2))).alias("d"), nightly.recall_grade(F.lit("the Port is 80"), F.lit("nope"), F.array(F.lit("port"), F.lit("80"), F.lit("x"))).alias("g")).first()
     assert row["d"] == "a\nc\n[1 lines dropped]" and row["g"] == 0.5
+
+
+def _best_claims_by_force(new, active):
+    import difflib
+
+    clean = lambda t: " ".join(t.lower().split())
+    out = set()
+    for i, x in new:
+        ranked = sorted((-difflib.SequenceMatcher(None, clean(x), clean(y)).ratio(), j) for j, y in active)
+        if ranked and -ranked[0][0] >= claims.DUPLICATE_RATIO:
+            out.add((i, ranked[0][1], round(-ranked[0][0], 6)))
+    return out
+
+
+def test_fuzzy_duplicates_in_blocks(spark):
+    words = ("linen", "almond", "steel", "puff", "navy", "ghost")
+    active = [(k, f"The user likes  a {words[k % 6]} {words[k % 5]} of Brand#{k % 7}") for k in range(60)]
+    new = [(k, f"the user liked a {words[k % 4]} {words[k % 6]} of Brand#{k % 9}") for k in range(20)] + [(99, "nothing alike")]
+    got = claims.fuzzy_duplicates(spark.createDataFrame(new, "obs_id long, claim string"), spark.createDataFrame(active, "claim_id long, claim string"), most=7)
+    assert {tuple(r) for r in got.collect()} == _best_claims_by_force(new, active)
+
+
+def test_fuzzy_claims_searches_all_parts(spark, tmp_path):
+    rows = [(k, f"part {chr(97 + k % 26) * 9} {k * 7919}", f"Brand#{k % 5}") for k in range(1, 151)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    new = [(k, f"the user liked  a {n} of {b}") for k, n, b in rows if k % 50 == 0]
+    active = [(k, f"The user likes a {n} of {b}") for k, n, b in rows]
+    assert {tuple(r) for r in texts.fuzzy_claims(spark, str(tmp_path)).collect()} == _best_claims_by_force(new, active) and len(new) == 3
