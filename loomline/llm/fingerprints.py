@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from loomline.llm.common import WordHash, block_bounds, block_number, shingle_hashes, sized_batches, texts_of, total_chars
 
-SHINGLE, FRACTION = 5, 1 / 16
+SHINGLE, FRACTION = 5, 1 / 2
 #: Characters of one block of consecutive ids, which one task sorts.
 BLOCK_CHARS = 24_000_000
 

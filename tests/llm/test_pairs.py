@@ -214,3 +214,15 @@ def test_fingerprints_empty_table(spark):
     assert fingerprints.compare_with_edits(empty).count() == 0 and fingerprints.fingerprints(empty).count() == 0
     lone = spark.createDataFrame([(5, "abcdefgh"), (None, "xyz")], "doc_id long, text string")
     assert {r["id"]: r["following"] for r in fingerprints.with_next(lone).collect()} == {5: "abcdefgh", None: "xyz"}
+
+
+def test_sketches_of_short_texts_are_near_the_true_jaccard():
+    words, rng = fingerprints.WordHash(), random.Random(12)
+    shingles = lambda t: {tuple(t[k : k + 5]) for k in range(len(t) - 4)}
+    for _ in range(300):
+        text = [f"w{rng.randrange(5000)}" for _ in range(rng.randrange(60, 250))]
+        cut = len(text) // 4
+        edited = text[: len(text) - cut] + [f"w{rng.randrange(5000)}" for _ in range(cut)]
+        true = len(shingles(text) & shingles(edited)) / len(shingles(text) | shingles(edited))
+        near = fingerprints.likeness(*(fingerprints.sketch(words, " ".join(t).encode()) for t in (text, edited)))
+        assert near > 0 and abs(near - true) < 0.25
