@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomline.functions import scores
 from loomline.functions.text import overlap
+from loomline.operators.vector import query_blocks
 
 COSINE, OVERLAP, MIN_TOKENS, TOP = 0.80, 0.55, 5, 5
 
@@ -27,10 +30,10 @@ def unordered(pairs: DataFrame, a: str = "query", b: str = "id", best: tuple[str
 
 def not_allowed(pairs: DataFrame, allow: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Pairs without those an allow-list (x, y) names; '*' stands for any id."""
-    x, y = F.col("x"), F.col("y")
-    p, q = F.col(a).cast("string"), F.col(b).cast("string")
-    hit = (((x == p) | (x == "*")) & ((y == q) | (y == "*"))) | (((x == q) | (x == "*")) & ((y == p) | (y == "*")))
-    return pairs.join(F.broadcast(allow.limit(10_000)), hit, "left_anti")
+    p, q, star = F.col(a).cast("string"), F.col(b).cast("string"), F.lit("*")
+    for x, y in ((p, q), (q, p), (p, star), (star, q), (q, star), (star, p), (star, star)):  # equal keys, so that large lists are shuffled
+        pairs = pairs.join(allow.select(F.col("x").alias("allow_x"), F.col("y").alias("allow_y")), (F.col("allow_x") == x) & (F.col("allow_y") == y), "left_anti")
+    return pairs
 
 
 def write_status(duplicate: Column, interactive: Column, force: Column, supersedes: Column) -> Column:
@@ -46,10 +49,11 @@ def superseded(memories: DataFrame) -> DataFrame:
 
 
 def nearest_candidates(queries: DataFrame, index: DataFrame, top: int = TOP) -> DataFrame:
-    """Each query's nearest ``top`` rows of the index; queries are a checked, broadcast block."""
-    n = queries.limit(10_001).count()
-    if n > 10_000:
-        raise ValueError("more than 10000 queries; search in blocks")
+    """Each query's nearest ``top`` rows of the index; queries are broadcast block by block."""
+    return reduce(DataFrame.unionAll, [_nearest_block(b, index, top) for b in query_blocks(queries, "id")])
+
+
+def _nearest_block(queries: DataFrame, index: DataFrame, top: int) -> DataFrame:
     q = F.broadcast(queries.select(F.col("id").alias("query"), F.col("vector").alias("query_vector"), F.col("tokens").alias("query_tokens")))
     pairs = index.join(q, F.size("vector") == F.size("query_vector")).withColumn("distance", scores.l2_distance(F.col("vector"), F.col("query_vector")))
     slim = pairs.select("query", "id", "distance").withColumn("part", F.pmod(F.xxhash64("id"), F.lit(64)))

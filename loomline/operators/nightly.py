@@ -115,8 +115,9 @@ def backlog(files: DataFrame, idle: float = 600) -> DataFrame:
 
 
 def longest_prefix(rows: DataFrame, prefixes: DataFrame, path: str, prefix: str) -> DataFrame:
-    """Each path with its longest prefix of a few (a broadcast list): sizes by channel and the like."""
-    j = rows.join(F.broadcast(prefixes.limit(10_000)), F.col(path).startswith(F.col(prefix)))
+    """Each path with its longest prefix: sizes by channel and the like."""
+    heads = F.transform(F.sequence(F.lit(0), F.length(path)), lambda n: F.substring(F.col(path), F.lit(1), n))
+    j = rows.withColumn("head", F.explode(heads)).join(prefixes, F.col("head") == F.col(prefix)).drop("head")
     return j.withColumn("r", F.row_number().over(Window.partitionBy(path).orderBy(F.length(prefix).desc(), prefix))).where("r = 1").drop("r")
 
 

@@ -1,12 +1,13 @@
 """Vector search: exact kNN, over-fetched filtered kNN with one escalation, and the cached tiers' thresholds.
 
-The index side is scanned once and only the query vectors are broadcast, whose number is checked. Top-k is a
+The index side is scanned once per block of queries and only the query vectors are broadcast, in blocks of bounded size. Top-k is a
 TakeOrdered per query literal, or a row_number over few survivors for many queries.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -71,17 +72,25 @@ def nearest_escalated(index: DataFrame, vector: Sequence[float], k: int, keep: C
     return chosen.orderBy("distance", id_col).limit(k).drop("place", "narrow")
 
 
+#: Queries that are broadcast at a time, about.
 MAX_QUERIES = 10_000
 
 
+def query_blocks(queries: DataFrame, id_col: str) -> list[DataFrame]:
+    """The queries in blocks of about MAX_QUERIES by a hash of the id; the rows of an id stay together."""
+    blocks = max(1, -(-queries.count() // MAX_QUERIES))
+    return [queries.where(F.pmod(F.xxhash64(id_col), F.lit(blocks)) == k) for k in range(blocks)] if blocks > 1 else [queries]
+
+
 def nearest_many(index: DataFrame, queries: DataFrame, k: int, id_col: str = "memory_id", query_col: str = "query_id", vector_col: str = "embedding") -> DataFrame:
-    """(query, id, distance, rank) of every query's k nearest rows; at most MAX_QUERIES queries are broadcast.
+    """(query, id, distance, rank) of every query's k nearest rows; queries are broadcast block by block.
 
     Each task keeps k rows a query before anything is shuffled: map-side top-k by an aggregate of k smallest structs.
     """
-    n = queries.limit(MAX_QUERIES + 1).count()
-    if n > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} queries; search in blocks")
+    return reduce(DataFrame.unionAll, [_nearest_block(index, b, k, id_col, query_col, vector_col) for b in query_blocks(queries, query_col)])
+
+
+def _nearest_block(index: DataFrame, queries: DataFrame, k: int, id_col: str, query_col: str, vector_col: str) -> DataFrame:
     q = F.broadcast(queries.select(F.col(query_col).alias("query"), F.col(vector_col).alias("query_vector")))
     pairs = index.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).join(q, F.size("v") == F.size("query_vector"))
     pairs = pairs.select("query", "id", scores.l2_distance(F.col("v"), F.col("query_vector")).alias("distance"))

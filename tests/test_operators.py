@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomline.queries import texts
-from loomline.operators import claims, facts, merge, pack, recall, search, sessions, vector
+from loomline.operators import claims, dedup, nightly, facts, merge, pack, recall, search, sessions, vector
 from loomline.sources import files
 from loomline.streaming import exchanges
 
@@ -193,3 +193,24 @@ def test_fuzzy_claims_searches_all_parts(spark, tmp_path):
     new = [(k, f"the user liked  a {n} of {b}") for k, n, b in rows if k % 50 == 0]
     active = [(k, f"The user likes a {n} of {b}") for k, n, b in rows]
     assert {tuple(r) for r in texts.fuzzy_claims(spark, str(tmp_path)).collect()} == _best_claims_by_force(new, active) and len(new) == 3
+
+
+def test_many_queries_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(vector, "MAX_QUERIES", 7)
+    points = [(k, [float(k * k % 101), float(k % 13)]) for k in range(40)]
+    index = spark.createDataFrame(points, "memory_id long, embedding array<double>")
+    near = lambda v, k: [i for _, i in sorted(((v[0] - w[0]) ** 2 + (v[1] - w[1]) ** 2, i) for i, w in points)[:k]]
+    want = {(i, j, r) for i, v in points for r, j in enumerate(near(v, 3), 1)}
+    got = vector.nearest_many(index, index.select(F.col("memory_id").alias("query_id"), "embedding"), 3)
+    assert {(r["query"], r["id"], r["rank"]) for r in got.collect()} == want
+    rows = index.select(F.col("memory_id").alias("id"), F.col("embedding").alias("vector"), F.array(F.lit("a")).alias("tokens"))
+    assert {(r["query"], r["id"]) for r in dedup.nearest_candidates(rows, rows, 3).collect()} == {(i, j) for i, j, _ in want}
+
+
+def test_lists_over_ten_thousand_entries(spark):
+    allow = spark.range(12_000).select(F.col("id").cast("string").alias("x"), F.when(F.col("id") == 11_000, "*").otherwise((F.col("id") + 1).cast("string")).alias("y"))
+    pairs = spark.createDataFrame([(k, k + 1) for k in range(11_500, 12_001)] + [(3, 11_000), (5, 9)], "a long, b long")
+    assert {tuple(r) for r in dedup.not_allowed(pairs, allow).collect()} == {(12_000, 12_001), (5, 9)}
+    rows = spark.createDataFrame([("/d11999/x",), ("/none",)], "path string")
+    prefixes = spark.range(12_000).select(F.concat(F.lit("/d"), F.col("id").cast("string"), F.lit("/")).alias("prefix"))
+    assert [tuple(r) for r in nightly.longest_prefix(rows, prefixes, "path", "prefix").collect()] == [("/d11999/x", "/d11999/")]
