@@ -282,5 +282,5 @@ def salvaged_notes(spark: SparkSession, d: str) -> DataFrame:
 @query(None)
 def packed_briefs(spark: SparkSession, d: str) -> DataFrame:
     """Briefs cut to a budget by whole lines, most needed sections first."""
-    brief = F.concat(F.lit("# Notes\n"), F.substring("text", 1, 120), F.lit("\n## Built\n- a thing\n## Open\n- "), "source")
+    brief = F.concat(F.lit("# Notes\n"), F.col("text"), F.lit("\n## Built\n- a thing\n## Open\n- "), "source")
     return A.table(spark, d, "documents").select("doc_id", N.packed(brief, 90).alias("brief"))

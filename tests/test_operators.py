@@ -214,3 +214,12 @@ def test_lists_over_ten_thousand_entries(spark):
     rows = spark.createDataFrame([("/d11999/x",), ("/none",)], "path string")
     prefixes = spark.range(12_000).select(F.concat(F.lit("/d"), F.col("id").cast("string"), F.lit("/")).alias("prefix"))
     assert [tuple(r) for r in nightly.longest_prefix(rows, prefixes, "path", "prefix").collect()] == [("/d11999/x", "/d11999/")]
+
+
+def test_packed_briefs_see_whole_documents(spark, tmp_path):
+    from loomline.queries import QUERIES
+
+    rows = [(1, "\n".join(f"line {k}" for k in range(500)), "src1"), (2, "short", "src2")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["brief"] for r in QUERIES["packed_briefs"](spark, str(tmp_path)).collect()}
+    assert got == {i: nightly.pack_sections(f"# Notes\n{t}\n## Built\n- a thing\n## Open\n- {s}", 90) for i, t, s in rows}
