@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.common import sized_batches
+from loomline.llm.common import sized
 
 #: The public pre-tokenizer pattern of the byte-level family (fixed value).
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -162,12 +162,11 @@ def _vocabulary(docs: DataFrame, path: str):
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
     """Per row: id, n_tokens, ids (little-endian unsigned 32-bit integers); with ``decoded`` also their text."""
-    sized_batches(docs.sparkSession)
     shared = _vocabulary(docs, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _loaded(shared.value)
-        for batch in batches:
+        for batch in sized(batches):
             ids = [bpe.encode(t or "") for t in batch.column(1).to_pylist()]
             out = [batch.column(0), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary())]
             if decoded:
@@ -180,12 +179,11 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
 def decode(coded: DataFrame, path: str, id_col: str = "id", ids_col: str = "ids") -> DataFrame:
     """Per row: id, text of the ids; null ids decode to the empty string."""
-    sized_batches(coded.sparkSession)
     shared = _vocabulary(coded, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _loaded(shared.value)
-        for batch in batches:
+        for batch in sized(batches):
             texts = [bpe.decode(i or b"") for i in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["id", "text"])
 

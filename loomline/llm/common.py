@@ -6,8 +6,9 @@ texts stay UTF-8 bytes from Arrow to hash and are never decoded only to be split
 
 from __future__ import annotations
 
+import re
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -64,18 +65,21 @@ def texts_of(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A fresh path in the shared folder that the session names in spark.checkpoint.dir."""
+    """A fresh path in the shared folder that the session names in spark.checkpoint.dir, or else the context.
+
+    Without either, a local session gets a folder under the machine's temporary one, as there driver and executors
+    are one process; on a cluster that raises.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         checkpoint = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = checkpoint.get() if checkpoint.isDefined() else None
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^,]*(,[^,]*)?\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         import tempfile
 
         base = f"file://{tempfile.gettempdir()}/checkpoints"
-        spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/loomline-{uuid.uuid4().hex}"
 
 
@@ -90,11 +94,15 @@ def materialize(df: DataFrame) -> DataFrame:
     path = scratch_dir(df.sparkSession)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
-    df.sparkSession.sparkContext._jvm.System.gc()  # lets Spark delete shuffle files that nothing refers to now
     out._scratch = path
     return out
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete shuffle files that nothing refers to now; called after a step that shuffled much."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def discard(*frames: DataFrame) -> None:
     """Delete scratch tables that nothing lazy reads any more."""
     for df in frames:
@@ -102,11 +110,21 @@ def discard(*frames: DataFrame) -> None:
             remove_path(df.sparkSession, path)
 
 
-def sized_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound Arrow batches by rows: texts can be long."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > rows:
-        spark.conf.set(key, str(rows))
+#: Rows and bytes that an operator works on at a time; Spark bounds the batches they are cut from by bytes as well.
+SLICE_ROWS, SLICE_BYTES = 1000, 8 << 20
+
+
+def sized(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of bounded rows and, but for a single long row, bounded bytes."""
+    for batch in batches:
+        todo = [batch]
+        while todo:
+            part = todo.pop()
+            if part.num_rows > 1 and (part.num_rows > SLICE_ROWS or part.nbytes > SLICE_BYTES):
+                half = part.num_rows // 2
+                todo += [part.slice(half), part.slice(0, half)]
+            elif part.num_rows:
+                yield part
 
 
 def total_chars(docs: DataFrame, text: str) -> tuple[int, int]:

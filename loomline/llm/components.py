@@ -45,4 +45,6 @@ def connected_components(links: DataFrame, limit: int = 60) -> DataFrame:
         raise RuntimeError("components did not settle")
     nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return nodes.union(roots)
+    out = nodes.union(roots)
+    out._scratch = edges._scratch  # for discard()
+    return out

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.common import GOLDEN, mix64, shingle_hashes, sized_batches
+from loomline.llm.common import GOLDEN, mix64, shingle_hashes, sized
 
 WORD = re.compile(r"\w+")
 MIN_WORDS, TARGET_RECALL, SAMPLED, DIFFERING = 5, 0.99, 3, 0.5
@@ -246,7 +246,6 @@ def contaminated(
 ) -> DataFrame:
     """Per (row, item) held: id, item, distance in words, n_item_words, character span [start, end)."""
     spark = docs.sparkSession
-    sized_batches(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def matched(chunk: list[tuple[int, str]]) -> DataFrame:
@@ -254,7 +253,7 @@ def contaminated(
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(*shared.value)
-            for batch in batches:
+            for batch in sized(batches):
                 places = matcher.places([t or "" for t in batch.column(1).to_pylist()])
                 rows = [{"id": i} | p for i, found in zip(batch.column(0).to_pylist(), places, strict=True) for p in found]
                 yield pa.RecordBatch.from_arrays(
@@ -274,14 +273,13 @@ def clean(
 ) -> DataFrame:
     """The rows of ``docs`` that hold no item, with all their columns; nothing is shuffled."""
     spark = docs.sparkSession
-    sized_batches(spark)
     at = docs.columns.index(text_col)
     for chunk in _chunks(benchmark, item_col, item_text_col, chunk_bytes):
         shared = spark.sparkContext.broadcast((chunk, percent, recall, min_words))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(*shared.value)
-            for batch in batches:
+            for batch in sized(batches):
                 yield batch.filter(pa.array([not found for found in matcher.places([t or "" for t in batch.column(at).to_pylist()])], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)

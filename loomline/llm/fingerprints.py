@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomline.llm.common import WordHash, block_bounds, block_number, shingle_hashes, sized_batches, texts_of, total_chars
+from loomline.llm.common import WordHash, block_bounds, block_number, shingle_hashes, sized, texts_of, total_chars
 
 SHINGLE, FRACTION = 5, 1 / 2
 #: Characters of one block of consecutive ids, which one task sorts.
@@ -64,11 +64,10 @@ def containment(a: np.ndarray, b: np.ndarray) -> float:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, fraction: float = FRACTION) -> DataFrame:
     """Per row: id, fingerprint."""
-    sized_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHash()
-        for batch in batches:
+        for batch in sized(batches):
             found = [as_text(sketch(words, t, size, fraction)) for t in texts_of(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], names=["id", "fingerprint"])
 
@@ -109,13 +108,12 @@ def edited_text(text: str, following: str) -> F.Column:
 
 def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, fraction: float = FRACTION) -> DataFrame:
     """Per row: id, n_chars, edited, fingerprint, edited_fingerprint, near_edited, near_next."""
-    sized_batches(docs.sparkSession)
     rows = with_next(docs, id_col, text_col).select("id", "text", "following", edited_text("text", "following").alias("edited"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHash()
         known, known_text = np.zeros(0, np.uint64), b""
-        for batch in batches:
+        for batch in sized(batches):
             own, changed, near, onward = [], [], [], []
             for text, following, edited in zip(*(texts_of(batch.column(k)) for k in (1, 2, 3)), strict=True):
                 a = known if text == known_text else sketch(words, text, size, fraction)  # rows come in order

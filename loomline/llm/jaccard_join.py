@@ -9,8 +9,8 @@ Plan.
    range adds them up. Shingles of a level (log2 of the count) above a chosen one form the table of frequent
    shingles that all workers get; the level rises until the table has at most MAX_FREQUENT entries. The order is
    (level of a frequent shingle or 0, hash). Any global order is right; this one keeps posting lists short.
-2. One pass over the texts writes (id, set size, hash of the set, prefix). Equal sets become one class, classes with
-   equal prefix and size one group.
+2. One pass over the texts writes (id, set size, hash of the set, prefix, parity bits). Equal sets become one class,
+   classes with equal prefix and size one group.
 3. Groups post their prefix shingles. Shingles that one group posts end there. Round one pairs each group with the
    first group of the posting lists and size bands of its three rarest shingles, and each class with the first class
    of its group: a number of pairs linear in the groups. Pairs are verified on whole sets, links become components.
@@ -20,11 +20,17 @@ Plan.
    to their classes and verified. Pairs within a component need no check, so thousands of near copies never become
    all pairs.
 
+Parity bits filter pairs before any join emits them. Bit k of a set's PARITY_BITS is the parity of the number of its
+shingles that hash to k, so two sets differ in at least as many shingles as bits. A pair whose bits differ in more
+places than its sizes allow cannot link: texts that are close but not close enough never become pairs, in round two
+inside the join's condition. The bits of sets much larger than PARITY_BITS tell little and let pairs pass to the
+later filters; no link is ever lost to them.
+
 Links that round two skips join classes that are connected already, so components are those of all links.
 
 Defined cases: null and empty texts, and texts without words, have an empty set, link with nothing and are their own
-component; equal rows are equal sets; a row with a null id gets the smallest id that its component has (null if none);
-other columns are not returned.
+component; equal rows are equal sets and their set is read once; a row with a null id gets the smallest id that its
+component has (null if none); an empty table gives no rows; other columns are not returned, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,17 +40,20 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.common import WordHash, discard, materialize, pack_sorted, range_slices, shingle_hashes, sized_batches, texts_of, total_chars, unpack_sorted
+from loomline.llm.common import WordHash, discard, materialize, pack_sorted, range_slices, release, shingle_hashes, sized, texts_of, total_chars, unpack_sorted
 from loomline.llm.components import connected_components
 
 #: Bounds of memory: hashes one task gathers before it sends, hashes of one counting range, entries of the table of
 #: frequent shingles, and the least count that makes a shingle frequent.
-SEND_HASHES, RANGE_HASHES, MAX_FREQUENT, LEAST_FREQUENT = 3_000_000, 1_500_000, 2_000_000, 8
+SEND_HASHES, RANGE_HASHES, MAX_FREQUENT, LEAST_FREQUENT = 1_500_000, 1_500_000, 2_000_000, 8
 #: Ids that are broadcast at most; prefix shingles of a group that round one uses.
 MAX_BROADCAST, LEADING = 1_000_000, 3
+#: Parity bits of a set, in columns of 64.
+PARITY_BITS = 512
+BITS = [f"p{k}" for k in range(PARITY_BITS // 64)]
 
 
 def shingle_set(words: WordHash, text: bytes, size: int) -> np.ndarray:
@@ -56,6 +65,12 @@ def set_key(found: np.ndarray) -> int:
     return int.from_bytes(blake2b(found.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def parity_bits(found: np.ndarray) -> np.ndarray:
+    """The set's parity bits as signed 64-bit integers, by its hashes' leading bits."""
+    odd = np.bincount((found >> np.uint64(64 - int(np.log2(PARITY_BITS)))).astype(np.int64), minlength=PARITY_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view("<i8")
+
+
 def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
@@ -72,7 +87,7 @@ def _sends(size: int, bits: int, mask: int):
                 names=["range", "hashes", "times"],
             )
 
-        for batch in batches:
+        for batch in sized(batches):
             for text in texts_of(batch.column(0)):
                 held.append(shingle_set(words, text, size) & np.uint64(mask))
                 count += len(held[-1])
@@ -135,12 +150,13 @@ def _signs(size: int, percent: int, shared):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mask, hot, level = shared.value
         words = WordHash()
-        for batch in batches:
-            n, keys, prefixes = [], [], []
+        for batch in sized(batches):
+            n, keys, prefixes, parity = [], [], [], []
             for text in texts_of(batch.column(1)):
                 found = shingle_set(words, text, size)
                 n.append(len(found))
                 keys.append(set_key(found))
+                parity.append(parity_bits(found))
                 if len(hot):
                     cut = found & np.uint64(mask)
                     at = np.minimum(np.searchsorted(hot, cut), len(hot) - 1)
@@ -150,8 +166,8 @@ def _signs(size: int, percent: int, shared):
             ends = np.cumsum([0] + [0 if p is None else len(p) for p in prefixes])
             flat = np.concatenate([p for p in prefixes if p is not None] or [np.zeros(0, np.int64)])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))],
-                names=["id", "n", "sid", "prefix"],
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)), *(pa.array(x) for x in np.stack(parity).T)],
+                names=["id", "n", "sid", "prefix", *BITS],
             )
 
     return sign
@@ -159,49 +175,66 @@ def _signs(size: int, percent: int, shared):
 
 def _set_bytes(size: int):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHash()
-        for batch in batches:
-            found = [shingle_set(words, t, size) for t in texts_of(batch.column(0))]
-            yield pa.RecordBatch.from_arrays([pa.array([set_key(f) for f in found], pa.int64()), pa.array([f.tobytes() for f in found], pa.binary())], names=["sid", "members"])
+        words, sent = WordHash(), set()
+        for batch in sized(batches):
+            found = {}
+            for text in texts_of(batch.column(0)):
+                own = shingle_set(words, text, size)
+                if (key := set_key(own)) not in sent:
+                    sent.add(key)
+                    found[key] = own.tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())], names=["sid", "members"])
 
     return sets
 
 
 def _links(percent: int):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sized(batches):
             keep = []
-            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+            for a, b in zip(batch.column("x"), batch.column("y"), strict=True):
+                x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
                 both = np.concatenate((x, y))
                 both.sort(kind="stable")  # two sorted runs: one merge
                 same = int(np.count_nonzero(both[1:] == both[:-1]))
                 keep.append(100 * same >= percent * (len(x) + len(y) - same))
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
+            yield batch.select(["a", "b", "a_comp", "b_comp"]).filter(pa.array(keep, pa.bool_()))
 
     return verify
 
 
-def _fits(percent: int, a: str, b: str) -> F.Column:
+def _fits(percent: int, a: str, b: str) -> Column:
     """Sizes that can reach the threshold."""
     return (100 * F.least(a, b)) >= (percent * F.greatest(a, b))
 
 
+def _near(percent: int, total: Column, one: str, other: str) -> Column:
+    """Whether parity bits allow a link of two sets with ``total`` elements together; true where a side has none."""
+    need = F.ceil(percent * total / (100 + percent))
+    apart = sum((F.bit_count(F.col(one + p).bitwiseXOR(F.col(other + p))) for p in BITS[1:]), F.bit_count(F.col(one + BITS[0]).bitwiseXOR(F.col(other + BITS[0]))))
+    return F.coalesce(apart <= total - 2 * need, F.lit(True))
+
+
+def _as(prefix: str, *columns: str) -> list[Column]:
+    return [F.col(c).alias(prefix + c) for c in columns]
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, percent: int = 90) -> DataFrame:
     """Per row: id, n_shingles, sid (class of equal sets; null for empty sets), component_id (smallest id linked)."""
     spark = docs.sparkSession
-    sized_batches(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     hot = frequent_shingles(docs.select("text"), size)
+    release(spark)
     shared = spark.sparkContext.broadcast(hot)
-    signed = materialize(docs.mapInArrow(_signs(size, percent, shared), "id long, n long, sid long, prefix array<long>"))
+    signed = materialize(docs.mapInArrow(_signs(size, percent, shared), f"id long, n long, sid long, prefix array<long>, {', '.join(f'{p} long' for p in BITS)}"))
     full = signed.where("n > 0")
 
     classes = materialize(
-        full.groupBy("sid", "n", "prefix").agg(F.min("id").alias("rep"))
+        full.groupBy("sid", "n", "prefix", *BITS).agg(F.min("id").alias("rep"))
         .withColumn("gid", F.xxhash64("n", "prefix"))
     )
-    groups = materialize(classes.groupBy("gid", "n", "prefix").agg(F.min("sid").alias("head"), F.count("*").alias("m")))
+    one = [F.when(F.col("m") == 1, F.col(p)).alias(p) for p in BITS]  # a group of several classes has no bits of its own
+    groups = materialize(classes.groupBy("gid", "n", "prefix").agg(F.min("sid").alias("head"), F.count("*").alias("m"), *[F.min(p).alias(p) for p in BITS]).select("gid", "n", "prefix", "head", "m", *one))
     posted = groups.select("gid", "n", F.posexplode("prefix").alias("pos", "token"))
     shared_tokens = posted.groupBy("token").agg(F.count("*").alias("groups")).where("groups > 1").select("token")
     lists = materialize(posted.join(shared_tokens, "token").select("token", "gid", "n", "pos"))
@@ -214,10 +247,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     head = groups.select("gid", "head")
     star = star.join(head, "gid").select(F.col("head").alias("a"), F.col("other").alias("gid")).join(head, "gid").select("a", F.col("head").alias("b"))
     inner = classes.join(groups.where("m > 1").select("gid", "head"), "gid").where("sid != head").select(F.col("sid").alias("a"), F.col("head").alias("b"))
-    first_pairs = materialize(star.union(inner).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    links = materialize(_verified(first_pairs, _whole_sets(docs, first_pairs, classes, size), percent))
+    first_pairs = star.union(inner).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    member = classes.select("sid", "n", *BITS)
+    first_pairs = first_pairs.join(member.select(*_as("x_", *member.columns)), F.col("a") == F.col("x_sid")).join(
+        member.select(*_as("y_", *member.columns)), (F.col("b") == F.col("y_sid")) & _fits(percent, "x_n", "y_n") & _near(percent, F.col("x_n") + F.col("y_n"), "x_", "y_")
+    )
+    first_pairs = materialize(first_pairs.select("a", "b", F.col("a").alias("a_comp"), F.col("b").alias("b_comp")))
+    links = materialize(_verified(first_pairs, docs, classes, size, percent).select("a", "b"))
     labels = connected_components(links)
-    known = materialize(classes.select("sid", "gid", "n").join(labels, F.col("sid") == F.col("node"), "left").select("sid", "gid", "n", F.coalesce("component", "sid").alias("comp")))
+    known = materialize(classes.select("sid", "gid", "n", "rep", *BITS).join(labels, F.col("sid") == F.col("node"), "left").select("sid", "gid", "n", "rep", *BITS, F.coalesce("component", "sid").alias("comp")))
+    release(spark)
 
     # round two: lists and groups that still hold several components
     by_group = known.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
@@ -227,53 +266,59 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     mixed = sizes.groupBy("token").agg(F.max(F.when(F.col("comp").isNotNull(), F.struct("c", "comp"))).alias("top"), F.count("*").alias("comps"), F.count("comp").alias("whole"))
     mixed = mixed.where("comps > 1 or whole < comps").select("token", F.col("top.comp").alias("major"))
     minor = F.col("comp").isNull() | F.col("major").isNull() | (F.col("comp") != F.col("major"))
-    placed = materialize(placed.join(mixed, "token").select("token", "gid", "n", "comp", F.coalesce(minor, F.lit(True)).alias("minor")))
-    x = placed.where("minor").select("token", *[F.col(c).alias(c + "1") for c in ("gid", "n", "comp")])
-    y = placed.select("token", *[F.col(c).alias(c + "2") for c in ("gid", "n", "comp", "minor")])
-    apart = (F.col("gid1") != F.col("gid2")) & ~F.coalesce(F.col("comp1") == F.col("comp2"), F.lit(False)) & (~F.col("minor2") | (F.col("gid1") < F.col("gid2")))
-    met = x.join(y, "token").where(apart & _fits(percent, "n1", "n2")).select(
-        F.least("gid1", "gid2").alias("g"), F.greatest("gid1", "gid2").alias("h"), (F.col("n1") + F.col("n2")).alias("sum"), F.greatest("n1", "n2").alias("top")
+    placed = placed.join(mixed, "token").select("token", "gid", "n", "comp", F.coalesce(minor, F.lit(True)).alias("minor"))
+    placed = materialize(placed.join(groups.select("gid", *BITS), "gid"))
+    x = placed.where("minor").select("token", *_as("x_", "gid", "n", "comp", *BITS))
+    y = placed.select("token", *_as("y_", "gid", "n", "comp", "minor", *BITS))
+    apart = (F.col("x_gid") != F.col("y_gid")) & ~F.coalesce(F.col("x_comp") == F.col("y_comp"), F.lit(False)) & (~F.col("y_minor") | (F.col("x_gid") < F.col("y_gid")))
+    total = F.col("x_n") + F.col("y_n")
+    met = x.join(y, "token").where(apart & _fits(percent, "x_n", "y_n") & _near(percent, total, "x_", "y_")).select(
+        F.least("x_gid", "y_gid").alias("g"), F.greatest("x_gid", "y_gid").alias("h"), total.alias("sum"), F.greatest("x_n", "y_n").alias("top")
     )
     # shingles past the prefix of the set whose prefix ends first are all that can be shared besides the ones met
     beyond = F.ceil(percent * F.col("top") / 100) - 1
     need = F.ceil(percent * F.col("sum") / (100 + percent))
     group_pairs = met.groupBy("g", "h", "sum", "top").agg(F.count("*").alias("met")).where(F.col("met") >= need - beyond).select("g", "h")
     torn = by_group.where("lo != hi").select(F.col("gid").alias("g"), F.col("gid").alias("h"))
-    member = lambda s, t: known.select(F.col("gid").alias(s), F.col("sid").alias(t), F.col("comp").alias(t + "_comp"))
+    side = known.select("gid", "sid", "n", "comp", *BITS)
     second_pairs = (
-        group_pairs.union(torn).join(member("g", "a"), "g").join(member("h", "b"), "h")
-        .where("a_comp != b_comp").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        group_pairs.union(torn).join(side.select(*_as("x_", *side.columns)), F.col("g") == F.col("x_gid"))
+        .join(side.select(*_as("y_", *side.columns)), (F.col("h") == F.col("y_gid")) & (F.col("x_comp") != F.col("y_comp")) & ((F.col("g") != F.col("h")) | (F.col("x_sid") < F.col("y_sid"))) & _near(percent, total, "x_", "y_"))
+        .select(F.col("x_sid").alias("a"), F.col("y_sid").alias("b"), F.col("x_comp").alias("a_comp"), F.col("y_comp").alias("b_comp"))
     )
     second_pairs = materialize(second_pairs)
-    more = materialize(_verified(second_pairs, _whole_sets(docs, second_pairs, classes, size), percent))
-    final = labels
-    if not more.isEmpty():
-        final = connected_components(links.union(more))
-    component = classes.select("sid", "rep").join(final, F.col("sid") == F.col("node"), "left").select("sid", "rep", F.coalesce("component", "sid").alias("comp"))
+    more = materialize(_verified(second_pairs, docs, classes, size, percent).select(F.col("a_comp").alias("a"), F.col("b_comp").alias("b")).distinct())
+    release(spark)
+    merged = connected_components(more)  # of the components that round two links
+    component = known.join(merged, F.col("comp") == F.col("node"), "left").select("sid", "rep", F.coalesce("component", "comp").alias("comp"))
     smallest = component.groupBy("comp").agg(F.min("rep").alias("component_id"))
     by_class = materialize(component.join(smallest, "comp").select(F.col("sid").alias("class"), "component_id"))
     rows = signed.select("id", "n", F.when(F.col("n") > 0, F.col("sid")).alias("sid"))
     out = rows.join(by_class, F.col("sid") == F.col("class"), "left").select(
         "id", F.col("n").alias("n_shingles"), "sid", F.when(F.col("sid").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id")
     )
-    discard(classes, groups, lists, first_pairs, links, known, placed, second_pairs, more)
+    discard(classes, groups, lists, first_pairs, links, labels, known, placed, second_pairs, more, merged)
+    release(spark)
     return out
 
 
 def _whole_sets(docs: DataFrame, pairs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
-    """The whole set of each class in the pairs, from the text of its smallest id, or from its texts if it has no id.
+    """The whole set of each class in the pairs, once, from the text of its smallest id, or from its texts if it has no id.
 
     The ids are broadcast while they are at most MAX_BROADCAST; beyond that both sides are shuffled.
     """
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(classes.select("sid", "rep"), "sid").select(F.col("rep").alias("id")).distinct()
+    wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct()
+    wanted = wanted.join(classes.select("sid", "rep"), "sid").select(F.col("rep").alias("id")).distinct()
     few = wanted.count() <= MAX_BROADCAST
     named = wanted.where("id is not null")
     texts = docs.join(F.broadcast(named) if few else named, "id", "left_semi").select("text")
     if not wanted.where("id is null").isEmpty():
         texts = texts.union(docs.where("id is null").select("text").distinct())
-    return texts.mapInArrow(_set_bytes(size), "sid long, members binary")
+    return texts.mapInArrow(_set_bytes(size), "sid long, members binary").dropDuplicates(["sid"])
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b, a_comp, b_comp) that link."""
+    sets = _whole_sets(docs, pairs, classes, size)
     a, b = sets.select(F.col("sid").alias("a"), F.col("members").alias("x")), sets.select(F.col("sid").alias("b"), F.col("members").alias("y"))
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(_links(percent), "a long, b long")
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "a_comp", "b_comp", "x", "y").mapInArrow(_links(percent), "a long, b long, a_comp long, b_comp long")

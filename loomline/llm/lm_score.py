@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.common import GOLDEN, WordHash, materialize, mix64, pack_sorted, range_slices, sized_batches, texts_of, total_chars, unpack_sorted
+from loomline.llm.common import GOLDEN, WordHash, materialize, mix64, pack_sorted, range_slices, release, sized, texts_of, total_chars, unpack_sorted
 
 MIX = 0.6
 #: Hashes of the start of a text and of words outside a given vocabulary.
@@ -112,7 +112,7 @@ def _counted_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
 
     counts: Counter = Counter()
-    for batch in batches:
+    for batch in sized(batches):
         for text in texts_of(batch.column(0)):
             counts.update(text.lower().split())
         if len(counts) > 300_000:
@@ -148,7 +148,7 @@ def _counted(known, table_bits: int | None, range_bits: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, texts, target, chars = _Known(known.value), [], [], 0
-        for batch in batches:
+        for batch in sized(batches):
             for good, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):
                 texts.append(text)
                 target.append(good)
@@ -172,7 +172,6 @@ def _added(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
 def train(docs: DataFrame, target: F.Column, text_col: str = "text", vocabulary: int | None = None, table_bits: int | None = None, mix: float = MIX) -> Model:
     """Both models from all rows of ``docs``; ``target`` marks the target's rows."""
     spark = docs.sparkSession
-    sized_batches(spark)
     rows = docs.select(F.coalesce(target, F.lit(False)).alias("target"), F.col(text_col).cast("string").alias("text"))
     words = None
     if vocabulary is not None:
@@ -182,7 +181,7 @@ def train(docs: DataFrame, target: F.Column, text_col: str = "text", vocabulary:
     counts = materialize(rows.mapInArrow(_counted(spark.sparkContext.broadcast(words), table_bits, range_bits), PACKED).groupBy("range").applyInArrow(_added, PACKED))
     pair = F.col("range") >= 1 << range_bits
     total = counts.agg(*[F.sum(F.when(pair, F.col(c))).alias(c) for c in ("n_target", "n_background")], F.sum(F.when(~pair, F.col("n_keys"))).alias("n_words")).first()
-    spark.sparkContext._jvm.System.gc()  # lets Spark delete the shuffle files of the counts before those of the scores
+    release(spark)  # the shuffle files of the counts go before those of the scores come
     size = len(words) if words is not None else max((total["n_words"] or 0) - 1, 0)  # the start is no word
     return Model(counts, (total["n_target"] or 0, total["n_background"] or 0), size + 1, words, table_bits, range_bits, mix)
 
@@ -196,7 +195,6 @@ def _losses(seen: np.ndarray, both: np.ndarray, own: np.ndarray, tokens: int, si
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_tokens, target_loss, background_loss (mean bits a token) and score, their difference."""
     spark = docs.sparkSession
-    sized_batches(spark)
     known = spark.sparkContext.broadcast(model.words)
     table_bits, range_bits, tokens, size, mix = model.table_bits, model.range_bits, model.tokens, model.size, model.mix
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from loomline.llm.common import WORD_CACHE, sized_batches, texts_of
+from loomline.llm.common import WORD_CACHE, sized, texts_of
 
 PASSAGE_WORDS = 64
 BUCKETS, SHAPES = 24, 20
@@ -138,7 +138,6 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, hidden: int = 16, attention:
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = 3000, sample_passages: int = 40) -> Model:
     """Fit on a bounded sample of labelled rows, whose ids (at most ``sample``) are broadcast to the texts."""
-    sized_batches(docs.sparkSession)
     labels = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label in (0, 1)").distinct()
     order = [F.xxhash64("id"), F.col("id")]
     picked = labels.where("label = 1").orderBy(*order).limit(sample // 2).union(labels.where("label = 0").orderBy(*order).limit(sample // 2))
@@ -146,7 +145,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = WordCodes()
-        for batch in batches:
+        for batch in sized(batches):
             bags = []
             for text in texts_of(batch.column("text")):
                 x = passages(codes, text)
@@ -159,12 +158,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, score, n_passages, focus (the passage of most attention)."""
-    sized_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = WordCodes()
-        for batch in batches:
+        for batch in sized(batches):
             scores, focus, count = [], [], []
             bags = [passages(codes, t) for t in texts_of(batch.column(1))]
             if bags:

@@ -31,7 +31,7 @@ from loomline.llm.common import (
     mix64,
     pack_sorted,
     range_slices,
-    sized_batches,
+    sized,
     texts_of,
     total_chars,
     unpack_sorted,
@@ -173,7 +173,6 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     With ``carry``, also text and row, a struct of the input's other columns.
     """
     spark = docs.sparkSession
-    sized_batches(spark)
     cols = [F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")]
     others = [c for c in docs.columns if c not in (id_col, text_col)]
     if carry:

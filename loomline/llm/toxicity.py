@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.common import sized_batches
+from loomline.llm.common import sized
 
 SENTENCE_END = re.compile(r"[.!?\n]+")
 WORD = re.compile(r"\w+")
@@ -71,7 +71,7 @@ def _counted_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         return pa.RecordBatch.from_arrays([pa.array([f for f, _ in counts], pa.string()), *(pa.array([n * (y == k) for (_, y), n in counts.items()], pa.int64()) for k in (1, 0))], names=["feature", "ones", "zeros"])
 
     counts: Counter = Counter()
-    for batch in batches:
+    for batch in sized(batches):
         for text, y in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
             counts.update((f, y) for f in {"", *(f for w in set(WORD.findall(text.as_py() or "")) for f in word_features(w))})
             if len(counts) > 300_000:
@@ -116,7 +116,6 @@ def fit(bags: list[tuple[list[tuple[tuple[int, ...], int]], int]], chosen: list[
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 4000, max_features: int = 5000) -> Model:
     """Fit on a bounded sample of labelled rows, whose ids (at most ``sample``) are broadcast to the texts."""
-    sized_batches(docs.sparkSession)
     labels = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label in (0, 1)").distinct()
     total = {r["label"]: r["count"] for r in labels.groupBy("label").count().collect()}
     share = total.get(1, 0) / max(sum(total.values()), 1)
@@ -136,7 +135,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     number = {f: k for k, f in enumerate(chosen)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sized(batches):
             for text, label, at in zip(*batch.columns, strict=True):
                 bag = _bag(text.as_py() or "", number)
                 yield pa.RecordBatch.from_arrays([pa.array([at.as_py()], pa.int64()), pa.array([label.as_py()], pa.int32()), pa.array([[list(h) for h, _ in bag]], pa.list_(pa.list_(pa.int32()))), pa.array([[n for _, n in bag]], pa.list_(pa.int64()))], names=["id", "label", "hits", "times"])
@@ -183,12 +182,11 @@ class Scorer:
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
     """Per row: id, score, sentences (spans of the offending ones with their scores); with ``carry`` the input row."""
-    sized_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
-        for batch in batches:
+        for batch in sized(batches):
             found = [scorer.score(t or "") for t in batch.column(1).to_pylist()]
             sentences = pa.array([s for _, s in found], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in found], pa.float64()), sentences, *batch.columns[2:]], names=["id", "score", "sentences", "row"][: 3 + carry])

@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from loomline.llm import decontaminate, fingerprints
+from loomline.llm import decontaminate, fingerprints, jaccard_join
 from loomline.llm.components import connected_components
 from loomline.llm.jaccard_join import jaccard_components
 from loomline.llm.substring_dedup import substring_dedup
@@ -83,6 +83,47 @@ def test_jaccard_empty_null_ids_and_repeated_rows(spark):
     assert got == sorted([("None", "4", 2), ("4", "4", 2), ("4", "4", 2), ("None", "None", 1), ("9", "9", 0)])
 
 
+def test_jaccard_many_near_copies_of_which_few_link(spark):
+    """500 texts that all share most shingles: two random edits each, so few pairs reach the threshold."""
+    rng = random.Random(21)
+    base = [f"t{k}" for k in range(120)]
+    rows = []
+    for i in range(500):
+        words = list(base)
+        for at in rng.sample(range(120), 2):
+            words[at] = f"e{rng.randrange(4)}"
+        rows.append((i, " ".join(words)))
+    got = {r["id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), percent=90).collect()}
+    truth = components_by_hand(rows, 3, 90)
+    assert got == truth and 1 < len({c for _, c in truth.values()}) < 500
+
+
+def test_jaccard_repeated_rows_are_verified_once(spark):
+    rng = random.Random(22)
+    words = [rng.choice(WORDS) for _ in range(90)]
+    other = [*words[:40], "changed", *words[41:]]
+    rows = [(1, " ".join(words))] * 50 + [(2, " ".join(other))] * 50 + [(None, " ".join(words[:50]))] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = jaccard_join._whole_sets(df.selectExpr("doc_id as id", "text"), *_pair_of_classes(spark, words, other), 3)
+    assert sets.count() == 2
+    assert {(r["id"], r["component_id"]) for r in jaccard_components(df).collect()} == {(1, 1), (2, 1), (None, None)}
+
+
+def _pair_of_classes(spark, words, other):
+    a, b = (jaccard_join.set_key(jaccard_join.shingle_set(fingerprints.WordHash(), " ".join(w).encode(), 3)) for w in (words, other))
+    return spark.createDataFrame([(a, b)], "a long, b long"), spark.createDataFrame([(a, 1), (b, 2)], "sid long, rep long")
+
+
+def test_parity_bits_never_exceed_the_difference():
+    rng = np.random.default_rng(4)
+    for n in (1, 20, 300, 5000):
+        for _ in range(20):
+            x = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+            y = np.unique(np.concatenate((x[rng.random(len(x)) < 0.95], rng.integers(0, 2**64, max(1, n // 20), dtype=np.uint64))))
+            bits = sum(int(a).bit_count() for a in (jaccard_join.parity_bits(x) ^ jaccard_join.parity_bits(y)).view(np.uint64))
+            assert bits <= len(np.setxor1d(x, y)) and (n > 20 or bits > 0 or not len(np.setxor1d(x, y)))
+
+
 def test_components(spark):
     links = [(1, 2), (2, 3), (9, 8), (8, 7), (5, 5), *[(100, k) for k in range(101, 140)]]
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
