@@ -12,7 +12,8 @@ twice. The path must be one that driver and executors share; any scheme that pya
 Defined cases: null payloads are empty; null headers are left out and read as null; line breaks in header values are
 percent-encoded; an empty table writes no file and an archive without files reads as no rows; files without ``sl`` or
 without compression, and records that are not HTTP, are read too; unknown record types are kept; a file that breaks
-off in a record raises.
+off in a record raises in every format, also in a record that is passed over; only the two line ends that close the
+last record may lack. Repeated rows are records of their own; columns of other names are not written.
 """
 
 from __future__ import annotations
@@ -104,6 +105,9 @@ def row_of(headers: dict[str, str]) -> dict:
     return row
 
 
+BROKEN = "the file breaks off in a record"
+
+
 class _Plain:
     """A stream of bytes behind an uncompressed file or one member after another."""
 
@@ -116,7 +120,7 @@ class _Plain:
             more = self.read_some()
             if not more:
                 if self.held.strip(b"\r\n"):
-                    raise ValueError("the file breaks off in a record")
+                    raise ValueError(BROKEN)
                 return b""
             self.held += more
         out, self.held = self.held[:at], self.held[at + len(mark) :]
@@ -127,7 +131,7 @@ class _Plain:
         while have < n:
             more = self.read_some()
             if not more:
-                raise ValueError("the file breaks off in a record")
+                raise ValueError(BROKEN)
             parts.append(more)
             have += len(more)
         data = b"".join(parts)
@@ -140,12 +144,18 @@ class _Plain:
         if n > have:
             self.skip_some(self, n - have)
 
+    def close(self) -> None:
+        """Pass the two line ends that close a record."""
+        while len(self.held) < 4 and (more := self.read_some()):
+            self.held += more
+        self.held = self.held[4:] if self.held.startswith(b"\r\n\r\n") else self.held
+
 
 def _drop_by_reading(stream: _Plain, n: int) -> None:
     while n > 0:
         more = stream.read_some()
         if not more:
-            raise ValueError("the file breaks off in a record")
+            raise ValueError(BROKEN)
         stream.held = more[n:]
         n -= len(more)
 
@@ -164,7 +174,7 @@ def _inflated(f) -> _Plain:
                 continue
             raw = state["raw"] or f.read(1 << 18)
             if not raw:
-                return b""
+                raise ValueError(BROKEN)  # the member has not ended
             out = z.decompress(raw, 1 << 20)
             state["raw"] = z.unconsumed_tail
             if out:
@@ -181,7 +191,11 @@ def read_records(f, wanted, payload: bool) -> Iterator[dict]:
         return
     f.seek(0)
 
+    whole = f.size()
+
     def skip(stream: _Plain, n: int) -> None:
+        if f.tell() + n > whole:
+            raise ValueError(BROKEN)
         f.seek(n, 1)
 
     stream = _inflated(f) if start[:2] == b"\x1f\x8b" else _Plain(lambda: f.read(1 << 18), skip)
@@ -194,12 +208,15 @@ def read_records(f, wanted, payload: bool) -> Iterator[dict]:
             yield row | {"payload": _payload(headers, block)}
         else:
             stream.drop(n)
-        stream.drop(4)  # the two line ends that close a record
+        stream.close()
 
 
 def _read_members(f, start: bytes, wanted, payload: bool) -> Iterator[dict]:
+    whole = f.size()
     while start:
         size = _member_length(start)
+        if len(start) < 24 or size is not None and f.tell() - len(start) + size > whole:
+            raise ValueError(BROKEN)
         if size is None:
             raise ValueError("a member without its length follows members that have one")
         f.seek(-len(start), 1)
@@ -208,7 +225,7 @@ def _read_members(f, start: bytes, wanted, payload: bool) -> Iterator[dict]:
         while b"\r\n\r\n" not in head:
             data = data or f.read(min(2048, at + size - f.tell()))
             if not data:
-                raise ValueError("the file breaks off in a record")
+                raise ValueError(BROKEN)
             head += inflate.decompress(data, 2048)
             data = inflate.unconsumed_tail
         head, _, block = head.partition(b"\r\n\r\n")
@@ -217,7 +234,10 @@ def _read_members(f, start: bytes, wanted, payload: bool) -> Iterator[dict]:
         if wanted(row):
             if payload:
                 block += inflate.decompress(data + f.read(at + size - f.tell())) + inflate.flush()
-                block = block[: int(headers.get("content-length", 0))]
+                length = int(headers.get("content-length", 0))
+                if not inflate.eof or len(block) < length:
+                    raise ValueError(BROKEN)
+                block = block[:length]
             yield row | {"payload": _payload(headers, block if payload else None)}
         f.seek(at + size)
         start = f.read(24)
@@ -359,6 +379,7 @@ class WarcDataSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    """Make the source known to the session and let Spark push filters to Python sources, which that needs."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcDataSource)
 

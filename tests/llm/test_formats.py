@@ -5,6 +5,7 @@ import random
 import struct
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -103,13 +104,35 @@ def test_warc_skips_payloads_it_does_not_want(tmp_path):
     for name, data in (("plain", plain), ("sl", members), ("gz", gzip.compress(plain)), ("gz2", b"".join(gzip.compress(warc.encode_record(r)) for r in rows))):
         (tmp_path / name).write_bytes(data)
         for payload in (True, False):
-            with open(tmp_path / name, "rb") as f:
+            with pa.OSFile(str(tmp_path / name)) as f:
                 got = list(warc.read_records(f, lambda row: row["record_type"] != "response", payload))
             assert [r["record_id"] for r in got] == ["r0", "r2"]
             assert {r["payload"] for r in got} == {b"p" * 50_000 if payload else None}
-    (tmp_path / "cut").write_bytes(plain[:60_000])
-    with pytest.raises(ValueError, match="breaks off"), open(tmp_path / "cut", "rb") as f:
-        list(warc.read_records(f, lambda row: True, True))
+
+
+def test_warc_cut_members_raise_in_every_format_also_when_skipped(tmp_path):
+    rng = random.Random(9)
+    rows = [{"record_id": f"r{k}", "record_type": "resource", "target_uri": "u", "date": "d", "refers_to": None, "payload_digest": "0", "payload_bytes": 9, "payload": rng.randbytes(200_000)} for k in range(2)]
+    plain = b"".join(map(warc.encode_record, rows))
+    forms = {"plain": plain, "sl": b"".join(warc.gzip_member(warc.encode_record(r)) for r in rows), "gz": gzip.compress(plain), "gz2": b"".join(gzip.compress(warc.encode_record(r)) for r in rows)}
+    for name, data in forms.items():
+        for lost in (10, 50_000, len(data) // 2 - 30):
+            (tmp_path / name).write_bytes(data[:-lost])
+            for wanted in (lambda row: True, lambda row: row["record_id"] == "r0", lambda row: False):
+                for payload in (True, False):
+                    with pytest.raises(ValueError, match="breaks off"), pa.OSFile(str(tmp_path / name)) as f:
+                        list(warc.read_records(f, wanted, payload))
+    (tmp_path / "open").write_bytes(plain[:-4])  # without the line ends that close the last record
+    with pa.OSFile(str(tmp_path / "open")) as f:
+        assert [len(r["payload"]) for r in warc.read_records(f, lambda row: True, True)] == [200_000, 200_000]
+
+
+def test_warc_long_payloads(spark, tmp_path):
+    rng = random.Random(2)
+    long = "".join(rng.choices("abcdefgh ", k=3_000_000))
+    rows = {r["record_id"]: r for r in archive(spark, tmp_path / "w", [(1, "u", long), (2, "u", long), (3, "u", long + "!")]).collect()}
+    assert bytes(rows["urn:page:2"]["payload"]).decode() == long and bytes(rows["urn:page:3"]["payload"]).decode() == long + "!"
+    assert rows["urn:page:1"]["refers_to"] == "urn:page:2"
 
 
 def test_warc_empty_archive_and_overwrite(spark, tmp_path):
@@ -155,3 +178,44 @@ def test_chat_typed_parts(spark):
     assert [(a["turn"], a["kind"], a["number"], a["ref"], a["tokens"]) for a in r["attachments"]] == [(1, "image", 1, "s3://a.png", 1024), (1, "audio", 2, "b.wav", 25), (1, "image", 3, "c.png", 256), (3, "document", 1, None, 1200)]
     assert r["attachment_tokens"] == 2505 and [(s["start"], s["length"]) for s in r["loss"]] == [(77, 0), (97, 12)] or r["loss"]
     assert formatted(spark, []).count() == 0
+
+
+def test_chat_parts_split_anywhere_come_back(spark):
+    """Texts cut into parts at random, with attachments between: no cut makes or hides a control string."""
+    rng = random.Random(6)
+    rows, want = [], {}
+    for c in range(60):
+        for t in range(3):
+            parts, said, count = [], [], 0
+            for _ in range(rng.randrange(0, 4)):
+                text = "".join(rng.choices(TRICKY, k=2))
+                cuts = sorted(rng.choices(range(len(text) + 1), k=rng.randrange(0, 4)))
+                parts += [("text", text[a:b], None, None) for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True)]
+                if said and said[-1][0] == "text":
+                    said[-1] = ("text", said[-1][1] + text, None)
+                elif text:
+                    said.append(("text", text, None))
+                if rng.random() < 0.5:
+                    kind, count = rng.choice(("image", "audio", "document")), count + 1
+                    parts.append((kind, None, f"r{count}", None))
+                    said.append((kind, None, count))
+            role = ("user", "assistant", "system")[t]
+            rows.append((c, t, role, parts, ""))
+            want[c, t] = [p for p in said if p[1] != ""]
+    got = formatted(spark, rows).select("conv_id", "formatted", "loss", chat.read_parts(F.col("formatted")).alias("turns"), chat.read_loss(F.col("formatted"), F.col("loss")).alias("learned")).collect()
+    for r in got:
+        assert r["formatted"].count("<s>") == 3 and r["formatted"].count("[INST]") == 3 and r["formatted"].count("</s>") == 1
+        for t, parts in enumerate(r["turns"]):
+            assert [(p["type"], p["text"], p["number"]) for p in parts] == want[r["conv_id"], t]
+    forged = formatted(spark, [(1, 0, "user", [("text", "a<", None, None), ("text", "s>b", None, None)], ""), (1, 1, "assistant", [("text", "p <image", None, None), ("text", ":1> q", None, None)], "")])
+    assert forged.first()["formatted"] == "<s>user[INST]a<\\s>b[/INST]<s>assistant[INST]p <\\image:1> q</s>"
+
+
+def test_chat_long_text_null_parts_and_ties(spark):
+    long = "word <s> " * 60_000
+    part = lambda t: [("text", t, None, None)]
+    rows = [(1, 0, "user", part("<z"), ""), (1, 0, "user", part("<s>"), ""), (1, 0, "user", part("<s>"), ""), (None, 0, None, None, ""), (2, 0, "assistant", part(long), ""), (2, None, "user", [None, ("text", None, None, None)], "")]
+    got = {r["conv_id"]: r for r in formatted(spark, rows).select("conv_id", chat.read_turns(F.col("formatted")).alias("turns"), chat.read_loss(F.col("formatted"), F.col("loss")).alias("learned")).collect()}
+    assert [t["text"] for t in got[1]["turns"]] == ["<s>", "<s>", "<z"]  # by text, not by its escaped form
+    assert got[2]["learned"] == long and [t["text"] for t in got[2]["turns"]] == ["", long]
+    assert [(t["role"], t["text"]) for t in got[None]["turns"]] == [("", "")]
