@@ -13,20 +13,22 @@ Plan.
    classes with equal prefix and size one group.
 3. Groups post their prefix shingles. Shingles that one group posts end there. Round one pairs each group with the
    first group of the posting lists and size bands of its three rarest shingles, and each class with the first class
-   of its group: a number of pairs linear in the groups. Pairs are verified on whole sets, links become components.
-4. Round two takes what can still matter: from lists with more than one component, group pairs of fitting size and of
-   different components, counted over all shingles they share in their prefixes. Of a pair that links, all shared
+   of its group. Round two does so again with what is left of the lists, cut by hash into STARS ways of buckets of about
+   BUCKET groups, so that a member of a loose cluster meets many others. Both make pairs linear in the postings; pairs
+   are verified on whole sets, links become components.
+4. Round three takes what can still matter: from lists with more than one component, group pairs of fitting size and
+   of different components, counted over all shingles they share in their prefixes. Of a pair that links, all shared
    shingles but the ones past a prefix are among those, so a pair that shares too few is out. The others are expanded
    to their classes and verified. Pairs within a component need no check, so thousands of near copies never become
    all pairs.
 
 Parity bits filter pairs before any join emits them. Bit k of a set's PARITY_BITS is the parity of the number of its
 shingles that hash to k, so two sets differ in at least as many shingles as bits. A pair whose bits differ in more
-places than its sizes allow cannot link: texts that are close but not close enough never become pairs, in round two
+places than its sizes allow cannot link: texts that are close but not close enough never become pairs, in round three
 inside the join's condition. The bits of sets much larger than PARITY_BITS tell little and let pairs pass to the
 later filters; no link is ever lost to them.
 
-Links that round two skips join classes that are connected already, so components are those of all links.
+Links that round three skips join classes that are connected already, so components are those of all links.
 
 Defined cases: null and empty texts, and texts without words, have an empty set, link with nothing and are their own
 component; equal rows are equal sets and their set is read once; a row with a null id gets the smallest id that its
@@ -51,6 +53,8 @@ from loomline.llm.components import connected_components
 SEND_HASHES, RANGE_HASHES, MAX_FREQUENT, LEAST_FREQUENT = 1_500_000, 1_500_000, 2_000_000, 8
 #: Ids that are broadcast at most; prefix shingles of a group that round one uses.
 MAX_BROADCAST, LEADING = 1_000_000, 3
+#: Ways in which round two cuts posting lists into buckets, and groups in a bucket.
+STARS, BUCKET = 2, 8
 #: Parity bits of a set, in columns of 64.
 PARITY_BITS = 512
 BITS = [f"p{k}" for k in range(PARITY_BITS // 64)]
@@ -166,8 +170,8 @@ def _signs(size: int, percent: int, shared):
             ends = np.cumsum([0] + [0 if p is None else len(p) for p in prefixes])
             flat = np.concatenate([p for p in prefixes if p is not None] or [np.zeros(0, np.int64)])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)), *(pa.array(x) for x in np.stack(parity).T)],
-                names=["id", "n", "sid", "prefix", *BITS],
+                [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)), *(pa.array(x) for x in np.stack(parity).T)],
+                names=["id", "text_hash", "n", "sid", "prefix", *BITS],
             )
 
     return sign
@@ -220,13 +224,14 @@ def _as(prefix: str, *columns: str) -> list[Column]:
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, percent: int = 90) -> DataFrame:
-    """Per row: id, n_shingles, sid (class of equal sets; null for empty sets), component_id (smallest id linked)."""
+    """Per row: id, text_hash, n_shingles, component_id (smallest id linked), and for sets that are not empty sid, the class of
+    equal sets, and component, which is one value for all rows that are linked."""
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     hot = frequent_shingles(docs.select("text"), size)
     release(spark)
     shared = spark.sparkContext.broadcast(hot)
-    signed = materialize(docs.mapInArrow(_signs(size, percent, shared), f"id long, n long, sid long, prefix array<long>, {', '.join(f'{p} long' for p in BITS)}"))
+    signed = materialize(docs.select("id", "text", F.xxhash64("text")).mapInArrow(_signs(size, percent, shared), f"id long, text_hash long, n long, sid long, prefix array<long>, {', '.join(f'{p} long' for p in BITS)}"))
     full = signed.where("n > 0")
 
     classes = materialize(
@@ -239,37 +244,29 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     shared_tokens = posted.groupBy("token").agg(F.count("*").alias("groups")).where("groups > 1").select("token")
     lists = materialize(posted.join(shared_tokens, "token").select("token", "gid", "n", "pos"))
 
-    # round one: linear in the postings of each group's rarest shingles
+    # round one: the first group of each list and size band, and the first class of each group
     band = F.floor(F.log(F.col("n").cast("double")) / float(-np.log(percent / 100))) if percent < 100 else F.col("n")
     banded = lists.where(F.col("pos") < LEADING).select("token", band.alias("band"), "gid")
-    heads = banded.groupBy("token", "band").agg(F.min("gid").alias("other"))
-    star = banded.join(heads, ["token", "band"]).where("gid != other").select("gid", "other").distinct()
-    head = groups.select("gid", "head")
-    star = star.join(head, "gid").select(F.col("head").alias("a"), F.col("other").alias("gid")).join(head, "gid").select("a", F.col("head").alias("b"))
+    firsts = banded.groupBy("token", "band").agg(F.min("gid").alias("other"))
+    star = _heads(banded.join(firsts, ["token", "band"]).where("gid != other").select("gid", "other").distinct(), groups)
     inner = classes.join(groups.where("m > 1").select("gid", "head"), "gid").where("sid != head").select(F.col("sid").alias("a"), F.col("head").alias("b"))
-    first_pairs = star.union(inner).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    member = classes.select("sid", "n", *BITS)
-    first_pairs = first_pairs.join(member.select(*_as("x_", *member.columns)), F.col("a") == F.col("x_sid")).join(
-        member.select(*_as("y_", *member.columns)), (F.col("b") == F.col("y_sid")) & _fits(percent, "x_n", "y_n") & _near(percent, F.col("x_n") + F.col("y_n"), "x_", "y_")
-    )
-    first_pairs = materialize(first_pairs.select("a", "b", F.col("a").alias("a_comp"), F.col("b").alias("b_comp")))
-    links = materialize(_verified(first_pairs, docs, classes, size, percent).select("a", "b"))
-    labels = connected_components(links)
-    known = materialize(classes.select("sid", "gid", "n", "rep", *BITS).join(labels, F.col("sid") == F.col("node"), "left").select("sid", "gid", "n", "rep", *BITS, F.coalesce("component", "sid").alias("comp")))
+    lone = classes.select("sid", "gid", "n", "rep", *BITS, F.col("sid").alias("comp"))
+    known, of_one = _joined(lone, _close(star.union(inner), lone, percent), docs, size, percent)
     release(spark)
 
-    # round two: lists and groups that still hold several components
-    by_group = known.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    state = by_group.select("gid", F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("comp"))
-    placed = lists.select("token", "gid", "n").join(state, "gid")
-    sizes = placed.groupBy("token", "comp").agg(F.count("*").alias("c"))
-    mixed = sizes.groupBy("token").agg(F.max(F.when(F.col("comp").isNotNull(), F.struct("c", "comp"))).alias("top"), F.count("*").alias("comps"), F.count("comp").alias("whole"))
-    mixed = mixed.where("comps > 1 or whole < comps").select("token", F.col("top.comp").alias("major"))
-    minor = F.col("comp").isNull() | F.col("major").isNull() | (F.col("comp") != F.col("major"))
-    placed = placed.join(mixed, "token").select("token", "gid", "n", "comp", F.coalesce(minor, F.lit(True)).alias("minor"))
-    placed = materialize(placed.join(groups.select("gid", *BITS), "gid"))
-    x = placed.where("minor").select("token", *_as("x_", "gid", "n", "comp", *BITS))
-    y = placed.select("token", *_as("y_", "gid", "n", "comp", "minor", *BITS))
+    # round two: buckets of the lists that still hold several components
+    placed = materialize(_mixed(lists.select("token", "gid", "n"), known).join(groups.select("gid", *BITS), "gid"))
+    salt = F.explode(F.array(*[F.struct(F.lit(k).alias("way"), F.pmod(F.xxhash64("gid", "token", F.lit(k)), F.ceil(F.col("c") / BUCKET)).alias("salt")) for k in range(STARS)]))
+    dealt = placed.join(placed.groupBy("token").agg(F.count("*").alias("c")), "token").select("token", "gid", salt.alias("s")).select("token", "gid", "s.way", "s.salt")
+    firsts = dealt.groupBy("token", "way", "salt").agg(F.min("gid").alias("other"))
+    star = _heads(dealt.join(firsts, ["token", "way", "salt"]).where("gid != other").select("gid", "other").distinct(), groups)
+    known_two, of_two = _joined(known, _close(star, known, percent), docs, size, percent)
+    release(spark)
+
+    # round three: all pairs of lists and groups that hold several components still
+    left = materialize(_mixed(placed.select("token", "gid", "n", *BITS), known_two))
+    x = left.where("minor").select("token", *_as("x_", "gid", "n", "comp", *BITS))
+    y = left.select("token", *_as("y_", "gid", "n", "comp", "minor", *BITS))
     apart = (F.col("x_gid") != F.col("y_gid")) & ~F.coalesce(F.col("x_comp") == F.col("y_comp"), F.lit(False)) & (~F.col("y_minor") | (F.col("x_gid") < F.col("y_gid")))
     total = F.col("x_n") + F.col("y_n")
     met = x.join(y, "token").where(apart & _fits(percent, "x_n", "y_n") & _near(percent, total, "x_", "y_")).select(
@@ -279,36 +276,73 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     beyond = F.ceil(percent * F.col("top") / 100) - 1
     need = F.ceil(percent * F.col("sum") / (100 + percent))
     group_pairs = met.groupBy("g", "h", "sum", "top").agg(F.count("*").alias("met")).where(F.col("met") >= need - beyond).select("g", "h")
-    torn = by_group.where("lo != hi").select(F.col("gid").alias("g"), F.col("gid").alias("h"))
-    side = known.select("gid", "sid", "n", "comp", *BITS)
-    second_pairs = (
+    torn = _state(known_two).where("comp is null").select(F.col("gid").alias("g"), F.col("gid").alias("h"))
+    side = known_two.select("gid", "sid", "n", "rep", "comp", *BITS)
+    rest = (
         group_pairs.union(torn).join(side.select(*_as("x_", *side.columns)), F.col("g") == F.col("x_gid"))
         .join(side.select(*_as("y_", *side.columns)), (F.col("h") == F.col("y_gid")) & (F.col("x_comp") != F.col("y_comp")) & ((F.col("g") != F.col("h")) | (F.col("x_sid") < F.col("y_sid"))) & _near(percent, total, "x_", "y_"))
-        .select(F.col("x_sid").alias("a"), F.col("y_sid").alias("b"), F.col("x_comp").alias("a_comp"), F.col("y_comp").alias("b_comp"))
+        .select(F.col("x_sid").alias("a"), F.col("y_sid").alias("b"), F.col("x_comp").alias("a_comp"), F.col("y_comp").alias("b_comp"), F.col("x_rep").alias("a_rep"), F.col("y_rep").alias("b_rep"))
     )
-    second_pairs = materialize(second_pairs)
-    more = materialize(_verified(second_pairs, docs, classes, size, percent).select(F.col("a_comp").alias("a"), F.col("b_comp").alias("b")).distinct())
-    release(spark)
-    merged = connected_components(more)  # of the components that round two links
-    component = known.join(merged, F.col("comp") == F.col("node"), "left").select("sid", "rep", F.coalesce("component", "comp").alias("comp"))
-    smallest = component.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    by_class = materialize(component.join(smallest, "comp").select(F.col("sid").alias("class"), "component_id"))
-    rows = signed.select("id", "n", F.when(F.col("n") > 0, F.col("sid")).alias("sid"))
+    final, of_three = _joined(known_two, rest, docs, size, percent)
+    smallest = final.groupBy("comp").agg(F.min("rep").alias("component_id"))
+    by_class = materialize(final.join(smallest, "comp").select(F.col("sid").alias("class"), F.col("comp").alias("component"), "component_id"))
+    rows = signed.select("id", "text_hash", "n", F.when(F.col("n") > 0, F.col("sid")).alias("sid"))
     out = rows.join(by_class, F.col("sid") == F.col("class"), "left").select(
-        "id", F.col("n").alias("n_shingles"), "sid", F.when(F.col("sid").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id")
+        "id", "text_hash", F.col("n").alias("n_shingles"), "sid", "component", F.when(F.col("sid").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id")
     )
-    discard(classes, groups, lists, first_pairs, links, labels, known, placed, second_pairs, more, merged)
+    discard(classes, groups, lists, placed, left, *of_one, *of_two, *of_three)
     release(spark)
     return out
 
 
-def _whole_sets(docs: DataFrame, pairs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
+def _heads(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """Pairs of groups (gid, other) as pairs of their first classes (a, b)."""
+    head = groups.select("gid", "head")
+    pairs = pairs.join(head, "gid").select(F.col("head").alias("a"), F.col("other").alias("gid"))
+    return pairs.join(head, "gid").select("a", F.col("head").alias("b"))
+
+
+def _close(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components whose sizes and parity bits allow a link, with what their verification needs."""
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    side = known.select("sid", "n", "rep", "comp", *BITS)
+    allowed = (F.col("x_comp") != F.col("y_comp")) & _fits(percent, "x_n", "y_n") & _near(percent, F.col("x_n") + F.col("y_n"), "x_", "y_")
+    pairs = pairs.join(side.select(*_as("x_", *side.columns)), F.col("a") == F.col("x_sid")).join(side.select(*_as("y_", *side.columns)), (F.col("b") == F.col("y_sid")) & allowed)
+    return pairs.select("a", "b", F.col("x_comp").alias("a_comp"), F.col("y_comp").alias("b_comp"), F.col("x_rep").alias("a_rep"), F.col("y_rep").alias("b_rep"))
+
+
+def _state(known: DataFrame) -> DataFrame:
+    """(gid, comp) of each group; null if its classes lie in several components."""
+    ends = known.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    return ends.select("gid", F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("comp"))
+
+
+def _mixed(lists: DataFrame, known: DataFrame) -> DataFrame:
+    """The posting lists with more than one component, with comp and whether the group is outside the list's largest."""
+    placed = lists.join(_state(known), "gid")
+    sizes = placed.groupBy("token", "comp").agg(F.count("*").alias("c"))
+    mixed = sizes.groupBy("token").agg(F.max(F.when(F.col("comp").isNotNull(), F.struct("c", "comp"))).alias("top"), F.count("*").alias("comps"), F.count("comp").alias("whole"))
+    mixed = mixed.where("comps > 1 or whole < comps").select("token", F.col("top.comp").alias("major"))
+    minor = F.col("comp").isNull() | F.col("major").isNull() | (F.col("comp") != F.col("major"))
+    return placed.join(mixed, "token").withColumn("minor", F.coalesce(minor, F.lit(True))).drop("major")
+
+
+def _joined(known: DataFrame, pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, list[DataFrame]]:
+    """``known`` with the components that the pairs' links make, and the scratch tables of the round."""
+    pairs = materialize(pairs)
+    links = materialize(_verified(pairs, docs, size, percent).select(F.col("a_comp").alias("a"), F.col("b_comp").alias("b")).distinct())
+    merged = connected_components(links)
+    after = known.withColumnRenamed("comp", "was").join(merged, F.col("was") == F.col("node"), "left")
+    after = materialize(after.select("sid", "gid", "n", "rep", *BITS, F.coalesce("component", "was").alias("comp")))
+    return after, [pairs, links, merged, after]
+
+
+def _whole_sets(docs: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
     """The whole set of each class in the pairs, once, from the text of its smallest id, or from its texts if it has no id.
 
     The ids are broadcast while they are at most MAX_BROADCAST; beyond that both sides are shuffled.
     """
-    wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct()
-    wanted = wanted.join(classes.select("sid", "rep"), "sid").select(F.col("rep").alias("id")).distinct()
+    wanted = pairs.select(F.col("a_rep").alias("id")).union(pairs.select(F.col("b_rep").alias("id"))).distinct()
     few = wanted.count() <= MAX_BROADCAST
     named = wanted.where("id is not null")
     texts = docs.join(F.broadcast(named) if few else named, "id", "left_semi").select("text")
@@ -317,8 +351,8 @@ def _whole_sets(docs: DataFrame, pairs: DataFrame, classes: DataFrame, size: int
     return texts.mapInArrow(_set_bytes(size), "sid long, members binary").dropDuplicates(["sid"])
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b, a_comp, b_comp) that link."""
-    sets = _whole_sets(docs, pairs, classes, size)
+    sets = _whole_sets(docs, pairs, size)
     a, b = sets.select(F.col("sid").alias("a"), F.col("members").alias("x")), sets.select(F.col("sid").alias("b"), F.col("members").alias("y"))
     return pairs.join(a, "a").join(b, "b").select("a", "b", "a_comp", "b_comp", "x", "y").mapInArrow(_links(percent), "a long, b long, a_comp long, b_comp long")

@@ -1,4 +1,9 @@
-"""Stages of the corpus pipeline: (spark, docs, sf_dir) to a DataFrame of the documents that go on."""
+"""Stages of the corpus pipeline: (spark, docs, sf_dir) to a DataFrame of the documents that go on.
+
+All but the last return the columns of documents; further columns of the input, whatever their names, end here. Null
+and empty texts go through every stage (they hold nothing and are like nothing); an empty table gives an empty table;
+a missing label, benchmark item or id never stops a stage. What else a stage does in such cases is said at each.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +14,11 @@ DOCUMENTS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose noisy-or score is below one half; the model learns from all labelled documents of the input."""
+    """Documents whose noisy-or score is below one half; the model learns from all labelled documents of the input.
+
+    Every row is judged by its own text: rows with null or repeated ids too. Without labels of both kinds nothing goes
+    unless all labels are 1.
+    """
     from loomline.llm import toxicity as model
 
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
@@ -19,20 +28,32 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by five-word shingles at 0.8 or more, the one with the smallest id."""
+    """Of each group of documents linked by five-word shingles at 0.8 or more, the one with the smallest id.
+
+    Rows without an id come after all others; ties of an id go to one text by its hash; of rows equal in id and text one
+    stays. Texts without words are in no group and all stay.
+    """
     from loomline.llm.jaccard_join import jaccard_components
 
-    docs = docs.select(*DOCUMENTS)
-    found = jaccard_components(docs, size=5, percent=80)
-    gone = found.where("id != component_id").select(F.col("id").alias("doc_id"))
-    return docs.join(gone, "doc_id", "left_anti")
+    docs = docs.select(*DOCUMENTS).withColumn("_hash", F.xxhash64(F.col("text").cast("string")))
+    found = jaccard_components(docs, size=5, percent=80).where("component is not null")
+    place = F.struct(F.col("id").isNull().alias("last"), F.col("id"), F.col("text_hash"))
+    first = found.groupBy(F.col("component").alias("group")).agg(F.min(place).alias("first"))
+    gone = found.join(first, F.col("component") == F.col("group")).where(place != F.col("first")).select("id", "text_hash").distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("_hash") == F.col("text_hash"))
+    kept = docs.join(gone, same, "left_anti")
+    repeated = found.groupBy("id", "text_hash").agg(F.count("*").alias("rows")).where("rows > 1").drop("rows")
+    if not repeated.isEmpty():
+        kept = kept.join(repeated, same, "left_anti").unionByName(kept.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "_hash"]))
+    return kept.drop("_hash")
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that a document with a smaller id holds.
 
     Texts that lose no word stay as they are; what is left of others is joined by single spaces. Documents that
-    lose every word go.
+    lose every word go. Rows without an id stay whole and take nothing from others; rows of one id take nothing from
+    each other.
     """
     from loomline.llm.substring_dedup import substring_dedup as dedup
 
@@ -45,14 +66,14 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item; items without words or without an id count for nothing."""
     from loomline.llm.decontaminate import clean
 
     return clean(docs.select(*DOCUMENTS), spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text"))
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document that is left."""
+    """Token ids of every document that is left; null and empty texts have none."""
     import public_tokenizers
 
     from loomline.llm.bpe import encode
