@@ -12,7 +12,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
@@ -133,21 +133,33 @@ def total_chars(docs: DataFrame, text: str) -> tuple[int, int]:
     return row["n"], row["c"] or 0
 
 
+def hash_blocks(blocks: int) -> Column:
+    """A block number by hash of the columns id and text, so that neither ids nor lengths nor nulls gather."""
+    return F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int")
+
+
 #: Block bounds are one sorted list on the driver, so there are at most this many.
 MAX_BLOCKS = 20_000
 
 
-def block_bounds(docs: DataFrame, key: str, blocks: int) -> list[int]:
-    """Ascending ids that open blocks 1, 2, ...; every bound is an id of the table."""
-    blocks = max(1, min(blocks, MAX_BLOCKS))
-    at = [i / blocks for i in range(1, blocks)]
-    row = docs.agg(F.min(key).alias("lo"), F.percentile_approx(key, at or [0.5], 10 * max(1000, blocks)).alias("q")).first()
-    if row["lo"] is None:
+def block_bounds(docs: DataFrame, key: str, text: str, chars: int, block_chars: int) -> list[int]:
+    """Ascending ids that open blocks 1, 2, ... of at most about twice ``block_chars``; every bound is an id of the table.
+
+    Percentiles of the ids, each counted once for every mean length that its text has, so long texts lying together
+    make more blocks and not larger ones. Beyond MAX_BLOCKS blocks they grow.
+    """
+    docs = docs.where(F.col(key).isNotNull())
+    head = docs.agg(F.min(key).alias("lo"), F.count("*").alias("n")).first()
+    blocks = max(1, min(-(-chars // block_chars), MAX_BLOCKS))
+    if head["lo"] is None or blocks == 1:
         return []
-    return sorted({int(q) for q in (row["q"] if at else []) if q > row["lo"]})
+    mean = max(1, chars // head["n"])
+    weighed = docs.select(F.col(key), F.explode(F.sequence(F.lit(0), F.floor(F.coalesce(F.length(text), F.lit(0)) / mean).cast("int"))))
+    row = weighed.agg(F.percentile_approx(key, [i / blocks for i in range(1, blocks)], 10 * max(1000, blocks)).alias("q")).first()
+    return sorted({int(q) for q in row["q"] if q > head["lo"]})
 
 
-def block_number(key: str, bounds: list[int]) -> F.Column:
+def block_number(key: str, bounds: list[int]) -> Column:
     """How many bounds are at most the key, found in two levels of about sqrt(n) comparisons; null keys go to 0."""
     if not bounds:
         return F.lit(0)
@@ -181,6 +193,20 @@ def unpack_sorted(data: bytes) -> np.ndarray:
     return np.cumsum(steps, dtype=np.uint64)
 
 
+def pack_counts(values: np.ndarray) -> bytes:
+    """int64 values as compressed planes."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes())
+
+
+def unpack_counts(data: bytes) -> np.ndarray:
+    import zstandard
+
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view("<i8").ravel()
+
+
 def range_slices(ordered: np.ndarray, bits: int, width: int = 64) -> Iterable[tuple[int, slice]]:
     """Slices of ascending values that share their top ``bits`` of ``width``."""
     if bits == 0:

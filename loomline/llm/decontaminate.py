@@ -9,16 +9,18 @@ at most and close to 2k for typical edits. Each of ``repetitions`` tables has it
 steps of the embedding as key; the number of tables follows from the target recall at the stated share of differing
 steps. Windows whose key equals an item's are verified by exact semi-global edit distance around the window.
 
-Before the walks, a window must hold enough runs of two or three words of some item: k edits break at most g * k of an
-item's m - g + 1 runs of g words, so this filter loses nothing, and it leaves few windows. Windows of a whole batch of
-texts walk at once.
+Before the walks, a window must hold enough runs of g words of some item: k edits break at most g * k of an item's
+m - g + 1 runs, and g is the largest of 3, 2 and 1 that leaves some, so this filter loses nothing, and it leaves few
+windows. Windows of a whole batch of texts walk at once. Items too short for an edit are found exactly: an equal
+window has equal keys.
 
 The benchmark is broadcast in chunks of at most ``chunk_bytes`` of text, one pass over the documents each, so its size
 has no limit; documents are never shuffled but for the few rows of the result.
 
-Defined cases: null and empty texts hold nothing; items of fewer than ``min_words`` words are never reported, nor are
-items with a null id; repeated items and rows are reported each; ties of one item in a document go to the smallest
-distance, then the earliest place; other columns are not returned.
+Defined cases: null and empty texts hold nothing; items without words are never reported, nor are items with a null id;
+with ``min_words`` shorter items are left out; repeated items and rows are reported each; ties of one item in a document
+go to the smallest distance, then the earliest place; empty tables give no rows; texts of any length are searched whole;
+``contaminated`` returns no other columns, ``clean`` all of them, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,7 +39,7 @@ from pyspark.sql import functions as F
 from loomline.llm.common import GOLDEN, mix64, shingle_hashes, sized
 
 WORD = re.compile(r"\w+")
-MIN_WORDS, TARGET_RECALL, SAMPLED, DIFFERING = 5, 0.99, 3, 0.5
+MIN_WORDS, TARGET_RECALL, SAMPLED, DIFFERING = 1, 0.99, 3, 0.5
 
 
 def repetitions(recall: float = TARGET_RECALL, sampled: int = SAMPLED, differing: float = DIFFERING) -> int:
@@ -106,16 +108,16 @@ class Matcher:
         self.items: list[tuple[int, np.ndarray]] = []
         for item, text in items:
             words = words_of(text)
-            if len(words) >= min_words:
+            if len(words) >= max(1, min_words):
                 self.items.append((item, np.array([self.number.setdefault(w, len(self.number) + 1) for w in words], np.int64)))
         self.memo, self.width = _Numbers(self.number), len(self.number) + 1
         if not self.items:
             return
         self.m = np.array([len(w) for _, w in self.items])
         self.k = np.array([edits_allowed(int(m), percent) for m in self.m])
-        # k edits break at most g * k of the m - g + 1 runs of g words; threes tell more where enough are left
-        self.gram = np.where(self.m - 2 - 3 * self.k >= 2, 3, 2)
-        self.need = np.maximum(self.m - self.gram + 1 - self.gram * self.k, 1)
+        # k edits break at most g * k of the m - g + 1 runs of g words; longer runs tell more where enough are left
+        self.gram = np.where(self.m - 2 - 3 * self.k >= 2, 3, np.where(self.m - 1 - 2 * self.k >= 1, 2, 1))
+        self.need = self.m - self.gram + 1 - self.gram * self.k
         self.runs = {}
         for g in np.unique(self.gram).tolist():
             own = [(i, np.unique(shingle_hashes(w.astype(np.uint64), g))) for i, (_, w) in enumerate(self.items) if self.gram[i] == g]

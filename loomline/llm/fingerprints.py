@@ -3,14 +3,16 @@
 A fingerprint keeps every hash of the text's word shingles that is below ``fraction`` of the hash range. The share is
 fixed, not the size, so a long document's sketch holds a short one's: sketches merge by union, and containment and
 Jaccard similarity are estimated without bias between documents of very unequal length. A text none of whose hashes
-is below the threshold keeps its smallest hash, so that no text with words has an empty sketch.
+is below the threshold keeps its smallest hash, so that no text with words has an empty sketch; merging drops such a
+hash again as soon as there is one below the threshold, so a merged sketch is that of both texts' shingles together.
 
 A fingerprint is text: the sorted hashes in hexadecimal, 16 digits each, joined.
 
 Defined cases: null and empty texts, and texts without words, have the empty fingerprint; two empty fingerprints have
 likeness 1, an empty one and another 0; texts with fewer words than a shingle are one shingle; repeated rows have equal
-fingerprints; other columns are not returned. ``with_next`` orders rows by id, ties by text; null ids are not in that
-order: such a row is followed by itself.
+fingerprints; an empty table gives no rows; texts of any length are whole; other columns are not returned, whatever
+their names. ``with_next`` orders rows by id, ties by text, and rows of one id meet in one task, which sorts them on
+disk; null ids are not in that order: such a row is followed by itself.
 """
 
 from __future__ import annotations
@@ -22,20 +24,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomline.llm.common import WordHash, block_bounds, block_number, shingle_hashes, sized, texts_of, total_chars
+from loomline.llm.common import WordHash, block_bounds, block_number, hash_blocks, shingle_hashes, sized, texts_of, total_chars
 
 SHINGLE, FRACTION = 5, 1 / 2
 #: Characters of one block of consecutive ids, which one task sorts.
 BLOCK_CHARS = 24_000_000
 
 
-def sketch(words: WordHash, text: bytes, size: int = SHINGLE, fraction: float = FRACTION) -> np.ndarray:
+def _kept(hashes: np.ndarray, fraction: float) -> np.ndarray:
     """Sorted distinct hashes below the threshold, or the smallest hash."""
-    hashes = shingle_hashes(words.of(text.split()), size)
-    kept = np.unique(hashes[hashes < np.uint64(int(fraction * 2**64))])
+    kept = np.unique(hashes[hashes <= np.uint64(min(int(fraction * 2**64), 2**64 - 1))])
     return kept if len(kept) or not len(hashes) else hashes.min(keepdims=True)
 
 
+def sketch(words: WordHash, text: bytes, size: int = SHINGLE, fraction: float = FRACTION) -> np.ndarray:
+    return _kept(shingle_hashes(words.of(text.split()), size), fraction)
+
+
 def as_text(kept: np.ndarray) -> str:
     return kept.astype(">u8").tobytes().hex()
 
@@ -44,9 +49,9 @@ def from_text(fingerprint: str) -> np.ndarray:
     return np.frombuffer(bytes.fromhex(fingerprint), ">u8").astype(np.uint64)
 
 
-def merged(a: str, b: str) -> str:
+def merged(a: str, b: str, fraction: float = FRACTION) -> str:
     """Fingerprint of two documents together."""
-    return as_text(np.union1d(from_text(a), from_text(b)))
+    return as_text(_kept(np.concatenate((from_text(a), from_text(b))), fraction))
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -82,9 +87,9 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     _, chars = total_chars(docs, "text")
-    bounds = block_bounds(docs, "id", -(-chars // block_chars))
+    bounds = block_bounds(docs, "id", "text", chars, block_chars)
     lowest = docs.agg(F.min("id").alias("id")).first()["id"]
-    block = block_number("id", bounds)
+    block = F.when(F.col("id").isNull(), hash_blocks(len(bounds) + 1)).otherwise(block_number("id", bounds))
     openers = [x for x in [lowest, *bounds] if x is not None]
     last = len(bounds)
     before = F.when(F.col("id") == lowest, F.lit(last)).otherwise(F.col("block") - 1) if openers else F.lit(0)

@@ -6,12 +6,13 @@ a_k ~ exp(u . (tanh(V h_k) * sigmoid(U h_k))), and the weighted passage represen
 sigmoid(o . sum(a_k h_k) + b). All of W, V, U, u, o are learned from document labels.
 
 Fitting uses a bounded sample of labelled rows: at most ``sample``, half of each label, in an order by hash of the
-id. Features are made on the executors; the driver gets passages of the sample only, at most ``sample_passages`` of a
-document (evenly spread). Scoring uses every passage of every whole text. The model has a fixed size.
+id. Features are made on the executors; the driver gets those of the sample, every passage of every whole text, about
+half a byte a character. Scoring uses every passage of every whole text. The model has a fixed size.
 
 Defined cases: null and empty texts are one passage without words, scored like any other; without labelled rows of
 both kinds the score is the share of label 1 (0.5 if there are no labels); null labels and null ids are not learned
-from; repeated rows score alike; other columns are not returned.
+from; repeated rows score alike; ties of attention go to the first passage; an empty table gives no rows; other columns
+are not returned, whatever their names.
 """
 
 from __future__ import annotations
@@ -136,7 +137,7 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, hidden: int = 16, attention:
     return Model(mean, scale, p)
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = 3000, sample_passages: int = 40) -> Model:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = 3000) -> Model:
     """Fit on a bounded sample of labelled rows, whose ids (at most ``sample``) are broadcast to the texts."""
     labels = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label in (0, 1)").distinct()
     order = [F.xxhash64("id"), F.col("id")]
@@ -146,10 +147,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = WordCodes()
         for batch in sized(batches):
-            bags = []
-            for text in texts_of(batch.column("text")):
-                x = passages(codes, text)
-                bags.append(x[np.unique(np.linspace(0, len(x) - 1, sample_passages).astype(int))] if len(x) > sample_passages else x)
+            bags = [passages(codes, text) for text in texts_of(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.array([b.tobytes() for b in bags], pa.binary())], names=["id", "label", "bag"])
 
     rows = sorted(texts.select("id", "text", "label").mapInArrow(run, "id long, label int, bag binary").collect(), key=lambda r: (r["id"], bytes(r["bag"]), r["label"]))

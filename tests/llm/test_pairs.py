@@ -5,8 +5,10 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from loomline.llm import decontaminate, fingerprints, jaccard_join
+from loomline.llm.common import block_bounds, block_number
 from loomline.llm.components import connected_components
 from loomline.llm.jaccard_join import jaccard_components
 from loomline.llm.substring_dedup import substring_dedup
@@ -104,16 +106,11 @@ def test_jaccard_repeated_rows_are_verified_once(spark):
     other = [*words[:40], "changed", *words[41:]]
     rows = [(1, " ".join(words))] * 50 + [(2, " ".join(other))] * 50 + [(None, " ".join(words[:50]))] * 3
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    sets = jaccard_join._whole_sets(df.selectExpr("doc_id as id", "text"), *_pair_of_classes(spark, words, other), 3)
-    assert sets.count() == 2
+    pair = spark.createDataFrame([(1, 2)], "a_rep long, b_rep long")
+    assert jaccard_join._whole_sets(df.selectExpr("doc_id as id", "text"), pair, 3).count() == 2
     assert {(r["id"], r["component_id"]) for r in jaccard_components(df).collect()} == {(1, 1), (2, 1), (None, None)}
 
 
-def _pair_of_classes(spark, words, other):
-    a, b = (jaccard_join.set_key(jaccard_join.shingle_set(fingerprints.WordHash(), " ".join(w).encode(), 3)) for w in (words, other))
-    return spark.createDataFrame([(a, b)], "a long, b long"), spark.createDataFrame([(a, 1), (b, 2)], "sid long, rep long")
-
-
 def test_parity_bits_never_exceed_the_difference():
     rng = np.random.default_rng(4)
     for n in (1, 20, 300, 5000):
@@ -184,7 +181,7 @@ def test_best_place_is_semi_global_edit_distance():
 
 def test_decontamination_recall_against_brute_force(spark):
     rng = random.Random(11)
-    items = [(k, " ".join(rng.choice(WORDS) for _ in range(rng.randrange(12, 50)))) for k in range(20)] + [(90, "too short"), (91, None), (None, items_text := "a b c d e f g h")]
+    items = [(k, " ".join(rng.choice(WORDS) for _ in range(rng.randrange(12, 50)))) for k in range(20)] + [(90, "too shorty"), (91, None), (None, items_text := "a b c d e f g h")]
     rows, truth = [], set()
     for i in range(200):
         words = [rng.choice(WORDS) for _ in range(rng.randrange(0, 120))]
@@ -208,6 +205,11 @@ def test_decontamination_recall_against_brute_force(spark):
     for chunk in (4 << 20, 600):
         found = decontaminate.contaminated(docs, benchmark, chunk_bytes=chunk).collect()
         got = {(r["id"], r["item"]) for r in found if r["id"] is not None}
+        for r in found:  # the reported place has the reported distance, and no place has a smaller one
+            own, text = dict(items)[r["item"]].split(), dict(rows)[r["id"]]
+            place = [w.lower() for w in decontaminate.WORD.findall(text[r["start"] : r["end"]])]
+            every = np.array([hash(w.lower()) for w in decontaminate.WORD.findall(text)], dtype=np.int64)
+            assert edit_distance(own, place) == r["distance"] == decontaminate.best_place(np.array([hash(w) for w in own]), every)[0]
         assert got <= truth and len(got) >= 0.95 * len(truth)
         assert (None, 0) in {(r["id"], r["item"]) for r in found}
     leaked = {i for i, _ in got}
@@ -233,6 +235,18 @@ def test_fingerprints_of_following_and_edited_texts(spark):
         assert 0 <= got[i]["near_edited"] <= 1 and 0 <= got[i]["near_next"] <= 1
     assert got[1002]["fingerprint"] == got[1003]["fingerprint"] != "" and got[1002]["near_next"] == 1
     assert got[1000]["fingerprint"] == "" and rows_text
+
+    def plain(text):  # one shingle at a time
+        hashes, w = fingerprints.WordHash(), text.encode().split()
+        own = {int(fingerprints.shingle_hashes(hashes.of(w[k : k + 5]), 5)[0]) for k in range(max(1, len(w) - 4))} if w else set()
+        return {h for h in own if h <= fingerprints.FRACTION * 2**64} or set(sorted(own)[:1])
+
+    for k, (i, _) in enumerate(rows):
+        own = plain(texts[k])
+        assert got[i]["fingerprint"] == "".join(f"{h:016x}" for h in sorted(own))
+        for column, other in (("near_edited", got[i]["edited"]), ("near_next", texts[(k + 1) % len(rows)])):
+            them = plain(other)
+            assert got[i][column] == pytest.approx(len(own & them) / len(own | them) if own | them else 1.0)
     long = [got[3 * i] for i in range(60) if got[3 * i]["n_chars"] > 500]
     assert np.mean([r["near_edited"] for r in long]) > 0.4 and np.mean([r["near_next"] for r in long]) < 0.05
 
@@ -246,10 +260,67 @@ def test_sketches_merge_and_estimate_containment():
     assert fingerprints.containment(x, both) == 1 and fingerprints.containment(y, both) == 1
     merged = fingerprints.from_text(fingerprints.merged(fingerprints.as_text(x), fingerprints.as_text(y)))
     assert fingerprints.likeness(merged, both) > 0.98
+    limit = fingerprints.FRACTION * 2**64
+    above = next(k for k in (fingerprints.sketch(words, f"one two three four w{n}".encode()) for n in range(100)) if k[0] > limit)
+    assert list(fingerprints.from_text(fingerprints.merged(fingerprints.as_text(above), fingerprints.as_text(x)))) == list(x)
+    assert list(fingerprints.from_text(fingerprints.merged(fingerprints.as_text(above), ""))) == list(above)
     assert abs(len(x) / 7996 - fingerprints.FRACTION) < 0.02
     assert hashlib.sha256(fingerprints.as_text(x).encode()).digest() == hashlib.sha256(fingerprints.as_text(fingerprints.sketch(words, a)).encode()).digest()
 
 
+def test_block_bounds_follow_characters(spark):
+    """Long texts lie together: no block holds much more than its share of characters."""
+    rows = [(i, "x" * (20_000 if 400 <= i < 440 else 50)) for i in range(2000)] + [(None, "n" * 5000)] * 20
+    df = spark.createDataFrame(rows, "id long, text string")
+    chars = sum(len(t) for _, t in rows)
+    bounds = block_bounds(df, "id", "text", chars, 50_000)
+    sizes = [r["c"] for r in df.where("id is not null").groupBy(block_number("id", bounds).alias("b")).agg(F.sum(F.length("text")).alias("c")).collect()]
+    assert len(sizes) >= chars / 50_000 / 2 and max(sizes) <= 2 * 50_000 + 20_000
+    assert block_bounds(df.limit(0), "id", "text", 0, 100) == []
+
+
+def test_long_texts_and_clashing_columns(spark):
+    rng = random.Random(30)
+    long = " ".join(rng.choice(WORDS) for _ in range(60_000))
+    item = " ".join(rng.choice(WORDS) for _ in range(25))
+    rows = [(1, long, "a", 0, "b"), (2, f"head {long}", "a", 0, "b"), (3, f"{item} tail", "a", 0, "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, id string, block int, item string")
+    cut = {r["id"]: r for r in substring_dedup(df, carry=True).collect()}
+    assert (cut[2]["n_removed"], cut[2]["kept"], cut[2]["row"]["id"]) == (60_000, "head", "a")
+    assert {r["id"]: r["component_id"] for r in jaccard_components(df).collect()} == {1: 1, 2: 1, 3: 3}
+    benchmark = spark.createDataFrame([(9, item, 1)], "item_id long, text string, start int")
+    found = decontaminate.contaminated(df, benchmark).collect()
+    assert [(r["id"], r["item"], r["distance"]) for r in found] == [(3, 9, 0)]
+    assert [r["id"] for r in decontaminate.clean(df, benchmark).collect()] == ["a", "a"]
+    near = {r["id"]: r for r in fingerprints.compare_with_edits(df).collect()}
+    assert near[1]["near_next"] > 0.99 and near[1]["n_chars"] == len(long)
+
+
+def test_short_items_are_found_exactly(spark):
+    items = [(1, "Zebra"), (2, "blue whale"), (3, "red, green; blue"), (4, "one two three four"), (5, "... !"), (6, "a b c d e f")]
+    rows = [(1, "the ZEBRA ran"), (2, "a blue whale"), (3, "whale blue"), (4, "red green blue whale"), (5, "one two three x four"), (6, "one two three four"), (7, "..."), (8, None), (9, "a b X c d e f")]
+    docs, benchmark = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["id"], r["item"], r["distance"]) for r in decontaminate.contaminated(docs, benchmark).collect()}
+    assert got == {(1, 1, 0), (2, 2, 0), (4, 2, 0), (4, 3, 0), (6, 4, 0), (9, 6, 1)}
+    assert {r["item"] for r in decontaminate.contaminated(docs, benchmark, min_words=3).collect()} == {3, 4, 6}
+    assert decontaminate.contaminated(docs.limit(0), benchmark).count() == 0
+
+
+def test_word_run_filter_loses_no_place():
+    """Whatever the threshold, a window within the allowed edits holds the runs that the filter asks for."""
+    rng = random.Random(8)
+    for percent in (30, 50, 60, 80, 100):
+        for _ in range(60):
+            m = rng.randrange(1, 15)
+            own = [f"i{k}" for k in rng.sample(range(30), m)]
+            text = list(own)
+            for at in rng.sample(range(m), decontaminate.edits_allowed(m, percent)):
+                text[at] = "other"
+            matcher = decontaminate.Matcher([(1, " ".join(own))], percent, 0.99, 1)
+            ids = matcher._numbers(" ".join(["z", "z", *text, "z"]))
+            assert 2 in {s for _, starts in matcher._starts(ids) for s in starts.tolist()}
+
+
 def test_fingerprints_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert fingerprints.compare_with_edits(empty).count() == 0 and fingerprints.fingerprints(empty).count() == 0

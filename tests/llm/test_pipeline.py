@@ -62,6 +62,52 @@ def test_run_reads_what_each_stage_wrote(spark, folder):
     assert corpus_pipeline.run(spark, path).columns == ["doc_id", "n_tokens", "ids"]
 
 
+def test_stages_with_odd_rows_and_empty_tables(spark, folder, tmp_path):
+    """Null and repeated ids, repeated rows, null columns, clashing extra columns; then no rows at all."""
+    path, _, _ = folder
+    rng = random.Random(31)
+    text = " ".join(rng.choice(WORDS) for _ in range(90))
+    near, alone = text + " tail", " ".join(rng.choice(WORDS) for _ in range(40))
+    rows = [(5, text), (5, text), (5, near), (None, near), (9, text), (None, alone), (None, alone), (None, None), (3, None), (3, ""), (4, "word")]
+    docs = spark.createDataFrame([(i, t, None, None, None, "x", 1, 2) for i, t in rows], DOCS + ", component string, id int, row int")
+    kept = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.STAGES[1][1](spark, docs, path).collect()), key=str)
+    fives = [x for x in kept if x[0] == 5]
+    assert len(fives) == 1 and fives[0][1] in (text, near)
+    assert sorted((x for x in kept if x[0] != 5), key=str) == sorted([(None, alone), (None, None), (3, None), (3, ""), (4, "word")], key=str)
+    for table, want in ((docs, 11), (docs.limit(0), 0)):
+        for name, stage in corpus_pipeline.STAGES:
+            got = stage(spark, table, path)
+            assert got.columns == (["doc_id", "n_tokens", "ids"] if name == "bpe" else ["doc_id", "text", "lang", "source", "n_chars"])
+            assert got.count() == (want and {"ngram_jaccard_join": 6, "substring_dedup": 10}.get(name, want))  # 9 loses every word to 5
+    empty = tmp_path / "empty"
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{path}/{name}.parquet").limit(0).write.parquet(f"{empty}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(empty)).count() == 0
+
+
+def test_scratch_without_checkpoint_setting(spark, monkeypatch):
+    """A local session gets a local folder, a cluster an error; the context's own folder is taken if it is set."""
+    from loomline.llm import common
+
+    class Bare:
+        class conf:
+            get = staticmethod(lambda key, default=None: default)
+
+        class sparkContext:
+            master = "local[4]"
+
+            class _jsc:
+                class sc:
+                    class getCheckpointDir:
+                        isDefined = staticmethod(lambda: False)
+
+    assert "/checkpoints/loomline-" in common.scratch_dir(Bare)
+    for master in ("spark://host:7077", "local-cluster[2,1,1024]", "yarn"):
+        Bare.sparkContext.master = master
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            common.scratch_dir(Bare)
+
+
 def test_held_out_flags_follow_crc32(spark, folder):
     import zlib
 
