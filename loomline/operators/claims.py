@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from loomline.functions import patterns as P
 from loomline.functions import text as X
+from loomline.operators import detect as D
 
 MAX_CLAIM, DUPLICATE_RATIO = 180, 0.85
 TRUST_ORDER = tuple(P.TRUST)
@@ -41,37 +42,124 @@ def weakest_trust(evidence: DataFrame, keys: list[str]) -> DataFrame:
     return evidence.groupBy(*keys).agg(F.element_at(F.array(*[F.lit(b) for b in TRUST_ORDER]), F.max(rank).cast("int")).alias("trust"), F.count("*").alias("n_evidence"))
 
 
-def detector_disposition(text: Column, in_claim: bool) -> Column:
-    """Strongest disposition of the detectors' findings in a text."""
-    found = X.detector_counts(text)
-    secrets = F.lit(False)
-    for _, pattern in P.SECRET_DETECTORS:
-        secrets = secrets | text.rlike(pattern)
-    hits = [F.when(secrets, F.lit("hard_block")), F.when(X.injection_count(text) > 0, F.lit("hard_block" if in_claim else "review_required"))]
-    hits += [F.when(found[name] > 0, F.lit(severity)) for name, _, severity, _ in P.PII]
-    return strongest(F.array(*[F.coalesce(h, F.lit("allow")) for h in hits]))
+#: What a finding's category leads to, and the least that a trust bucket does (fixed values).
+DISPOSITION = {
+    "secret": "hard_block", "pii_hard": "hard_block", "pii_soft": "local_only", "pii_adjacent": "local_only", "private_dict": "review_required",
+    "injection_in_claim": "hard_block", "injection_in_evidence": "review_required", "generic_fluff": "hard_block", "duplicate": "hard_block", "insufficient_evidence": "review_required",
+}
 
 
-def validate(observations: DataFrame, evidence: DataFrame, id_col: str = "obs_id") -> DataFrame:
-    """(id, disposition, reasons, portability) of observations (id, claim) by their evidence (id, excerpt, bucket)."""
-    by = evidence.withColumn("d", detector_disposition(F.col("excerpt"), in_claim=False))
-    rank = F.array_position(F.array(*[F.lit(b) for b in TRUST_ORDER]), F.col("bucket"))
-    seen = by.groupBy(id_col).agg(F.count("*").alias("n"), F.max(rank).alias("weakest"), F.min(rank).alias("best"), F.max(disposition_rank(F.col("d"))).alias("e"))
+def finding_codes(text: Column, in_claim: bool, private: dict[str, list[str]] | None = None) -> Column:
+    """category:detector of every finding in a text, in the order of the detectors, as often as it is found."""
+    injection = "injection_in_claim" if in_claim else "injection_in_evidence"
+    found = [(f"secret:{name}", F.regexp_count(text, F.lit(p))) for name, p in P.SECRET_DETECTORS]
+    counts = X.detector_counts(text)
+    found += [(f"{category}:{name}", counts[name]) for name, category, _, _ in P.PII]
+    found += [(f"private_dict:{name}", F.regexp_count(text, F.lit(p))) for name, p in D.private_patterns(private or {}).items()]
+    found += [(f"{injection}:injection_phrase", X.injection_count(text))]
+    return F.flatten(F.array(*[F.array_repeat(F.lit(code), F.coalesce(n, F.lit(0)).cast("int")) for code, n in found]))
+
+
+def _disposition_of(code: Column) -> Column:
+    out = F.lit(None).cast("string")
+    for category, disposition in DISPOSITION.items():
+        out = F.when(F.split(code, ":")[0] == category, F.lit(disposition)).otherwise(out)
+    return out
+
+
+def validate(observations: DataFrame, evidence: DataFrame, platforms: dict[str, str], active: DataFrame | None = None, private: dict[str, list[str]] | None = None, replacements: dict[str, str] | None = None, id_col: str = "obs_id") -> DataFrame:
+    """(id, disposition, reasons, evidence_trust, taint, portability, duplicate_of, redacted_claim, salvageability).
+
+    ``observations`` has id, claim, platform and session_id; ``evidence`` id, place, excerpt and bucket (null or unknown:
+    that of the platform). A claim over 180 characters, or else one with less than two pieces of evidence, is judged by
+    that alone. Otherwise: metadata that cannot be trusted is a taint; findings in claim and excerpts, empty phrases and
+    likeness to an active claim (``active``: claim_id, claim) each count; private terms in the claim that ``replacements``
+    can all replace turn a block into a review; the strongest disposition decides, but at least the floor of the weakest
+    trust; and what only untrusted pages say stays local.
+    """
+    none, empty = F.lit(None).cast("string"), F.array().cast("array<string>")
+    buckets = F.array(*[F.lit(b) for b in TRUST_ORDER])
+    source = trust_bucket(F.col("platform"), platforms)
+    ev = evidence.join(observations.select(id_col, source.alias("source_bucket")), id_col)
+    bucket = F.when(F.array_contains(buckets, F.col("bucket")), F.col("bucket")).otherwise(F.col("source_bucket"))
+    codes = F.transform(finding_codes(F.col("excerpt"), in_claim=False, private=private), lambda c: F.concat(c, F.lit("@evidence["), F.col("place").cast("string"), F.lit("]")))
+    ev = ev.select(id_col, "place", codes.alias("codes"), F.array_position(buckets, bucket).alias("rank"))
+    held = F.flatten(F.transform(F.array_sort(F.collect_list(F.when(F.size("codes") > 0, F.struct("place", "codes")))), lambda x: x["codes"]))
+    seen = ev.groupBy(id_col).agg(F.count("*").alias("n"), F.max("rank").alias("weakest"), F.min("rank").alias("best"), held.alias("evidence_codes"))
     j = observations.join(seen, id_col, "left")
-    name = F.array(*[F.lit(d) for d in P.DISPOSITIONS])
-    floor = F.element_at(F.array(*[F.lit(d) for d in P.TRUST.values()]), F.coalesce(F.col("weakest"), F.lit(len(TRUST_ORDER))).cast("int"))
-    parts = {
-        "too_long": F.when(F.length("claim") > MAX_CLAIM, F.lit("hard_block")),
-        "insufficient_evidence": F.when(F.coalesce(F.col("n"), F.lit(0)) < 2, F.lit("review_required")),
-        "generic_fluff": F.when(X.is_fluff(F.col("claim")), F.lit("hard_block")),
-        "claim_finding": F.nullif(detector_disposition(F.col("claim"), in_claim=True), F.lit("allow")),
-        "evidence_finding": F.nullif(F.element_at(name, F.coalesce(F.col("e"), F.lit(1)).cast("int")), F.lit("allow")),
-        "bucket_floor": F.nullif(floor, F.lit("allow")),
-    }
-    reasons = F.filter(F.array(*[F.when(c.isNotNull(), F.lit(k)) for k, c in parts.items()]), lambda r: r.isNotNull())
-    disposition = strongest(F.array(*[F.coalesce(c, F.lit("allow")) for c in parts.values()]))
-    portability = F.when(F.col("disposition") == "hard_block", "blocked").when(F.col("disposition") == "local_only", "local_only").otherwise("portable")
-    return j.select(id_col, disposition.alias("disposition"), reasons.alias("reasons")).withColumn("portability", portability)
+    if active is None:
+        j = j.withColumn("duplicate_of", none)
+    else:
+        j = j.join(fuzzy_duplicates(observations.select(F.col(id_col).alias("obs_id"), "claim"), active).select(F.col("obs_id").alias(id_col), F.col("claim_id").cast("string").alias("duplicate_of")), id_col, "left")
+
+    unknown = ~F.coalesce(F.col("platform").isin(list(platforms)), F.lit(False))
+    malformed = ~F.coalesce(F.col("session_id"), F.lit("")).rlike(r"\A[\x20-\x7E]{1,128}\z")
+    tainted = unknown | malformed
+    trust = F.when(tainted, F.lit("metadata_untrusted")).otherwise(F.element_at(buckets, F.col("weakest").cast("int")))
+    claim_codes = F.transform(finding_codes(F.col("claim"), in_claim=True, private=private), lambda c: F.concat(c, F.lit("@claim")))
+    found = F.concat(claim_codes, F.coalesce("evidence_codes", empty))
+    taint = F.concat(
+        F.when(tainted, F.array(F.lit("metadata_untrusted"))).otherwise(empty),
+        F.when(F.exists(F.coalesce("evidence_codes", empty), lambda c: c.startswith("injection_in_evidence:")), F.array(F.lit("untrusted_instructional_text"))).otherwise(empty),
+    )
+    redacted, salvaged = _salvaged(private or {}, replacements or {})
+    j = j.withColumns({"found": found, "trust": trust, "taint": taint, "fluff": X.is_fluff(F.col("claim")), "salvaged": salvaged, "redacted": redacted})
+    when = lambda test, code: F.when(test, F.array(code)).otherwise(empty)
+    seen_all = F.concat(F.transform("found", _disposition_of), when(F.col("fluff"), F.lit(DISPOSITION["generic_fluff"])), when(F.col("duplicate_of").isNotNull(), F.lit(DISPOSITION["duplicate"])))
+    seen_all = F.when(F.col("salvaged"), F.concat(F.filter(seen_all, lambda d: d != "hard_block"), F.array(F.lit("review_required")))).otherwise(seen_all)
+    floor = F.coalesce(F.create_map(*[x for b, d in P.TRUST.items() for x in (F.lit(b), F.lit(d))])[F.col("trust")], F.lit("allow"))
+    j = j.withColumn("before", strongest(seen_all)).withColumn("floor", floor).withColumn("final", strongest(F.array("before", "floor")))
+    alone = (F.col("best") == len(TRUST_ORDER)) & (F.col("weakest") == len(TRUST_ORDER))
+    reasons = F.concat(
+        when(unknown, F.lit("metadata_integrity:unknown_source_platform")), when(malformed, F.lit("metadata_integrity:malformed_session_id")), F.col("found"), when(F.col("fluff"), F.lit("generic_fluff")),
+        when(F.col("duplicate_of").isNotNull(), F.concat(F.lit("duplicate_of_active_claim:"), "duplicate_of")), when(F.col("salvaged"), F.lit("redaction:private_dict_salvaged")),
+        when(F.col("final") != F.col("before"), F.concat(F.lit("bucket_floor:"), "trust", F.lit("="), "floor")), when(alone, F.lit("provenance:untrusted_web_alone")),
+    )
+    port = F.when(F.col("final") == "hard_block", "blocked").when((F.col("final") == "local_only") | alone, "local_only").otherwise("portable")
+    long, few = F.length("claim") > MAX_CLAIM, F.coalesce(F.col("n"), F.lit(0)) < 2
+    early = long | few
+    other = lambda value, instead: F.when(early, instead).otherwise(value)
+    return j.select(
+        id_col,
+        F.when(long, F.lit("hard_block")).when(few, F.lit(DISPOSITION["insufficient_evidence"])).when(alone & (F.col("final") == "allow"), F.lit("local_only")).otherwise(F.col("final")).alias("disposition"),
+        F.when(long, F.array(F.lit("claim_too_long"))).when(few, F.array(F.lit("insufficient_evidence"))).otherwise(reasons).alias("reasons"),
+        other(F.col("trust"), none).alias("evidence_trust"), other(F.col("taint"), empty).alias("taint"), other(port, F.lit("portable")).alias("portability"),
+        other(F.col("duplicate_of"), none).alias("duplicate_of"), other(F.col("redacted"), none).alias("redacted_claim"), F.when(~early & F.col("salvaged"), F.lit("redactable")).otherwise(F.lit("none")).alias("salvageability"),
+    )
+
+
+def _salvaged(private: dict[str, list[str]], replacements: dict[str, str]) -> tuple[Column, Column]:
+    """The claim with private terms replaced, null unless that changed it and left none; and whether it did."""
+    patterns = list(D.private_patterns(private).values())
+    if not patterns or not replacements:
+        return F.lit(None).cast("string"), F.lit(False)
+    clean = D.replaced(F.col("claim"), private, replacements)
+    left = F.lit(False)
+    for p in patterns:
+        left = left | clean.rlike(p)
+    good = (clean != F.col("claim")) & ~left
+    return F.when(good, clean), F.coalesce(good, F.lit(False))
+
+
+def routed(verdicts: DataFrame, order: str = "obs_id", after: int = 0) -> DataFrame:
+    """Verdicts with status rejected or pending, and for pending ones the next ids obs_NNN in order."""
+    rejected = F.col("disposition") == "hard_block"
+    pending = verdicts.where(~rejected)
+    numbered = numbered_rows(pending, order, after).withColumn("status", F.lit("pending"))
+    named = numbered.withColumn("observation_id", F.concat(F.lit("obs_"), F.lpad(F.col("number").cast("string"), F.greatest(F.lit(3), F.length(F.col("number").cast("string"))), F.lit("0")))).drop("number")
+    return named.unionByName(verdicts.where(rejected).withColumn("status", F.lit("rejected")).withColumn("observation_id", F.lit(None).cast("string")))
+
+
+def numbered_rows(rows: DataFrame, order: str, after: int = 0, parts: int = 256) -> DataFrame:
+    """Rows with consecutive ``number`` in the order of a numeric column, which should have no ties, without a global sort:
+    rows are numbered within ``parts`` ranges and the ranges' counts, which are few, are added up."""
+    cuts = rows.agg(F.percentile_approx(order, [k / parts for k in range(1, parts)], 10_000).alias("q")).first()["q"] or []
+    bounds = F.array(*[F.lit(c) for c in sorted(set(cuts))]) if cuts else None
+    part = F.size(F.filter(bounds, lambda c: c < F.col(order))) if cuts else F.lit(0)
+    inside = rows.withColumn("part", part).withColumn("inside", F.row_number().over(Window.partitionBy("part").orderBy(order)))
+    sizes = rows.groupBy(part.alias("part")).agg(F.count("*").alias("size"))
+    before = sizes.withColumn("before", F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("size")
+    return inside.join(F.broadcast(before), "part").withColumn("number", F.col("before") + F.col("inside") + after).drop("part", "inside", "before")
 
 
 @F.pandas_udf(T.DoubleType())
@@ -125,13 +213,55 @@ def active_claims(claims: DataFrame, scopes: list[str] | None = None, limit: int
     return claims.where(keep).orderBy(F.coalesce("confidence", F.lit(0.0)).desc(), "claim_id").limit(limit)
 
 
-def mint_ids(rows: DataFrame, prefix: str, key: Column, order: str, existing: DataFrame | None = None) -> DataFrame:
-    """Ids prefix_slug_NNN, counted up per slug from the largest that exists."""
-    numbered = rows.withColumn("slug", key).withColumn("n", F.row_number().over(Window.partitionBy("slug").orderBy(order)))
-    if existing is not None:
-        top = existing.groupBy("slug").agg(F.max("number").alias("top"))
-        numbered = numbered.join(top, "slug", "left").withColumn("n", F.col("n") + F.coalesce("top", F.lit(0))).drop("top")
-    return numbered.withColumn("minted", F.concat(F.lit(f"{prefix}_"), "slug", F.lit("_"), F.lpad(F.col("n").cast("string"), 3, "0"))).drop("n")
+#: Words that name nothing (fixed values).
+SLUG_STOP = ("a", "an", "the", "for", "and", "or", "to", "of", "in")
+
+
+def claim_slug(claim: Column) -> Column:
+    """The first word of a claim that names something, its a-z and 0-9 only, at most 16; 'claim' if there is none."""
+    words = F.transform(F.split(F.trim(claim), r"\s+"), lambda w: F.regexp_replace(F.lower(w), "[^a-z0-9]", ""))
+    named = F.filter(words, lambda w: (w != "") & ~w.isin(list(SLUG_STOP)))
+    return F.coalesce(F.substring(F.try_element_at(named, F.lit(1)), 1, 16), F.lit("claim"))
+
+
+def mint_ids(rows: DataFrame, prefix: str, slug: Column, order: str, existing: DataFrame | None = None) -> DataFrame:
+    """Ids prefix_slug_NNN with the first free numbers of each slug; ``existing`` has slug and number of ids in use.
+
+    The k-th new id of a slug takes the k-th number that is not in use. With the numbers in use ascending, u_1 < u_2 < ...,
+    u_i - i free ones lie below u_i, so it is k plus the count of those with u_i - i < k: a join on counts of equal gaps, not
+    a search number by number.
+    """
+    numbered = rows.withColumn("slug", slug).withColumn("k", F.row_number().over(Window.partitionBy("slug").orderBy(order)))
+    if existing is None:
+        numbered = numbered.withColumn("number", F.col("k"))
+    else:
+        used = existing.select("slug", F.col("number").cast("long").alias("u")).where("u > 0").distinct()
+        ranked = used.withColumn("gap", F.col("u") - F.row_number().over(Window.partitionBy("slug").orderBy("u")))
+        steps = ranked.groupBy("slug", "gap").agg(F.count("*").alias("c"))
+        # one ordered pass a slug: taken ids of smaller gap come before the new id whose rank exceeds the gap
+        both = steps.select("slug", F.col("gap").alias("at"), F.lit(0).alias("kind"), "c").unionByName(numbered.select("slug", (F.col("k") - 1).cast("long").alias("at"), F.lit(1).alias("kind"), F.lit(0).cast("long").alias("c")))
+        before = both.withColumn("taken", F.sum("c").over(Window.partitionBy("slug").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0))).where("kind = 1")
+        numbered = numbered.join(before.select("slug", (F.col("at") + 1).cast("int").alias("k"), "taken"), ["slug", "k"]).withColumn("number", F.col("k") + F.col("taken")).drop("taken")
+    shown = F.col("number").cast("string")
+    return numbered.withColumn("minted", F.concat(F.lit(f"{prefix}_"), "slug", F.lit("_"), F.lpad(shown, F.greatest(F.lit(3), F.length(shown)), F.lit("0")))).drop("k", "number")
+
+
+def prompt_block(claims: DataFrame, overlays: DataFrame, scopes: list[str] | None = None, limit: int = 20, title: str = "User working-style passport:") -> str:
+    """Active claims as bullets, surest first, and active overlays (name, traits) below them."""
+    told = [r["claim"] for r in active_claims(claims, scopes, limit).collect()]
+    worn = overlays.where("status = 'active'").select("name", "traits").orderBy("name").collect()
+    if not told and not worn:
+        return f"{title}\n- (no claims on file yet)"
+    lines = [title, *(f"- {c}" for c in told)]
+    if worn:
+        lines += ["", "Active overlay:", *(f"- {r['name']}: {', '.join(r['traits'] or [])}" for r in worn)]
+    return "\n".join(lines)
+
+
+def overall(rows: DataFrame, truth: str = "truth", guess: str = "guess") -> DataFrame:
+    """One row: accuracy, and the mean F1 of all classes."""
+    hits = rows.agg(F.avg((F.col(truth) == F.col(guess)).cast("double")).alias("accuracy"))
+    return hits.crossJoin(class_scores(rows, truth, guess).agg(F.avg("f1").alias("macro_f1")))
 
 
 def confusion(rows: DataFrame, truth: str = "truth", guess: str = "guess") -> DataFrame:

@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomline.functions import scores
 from loomline.functions.text import overlap
-from loomline.operators.vector import query_blocks
+from loomline.operators.vector import nearest_many
 
-COSINE, OVERLAP, MIN_TOKENS, TOP = 0.80, 0.55, 5, 5
+COSINE, OVERLAP, MIN_TOKENS, TOP, EXCERPT, WINDOW_DAYS, REPORTED = 0.80, 0.55, 5, 5, 240, 7, 10
 
 
 def near_duplicates(candidate_pairs: DataFrame, cosine: float = COSINE, share: float = OVERLAP, min_tokens: int = MIN_TOKENS) -> DataFrame:
@@ -49,14 +47,66 @@ def superseded(memories: DataFrame) -> DataFrame:
 
 
 def nearest_candidates(queries: DataFrame, index: DataFrame, top: int = TOP) -> DataFrame:
-    """Each query's nearest ``top`` rows of the index; queries are broadcast block by block."""
-    return reduce(DataFrame.unionAll, [_nearest_block(b, index, top) for b in query_blocks(queries, "id")])
+    """Each query's nearest ``top`` rows of the index, with vectors, tokens and texts where the inputs have them.
+
+    Only the pairs found are joined with the tables again.
+    """
+    near = nearest_many(index, queries.withColumnRenamed("id", "query"), top, "id", "query", "vector").select("query", "id")
+    mine = queries.select(F.col("id").alias("query"), F.col("vector").alias("query_vector"), F.col("tokens").alias("query_tokens"))
+    return near.join(mine, "query").join(index.select("id", "vector", "tokens", *(c for c in ("text", "age_days") if c in index.columns)), "id")
+
+
+def excerpt(text: Column) -> Column:
+    return F.substring(F.replace(text, F.lit("\n"), F.lit(" ")), 1, EXCERPT)
+
+
+def held_matches(queries: DataFrame, index: DataFrame, allow: DataFrame | None = None, top: int = TOP) -> DataFrame:
+    """What a write is shown: (query, id, age_days, cosine, overlap, shared, excerpt) of the known near duplicates of new
+    records; a pair on the allow-list is none."""
+    pairs = nearest_candidates(queries, index, top)
+    found = near_duplicates(pairs).join(index.select("id", F.round("age_days", 1).alias("age_days"), excerpt(F.col("text")).alias("excerpt")), "id")
+    return found if allow is None else not_allowed(found, allow, "query", "id")
+
+
+def supersede(memories: DataFrame, writes: DataFrame) -> DataFrame:
+    """Memories with superseded_by set from the writes (id, supersedes array) that name them; the last write of an id wins.
+    They stay as history and leave the index, see ``demoted``."""
+    named = writes.select(F.explode(F.array_distinct("supersedes")).alias("memory_id"), F.col("id").alias("by")).groupBy("memory_id").agg(F.max("by").alias("by"))
+    return memories.join(named, "memory_id", "left").withColumn("superseded_by", F.coalesce("by", "superseded_by")).drop("by")
+
+
+def demoted(index: DataFrame, writes: DataFrame, id_col: str = "memory_id") -> DataFrame:
+    """The index without the rows that writes supersede."""
+    gone = writes.select(F.explode("supersedes").alias(id_col)).distinct()
+    return index.join(gone, id_col, "left_anti")
+
+
+def nightly_scan(memories: DataFrame, index: DataFrame, allow: DataFrame | None = None, window_days: float = WINDOW_DAYS, top: int = TOP) -> DataFrame:
+    """Unordered near-duplicate pairs (a, b, cosine, overlap) of memories of the last days with anything in the index.
+
+    ``memories`` has id, vector, tokens, age_days and superseded_by; ``index`` id, vector and tokens. A memory that is not
+    indexed or has few tokens starts no search; each pair counts once, with its best scores.
+    """
+    recent = memories.where((F.col("age_days") <= window_days) & F.col("superseded_by").isNull() & F.col("vector").isNotNull() & (F.size("tokens") >= MIN_TOKENS))
+    found = unordered(near_duplicates(nearest_candidates(recent, index, top + 1)))
+    return found if allow is None else not_allowed(found, allow)
+
 
+def scan_report(pairs: DataFrame, index: DataFrame, agent: str, window_days: int = WINDOW_DAYS, top: int = TOP, reported: int = REPORTED) -> DataFrame:
+    """One row: status (blind, clean, duplicates), exit_code, pair_count and the advisory's text with the worst pairs.
 
-def _nearest_block(queries: DataFrame, index: DataFrame, top: int) -> DataFrame:
-    q = F.broadcast(queries.select(F.col("id").alias("query"), F.col("vector").alias("query_vector"), F.col("tokens").alias("query_tokens")))
-    pairs = index.join(q, F.size("vector") == F.size("query_vector")).withColumn("distance", scores.l2_distance(F.col("vector"), F.col("query_vector")))
-    slim = pairs.select("query", "id", "distance").withColumn("part", F.pmod(F.xxhash64("id"), F.lit(64)))
-    near = slim.withColumn("r", F.row_number().over(Window.partitionBy("part", "query").orderBy("distance", "id"))).where(F.col("r") <= top)
-    near = near.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy("distance", "id"))).where(F.col("r") <= top).select("query", "id", "distance")
-    return near.join(q, "query").join(index, "id").select("query", "id", "query_vector", "vector", "query_tokens", "tokens")
+    An empty index is blind: it cannot say that all is clean.
+    """
+    worst = pairs.orderBy(F.col("overlap").desc(), F.col("cosine").desc(), "a", "b").limit(reported)
+    four = lambda c: F.format_string("%.4f", F.col(c).cast("double"))
+    line = F.concat(F.lit("- "), F.col("a").cast("string"), F.lit(" ~ "), F.col("b").cast("string"), F.lit(" cosine="), four("cosine"), F.lit(" overlap="), four("overlap"))
+    shown = worst.agg(F.sort_array(F.collect_list(F.struct((-F.col("overlap")).alias("o"), (-F.col("cosine")).alias("c"), "a", "b", line.alias("line")))).alias("x")).select(F.transform("x", lambda x: x["line"]).alias("lines"))
+    one = pairs.agg(F.count("*").alias("pair_count")).crossJoin(index.agg(F.count("*").alias("corpus"))).crossJoin(shown)
+    status = F.when(F.col("corpus") == 0, "blind").when(F.col("pair_count") > 0, "duplicates").otherwise("clean")
+    head = F.concat(F.lit(f"## Near-duplicate advisory - {agent}\nSource: corpus="), F.col("corpus").cast("string"), F.lit(f" window={window_days}d top-k={top} cosine>={COSINE:.2f} overlap>={OVERLAP:.2f}\n"))
+    body = (
+        F.when(F.col("corpus") == 0, F.lit("Blind store: nothing is indexed, so clean cannot be asserted."))
+        .when(F.col("pair_count") == 0, F.lit("No near-duplicate pairs outside the allow-list."))
+        .otherwise(F.concat(F.lit("Advisory only: "), F.col("pair_count").cast("string"), F.lit(" pair(s); showing "), F.size("lines").cast("string"), F.lit("; nothing merged or demoted.\n"), F.array_join("lines", "\n")))
+    )
+    return one.select(status.alias("status"), F.when(status == "blind", 2).when(status == "duplicates", 1).otherwise(0).alias("exit_code"), "pair_count", F.concat(head, body).alias("advisory"))

@@ -1,9 +1,12 @@
-"""Facts with a confidence ladder: the fold over assertions, its history, and merges of two stores."""
+"""Facts with a confidence ladder: the streamed fold over assertions, its history, and merges of two stores."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from loomline.operators.fold import Step, fields, streamed
 
 LADDER = ("false", "high_probability", "verified")
 
@@ -20,54 +23,62 @@ def normalized_attribute(attribute: Column) -> Column:
     return F.regexp_replace(F.lower(F.trim(attribute)), r"\s+", "_")
 
 
-HISTORY = "array<struct<seq:bigint,old_value:string,new_value:string,old_confidence:string,new_confidence:string,reason:string>>"
-
-
-def ladder(events: DataFrame, keys: tuple[str, ...] = ("entity", "attribute")) -> DataFrame:
-    """Per key the fold of its events (seq, kind, value, confidence): final value, confidence, and one history row each.
+def steps(events: DataFrame, keys: tuple[str, ...] = ("entity", "attribute")) -> DataFrame:
+    """One row per event (keys, seq, kind, value, confidence) in the order of seq: what it did to its fact.
 
     kind 'save': the first is initial; the same value reasserts with the higher confidence; another value overwrites
-    if its rank is at least the old one, else it is rejected. kind 'demote' sets confidence false unless it is.
+    if its rank is at least the old one, else it is rejected. kind 'demote' sets confidence false; where there is no
+    fact, or it is false already, reason is null and nothing happens. ``value`` and ``confidence`` are the fact after it.
     """
-    grouped = events.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("seq", "kind", "value", "confidence"))).alias("steps"))
-    none = F.lit(None).cast("string")
-    start = F.struct(none.alias("value"), none.alias("confidence"), F.array().cast(HISTORY).alias("history"))
-
-    def step(s: Column, e: Column) -> Column:
-        demote = e["kind"] == "demote"
-        empty = s["confidence"].isNull()
-        same = F.coalesce(s["value"] == e["value"], F.lit(False))
-        up = rank(e["confidence"]) >= rank(s["confidence"])
-        skip = demote & (empty | (s["confidence"] == "false"))
-        value = F.when(demote, s["value"]).when(empty, e["value"]).when(same, s["value"]).when(up, e["value"]).otherwise(s["value"])
-        confidence = (
-            F.when(skip, s["confidence"]).when(demote, F.lit("false")).when(empty, e["confidence"])
-            .when(same, F.when(up, e["confidence"]).otherwise(s["confidence"])).when(up, e["confidence"]).otherwise(s["confidence"])
-        )
-        reason = F.when(demote, F.lit("demote")).when(empty, F.lit("initial")).when(same, F.lit("reassert")).when(up, F.lit("contradicted")).otherwise(F.lit("rejected"))
-        row = F.struct(
-            e["seq"].cast("bigint").alias("seq"), s["value"].alias("old_value"), F.when(demote, s["value"]).otherwise(e["value"]).alias("new_value"),
-            s["confidence"].alias("old_confidence"), F.when(reason == "rejected", e["confidence"]).otherwise(confidence).alias("new_confidence"), reason.alias("reason"),
-        )
-        history = F.when(skip, s["history"]).otherwise(F.concat(s["history"], F.array(row)))
-        return F.struct(value.alias("value"), confidence.alias("confidence"), history.alias("history"))
-
-    folded = grouped.withColumn("s", F.aggregate("steps", start, step))
-    return folded.select(*keys, F.col("s.value").alias("value"), F.col("s.confidence").alias("confidence"), F.col("s.history").alias("history"))
-
-
-def history(folded: DataFrame, keys: tuple[str, ...] = ("entity", "attribute"), reasons: tuple[str, ...] = ()) -> DataFrame:
-    rows = folded.select(*keys, F.explode("history").alias("h")).select(*keys, "h.*")
+    n, order = len(keys), {c: k for k, c in enumerate(LADDER)}
+
+    def start() -> Step:
+        fact: list = [None, None]
+
+        def step(row: tuple):
+            own, seq, kind, value, confidence = row[:n], *row[n:]
+            old_value, old = fact
+            if kind == "demote":
+                reason = None if old in (None, "false") else "demote"
+                if reason:
+                    fact[1] = "false"
+                shown = old_value, fact[1]
+            else:
+                higher = old is None or order.get(confidence, -1) >= order.get(old, -1)
+                reason = "initial" if old is None else "reassert" if value == old_value and value is not None else "contradicted" if higher else "rejected"
+                if reason in ("initial", "contradicted"):
+                    fact[:] = [value, confidence]
+                elif reason == "reassert" and higher:
+                    fact[1] = confidence
+                shown = value, confidence if reason == "rejected" else fact[1]
+            yield (*own, seq, old_value if reason else None, shown[0] if reason else None, old if reason else None, shown[1] if reason else None, reason, *fact)
+
+        return step
+
+    rows = events.select(*keys, F.col("seq").cast("bigint").alias("seq"), "kind", "value", "confidence")
+    text = T.StringType()
+    schema = fields(rows, [*keys, "seq"], old_value=text, new_value=text, old_confidence=text, new_confidence=text, reason=text, value=text, confidence=text)
+    return streamed(rows, list(keys), ["seq", "kind", "value", "confidence"], start, schema)
+
+
+def state(done: DataFrame, keys: tuple[str, ...] = ("entity", "attribute")) -> DataFrame:
+    """Per key the fact after its last step, and the number of steps that did something."""
+    last = F.max_by(F.struct("value", "confidence"), "seq")
+    return done.groupBy(*keys).agg(last.alias("f"), F.count("reason").alias("steps")).select(*keys, "f.value", "f.confidence", "steps")
+
+
+def history(done: DataFrame, keys: tuple[str, ...] = ("entity", "attribute"), reasons: tuple[str, ...] = ()) -> DataFrame:
+    rows = done.where("reason is not null").select(*keys, "seq", "old_value", "new_value", "old_confidence", "new_confidence", "reason")
     return rows.where(F.col("reason").isin(list(reasons))) if reasons else rows
 
 
-def contradictions(folded: DataFrame, keys: tuple[str, ...] = ("entity", "attribute")) -> DataFrame:
-    return history(folded, keys, ("contradicted", "rejected", "demote"))
+def contradictions(done: DataFrame, keys: tuple[str, ...] = ("entity", "attribute")) -> DataFrame:
+    return history(done, keys, ("contradicted", "rejected", "demote"))
 
 
-def verified_alerts(folded: DataFrame, keys: tuple[str, ...] = ("entity", "attribute")) -> DataFrame:
+def verified_alerts(done: DataFrame, keys: tuple[str, ...] = ("entity", "attribute")) -> DataFrame:
     """Assertions that were turned down by a verified fact."""
-    return history(folded, keys, ("rejected",)).where("old_confidence = 'verified'")
+    return history(done, keys, ("rejected",)).where("old_confidence = 'verified'")
 
 
 def query_facts(facts: DataFrame, entity: str | None = None, attribute: str | None = None, contains: str | None = None, confidence: str | None = None, include_false: bool = True, limit: int = 20) -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import re
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -11,10 +13,10 @@ from pyspark.sql import types as T
 
 from loomline.functions import patterns as P
 from loomline.functions import text as X
+from loomline.operators.pack import greedy_chunks
 
-#: Signs that a record quotes the nightly batch's own output (fixed values; deployments add their own).
-SELF_SIGNS = ("dream-contradictions", "verified-vs-extracted", "dream brief")
-AUTO_SESSIONS = r"-auto-|^(cc|opie|rocky)-jsonl-"
+#: Marks of the nightly batch's own output, without case; {batch} is the name it signs with (fixed values).
+SELF_SIGNS = ("dream-contradictions", "dream-git-sync-drift", "{batch} dream \u2014", "by {batch}-dream.py_", "verified-vs-extracted", "dream brief")
 
 
 def resolve_category(explicit: Column, summary: Column, facts: Column, model: Column) -> Column:
@@ -25,14 +27,22 @@ def resolve_category(explicit: Column, summary: Column, facts: Column, model: Co
     return F.struct(category.alias("category"), method.alias("method"), (method == "pattern").alias("needs_reclassification"))
 
 
-def is_auto_capture(summary: Column, session_id: Column, facts: Column) -> Column:
-    s = F.coalesce(summary, F.lit(""))
-    return F.substring(s, 1, 50).startswith(P.ROUTINE_PREFIX) | F.contains(F.substring(s, 1, 200), F.lit("auto-sync from JSONL")) | F.coalesce(F.array_contains(facts, P.FLUSH_MARKER), F.lit(False)) | F.coalesce(session_id, F.lit("")).rlike(AUTO_SESSIONS)
+def is_auto_capture(summary: Column, session_id: Column, facts: Column, agents: Sequence[str] = ()) -> Column:
+    """Ambient records: flushed tool calls, synchronised logs, and sessions named by an automaton (``agents`` are those whose
+    synchronised sessions are called <agent>-jsonl-...)."""
+    s, sid = F.coalesce(summary, F.lit("")), F.coalesce(session_id, F.lit(""))
+    out = F.substring(s, 1, 50).startswith(P.ROUTINE_PREFIX) | F.contains(F.substring(s, 1, 200), F.lit("auto-sync from JSONL"))
+    out = out | F.coalesce(F.array_contains(facts, P.FLUSH_MARKER), F.lit(False)) | F.contains(sid, F.lit("-auto-"))
+    for agent in agents:
+        out = out | sid.startswith(f"{agent}-jsonl-")
+    return out
 
 
-def is_self_derived(text: Column, signs: tuple[str, ...] = SELF_SIGNS) -> Column:
-    low = F.lower(text)
-    return F.exists(F.array(*[F.lit(s) for s in signs]), lambda s: F.contains(low, s))
+def is_self_derived(summary: Column, facts: Column, decisions: Column, batch: str) -> Column:
+    """Whether a record's text, facts or decisions quote the output of the nightly batch of that name."""
+    empty = F.array().cast("array<string>")
+    low = F.lower(F.concat_ws(" ", F.coalesce(summary, F.lit("")), F.array_join(F.coalesce(facts, empty), " "), F.array_join(F.coalesce(decisions, empty), " ")))
+    return F.exists(F.array(*[F.lit(s.format(batch=batch)) for s in SELF_SIGNS]), lambda s: F.contains(low, s))
 
 
 def private_hits(text: Column, terms: dict[str, list[str]]) -> dict[str, Column]:
@@ -48,46 +58,103 @@ def classify_seeds(seeds: DataFrame, facts: DataFrame, keys: tuple[str, ...] = (
     return seeds.join(have, list(keys), "left").select(*keys, "value", state.alias("state"))
 
 
+_SENDER = r"(?s)^Sender \(untrusted metadata\):\s*```json\s*\{[^}]*\}\s*```\s*"
+
+
+def without_sender(text: Column) -> Column:
+    """A user's text without the block about its sender, unless nothing would be left."""
+    clean = X.stripped(F.regexp_replace(text, _SENDER, ""))
+    return F.when(clean != "", clean).otherwise(text)
+
+
 def flatten_message(parts: Column) -> Column:
-    """Text of a message's typed parts: text as is, tools and results as marks, thinking cut to 200 characters each."""
+    """Text of a message's typed parts, a line each: text as is, tools and results as marks; thinking is left out."""
+    name = lambda p: F.coalesce(p["name"], F.lit("?"))
     shown = F.transform(
         parts,
-        lambda p: F.when(p["type"] == "text", p["text"]).when(p["type"] == "tool_use", F.concat(F.lit("[tool: "), p["name"], F.lit("]"))).when(p["type"] == "tool_result", F.lit("[tool_result]")),
+        lambda p: F.when(p["type"] == "text", p["text"]).when(p["type"] == "tool_use", F.concat(F.lit("[tool: "), name(p), F.lit("]"))).when(p["type"] == "tool_result", F.lit("[tool_result]")),
     )
     return F.array_join(F.filter(shown, lambda s: s.isNotNull() & (s != "")), "\n")
 
 
 def thinking_summary(parts: Column, each: int = 200, most: int = 500) -> Column:
-    own = F.filter(parts, lambda p: p["type"] == "thinking")
-    return F.substring(F.array_join(F.transform(own, lambda p: F.substring(p["text"], 1, each)), " | "), 1, most)
+    """The heads of thinking parts, cut to ``each`` characters, joined and cut to ``most``."""
+    own = F.filter(parts, lambda p: (p["type"] == "thinking") & (F.coalesce(p["text"], F.lit("")) != ""))
+    return F.substring(F.array_join(F.transform(own, lambda p: X.stripped(F.substring(p["text"], 1, each))), " | "), 1, most)
+
+
+def tool_names(text: Column) -> Column:
+    """Tools named in the lines of a flattened message, in order."""
+    return F.transform(F.regexp_extract_all(text, F.lit(r"(?m)^[^\n]*?\[tool:([^\]\n]*)"), F.lit(1)), lambda n: F.trim(n))
+
+
+def reported_lines(report: Column) -> Column:
+    """Line numbers that a checker's report names."""
+    return F.transform(F.regexp_extract_all(report, F.lit(r"(?m)^\s*line\s+(\d+)\s+"), F.lit(1)), lambda n: n.cast("int"))
 
 
 def drop_lines(text: Column, numbers: Column) -> Column:
-    """Text without the numbered lines (from 1), and a last line that says how many went."""
-    kept = F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains(numbers, i + 1))
-    lost = F.size(F.split(text, "\n")) - F.size(kept)
-    return F.when(lost > 0, F.concat(F.array_join(kept, "\n"), F.lit("\n["), lost.cast("string"), F.lit(" lines dropped]"))).otherwise(text)
+    """Text without the numbered lines (from 1) and with a last line that says how many went; numbers of no line count
+    for nothing, and without any other the text stays as it is."""
+    every = X.lines(text)
+    valid = F.filter(F.array_distinct(numbers), lambda n: (n >= 1) & (n <= F.size(every)))
+    kept = F.filter(every, lambda _, i: ~F.array_contains(valid, (i + 1).cast("int")))
+    loss = F.concat(F.lit("DROPPED: "), F.size(valid).cast("string"), F.lit(" invalid stated line(s) after corrective retry"))
+    return F.when(F.coalesce(F.size(valid), F.lit(0)) > 0, X.stripped(F.array_join(F.concat(kept, F.array(loss)), "\n"))).otherwise(text)
 
 
 def agent_of(source: Column) -> Column:
-    """Agent named by a source path or a session id."""
-    found = F.nullif(F.regexp_extract(source, r"agents/([A-Za-z0-9_-]+)/", 1), F.lit(""))
-    return F.coalesce(found, F.nullif(F.regexp_extract(source, r"^([A-Za-z0-9_]+)-session-", 1), F.lit("")), F.lit("unknown"))
+    """Agent named by a session's source: what stands before its time or date; sources of the other store by their prefix;
+    else null."""
+    timed = F.nullif(F.regexp_extract(source, r"^session:(.+?)-\d{4}-\d{2}-\d{2}-\d{2}-\d{2}-\d{2}", 1), F.lit(""))
+    dated = F.nullif(F.regexp_extract(source, r"^session:(.+?)-\d{4}-\d{2}-\d{2}$", 1), F.lit(""))
+    return F.coalesce(timed, dated, F.when(source.startswith("mem0:"), F.lit("mem0")))
+
+
+#: Words that prove nothing in an answer (fixed values).
+ANSWER_STOP = ("the", "and", "with", "from", "that", "this", "for", "was", "are", "has", "have", "will")
 
 
-def recall_grade(answer: Column, needle: Column, keywords: Column) -> Column:
-    """1 for the exact needle, else by share of keywords: 1 from 0.8, half from 0.4, else 0."""
-    low = F.lower(answer)
-    share = F.when(F.size(keywords) > 0, F.size(F.filter(keywords, lambda k: F.contains(low, F.lower(k)))) / F.size(keywords)).otherwise(F.lit(0.0))
-    return F.when(F.contains(low, F.lower(needle)), F.lit(1.0)).when(share >= 0.8, F.lit(1.0)).when(share >= 0.4, F.lit(0.5)).otherwise(F.lit(0.0))
+def recall_score(level: Column, context: Column, expected: Column, keywords: Column) -> Column:
+    """correct, partial, wrong or not_found. A needle must stand in the context, its numbers (or else its long words) earn
+    half; other levels go by the share of keywords (0.8, 0.4), without keywords by that of the answer's words (0.6, 0.3)."""
+    low, want = F.lower(context), F.lower(expected)
+    empty = X.stripped(context) == ""
+    miss = F.when(empty, F.lit("not_found")).otherwise(F.lit("wrong"))
+    needle = F.replace(F.replace(want, F.lit("$"), F.lit("")), F.lit("\u00b0f"), F.lit(""))
+    numbers = F.regexp_extract_all(needle, F.lit(r"(\d[\d,.]*)"), F.lit(1))
+    words = F.filter(F.split(needle, r"\s+"), lambda w: (F.length(w) >= 4) & ~w.isin(list(ANSWER_STOP)))
+    tokens = F.when(F.size(numbers) > 0, numbers).otherwise(words)
+    by_needle = F.when(F.contains(low, needle), F.lit("correct")).when(F.exists(tokens, lambda t: F.contains(low, t)), F.lit("partial")).otherwise(miss)
+    share = lambda some: F.size(F.filter(some, lambda w: F.contains(low, F.lower(w)))) / F.greatest(F.size(some), F.lit(1))
+    by_keywords = F.when(share(keywords) >= 0.8, F.lit("correct")).when(share(keywords) >= 0.4, F.lit("partial")).otherwise(miss)
+    long = F.filter(F.split(want, r"\s+"), lambda w: F.length(w) > 3)
+    by_words = F.when(share(long) >= 0.6, F.lit("correct")).when(share(long) >= 0.3, F.lit("partial")).otherwise(F.lit("wrong"))
+    return F.when(level == "needle", by_needle).when(F.coalesce(F.size(keywords), F.lit(0)) > 0, by_keywords).otherwise(by_words)
+
+
+def recall_accuracy(scores: DataFrame, column: str = "score") -> DataFrame:
+    """One row: answers and percent right, half credit for partial ones."""
+    point = F.when(F.col(column) == "correct", 1.0).when(F.col(column) == "partial", 0.5).otherwise(0.0)
+    return scores.agg(F.count("*").alias("answers"), F.round(F.avg(point) * 100, 1).alias("accuracy_pct"))
+
+
+def is_sentinel(summary: Column, facts: Column) -> Column:
+    """Records to purge: without text, or flush markers only beside next to no text."""
+    text = X.stripped(F.coalesce(summary, F.lit("")))
+    marks = F.forall(facts, lambda f: F.lower(F.trim(F.coalesce(f, F.lit("")))) == P.FLUSH_MARKER)
+    return (text == "") | (F.coalesce(F.size(facts) > 0, F.lit(False)) & F.coalesce(marks, F.lit(False)) & (F.length(text) < 40))
 
 
 def latest_status(events: DataFrame, key: str = "claim_id") -> DataFrame:
-    """Status of claims after promote, deprecate, forget and override events: the last event decides, forget is final."""
+    """Status of claims after promote, deprecate, forget and override events, with the claim that replaced an overridden
+    one (``replacement``): the last event decides, forget is final."""
     status = {"promote": "active", "deprecate": "deprecated", "forget": "forgotten", "override": "overridden"}
     to = F.create_map(*[x for k, v in status.items() for x in (F.lit(k), F.lit(v))])
-    rows = events.groupBy(key).agg(F.max_by("action", "seq").alias("last"), F.max((F.col("action") == "forget").cast("int")).alias("gone"), F.count("*").alias("events"))
-    return rows.select(key, F.when(F.col("gone") == 1, F.lit("forgotten")).otherwise(to[F.col("last")]).alias("status"), "events")
+    gone = F.max((F.col("action") == "forget").cast("int"))
+    extra = [F.max_by("replacement", F.when(F.col("action") == "override", F.col("seq"))).alias("superseded_by")] if "replacement" in events.columns else []
+    rows = events.groupBy(key).agg(F.max_by("action", "seq").alias("last"), gone.alias("gone"), F.count("*").alias("events"), *extra)
+    return rows.select(key, F.when(F.col("gone") == 1, F.lit("forgotten")).otherwise(to[F.col("last")]).alias("status"), "events", *(["superseded_by"] if extra else []))
 
 
 def audit_rows(events: DataFrame, columns: list[str], order: str, per: str) -> DataFrame:
@@ -121,68 +188,186 @@ def longest_prefix(rows: DataFrame, prefixes: DataFrame, path: str, prefix: str)
     return j.withColumn("r", F.row_number().over(Window.partitionBy(path).orderBy(F.length(prefix).desc(), prefix))).where("r = 1").drop("r")
 
 
-def narrative(rows: DataFrame, key: str, order: str, text: str, most: int = 30_000) -> DataFrame:
-    """Per key the last ``most`` characters of its texts in order; only rows that can reach into them are gathered."""
+def narrative(rows: DataFrame, key: str, order: str, text: str, most: int = 30_000, automatic: Column | None = None) -> DataFrame:
+    """Per key the last ``most`` characters of its texts in order, without ``automatic`` rows; only rows that can reach into
+    them are gathered."""
+    rows = rows if automatic is None else rows.where(~automatic)
     after = F.sum(F.length(text) + 1).over(Window.partitionBy(key).orderBy(F.col(order).desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.length(text) - 1
     near = rows.withColumn("after", after).where(F.col("after") <= most)
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t")))), lambda x: x["t"]), "\n")
     return near.groupBy(key).agg(F.right(joined, F.lit(most)).alias("text"))
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def salvaged(reply: pd.Series) -> pd.Series:
-    """Every complete object of a JSON array that may be cut off, as JSON; no built-in function reads torn JSON."""
-    decoder = json.JSONDecoder()
+def _unfenced(text: str) -> str:
+    text = text.strip()
+    if text.startswith("```"):
+        text = text.partition("\n")[2] if "\n" in text else text[3:]
+        text = text.rstrip().removesuffix("```")
+    return text.strip()
+
 
-    def objects(text: str | None) -> list[str]:
-        out, at = [], 0
-        text = text or ""
-        while (at := text.find("{", at)) >= 0:
+def salvage(reply: str) -> list:
+    """The values of a JSON array in a model's reply, whole or cut off; of a cut one every complete value before the cut.
+
+    Raw line breaks inside strings are taken. A bracket that opens no value is prose, and the next one is tried.
+    """
+    text, decoder = _unfenced(reply), json.JSONDecoder(strict=False)
+    try:
+        value = decoder.decode(text)
+        if isinstance(value, list | dict):
+            return value if isinstance(value, list) else [value]
+    except ValueError:
+        pass
+    for opening in (k for k, c in enumerate(text) if c == "["):
+        found, at = [], opening + 1
+        while (gap := re.compile(r"[ \t\r\n,]*").match(text, at).end()) < len(text) and text[gap] != "]":
             try:
-                value, at = decoder.raw_decode(text, at)
+                value, at = decoder.raw_decode(text, gap)
             except ValueError:
                 break
-            out.append(json.dumps(value, sort_keys=True))
-        return out
-
-    return reply.map(objects)
-
-
-def pack_sections(text: str, budget: int) -> str:
-    """Whole lines of a markdown brief within a budget of UTF-16 units: built or changed first, then blocked or open."""
-    units = lambda s: len(s.encode("utf-16-le")) // 2
-    sections: list[list[str]] = [[]]
-    for line in text.split("\n"):
-        if line.startswith("#") and sections[-1]:
-            sections.append([])
-        sections[-1].append(line)
-    weight = lambda s: 0 if any(w in s[0].lower() for w in ("built", "changed")) else 1 if any(w in s[0].lower() for w in ("blocked", "open")) else 2
-    used, keep = 0, {}
-    for k in sorted(range(len(sections)), key=lambda k: (weight(sections[k]), k)):
-        keep[k] = []
-        for line in sections[k]:
-            if used + units(line) + 1 > budget:
-                break
-            keep[k].append(line)
-            used += units(line) + 1
-    lost = sum(len(s) - len(keep[k]) for k, s in enumerate(sections))
-    body = "\n".join(line for k in sorted(keep) for line in keep[k])
-    return body + (f"\n[{lost} lines left out]" if lost else "")
+            found.append(value)
+        if found:
+            return found
+    return []
 
 
-def packed(text: Column, budget: int) -> Column:
-    @F.pandas_udf(T.StringType())
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: pack_sections(t or "", budget))
-
-    return run(text)
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def salvaged(reply: pd.Series) -> pd.Series:
+    """Every complete value of a JSON array that may be cut off, as JSON; no built-in function reads torn JSON."""
+    return reply.map(lambda t: [json.dumps(x, sort_keys=True) for x in salvage(t or "")])
 
 
 def valid_notes(replies: DataFrame, allowed: tuple[str, ...], most: int = 3) -> DataFrame:
-    """Notes of salvaged replies (id, objects): summary and an allowed category are needed, lengths are capped."""
-    note = F.from_json("object", "summary string, category string, confidence string, rating int")
+    """Notes of salvaged replies (id, objects), at most ``most`` a reply: of high confidence, an allowed category and a
+    summary of at most 1000 characters; at most five facts of at most 300."""
+    note = F.from_json("object", "summary string, category string, confidence string, key_facts array<string>")
     rows = replies.select("id", F.posexplode("objects").alias("pos", "object")).withColumn("n", note)
-    ok = (F.length(F.trim("n.summary")) > 0) & F.col("n.category").isin(list(allowed)) & F.coalesce(F.col("n.confidence") == "high", F.lit(True))
+    summary = F.trim(F.coalesce("n.summary", F.lit("")))
+    ok = F.lower(F.coalesce("n.confidence", F.lit(""))).eqNullSafe("high") & F.trim("n.category").isin(list(allowed)) & (summary != "") & (F.length(summary) <= 1000)
     place = F.row_number().over(Window.partitionBy("id").orderBy("pos"))
     kept = rows.where(ok).withColumn("place", place).where(F.col("place") <= most)
-    return kept.select("id", "place", F.substring("n.summary", 1, 500).alias("summary"), F.col("n.category").alias("category"), F.greatest(F.lit(1), F.least(F.lit(5), F.coalesce("n.rating", F.lit(3)))).alias("rating"))
+    facts = F.slice(F.filter(F.transform(F.coalesce("n.key_facts", F.array().cast("array<string>")), lambda f: F.substring(F.trim(f), 1, 300)), lambda f: f != ""), 1, 5)
+    return kept.select("id", "place", summary.alias("summary"), F.trim("n.category").alias("category"), facts.alias("key_facts"))
+
+
+def valid_facts(replies: DataFrame, today: str) -> DataFrame:
+    """Facts of salvaged replies (id, objects): entity, attribute and value are needed; the source is the day's extraction
+    unless it is given."""
+    rows = replies.select("id", F.posexplode("objects").alias("pos", "object")).withColumn("f", F.from_json("object", "entity string, attribute string, value string, evidence_source string"))
+    named = [F.coalesce(F.col(f"f.{c}"), F.lit("")) for c in ("entity", "attribute", "value")]
+    whole = (named[0] != "") & (named[1] != "") & (named[2] != "")
+    return rows.where(whole).select("id", "pos", "f.entity", "f.attribute", "f.value", F.coalesce("f.evidence_source", F.lit(f"dream:{today} extraction")).alias("evidence_source"))
+
+
+def valid_strategies(replies: DataFrame, today: str) -> DataFrame:
+    """Strategies of salvaged replies (agent_id, session_id, objects): type, description, outcome, success or failure and at
+    least one step with an action are needed; the rating is held to 1..5 and is 3 if it is no number."""
+    shape = "task_type string, task_description string, outcome string, derived_from string, evidence string, rating string, steps array<string>"
+    rows = replies.select("agent_id", "session_id", F.posexplode("objects").alias("pos", "object")).withColumn("s", F.from_json("object", shape))
+    text = {c: F.trim(F.coalesce(F.col(f"s.{c}"), F.lit(""))) for c in ("task_type", "task_description", "outcome", "derived_from", "evidence")}
+    one = "struct<action:string,tool_used:string,result_summary:string>"
+    as_object = lambda x: F.from_json(x, "action string, tool_used string, result_summary string")
+    bare = lambda x: F.struct(F.trim(x).alias("action"), F.lit(None).cast("string").alias("tool_used"), F.lit("").alias("result_summary")).cast(one)
+    read = lambda x: F.when(x.startswith("{"), F.struct(as_object(x)["action"].alias("action"), F.nullif(as_object(x)["tool_used"], F.lit("")).alias("tool_used"), F.coalesce(as_object(x)["result_summary"], F.lit("")).alias("result_summary")).cast(one)).otherwise(bare(x))
+    steps = F.filter(F.transform(F.coalesce("s.steps", F.array().cast("array<string>")), read), lambda p: F.trim(F.coalesce(p["action"], F.lit(""))) != "")
+    source = F.concat(F.lit(f"dream:{today} "), F.col("session_id"), F.when(text["evidence"] != "", F.concat(F.lit(" \u2014 "), text["evidence"])).otherwise(F.lit("")))
+    rating = F.greatest(F.lit(1), F.least(F.lit(5), F.coalesce(F.col("s.rating").try_cast("int"), F.lit(3))))
+    kept = rows.withColumn("steps", steps).where((text["task_type"] != "") & (text["task_description"] != "") & (text["outcome"] != "") & F.lower(text["derived_from"]).isin("success", "failure") & (F.size("steps") > 0))
+    return kept.select(
+        "agent_id", "session_id", "pos", F.substring(text["task_type"], 1, 128).alias("task_type"), F.substring(text["task_description"], 1, 10_000).alias("task_description"), "steps",
+        F.substring(text["outcome"], 1, 10_000).alias("outcome"), rating.alias("rating"), F.lower(text["derived_from"]).alias("derived_from"), F.substring(source, 1, 500).alias("evidence_source"),
+    )
+
+
+def rendered(timestamp: Column, session_id: Column, summary: Column, facts: Column, decisions: Column) -> Column:
+    """One record as a block of a chronicle: when and where, text, facts but flush markers, decisions."""
+    empty = F.array().cast("array<string>")
+    own, made = F.coalesce(facts, empty), F.coalesce(decisions, empty)
+    head = F.concat(F.lit("\n## ["), F.substring(F.coalesce(timestamp, F.lit("?")), 1, 19), F.lit("] session="), F.coalesce(session_id, F.lit("?")))
+    listed = F.transform(F.filter(own, lambda f: f != P.FLUSH_MARKER), lambda f: F.concat(F.lit("  - "), f))
+    parts = F.concat(F.array(head, F.coalesce(summary, F.lit(""))), F.when(F.size(own) > 0, F.concat(F.array(F.lit("Key facts:")), listed)).otherwise(empty), F.when(F.size(made) > 0, F.array(F.concat(F.lit("Decisions: "), F.array_join(made, "; ")))).otherwise(empty))
+    return F.array_join(parts, "\n")
+
+
+def harvest(memories: DataFrame, since: Column, left_out: str) -> DataFrame:
+    """Records of all agents but the nightly batch's own, modified since then, in the batch's form."""
+    empty = F.array().cast("array<string>")
+    rows = memories.where((F.col("modified") >= since) & (F.col("agent_id") != left_out))
+    return rows.select(
+        "agent_id", F.coalesce("session_id", F.lit("unknown")).alias("session_id"), F.coalesce(F.col("timestamp"), F.date_format("modified", "yyyy-MM-dd'T'HH:mm:ss")).alias("timestamp"),
+        F.coalesce("summary", F.lit("")).alias("summary"), F.coalesce("key_facts", empty).alias("key_facts"), F.coalesce("projects_referenced", empty).alias("projects"), F.coalesce("decisions_made", empty).alias("decisions"),
+    )
+
+
+def harvest_store(conversations: DataFrame, messages: DataFrame, summaries: DataFrame, since: Column, most: int = 50) -> DataFrame:
+    """What the older store adds: all summaries after ``since``, and of the ``most`` newest assistant messages after it those
+    over 100 characters, cut to 2000."""
+    who = conversations.select("conversation_id", "agent_id", "session_id")
+    told = summaries.where(F.col("created_at") > since).join(who, "conversation_id").select(F.lit("summary").alias("kind"), "agent_id", "session_id", F.col("created_at").alias("timestamp"), F.col("content").alias("summary"))
+    newest = messages.where((F.col("created_at") > since) & (F.col("role") == "assistant")).join(who, "conversation_id").orderBy(F.col("created_at").desc(), "message_id").limit(most)
+    said = newest.where(F.length("content") > 100).select(F.lit("message").alias("kind"), "agent_id", "session_id", F.col("created_at").alias("timestamp"), F.substring("content", 1, 2000).alias("summary"))
+    return told.unionByName(said)
+
+
+def agent_sections(rows: DataFrame, budget: int = 1_000_000) -> DataFrame:
+    """(agent_id, entries, dropped, section): each agent's records (timestamp, block) in order, the newest that fit the
+    budget, with a heading that says what was left out. Only records within the budget are gathered."""
+    newest = Window.partitionBy("agent_id").orderBy(F.col("timestamp").desc(), F.col("block").desc())
+    sized = rows.withColumn("used", F.sum(F.length("block")).over(newest.rowsBetween(Window.unboundedPreceding, 0)))
+    counts = rows.groupBy("agent_id").agg(F.count("*").alias("all"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("timestamp", "block"))), lambda x: x["block"]), "\n")
+    kept = sized.where(F.col("used") <= budget).groupBy("agent_id").agg(F.count("*").alias("entries"), body.alias("body"))
+    out = counts.join(kept, "agent_id", "left").withColumn("entries", F.coalesce("entries", F.lit(0)))
+    lost = F.col("all") - F.col("entries")
+    note = F.when(lost > 0, F.concat(F.lit("; "), lost.cast("string"), F.lit(f" older entries omitted to fit the {budget:,}-char cap"))).otherwise(F.lit(""))
+    head = F.concat(F.lit("# Agent: "), F.col("agent_id"), F.lit(" ("), F.col("entries").cast("string"), F.lit(" entries"), note, F.lit(")"))
+    return out.select("agent_id", "entries", lost.alias("dropped"), F.concat_ws("\n", head, "body").alias("section"))
+
+
+def asked(rows: DataFrame, column: str, model: Callable[[str], str], answer: str = "reply") -> DataFrame:
+    """Rows with a model's reply to a column's text, null where the call failed: one failure costs one row."""
+
+    def call(text: str | None) -> str | None:
+        try:
+            return model(text or "")
+        except Exception:
+            return None
+
+    @F.pandas_udf(T.StringType())
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(call)
+
+    return rows.withColumn(answer, run(column))
+
+
+def map_reduce_brief(sections: DataFrame, brief: Callable[[str], str], roll_up: Callable[[str], str]) -> str:
+    """One joint brief: a model's brief of each agent's section, run on the executors, then one of all briefs in order of the
+    agents. Agents whose call fails are left out; if all fail, that raises. The briefs, one an agent, meet on the driver."""
+    done = asked(sections, "section", brief, "brief").where("brief is not null").select("agent_id", "brief").orderBy("agent_id").collect()
+    if not done:
+        raise RuntimeError("every agent's brief failed")
+    return roll_up("# Per-agent briefs to synthesize\n\n" + "\n\n---\n\n".join(f"## Agent {r['agent_id']} brief\n\n{r['brief']}" for r in done))
+
+
+def extraction_input(memories: DataFrame, agents: Sequence[str], batch: str, budget: int = 20_000) -> DataFrame:
+    """(agent_id, chunk, section): stated records only, neither ambient nor quoting the batch, in chunks of the budget."""
+    stated = memories.where(~is_auto_capture(F.col("summary"), F.col("session_id"), F.col("key_facts"), agents) & ~is_self_derived(F.col("summary"), F.col("key_facts"), F.col("decisions"), batch))
+    rows = stated.withColumn("block", rendered(F.col("timestamp"), F.col("session_id"), F.col("summary"), F.col("key_facts"), F.col("decisions")))
+    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("agent_id").orderBy("timestamp", "session_id", "block"))).withColumn("chars", F.length("block"))
+    chunks = greedy_chunks(rows, ["agent_id"], "place", "chars", budget).select("agent_id", "place", "chunk")
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "block"))), lambda x: x["block"]), "\n")
+    sections = rows.join(chunks, ["agent_id", "place"]).groupBy("agent_id", "chunk").agg(F.count("*").alias("n"), body.alias("body"))
+    return sections.select("agent_id", "chunk", F.concat(F.lit("# Agent: "), "agent_id", F.lit(" ("), F.col("n").cast("string"), F.lit(" entries)\n"), "body").alias("section"))
+
+
+def extract_facts(memories: DataFrame, agents: Sequence[str], batch: str, model: Callable[[str], str], today: str, budget: int = 20_000) -> DataFrame:
+    """Facts that a model finds in the stated records, chunk by chunk; a chunk whose call or reply fails costs itself only."""
+    replies = asked(extraction_input(memories, agents, batch, budget), "section", model)
+    found = replies.where("reply is not null").select(F.struct("agent_id", "chunk").alias("id"), salvaged("reply").alias("objects"))
+    return valid_facts(found, today).select("id.agent_id", "id.chunk", "pos", "entity", "attribute", "value", "evidence_source")
+
+
+def brief_age(briefs: DataFrame, now: Column, companion: str = "-boot") -> DataFrame:
+    """The newest brief (name, modified) that is no companion, with its age in hours."""
+    latest = briefs.where(~F.col("name").endswith(companion)).agg(F.max_by(F.struct("name", "modified"), "name").alias("b")).where("b is not null")
+    return latest.select("b.name", F.round((now.cast("double") - F.col("b.modified").cast("double")) / 3600, 1).alias("age_hours"))

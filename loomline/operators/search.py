@@ -1,48 +1,101 @@
-"""Full-text search over an inverted index, line search, markdown bullets and entity pages."""
+"""Full-text search, line search, markdown bullets, entity pages and topics."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+from functools import lru_cache
+
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from loomline.functions.porter import stem
+from loomline.functions.text import page_slug
 
 #: Standard published constants of BM25.
 K1, B = 1.2, 0.75
 
 
+def flat_words(text: Column) -> Column:
+    """The text's words in lower case, one space between two and none around."""
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+", " "))
+
+
 def terms(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
+    flat = flat_words(text)
+    return F.when(flat == "", F.array().cast("array<string>")).otherwise(F.split(flat, " "))
+
 
+@F.pandas_udf(T.StringType())
+def stemmed_words(flat: pd.Series) -> pd.Series:
+    """Each word of flat texts by its Porter stem, for which there is no built-in function."""
+    own = lru_cache(100_000)(stem)
+    return flat.map(lambda t: " ".join(map(own, t.split())) if t else t)
 
-def weighted_terms(column: str, weight: float) -> Column:
-    return F.transform(terms(F.coalesce(F.col(column), F.lit(""))), lambda t: F.struct(t.alias("term"), F.lit(float(weight)).alias("w")))
 
+def _flat(column: str, porter: bool) -> Column:
+    return stemmed_words(flat_words(F.col(column))) if porter else flat_words(F.col(column))
 
-def inverted_index(docs: DataFrame, id_col: str, columns: dict[str, float]) -> DataFrame:
+
+def inverted_index(docs: DataFrame, id_col: str, columns: dict[str, float], porter: bool = False) -> DataFrame:
     """(id, term, weighted frequency, weighted length); columns carry their weights."""
-    weighted = [weighted_terms(c, w) for c, w in columns.items()]
-    rows = docs.select(F.col(id_col).alias("id"), F.concat(*weighted).alias("all"))
-    rows = rows.select("id", F.aggregate("all", F.lit(0.0), lambda s, x: s + x["w"]).alias("length"), F.explode("all").alias("x"))
-    return rows.groupBy("id", F.col("x.term").alias("term"), "length").agg(F.sum("x.w").alias("tf"))
+    rows = docs.select(F.col(id_col).alias("id"), *[_flat(c, porter).alias(c) for c in columns])
+    words = {c: F.when(F.col(c) == "", F.array().cast("array<string>")).otherwise(F.split(c, " ")) for c in columns}
+    length = sum((F.lit(float(w)) * F.size(words[c]) for c, w in columns.items()), F.lit(0.0))
+    every = F.concat(*[F.transform(words[c], lambda t, w=w: F.struct(t.alias("term"), F.lit(float(w)).alias("w"))) for c, w in columns.items()])
+    return rows.select("id", length.alias("length"), F.explode(every).alias("x")).groupBy("id", F.col("x.term").alias("term"), "length").agg(F.sum("x.w").alias("tf"))
+
+
+def write_index(docs: DataFrame, id_col: str, columns: dict[str, float], path: str, mode: str = "overwrite", porter: bool = False, buckets: int = 64) -> None:
+    """Postings under ``path``/postings by bucket of the term, and lengths under ``path``/lengths; ``append`` adds documents,
+    ``overwrite`` builds anew."""
+    rows = inverted_index(docs, id_col, columns, porter)
+    rows.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets))).write.mode(mode).partitionBy("bucket").parquet(f"{path}/postings")
+    lengths = docs.select(F.col(id_col).alias("id"), sum((F.lit(float(w)) * F.size(F.filter(F.split(_flat(c, porter), " "), lambda t: t != "")) for c, w in columns.items()), F.lit(0.0)).alias("length"))
+    lengths.write.mode(mode).parquet(f"{path}/lengths")
+
+
+def bm25_indexed(spark, path: str, query: Sequence[str], porter: bool = False, buckets: int = 64) -> DataFrame:
+    """(id, score, matched) from a written index: only the query's terms' buckets are read."""
+    wanted = sorted({stem(t.lower()) if porter else t.lower() for t in query})
+    postings = spark.read.parquet(f"{path}/postings")
+    bucket = spark.createDataFrame([(t,) for t in wanted], "term string").select(F.pmod(F.xxhash64("term"), F.lit(buckets)).alias("b")).distinct().collect()
+    found = postings.where(F.col("bucket").isin([r["b"] for r in bucket]) & F.col("term").isin(wanted))
+    stats = spark.read.parquet(f"{path}/lengths").agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
+    df = found.groupBy("term").agg(F.count("*").alias("df"))
+    rows = found.join(F.broadcast(df), "term").crossJoin(F.broadcast(stats))
+    idf = F.log(1.0 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
+    return rows.groupBy("id").agg(F.sum(part).alias("score"), F.count("*").cast("int").alias("matched"))
 
 
-def bm25(docs: DataFrame, query: list[str], id_col: str, columns: dict[str, float], prefix: bool = False) -> DataFrame:
-    """(id, score, matched): only postings of the query's terms leave the scan; statistics are two small aggregates.
+def bm25(docs: DataFrame, query: Sequence[str], id_col: str, columns: dict[str, float], prefix: bool = False, porter: bool = False) -> DataFrame:
+    """(id, score, matched) over all documents without an index.
 
-    ``matched`` counts the query terms that a document has; ``prefix`` lets a term match every word it begins.
+    ``matched`` counts the query terms that a document has; ``prefix`` lets a term match every word it begins; ``porter``
+    compares stems. Texts are read and cut into words once: what both the statistics and the scores need of a document is
+    a few numbers, and those are what is shuffled, once for both.
     """
-    wanted = [t.lower() for t in query]
-    weighted = [weighted_terms(c, w) for c, w in columns.items()]
-    rows = docs.select(F.col(id_col).alias("id"), F.concat(*weighted).alias("all"))
-    size = F.aggregate("all", F.lit(0.0), lambda s, x: s + x["w"])
-    fits = lambda x, t: x["term"].startswith(t) if prefix else x["term"] == t
-    weight_of = lambda t: F.aggregate(F.filter("all", lambda x: fits(x, t)), F.lit(0.0), lambda s, x: s + x["w"])
-    tf = [weight_of(t).alias(f"tf{k}") for k, t in enumerate(wanted)]
-    counted = rows.select("id", size.alias("length"), *tf)
-    stats = counted.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *[F.sum((F.col(f"tf{k}") > 0).cast("int")).alias(f"df{k}") for k in range(len(wanted))])
-    hits = counted.where(F.greatest(F.lit(0.0), *[F.col(f"tf{k}") for k in range(len(wanted))]) > 0).crossJoin(F.broadcast(stats))
+    wanted = [stem(t.lower()) if porter else t.lower() for t in query]
+    rows = docs.select(F.col(id_col).alias("id"), *[F.concat(F.lit(" "), _flat(c, porter)).alias(c) for c in columns])
+
+    def found(c: str, t: str) -> Column:
+        if prefix:  # every word stands behind a space of its own
+            return (F.length(c) - F.length(F.replace(F.col(c), F.lit(f" {t}"), F.lit("")))) / (len(t) + 1)
+        words = F.split(c, " ")
+        return (F.size(words) - F.size(F.array_remove(words, t))).cast("double")
+
+    length = sum((w * F.when(F.col(c) == " ", F.lit(0)).otherwise(F.size(F.split(c, " ")) - 1) for c, w in columns.items()), F.lit(0.0))
+    tf = [sum((w * found(c, t) for c, w in columns.items()), F.lit(0.0)).alias(f"tf{k}") for k, t in enumerate(wanted)]
+    names = [f"tf{k}" for k in range(len(wanted))]
+    counted = rows.select("id", length.alias("length"), *tf).repartition("id")
+    stats = counted.agg(F.count(F.struct("id")).alias("n"), F.avg("length").alias("mean"), *[F.sum((F.col(c) > 0).cast("int")).alias(f"df{k}") for k, c in enumerate(names)])
+    hits = counted.where(F.greatest(F.lit(0.0), F.lit(0.0), *names) > 0).crossJoin(F.broadcast(stats))
     score, matched = F.lit(0.0), F.lit(0)
-    for k in range(len(wanted)):
-        f, df = F.col(f"tf{k}"), F.col(f"df{k}")
+    for k, c in enumerate(names):
+        f, df = F.col(c), F.col(f"df{k}")
         idf = F.log(1.0 + (F.col("n") - df + 0.5) / (df + 0.5))
         score = score + idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("length") / F.col("mean")))
         matched = matched + (f > 0).cast("int")
@@ -51,8 +104,52 @@ def bm25(docs: DataFrame, query: list[str], id_col: str, columns: dict[str, floa
 
 def relaxed(hits: DataFrame, n_terms: int, least: int = 3) -> DataFrame:
     """Documents with all terms; if those are fewer than ``least``, documents with any."""
-    full = F.sum((F.col("matched") == n_terms).cast("int")).over(Window.partitionBy(F.lit(1)))
-    return hits.withColumn("full", full).where((F.col("matched") == n_terms) | (F.col("full") < least)).drop("full")
+    full = hits.agg(F.sum((F.col("matched") == n_terms).cast("int")).alias("full"))
+    return hits.crossJoin(F.broadcast(full)).where((F.col("matched") == n_terms) | (F.col("full") < least)).drop("full")
+
+
+def memory_search(records: DataFrame, query: Sequence[str], since: str | None = None, entity: str | None = None, limit: int = 8) -> DataFrame:
+    """The best records (id, date, text, title, entities) for a query, all of whose terms they hold, with score.
+
+    Filters by date (unknown dates pass) and entity come after the statistics, as those belong to the whole store; ties go
+    to the later date, then the larger id.
+    """
+    docs = records.select("id", "text", "title", F.array_join("entities", " ").alias("names"))
+    hits = bm25(docs, query, "id", {"text": 8.0, "title": 2.0, "names": 3.0}).where(F.col("matched") == len(query))
+    keep = F.lit(True)
+    if since is not None:
+        keep = keep & (F.col("date").isNull() | (F.col("date") >= since))
+    if entity is not None:
+        keep = keep & F.coalesce(F.array_contains("entities", entity), F.lit(False))
+    found = records.where(keep).join(hits, "id")
+    return found.orderBy(F.col("score").desc(), F.coalesce("date", F.lit("0000-00-00")).desc(), F.col("id").desc()).limit(limit)
+
+
+def snippet(text: str, query: Sequence[str], size: int = 12, marks: tuple[str, str] = (">>", "<<"), more: str = " \u2026 ") -> str:
+    """The ``size`` words of a text, from the first best place, that hold most of the stems that begin with a query term."""
+    words = (text or "").split()
+    wanted = [stem(t.lower()) for t in query]
+    clean = [stem("".join(c for c in w.lower() if c.isalnum())) for w in words]
+    hit = [next((t for t in wanted if c.startswith(t)), None) for c in clean]
+    starts = range(max(1, len(words) - size + 1))
+    best = max(starts, key=lambda a: (len({h for h in hit[a : a + size] if h}), -a), default=0)
+    part = [f"{marks[0]}{w}{marks[1]}" if h else w for w, h in zip(words[best : best + size], hit[best : best + size], strict=True)]
+    return (more.lstrip() if best else "") + " ".join(part) + (more.rstrip() if best + size < len(words) else "")
+
+
+def file_search(files: DataFrame, query: Sequence[str], id_col: str = "path", limit: int = 20, least: int = 3, columns: dict[str, float] | None = None, body: str = "content") -> DataFrame:
+    """Best files for a query of prefixes over stems: name, path and content by weight 8, 4 and 1; files with all terms, or
+    with any if those are fewer than ``least``; with score (two decimals) and a snippet of the content."""
+    columns = columns or {"name": 8.0, "path": 4.0, "content": 1.0}
+    hits = relaxed(bm25(files, query, id_col, columns, prefix=True, porter=True), len(query), least)
+    top = hits.orderBy(F.col("score").desc(), "id").limit(limit)
+
+    @F.pandas_udf(T.StringType())
+    def shown(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: snippet(t, query))
+
+    found = files.select(F.col(id_col).alias("id"), F.col(body).alias("body")).join(F.broadcast(top), "id")
+    return found.select(F.col("id").alias(id_col), F.round("score", 2).alias("score"), "matched", shown("body").alias("snippet"))
 
 
 def grep_lines(docs: DataFrame, needle: str, id_col: str, text_col: str, context: int = 1, most: int = 12) -> DataFrame:
@@ -67,22 +164,35 @@ def grep_lines(docs: DataFrame, needle: str, id_col: str, text_col: str, context
     return rows.select("id", "lines", F.explode(F.slice(wide, 1, most)).alias("line_no")).select("id", "line_no", F.element_at("lines", F.col("line_no")).alias("line"))
 
 
-BULLET = r"^\s*[-*] (?:([a-z_]+) )?(?:c=([0-9.]+) )?(.+)$"
+#: A bullet: a kind, how sure it is, and what it says, in which @ marks entities (fixed values).
+BULLET = r"^\s*-\s*([A-Za-z_][A-Za-z0-9_-]*)(?:\s*c=(\d+(?:\.\d+)?))?\s+(.+?)\s*$"
+HEADING, ENTITY, DATE = r"^#{1,6}\s+(.*)", r"@([A-Za-z0-9_.-]+)", r"(\d{4}-\d{2}-\d{2})"
+
 
+def markdown_bullets(files: DataFrame, id_col: str, text_col: str, path_col: str | None = None) -> DataFrame:
+    """(id, line_no from 1, heading, kind, confidence, text, entities, date): bullets with the last heading above them.
 
-def markdown_bullets(files: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, line_no, heading, kind, confidence, text, entities): bullets with the last heading above them."""
-    lines = files.select(F.col(id_col).alias("id"), F.posexplode(F.split(text_col, "\n")).alias("line_no", "line"))
-    heading = F.last(F.nullif(F.regexp_extract("line", r"^#+ *(.+)$", 1), F.lit("")), ignorenulls=True)
-    up = Window.partitionBy("id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    rows = lines.withColumn("heading", heading.over(up)).where(F.col("line").rlike(BULLET))
+    The marks of entities go from the text; the date is the first in the path, if one is given.
+    """
+    date = F.nullif(F.regexp_extract(path_col, DATE, 1), F.lit("")) if path_col else F.lit(None).cast("string")
+    lines = files.select(F.col(id_col).alias("id"), date.alias("date"), F.posexplode(F.split(text_col, "\r?\n")).alias("at", "line"))
+    heading = F.when(F.col("line").rlike(HEADING), F.trim(F.regexp_extract("line", HEADING, 1)))
+    up = Window.partitionBy("id").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    rows = lines.withColumn("heading", F.last(heading, ignorenulls=True).over(up)).where(F.col("line").rlike(BULLET))
+    text = F.regexp_extract("line", BULLET, 3)
     return rows.select(
-        "id", "line_no", "heading", F.nullif(F.regexp_extract("line", BULLET, 1), F.lit("")).alias("kind"),
-        F.try_to_number(F.nullif(F.regexp_extract("line", BULLET, 2), F.lit("")), F.lit("9.99")).cast("double").alias("confidence"),
-        F.regexp_extract("line", BULLET, 3).alias("text"), F.array_distinct(F.regexp_extract_all("line", F.lit(r"@([A-Za-z0-9_-]+)"), F.lit(1))).alias("entities"),
+        "id", (F.col("at") + 1).alias("line_no"), "heading", F.lower(F.regexp_extract("line", BULLET, 1)).alias("kind"),
+        F.nullif(F.regexp_extract("line", BULLET, 2), F.lit("")).cast("double").alias("confidence"),
+        F.regexp_replace(text, ENTITY, "$1").alias("text"), F.regexp_extract_all(text, F.lit(ENTITY), F.lit(1)).alias("entities"), "date",
     )
 
 
+def of_entity(records: DataFrame, entities: DataFrame, id_col: str = "id") -> DataFrame:
+    """Records that name one of the entities: a semi join on the unnested names."""
+    named = records.select(F.col(id_col), F.explode("entities").alias("entity")).join(entities.select("entity").distinct(), "entity", "left_semi").select(id_col).distinct()
+    return records.join(named, id_col, "left_semi")
+
+
 def entity_pages(records: DataFrame, most: int = 10) -> DataFrame:
     """Per entity a page of its newest bullets; records have id, date, text, entities."""
     rows = records.select(F.explode("entities").alias("entity"), "date", "id", "text")
@@ -92,14 +202,68 @@ def entity_pages(records: DataFrame, most: int = 10) -> DataFrame:
     return top.groupBy("entity").agg(F.count("*").alias("bullets"), F.array_join(bullets, "\n").alias("page"))
 
 
-def topic_matches(docs: DataFrame, slugs: DataFrame, id_col: str, text_col: str, most: int = 5000) -> DataFrame:
-    """(id, slug): documents that hold a slug's words in order, on word boundaries.
+#: Pages whose names are broadcast; more are matched in blocks, each a pass over the texts.
+MAX_PAGES = 200_000
+
+
+def topic_matches(docs: DataFrame, pages: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, section, slug): documents that name a page as words of their own, by its slug, its slug with spaces or an alias.
+
+    ``pages`` has section, slug and aliases (array or null). All names go into one automaton that reads each text once,
+    whatever their number; texts are never shuffled.
+    """
+    names = pages.select("section", "slug", F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases")).distinct()
+    blocks = max(1, -(-names.count() // MAX_PAGES))
+    out = None
+    for k in range(blocks):
+        block = [(r["section"], r["slug"], r["aliases"]) for r in names.where(F.pmod(F.xxhash64("section", "slug"), F.lit(blocks)) == k).collect()]
+        found = _topic_block(docs, block, id_col, text_col)
+        out = found if out is None else out.unionAll(found)
+    return out
+
+
+def _topic_block(docs: DataFrame, block: list[tuple[str, str, list[str]]], id_col: str, text_col: str) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(block)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        automaton, targets = ahocorasick.Automaton(), {}
+        for section, slug, aliases in shared.value:
+            for name in {slug, slug.replace("-", " "), *(a.lower() for a in aliases)} - {""}:
+                targets.setdefault(name, []).append((section, slug))
+        for name in targets:
+            automaton.add_word(name, name)
+        if targets:
+            automaton.make_automaton()
+        word = lambda c: c.isalnum() or c == "_"
+
+        def bounded(text: str, start: int, end: int) -> bool:
+            """Whether a word begins or ends at both ends of the place."""
+            first = start == 0 or word(text[start - 1]) != word(text[start])
+            return (first if start else word(text[0])) and (word(text[end - 1]) != word(text[end]) if end < len(text) else word(text[end - 1]))
+
+        for batch in batches:
+            rows = []
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                text = (text.as_py() or "").lower()
+                if targets and text:
+                    hits = {name for end, name in automaton.iter(text) if bounded(text, end + 1 - len(name), end + 1)}
+                    rows += [(i, *t) for t in sorted({t for name in hits for t in targets[name]})]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[k] for r in rows], pa.string()) for k in (1, 2))], names=["id", "section", "slug"])
+
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, section string, slug string")
+
+
+def cluster(memories: DataFrame, pages: DataFrame, flush_marker: str = "auto_capture_flush", id_col: str = "memory_id") -> DataFrame:
+    """(id, section, slug) of every topic of a memory: its projects, and the pages that its text, facts, decisions, writer or
+    the writer's other names mention. Memories that hold nothing but flush markers, or match nothing, are left out.
 
-    A slug's first word is an equi-join key of the documents' distinct words, so no pair is tested that shares no word;
-    slugs are broadcast when there are at most ``most``.
+    ``memories`` has id, summary, key_facts, projects, decisions and writer (array of names).
     """
-    keys = slugs.select("slug", F.concat(F.lit(" "), F.regexp_replace("slug", "-", " "), F.lit(" ")).alias("phrase"), F.element_at(F.split("slug", "-"), 1).alias("word"))
-    keys = F.broadcast(keys) if keys.limit(most + 1).count() <= most else keys
-    rows = docs.select(F.col(id_col).alias("id"), terms(F.col(text_col)).alias("w"))
-    rows = rows.select("id", F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")).alias("flat"), F.explode(F.array_distinct("w")).alias("word"))
-    return rows.join(keys, "word").where(F.contains("flat", F.col("phrase"))).select("id", "slug").distinct()
+    empty = F.array().cast("array<string>")
+    facts = F.filter(F.coalesce("key_facts", empty), lambda f: f != flush_marker)
+    rows = memories.where((F.size(F.coalesce("key_facts", empty)) == 0) | (F.size(facts) > 0))
+    text = F.concat_ws(" ", F.substring(F.coalesce("summary", F.lit("")), 1, 4000), F.array_join(facts, " "), F.array_join(F.coalesce("decisions", empty), " "), F.array_join(F.coalesce("writer", empty), " "))
+    own = rows.select(F.col(id_col).cast("long").alias("id"), F.lit("projects").alias("section"), F.explode("projects").alias("p")).where("p is not null and p != ''")
+    return own.select("id", "section", page_slug(F.col("p")).alias("slug")).union(topic_matches(rows.select(id_col, text.alias("haystack")), pages, id_col, "haystack")).distinct()

@@ -1,66 +1,94 @@
 """Exchange logs: retry dedup, sessions, turn pairing, tiers, roll-ups and recent context.
 
-Sequential rules are folds over one key's narrow rows in arrival order: a lag or a prefix sum would be wrong. A key
-gathers (time, id) pairs only. Rows without order-dependent state stay windows or aggregates.
+Rules whose state depends on earlier decisions are streamed folds over one key's narrow rows in arrival order: a lag or
+a prefix sum would be wrong. Rows without order-dependent state stay windows or aggregates.
 """
 
 from __future__ import annotations
 
+from collections import deque
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from loomline.functions.text import lines
+from loomline.operators.fold import Step, fields, streamed
 
 GAP_SECONDS, MOST_ENTRIES, DEDUP_SECONDS = 3600, 500, 900
 WARM_DAYS, COLD_DAYS = 3, 30
-TURN_BUDGET = {"user": 2000, "assistant": 1200, "tool": 300}
+#: Characters kept of a turn: by role if it holds conversation, else those of a tool echo (fixed values).
+TURN_BUDGET, ECHO_BUDGET = {"user": 2000, "assistant": 1200}, 300
 
 
-def kept_positions(times: Column, within: float) -> Column:
-    """Of ascending times, those at least ``within`` after the last one kept: a dropped copy extends nothing."""
-    start = F.struct(F.lit(None).cast("double").alias("last"), F.array().cast("array<boolean>").alias("keep"))
+def _timed(rows: DataFrame, keys: list[str], ts: str, id_col: str, *more: str) -> DataFrame:
+    return rows.select(*keys, F.col(ts).cast("double").alias("seconds"), F.col(id_col), *more)
 
-    def step(state: Column, t: Column) -> Column:
-        keep = state["last"].isNull() | (t - state["last"] >= within)
-        return F.struct(F.when(keep, t).otherwise(state["last"]).alias("last"), F.concat(state["keep"], F.array(keep)).alias("keep"))
 
-    return F.aggregate(times, start, step, lambda s: s["keep"])
+def drop_retries(rows: DataFrame, keys: list[str], ts: str, id_col: str, within: float = DEDUP_SECONDS) -> DataFrame:
+    """Rows that are not repeats of the same exchange within the window of the last written copy: a dropped copy
+    extends nothing."""
+    n = len(keys)
 
+    def start() -> Step:
+        last: list[float] = []
 
-def drop_retries(rows: DataFrame, keys: list[str], ts: str, id_col: str, within: float = DEDUP_SECONDS) -> DataFrame:
-    """Rows that are not repeats of the same exchange within the window of the last written copy."""
-    seconds = F.col(ts).cast("double")
-    grouped = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(seconds.alias("t"), F.col(id_col).alias("id")))).alias("all"))
-    kept = grouped.select(*keys, F.explode(F.arrays_zip(F.col("all"), kept_positions(F.transform("all", lambda x: x["t"]), within).alias("keep"))).alias("x"))
-    return kept.where("x.keep").select(*keys, F.col("x.all.id").alias(id_col), F.col("x.all.t").alias("seconds"))
+        def step(row: tuple):
+            if not last or row[n] - last[0] >= within:
+                last[:] = [row[n]]
+                yield (*row[:n], row[n + 1], row[n])
+
+        return step
+
+    narrow = _timed(rows, keys, ts, id_col)
+    return streamed(narrow, keys, ["seconds", id_col], start, fields(narrow, [*keys, id_col, "seconds"]))
 
 
 def accept_limited(rows: DataFrame, keys: list[str], ts: str, id_col: str, limit: int = 10, within: float = 3600) -> DataFrame:
     """Sliding rate limit: a row passes if fewer than ``limit`` accepted ones lie within the window before it."""
-    grouped = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(ts).cast("double").alias("t"), F.col(id_col).alias("id")))).alias("all"))
-    start = F.struct(F.array().cast("array<double>").alias("recent"), F.array().cast("array<boolean>").alias("keep"))
+    n = len(keys)
+
+    def start() -> Step:
+        recent: deque[float] = deque()
 
-    def step(state: Column, x: Column) -> Column:
-        recent = F.filter(state["recent"], lambda r: x["t"] - r < within)
-        keep = F.size(recent) < limit
-        return F.struct(F.when(keep, F.concat(recent, F.array(x["t"]))).otherwise(recent).alias("recent"), F.concat(state["keep"], F.array(keep)).alias("keep"))
+        def step(row: tuple):
+            while recent and row[n] - recent[0] >= within:
+                recent.popleft()
+            accepted = len(recent) < limit
+            if accepted:
+                recent.append(row[n])
+            yield (*row[:n], row[n + 1], accepted)
 
-    zipped = grouped.select(*keys, F.explode(F.arrays_zip(F.col("all"), F.aggregate("all", start, step, lambda s: s["keep"]).alias("keep"))).alias("x"))
-    return zipped.select(*keys, F.col("x.all.id").alias(id_col), F.col("x.keep").alias("accepted"))
+        return step
+
+    narrow = _timed(rows, keys, ts, id_col)
+    return streamed(narrow, keys, ["seconds", id_col], start, fields(narrow, [*keys, id_col], accepted=T.BooleanType()))
 
 
 def breaker_states(rows: DataFrame, key: str, ts: str, ok: str, id_col: str, threshold: int = 3, cooldown: float = 60) -> DataFrame:
-    """Circuit breaker: after ``threshold`` failures in a row calls are skipped until the cooldown has passed."""
-    grouped = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(ts).cast("double").alias("t"), F.col(id_col).alias("id"), F.col(ok).alias("ok")))).alias("all"))
-    start = F.struct(F.lit(0).alias("fails"), F.lit(None).cast("double").alias("opened"), F.array().cast("array<string>").alias("out"))
+    """Circuit breaker: after ``threshold`` failures in a row calls are skipped until the cooldown since the last failure
+    has passed; then the count starts afresh."""
+
+    def start() -> Step:
+        state = {"fails": 0, "last": None}
 
-    def step(s: Column, x: Column) -> Column:
-        skip = F.coalesce((s["fails"] >= threshold) & (x["t"] - s["opened"] < cooldown), F.lit(False))
-        fails = F.when(skip, s["fails"]).when(x["ok"], F.lit(0)).otherwise(s["fails"] + 1)
-        opened = F.when(skip, s["opened"]).when(~x["ok"] & (fails >= threshold), x["t"]).when(x["ok"], F.lit(None).cast("double")).otherwise(s["opened"])
-        state = F.when(skip, F.lit("skipped")).when(x["ok"], F.lit("ok")).otherwise(F.lit("failed"))
-        return F.struct(fails.alias("fails"), opened.alias("opened"), F.concat(s["out"], F.array(state)).alias("out"))
+        def step(row: tuple):
+            own, t, i, good = row
+            if state["fails"] >= threshold:
+                if t - state["last"] < cooldown:
+                    yield own, i, "skipped"
+                    return
+                state["fails"] = 0
+            if good:
+                state["fails"] = 0
+            else:
+                state.update(fails=state["fails"] + 1, last=t)
+            yield own, i, "ok" if good else "failed"
 
-    zipped = grouped.select(key, F.explode(F.arrays_zip(F.col("all"), F.aggregate("all", start, step, lambda s: s["out"]).alias("state"))).alias("x"))
-    return zipped.select(key, F.col("x.all.id").alias(id_col), F.col("x.state").alias("state"))
+        return step
+
+    narrow = _timed(rows, [key], ts, id_col, ok)
+    return streamed(narrow, [key], ["seconds", id_col], start, fields(narrow, [key, id_col], state=T.StringType()))
 
 
 def sessions(rows: DataFrame, key: str, ts: str, id_col: str, gap: float = GAP_SECONDS, most: int = MOST_ENTRIES) -> DataFrame:
@@ -106,8 +134,32 @@ def latest_tier(rows: DataFrame, key: str, tier: str, order: tuple[str, ...] = (
     return rows.withColumn("r", F.row_number().over(Window.partitionBy(key).orderBy(rank))).where("r = 1").drop("r")
 
 
+def turn_budget(role: Column, text: Column) -> Column:
+    """Characters worth keeping of a turn: tool echoes are turns without any line of conversation."""
+    talk = F.exists(lines(text), lambda x: x.rlike(r"^\s*(?!\[tool)\S"))
+    by_role = F.coalesce(*[F.when(role == r, F.lit(n)) for r, n in TURN_BUDGET.items()], F.lit(ECHO_BUDGET))
+    return F.when(talk, by_role).otherwise(F.lit(ECHO_BUDGET))
+
+
 def budgeted_turn(role: Column, text: Column) -> Column:
-    """Turns cut by role; tool echoes are cut shortest."""
-    tool = text.startswith("[tool")
-    most = F.when(tool, TURN_BUDGET["tool"]).when(role == "user", TURN_BUDGET["user"]).otherwise(TURN_BUDGET["assistant"])
-    return F.substr(text, F.lit(1), most)
+    return F.substr(text, F.lit(1), turn_budget(role, text))
+
+
+def hot_listing(entries: DataFrame) -> DataFrame:
+    """(session_id, entries, size_kb, modified) of hot sessions (file, is_exchange, bytes, modified), newest name first."""
+    by = entries.groupBy(F.regexp_replace("file", r"\.jsonl$", "").alias("session_id"))
+    return by.agg(F.sum(F.col("is_exchange").cast("long")).alias("entries"), F.round(F.sum("bytes") / 1024, 1).alias("size_kb"), F.max("modified").alias("modified")).orderBy(F.col("session_id").desc())
+
+
+def warm_listing(rows: DataFrame) -> DataFrame:
+    """(session_id, summary of at most 100 characters, number of facts), newest name first."""
+    return rows.select("session_id", F.substring(F.coalesce("summary", F.lit("")), 1, 100).alias("summary"), F.greatest(F.size(F.coalesce("key_facts", F.array())), F.lit(0)).alias("key_facts")).orderBy(F.col("session_id").desc())
+
+
+def dedup_seed(exchanges: DataFrame, now: float, window: float = DEDUP_SECONDS, newest: int = 512) -> DataFrame:
+    """(hash, written) of the last ``newest`` lines of the newest file that lie within the window: what a dedup that
+    starts anew must already know. Exchanges have file, modified, line, prompt, response and seconds."""
+    last = exchanges.groupBy("file").agg(F.max("modified").alias("m")).orderBy(F.col("m").desc(), F.col("file").desc()).limit(1).select("file")
+    tail = exchanges.join(F.broadcast(last), "file", "left_semi").orderBy(F.col("line").desc()).limit(newest)
+    known = F.sha2(F.concat(F.col("prompt"), F.lit("\x00"), F.col("response")), 256)
+    return tail.where(F.lit(now) - F.col("seconds") < window).groupBy(known.alias("hash")).agg(F.max("seconds").alias("written"))

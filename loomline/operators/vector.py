@@ -1,14 +1,17 @@
-"""Vector search: exact kNN, over-fetched filtered kNN with one escalation, and the cached tiers' thresholds.
+"""Vector search: exact kNN, over-fetched filtered kNN with one escalation, and search of many queries at once.
 
-The index side is scanned once per block of queries and only the query vectors are broadcast, in blocks of bounded size. Top-k is a
-TakeOrdered per query literal, or a row_number over few survivors for many queries.
+A vector of another width than the query's is an error, not a miss; rows without a vector are not in the index. The
+index is scanned once per block of queries and only the query vectors are broadcast, in blocks of bounded size. Top-k is
+a TakeOrdered per query literal; for many queries each task keeps k rows a query, so no pair is ever shuffled.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,11 +29,17 @@ def check_width(vector: Sequence[float], width: int) -> None:
         raise ValueError(f"query vector has {len(vector)} dimensions, the index has {width}")
 
 
+def of_width(vector: Column, width: int) -> Column:
+    """The vector; an error if it has another width."""
+    message = F.concat(F.lit("a vector of the index has "), F.size(vector).cast("string"), F.lit(f" dimensions, the query has {width}"))
+    return F.when(F.size(vector) == width, vector).otherwise(F.raise_error(message))
+
+
 def scored(index: DataFrame, vector: Sequence[float], vector_col: str = "embedding") -> DataFrame:
-    """Index rows of the query's width with distance, similarity (of the distance) and cosine."""
+    """Index rows with distance, similarity (of the distance) and cosine."""
     q = literal(vector)
-    v = F.col(vector_col)
-    return index.where(F.size(v) == len(vector)).withColumn("distance", scores.l2_distance(v, q)).withColumn("similarity", scores.l2_similarity(F.col("distance"))).withColumn("cosine", scores.cosine(v, q))
+    v = of_width(F.col(vector_col), len(vector))
+    return index.where(F.col(vector_col).isNotNull()).withColumn("distance", scores.l2_distance(v, q)).withColumn("similarity", scores.l2_similarity(F.col("distance"))).withColumn("cosine", scores.cosine(v, q))
 
 
 def category_filter(include: str | None = None, exclude: Sequence[str] = ()) -> Column:
@@ -83,17 +92,39 @@ def query_blocks(queries: DataFrame, id_col: str) -> list[DataFrame]:
 
 
 def nearest_many(index: DataFrame, queries: DataFrame, k: int, id_col: str = "memory_id", query_col: str = "query_id", vector_col: str = "embedding") -> DataFrame:
-    """(query, id, distance, rank) of every query's k nearest rows; queries are broadcast block by block.
-
-    Each task keeps k rows a query before anything is shuffled: map-side top-k by an aggregate of k smallest structs.
-    """
+    """(query, id, distance, rank) of every query's k nearest rows; equal distances go by id; queries are broadcast block by
+    block."""
     return reduce(DataFrame.unionAll, [_nearest_block(index, b, k, id_col, query_col, vector_col) for b in query_blocks(queries, query_col)])
 
 
 def _nearest_block(index: DataFrame, queries: DataFrame, k: int, id_col: str, query_col: str, vector_col: str) -> DataFrame:
-    q = F.broadcast(queries.select(F.col(query_col).alias("query"), F.col(vector_col).alias("query_vector")))
-    pairs = index.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).join(q, F.size("v") == F.size("query_vector"))
-    pairs = pairs.select("query", "id", scores.l2_distance(F.col("v"), F.col("query_vector")).alias("distance"))
-    per_task = Window.partitionBy("part", "query").orderBy("distance", "id")
-    kept = pairs.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(64))).withColumn("r", F.row_number().over(per_task)).where(F.col("r") <= k)
+    block = queries.select(F.col(query_col).cast("long").alias("query"), F.col(vector_col).cast("array<double>").alias("v")).where("query is not null and v is not null").toArrow()
+    names = block["query"].to_numpy()
+    vectors = np.array(block["v"].to_pylist(), float).reshape(len(names), -1)
+    shared = index.sparkSession.sparkContext.broadcast((names, vectors))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, vectors = shared.value
+        ids, far = [np.zeros(0, np.int64)] * len(names), [np.zeros(0)] * len(names)
+        for batch in batches:
+            if not batch.num_rows or not len(names):
+                continue
+            own, rows = batch.column(0).to_numpy(), batch.column(1)
+            if len(rows.values) != len(rows) * vectors.shape[1]:
+                raise ValueError(f"a vector of the index does not have the queries' {vectors.shape[1]} dimensions")
+            matrix = rows.flatten().to_numpy().reshape(len(rows), -1)
+            for q, v in enumerate(vectors):
+                d = np.sqrt(((matrix - v) ** 2).sum(axis=1))
+                if len(far[q]) >= k:
+                    some = np.flatnonzero(d <= far[q][-1])
+                else:
+                    some = np.arange(len(d))
+                all_ids, all_far = np.concatenate((ids[q], own[some])), np.concatenate((far[q], d[some]))
+                best = np.lexsort((all_ids, all_far))[:k]
+                ids[q], far[q] = all_ids[best], all_far[best]
+        counts = [len(x) for x in ids]
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, counts)), pa.array(np.concatenate([*ids, np.zeros(0, np.int64)])), pa.array(np.concatenate([*far, np.zeros(0)]))], names=["query", "id", "distance"])
+
+    rows = index.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("id is not null and v is not null")
+    kept = rows.mapInArrow(run, "query long, id long, distance double")
     return kept.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("distance", "id"))).where(F.col("rank") <= k).select("query", "id", "distance", "rank")

@@ -16,11 +16,13 @@ from loomline.queries.twins import _CATEGORY
 QUERIES, ORACLE_SQL = {}, {}
 
 
-def query(sql: str | None):
+def query(sql: str | None, queries: dict = QUERIES, oracle: dict = ORACLE_SQL):
+    """Registers a query beside its twin."""
+
     def register(f):
-        QUERIES[f.__name__] = f
+        queries[f.__name__] = f
         if sql:
-            ORACLE_SQL[f.__name__] = sql
+            oracle[f.__name__] = sql
         return f
 
     return register
@@ -34,12 +36,16 @@ def canonical_text(spark: SparkSession, d: str) -> DataFrame:
     return canonical(rows).select("doc_id", F.sha2("text", 256).alias("text_sha256"))
 
 
-@query("SELECT c.conv_id, turn, length(text) AS chars FROM conversations c JOIN (SELECT conv_id, count(*) AS n FROM conversations GROUP BY 1) s ON s.conv_id = c.conv_id WHERE role = 'assistant' AND n > 4 ORDER BY c.conv_id DESC, turn LIMIT 50")
+@query("""WITH m AS (SELECT conv_id, turn, role, text, conv_id * 1000 + turn AS made FROM conversations), n AS (SELECT * FROM m WHERE made > 20000 AND role = 'assistant' ORDER BY made DESC LIMIT 50)
+    SELECT 'message' AS kind, 's' || conv_id AS session_id, make_timestamp(made * 1000000) AS timestamp, left(text, 2000) AS summary FROM n WHERE length(text) > 100
+    UNION ALL SELECT 'summary', 's' || conv_id, make_timestamp(made * 1000000), left(text, 80) FROM m WHERE turn = 0 AND made > 20000""")
 def legacy_messages(spark: SparkSession, d: str) -> DataFrame:
-    """Answers of conversations with more than four messages, newest first."""
-    c = A.table(spark, d, "conversations")
-    long = c.groupBy("conv_id").agg(F.count("*").alias("n")).where("n > 4")
-    return c.where("role = 'assistant'").join(long, "conv_id", "left_semi").orderBy(F.col("conv_id").desc(), "turn").limit(50).select("conv_id", "turn", F.length("text").cast("long").alias("chars"))
+    """What the older store adds: summaries, and substantial answers among the newest ones."""
+    c = A.table(spark, d, "conversations").withColumn("created_at", F.timestamp_seconds(F.expr("conv_id * 1000 + turn")))
+    who = c.select(F.col("conv_id").alias("conversation_id"), F.lit("a").alias("agent_id"), F.concat(F.lit("s"), "conv_id").alias("session_id")).distinct()
+    messages = c.select(F.col("conv_id").alias("conversation_id"), F.expr("conv_id * 1000 + turn").alias("message_id"), "role", F.col("text").alias("content"), "created_at")
+    told = c.where("turn = 0").select(F.col("conv_id").alias("conversation_id"), F.substring("text", 1, 80).alias("content"), "created_at")
+    return N.harvest_store(who, messages, told, F.timestamp_seconds(F.lit(20_000))).drop("agent_id")
 
 
 @query("""WITH s AS (SELECT c_custkey AS entity, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment ELSE 'BUILDING' END AS value FROM customer WHERE c_custkey % 3 <> 0), f AS (SELECT c_custkey AS entity, c_mktsegment AS have FROM customer WHERE c_custkey % 5 <> 0)
@@ -105,13 +111,15 @@ def category_resolution(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(r.alias("r")).groupBy("r.method", "r.category").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT event_id % 6 IN (0, 1, 2, 3) AS automatic, event_id % 5 IN (0, 1) AS derived, count(*) AS n FROM events GROUP BY 1, 2""")
+@query("""SELECT event_id % 6 IN (0, 1, 2, 3) AS automatic, event_id % 7 IN (0, 1, 2, 3) AS derived, count(*) AS n FROM events GROUP BY 1, 2""")
 def provenance_guards(spark: SparkSession, d: str) -> DataFrame:
-    """Ambient captures and records that quote the nightly batch."""
-    head = F.expr("CASE event_id % 6 WHEN 0 THEN '[AUTO-CAPTURE] x' WHEN 1 THEN 'activity (auto-sync from JSONL)' ELSE event_type END")
-    sid = F.expr("CASE event_id % 6 WHEN 2 THEN 'cc-jsonl-1' WHEN 3 THEN 'a-auto-17' ELSE 's1' END")
-    text = F.expr("CASE event_id % 5 WHEN 0 THEN 'see the Dream Brief' WHEN 1 THEN 'VERIFIED-vs-extracted!' ELSE props END")
-    rows = A.table(spark, d, "events").select(N.is_auto_capture(head, sid, F.array().cast("array<string>")).alias("automatic"), N.is_self_derived(text).alias("derived"))
+    """Ambient captures, and records that quote the nightly batch in their text, facts or decisions."""
+    mark = F.expr("CASE event_id % 7 WHEN 0 THEN 'see the Dream Brief' WHEN 3 THEN '_Made 2026-08-14 by nightly-dream.py_' WHEN 4 THEN 'worked on nightly-dream.py; capped it' ELSE props END")
+    head = F.concat(F.expr("CASE event_id % 6 WHEN 0 THEN '[AUTO-CAPTURE] ' WHEN 1 THEN 'activity (auto-sync from JSONL) ' ELSE '' END"), mark)
+    sid = F.expr("CASE event_id % 6 WHEN 2 THEN 'ops-jsonl-1' WHEN 3 THEN 'a-auto-17' ELSE 's1' END")
+    facts = F.expr("CASE WHEN event_id % 7 = 1 THEN array('x', 'forwarded dream-contradictions-2026-08-14') ELSE array('y') END")
+    decisions = F.expr("CASE WHEN event_id % 7 = 2 THEN array('acked dream-git-sync-drift') END")
+    rows = A.table(spark, d, "events").select(N.is_auto_capture(head, sid, facts, ["ops"]).alias("automatic"), N.is_self_derived(head, facts, decisions, "nightly").alias("derived"))
     return rows.groupBy("automatic", "derived").agg(F.count("*").alias("n"))
 
 
@@ -121,35 +129,46 @@ def private_terms(spark: SparkSession, d: str) -> DataFrame:
     return A.table(spark, d, "documents").agg(*[F.sum(c.cast("long")).alias(k) for k, c in hits.items()])
 
 
-@query("""SELECT conv_id, turn, sha256(CASE turn % 3 WHEN 0 THEN left(text, 40) || chr(10) || '[tool: ls]' WHEN 1 THEN '[tool_result]' ELSE left(text, 40) END) AS flat_sha256, CASE WHEN turn % 3 = 2 THEN left(text, 200) ELSE '' END AS thought FROM conversations""")
+@query(r"""SELECT conv_id, turn, sha256(CASE turn % 3 WHEN 0 THEN text || chr(10) || '[tool: ls]' WHEN 1 THEN '[tool_result]' ELSE text END) AS flat_sha256, CASE WHEN turn % 3 = 2 THEN regexp_replace(left(text, 200), '^\s+|\s+$', '', 'g') ELSE '' END AS thought FROM conversations""")
 def flat_messages(spark: SparkSession, d: str) -> DataFrame:
     """Typed message parts as text; thinking is kept apart."""
     part = lambda kind, text, name: F.struct(F.lit(kind).alias("type"), text.alias("text"), name.alias("name"))
     none = F.lit(None).cast("string")
-    text, tool, result, thought = part("text", F.substring("text", 1, 40), none), part("tool_use", none, F.lit("ls")), part("tool_result", F.lit("out"), none), part("thinking", F.col("text"), none)
+    text, tool, result, thought = part("text", F.col("text"), none), part("tool_use", none, F.lit("ls")), part("tool_result", F.lit("out"), none), part("thinking", F.col("text"), none)
     parts = F.when(F.expr("turn % 3 = 0"), F.array(text, tool)).when(F.expr("turn % 3 = 1"), F.array(result)).otherwise(F.array(thought, text))
     return A.table(spark, d, "conversations").select("conv_id", "turn", F.sha2(N.flatten_message(parts), 256).alias("flat_sha256"), N.thinking_summary(parts).alias("thought"))
 
 
-@query(r"""WITH s AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), k AS (SELECT doc_id, l, list_filter(l, lambda x, i: i NOT IN (1, 3)) AS kept FROM s)
-    SELECT doc_id, sha256(array_to_string(kept, chr(10)) || chr(10) || '[' || (len(l) - len(kept)) || ' lines dropped]') AS text_sha256 FROM k""")
+@query(r"""WITH s AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), t AS (SELECT doc_id, CASE WHEN l[-1] = '' THEN l[:-2] ELSE l END AS l FROM s),
+    k AS (SELECT doc_id, l, list_filter(l, lambda x, i: i NOT IN (1, 3)) AS kept FROM t)
+    SELECT doc_id, sha256(CASE WHEN len(l) > len(kept) THEN regexp_replace(array_to_string(list_append(kept, 'DROPPED: ' || (len(l) - len(kept)) || ' invalid stated line(s) after corrective retry'), chr(10)), '^\s+|\s+$', '', 'g') ELSE array_to_string(l, chr(10)) END) AS text_sha256 FROM k""")
 def dropped_lines(spark: SparkSession, d: str) -> DataFrame:
-    return A.table(spark, d, "documents").select("doc_id", F.sha2(N.drop_lines(F.col("text"), F.array(F.lit(1), F.lit(3))), 256).alias("text_sha256"))
+    numbers = N.reported_lines(F.lit("  line 1  too short\nline 3 no owner\n line 99999999 none"))
+    return A.table(spark, d, "documents").select("doc_id", F.sha2(N.drop_lines(F.col("text"), numbers), 256).alias("text_sha256"))
 
 
-@query("SELECT event_type AS agent, count(*) AS n FROM events WHERE event_id % 3 < 2 GROUP BY 1 UNION ALL SELECT 'unknown', count(*) FROM events WHERE event_id % 3 = 2")
+@query("SELECT CASE WHEN event_id % 4 < 2 THEN event_type WHEN event_id % 4 = 2 THEN 'mem0' END AS agent, count(*) AS n FROM events GROUP BY 1")
 def source_agents(spark: SparkSession, d: str) -> DataFrame:
-    source = F.expr("CASE event_id % 3 WHEN 0 THEN concat('/x/agents/', event_type, '/m.json') WHEN 1 THEN concat(event_type, '-session-9') ELSE props END")
+    source = F.expr("CASE event_id % 4 WHEN 0 THEN concat('session:', event_type, '-2026-04-27-19-37-28') WHEN 1 THEN concat('session:', event_type, '-2026-04-25') WHEN 2 THEN 'mem0:x' ELSE props END")
     return A.table(spark, d, "events").groupBy(N.agent_of(source).alias("agent")).agg(F.count("*").alias("n"))
 
 
-@query("""WITH g AS (SELECT b.item_id, CASE WHEN contains(lower(d.text), lower(left(b.text, 30))) THEN 1.0 WHEN s >= 0.8 THEN 1.0 WHEN s >= 0.4 THEN 0.5 ELSE 0 END AS grade FROM benchmark b JOIN documents d ON d.doc_id = b.item_id,
-        LATERAL (SELECT len(list_filter(k, lambda w: contains(lower(d.text), lower(w)))) / len(k) AS s FROM (SELECT list_slice(string_split(b.text, ' '), 1, 5) AS k))) SELECT item_id, grade::DOUBLE AS grade FROM g""")
+@query(r"""WITH b AS (SELECT item_id, b.text AS want, CASE WHEN item_id % 4 = 0 THEN '' WHEN item_id % 4 = 1 THEN d.text ELSE d.text || ' ' || left(b.text, (length(b.text) * (item_id % 10) / 10)::INTEGER) END AS ctx FROM benchmark b JOIN documents d ON d.doc_id = b.item_id),
+    w AS (SELECT *, lower(ctx) AS low, lower(want) AS lw, trim(ctx) = '' AS nothing, string_split(want, ' ') AS kw, regexp_extract_all(lower(want), '\d[\d,.]*') AS nums,
+        list_filter(regexp_split_to_array(lower(want), '\s+'), lambda x: length(x) >= 4 AND x NOT IN ('the', 'and', 'with', 'from', 'that', 'this', 'for', 'was', 'are', 'has', 'have', 'will')) AS lng,
+        list_filter(regexp_split_to_array(lower(want), '\s+'), lambda x: length(x) > 3) AS l3 FROM b),
+    s AS (SELECT *, len(list_filter(kw, lambda x: contains(low, lower(x)))) / len(kw) AS share, len(list_filter(l3, lambda x: contains(low, x))) / greatest(len(l3), 1) AS share3, len(list_filter(CASE WHEN len(nums) > 0 THEN nums ELSE lng END, lambda x: contains(low, x))) AS tok FROM w)
+    SELECT item_id, CASE item_id % 3 WHEN 0 THEN CASE WHEN contains(low, lw) THEN 'correct' WHEN tok > 0 THEN 'partial' WHEN nothing THEN 'not_found' ELSE 'wrong' END
+        WHEN 1 THEN CASE WHEN share >= 0.8 THEN 'correct' WHEN share >= 0.4 THEN 'partial' WHEN nothing THEN 'not_found' ELSE 'wrong' END
+        ELSE CASE WHEN share3 >= 0.6 THEN 'correct' WHEN share3 >= 0.3 THEN 'partial' ELSE 'wrong' END END AS score FROM s""")
 def recall_grades(spark: SparkSession, d: str) -> DataFrame:
-    """Needle and keyword grades of one document per question."""
-    b = A.table(spark, d, "benchmark").select("item_id", F.col("text").alias("b"))
-    docs = A.table(spark, d, "documents").select(F.col("doc_id").alias("item_id"), "text")
-    return docs.join(b, "item_id").select("item_id", N.recall_grade(F.col("text"), F.substring("b", 1, 30), F.slice(F.split("b", " "), 1, 5)).alias("grade"))
+    """How an answer's context does against a whole benchmark text: as a needle, by its words as keywords, without any."""
+    b = A.table(spark, d, "benchmark").select("item_id", F.col("text").alias("want"))
+    rows = A.table(spark, d, "documents").select(F.col("doc_id").alias("item_id"), "text").join(b, "item_id")
+    part = F.substring("want", F.lit(1), F.round(F.length("want") * F.expr("item_id % 10") / 10).cast("int"))
+    ctx = F.when(F.expr("item_id % 4 = 0"), F.lit("")).when(F.expr("item_id % 4 = 1"), F.col("text")).otherwise(F.concat("text", F.lit(" "), part))
+    level = F.when(F.expr("item_id % 3 = 0"), F.lit("needle")).otherwise(F.lit("general"))
+    return rows.select("item_id", N.recall_score(level, ctx, F.col("want"), F.when(F.expr("item_id % 3 < 2"), F.split("want", " "))).alias("score"))
 
 
 @query("""WITH e AS (SELECT o_custkey AS claim_id, o_orderkey AS seq, (['promote', 'deprecate', 'override', 'promote', 'promote', 'promote', 'forget'])[1 + o_orderkey % 7] AS action FROM orders)
@@ -174,21 +193,18 @@ def stale_trajectories(spark: SparkSession, d: str) -> DataFrame:
     return rows.where(F.lit("2024-04-30").cast("timestamp").cast("double") - F.col("used").cast("double") > 90 * 86400).select("id", "used")
 
 
-@query("SELECT event_id FROM events WHERE event_id % 3 = 0 OR event_id % 3 = 1 AND length(props) < 9")
+@query("SELECT event_id FROM events WHERE event_id % 3 = 0 OR event_id % 3 = 1 AND event_id % 2 = 0 AND length(props) < 40")
 def purge_sentinels(spark: SparkSession, d: str) -> DataFrame:
-    """Records that are empty, or hold only the flush marker and next to no text."""
-    summary = F.expr("CASE WHEN event_id % 3 = 0 THEN '' ELSE props END")
-    facts = F.expr("CASE WHEN event_id % 3 = 1 THEN array('auto_capture_flush') WHEN event_id % 3 = 2 THEN array('x') ELSE array() END")
-    rows = A.table(spark, d, "events").select("event_id", summary.alias("s"), facts.alias("f"))
-    only = (F.size("f") == 1) & (F.element_at("f", 1) == P.FLUSH_MARKER) & (F.length("s") < 9)
-    return rows.where((F.col("s") == "") & (F.size("f") == 0) | only).select("event_id")
+    """Records without text, and those that hold only flush markers beside next to no text."""
+    summary = F.expr("CASE WHEN event_id % 3 = 0 THEN ' ' WHEN event_id % 2 = 0 THEN props ELSE repeat(concat('long ', props), 9) END")
+    facts = F.expr("CASE WHEN event_id % 3 = 1 THEN array('AUTO_CAPTURE_FLUSH ', 'auto_capture_flush') ELSE array('x') END")
+    return A.table(spark, d, "events").where(N.is_sentinel(summary, facts)).select("event_id")
 
 
-@query("SELECT doc_id, running FROM (SELECT doc_id, (sum(n_chars) OVER (ORDER BY doc_id))::BIGINT AS running, row_number() OVER (ORDER BY doc_id) AS place FROM (SELECT * FROM documents ORDER BY doc_id LIMIT 200)) WHERE running <= 3000 OR place = 1")
+@query("SELECT doc_id, running FROM (SELECT doc_id, (sum(n_chars) OVER (ORDER BY doc_id))::BIGINT AS running, row_number() OVER (ORDER BY doc_id) AS place FROM documents) WHERE running <= 3000 OR place = 1")
 def lens_batch(spark: SparkSession, d: str) -> DataFrame:
     """The oldest records that fit a budget, at least one."""
-    oldest = A.table(spark, d, "documents").select("doc_id", "n_chars").orderBy("doc_id").limit(200)
-    return B.first_batch(oldest, [F.col("doc_id")], "n_chars", 3000).select("doc_id", "running")
+    return B.first_batch(A.table(spark, d, "documents").select("doc_id", "n_chars"), [F.col("doc_id")], "n_chars", 3000).select("doc_id", "running")
 
 
 @query("""WITH a AS (SELECT *, coalesce(epoch(ts) - lag(epoch(ts)) OVER w >= 43200, false)::INTEGER AS pause FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
@@ -214,9 +230,11 @@ def channel_sizes(spark: SparkSession, d: str) -> DataFrame:
     return N.longest_prefix(keyed, prefixes, "path", "prefix").groupBy("prefix").agg(F.count("*").alias("pages"), F.sum("n").alias("chars"))
 
 
-@query("""WITH j AS (SELECT user_id, right(string_agg(props, chr(10) ORDER BY event_id), 100) AS t FROM events GROUP BY 1) SELECT user_id, sha256(t) AS text_sha256 FROM j""")
+@query("""WITH j AS (SELECT user_id, right(string_agg(props || event_type, chr(10) ORDER BY event_id), 600) AS t FROM events WHERE event_type <> 'view' GROUP BY 1) SELECT user_id, sha256(t) AS text_sha256 FROM j""")
 def narratives(spark: SparkSession, d: str) -> DataFrame:
-    return N.narrative(A.exchanges(spark, d), "user_id", "event_id", "response", 100).select("user_id", F.sha2("text", 256).alias("text_sha256"))
+    """The end of what each agent saved on purpose."""
+    rows = A.exchanges(spark, d).withColumn("told", F.concat("response", "prompt"))
+    return N.narrative(rows, "user_id", "event_id", "told", 600, automatic=F.col("prompt") == "view").select("user_id", F.sha2("text", 256).alias("text_sha256"))
 
 
 @query("SELECT source AS channel, max(doc_id) FILTER (doc_id % 10 <> 0) AS latest FROM documents GROUP BY 1")
@@ -259,22 +277,22 @@ def corpus_confidence(spark: SparkSession, d: str) -> DataFrame:
     return A.table(spark, d, "part").select("p_partkey", F.greatest(F.lit(0.0), F.least(F.lit(1.0), number)).alias("confidence"))
 
 
-@query("""WITH r AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events WHERE event_type <> 'view')
-    SELECT user_id, string_agg(event_type || '#' || event_id, '; ' ORDER BY event_id) AS narrative, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS tools FROM r WHERE k <= 3 GROUP BY 1""")
+@query("""WITH c AS (SELECT user_id || '/' || strftime(ts, '%Y-%m-%d') AS flush_id, event_id, event_type, props FROM events WHERE event_type IN ('click', 'purchase', 'signup'))
+    SELECT flush_id, count(*)::INTEGER AS calls, '[AUTO-CAPTURE] ' || count(*) || ' tool calls:' || chr(10) || string_agg('- [' || event_type || '] ' || props, chr(10) ORDER BY event_id) AS summary,
+        coalesce(string_agg(left(props, 100), '|' ORDER BY event_id) FILTER (event_type = 'purchase'), 'auto_capture_flush') AS facts FROM c GROUP BY 1""")
 def tool_activity(spark: SparkSession, d: str) -> DataFrame:
-    """The last calls of each session as one line, and the distinct tools; skipped tools leave no trace."""
-    from loomline.operators.recall import newest
+    """A day's tool calls of a session as one record; what a call leaves is a policy by tool."""
+    from loomline.operators.sync import captured
 
-    rows = A.table(spark, d, "events").where("event_type != 'view'")
-    last = newest(rows, 3, per=["user_id"], by="event_id", id_col="event_id")
-    line = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))), lambda x: F.concat(x["event_type"], F.lit("#"), x["event_id"])), "; ")
-    return last.groupBy("user_id").agg(line.alias("narrative"), F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("tools"))
+    calls = A.table(spark, d, "events").select(F.concat_ws("/", "user_id", F.date_format("ts", "yyyy-MM-dd")).alias("flush_id"), F.col("event_id").alias("place"), F.col("event_type").alias("tool"), F.col("props").alias("summary"))
+    found = captured(calls, {"click": "summary", "purchase": "full", "signup": "drain", "view": "skip"})
+    return found.select("flush_id", "calls", "summary", F.array_join("key_facts", "|").alias("facts"))
 
 
 @query(None)
 def salvaged_notes(spark: SparkSession, d: str) -> DataFrame:
     """Notes out of cut-off model replies."""
-    reply = F.concat(F.lit('[{"summary": "'), "p_name", F.lit('", "category": "idea", "rating": 9}, {"summary": "", "category": "idea"}, {"summary": "cut'))
+    reply = F.concat(F.lit('[{"summary": "'), "p_name", F.lit('", "category": "idea", "confidence": "high", "key_facts": [" a "]}, {"summary": "", "category": "idea", "confidence": "high"}, {"summary": "cut'))
     rows = A.table(spark, d, "part").select(F.col("p_partkey").alias("id"), N.salvaged(reply).alias("objects"))
     return N.valid_notes(rows, ("idea", "decision"))
 
@@ -283,4 +301,4 @@ def salvaged_notes(spark: SparkSession, d: str) -> DataFrame:
 def packed_briefs(spark: SparkSession, d: str) -> DataFrame:
     """Briefs cut to a budget by whole lines, most needed sections first."""
     brief = F.concat(F.lit("# Notes\n"), F.col("text"), F.lit("\n## Built\n- a thing\n## Open\n- "), "source")
-    return A.table(spark, d, "documents").select("doc_id", N.packed(brief, 90).alias("brief"))
+    return A.table(spark, d, "documents").select("doc_id", B.packed(brief, 90).alias("brief"))

@@ -50,11 +50,11 @@ def _tiers(spark: SparkSession, d: str) -> dict[str, DataFrame]:
 
     scored = V.scored(A.vectors(spark, d), A.query_vector(spark, d))
     place = lambda df, *order: df.withColumn("position", F.row_number().over(Window.orderBy(*order)).cast("long"))
-    cached = scored.where("memory_id % 5 = 0").withColumn("age_seconds", F.expr("(memory_id * 613) % 172800"))
+    cached = scored.withColumn("age_seconds", F.expr("(memory_id * 613) % 172800"))
     by_cosine = (F.col("relevance").desc(), "memory_id")
     l1 = R.l1_hits(cached, 5, least=0.1).withColumn("relevance", F.col("cosine"))
     vec = V.nearest_filtered(A.vectors(spark, d), A.query_vector(spark, d), 10, V.category_filter(exclude=["session_log"])).withColumn("relevance", F.col("similarity"))
-    l2 = R.l2_hits(scored.where("memory_id % 3 = 0"), 5, above=0.1).withColumn("relevance", F.col("cosine"))
+    l2 = R.l2_hits(scored, 5, above=0.1).withColumn("relevance", F.col("cosine"))
     l3 = R.l3_hits(scored.withColumn("created_at", -F.coalesce("age_days", F.lit(0.0))), R.metadata_predicate(exclude=["session_log"], max_age_days=300), 5, above=0.05).withColumn("relevance", F.col("cosine"))
     return {"l1": place(l1, *by_cosine), "vec": place(vec, "distance", "memory_id"), "l2": place(l2, *by_cosine), "l3": place(l3, *by_cosine)}
 
@@ -182,12 +182,12 @@ def _with(*names: str, rest: str) -> str:
 
 _VIS = "(category IS NULL OR category NOT IN ('session_log'))"
 _TIERS_SQL = f"""
-    , cached AS (SELECT *, cosine AS relevance FROM scored WHERE memory_id % 5 = 0 AND (memory_id * 613) % 172800 <= 86400 AND cosine >= 0.1 ORDER BY cosine DESC, memory_id LIMIT 5),
+    , cached AS (SELECT *, cosine AS relevance FROM scored WHERE (memory_id * 613) % 172800 <= 86400 AND cosine >= 0.1 ORDER BY cosine DESC, memory_id LIMIT 5),
     l1 AS (SELECT memory_id, relevance, 1 AS tier, row_number() OVER (ORDER BY relevance DESC, memory_id) AS position FROM cached),
     vec AS (SELECT memory_id, similarity AS relevance, 2 AS tier, row_number() OVER (ORDER BY distance, memory_id) AS position
         FROM (SELECT * FROM (SELECT * FROM scored ORDER BY distance, memory_id LIMIT 50) WHERE {_VIS} ORDER BY distance, memory_id LIMIT 10)),
     l2 AS (SELECT memory_id, cosine AS relevance, 3 AS tier, row_number() OVER (ORDER BY cosine DESC, memory_id) AS position
-        FROM (SELECT * FROM scored WHERE memory_id % 3 = 0 AND cosine > 0.1 ORDER BY cosine DESC, memory_id LIMIT 5)),
+        FROM (SELECT * FROM scored WHERE cosine > 0.1 ORDER BY cosine DESC, memory_id LIMIT 5)),
     l3 AS (SELECT memory_id, cosine AS relevance, 4 AS tier, row_number() OVER (ORDER BY cosine DESC, memory_id) AS position
         FROM (SELECT * FROM (SELECT * FROM scored WHERE {_VIS} AND (age_days IS NULL OR age_days <= 300) ORDER BY -coalesce(age_days, 0) DESC, memory_id LIMIT 80) WHERE cosine > 0.05 ORDER BY cosine DESC, memory_id LIMIT 5))"""
 _POOL = f"""pool AS (SELECT s.*, row_number() OVER (ORDER BY distance, memory_id) AS position FROM

@@ -15,6 +15,13 @@ def _count(text: str, pattern: str) -> str:
     return f"len(regexp_extract_all({text}, {_q(pattern)}))"
 
 
+def _cards(text: str, pattern: str) -> str:
+    """Number of matches whose digits, 13 to 19 of them, have a doubled sum that ends in 0."""
+    digit = "substr(s, (length(s) - i)::INTEGER, 1)::INTEGER * (1 + i % 2)"
+    luhn = f"list_sum(list_transform(range(length(s)), lambda i: CASE WHEN {digit} > 9 THEN {digit} - 9 ELSE {digit} END)) % 10 = 0"
+    return f"len(list_filter(list_transform(regexp_extract_all({text}, {_q(pattern)}), lambda m: regexp_replace(m, '[^0-9]', '', 'g')), lambda s: length(s) BETWEEN 13 AND 19 AND {luhn}))"
+
+
 def _clean(text: str) -> str:
     for kind, pattern in P.SECRETS:
         text = f"regexp_replace({text}, {_q(pattern)}, '[REDACTED:{kind}]', 'g')"
@@ -83,11 +90,11 @@ def _bm25(table: str, key: str, columns: dict[str, float], terms: list[str], pre
         h AS (SELECT {key}, ({hit})::INTEGER AS matched, {score} AS sc FROM c, st WHERE {hit} > 0)"""
 
 
+_SECTIONED = """WITH w AS (SELECT doc_id, '# Top' || chr(10) || text || chr(10) || CASE WHEN doc_id % 3 = 0 THEN '## BOOT BOUNDARY below' ELSE 'about the BOOT BOUNDARY' END || chr(10) || lang
+            || chr(10) || '# One ' || source || chr(10) || 'memory_id: deadbeef' || lpad(doc_id::VARCHAR, 8, '0') || chr(10) || '## Two' || chr(10) || 'end' || chr(10) AS t FROM documents),
+        x AS (SELECT doc_id, length(t) AS total, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS k FROM w),
+        l AS (SELECT doc_id, total, line, k, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM x)"""
 _TRUSTED = "['trusted_local', 'trusted_curated_import', 'semi_trusted_remote', 'untrusted_web']"
-_CLAIM_RANK = (
-    "greatest(1, CASE WHEN " + " OR ".join(f"regexp_matches(claim, {_q(p)})" for _, p in P.SECRET_DETECTORS) + f" OR regexp_matches(claim, {_q(_INJECTION)}) THEN 4 ELSE 1 END, "
-    + ", ".join(f"CASE WHEN regexp_matches(claim, {_q(p)}) THEN {4 if s == 'hard_block' else 3} ELSE 1 END" for n, _, s, p in P.PII if n != "pii_credit_card_luhn") + ")"
-)
 _FLUFF = "(" + " OR ".join(f"regexp_matches(lower(claim), {_q(p)})" for p in P.FLUFF) + r" OR len(list_filter(regexp_split_to_array(trim(claim), '\s+'), lambda w: w <> '')) < 3)"
 
 _LEAKY = f"leaky AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN text || chr(10) || ([{', '.join(_q(x) for x in LEAKS)}])[1 + (doc_id // 5) % {len(LEAKS)}] ELSE text END AS text FROM documents)"
@@ -100,8 +107,8 @@ ORACLE_SQL = {
     "category_keywords": """SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'topology' WHEN 1 THEN 'incident' ELSE 'unknown' END AS category,
         CASE p_partkey % 3 WHEN 0 THEN 'port' WHEN 1 THEN 'outage,crash,failure' ELSE '' END AS keywords FROM part""",
     "routine_logs": "SELECT event_type, (event_id % 5 < 4 OR event_id % 7 = 0) AS routine, count(*) AS n FROM events GROUP BY 1, 2",
-    "token_sets": f"SELECT doc_id, len(t)::BIGINT AS n_tokens, sha256(array_to_string(t, ' ')) AS tokens_sha256 FROM (SELECT doc_id, {_tokens('text')} AS t FROM documents WHERE lang = 'en')",
-    "personal_data": "SELECT " + ", ".join(f"sum({_count('text', p)})::BIGINT AS {n}" for n, _, _, p in P.PII if n != "pii_credit_card_luhn") + " FROM documents",
+    "token_sets": f"SELECT doc_id, len(t)::BIGINT AS n_tokens, sha256(array_to_string(t, ' ')) AS tokens_sha256 FROM (SELECT doc_id, {_tokens('text')} AS t FROM documents)",
+    "personal_data": "SELECT " + ", ".join(f"sum({_cards('text', p) if n == 'pii_credit_card_luhn' else _count('text', p)})::BIGINT AS {n}" for n, _, _, p in P.PII) + " FROM documents",
     "card_numbers": """WITH d AS (SELECT o_orderkey, '45320151' || lpad(o_orderkey::VARCHAR, 4, '0') || '0366' AS s FROM orders),
         v AS (SELECT o_orderkey, list_sum(list_transform(range(16), lambda i: CASE WHEN s[16 - i]::INTEGER * (1 + i % 2) > 9 THEN s[16 - i]::INTEGER * 2 - 9 ELSE s[16 - i]::INTEGER * (1 + i % 2) END)) AS t FROM d)
         SELECT o_orderkey FROM v WHERE t % 10 = 0""",
@@ -136,14 +143,15 @@ ORACLE_SQL = {
     "session_tiers": """WITH r AS (SELECT user_id, count(*) AS entries, max(ts) AS last, sum(length(props))::BIGINT AS bytes FROM events GROUP BY 1), a AS (SELECT *, (1706745600 - floor(epoch(last))) / 86400.0 AS age FROM r)
         SELECT CASE WHEN user_id % 20 = 0 THEN 'deleted' WHEN age >= 30 THEN 'cold' WHEN age >= 3 THEN 'warm' ELSE 'hot' END AS tier, count(*) AS files, sum(bytes)::BIGINT AS bytes FROM a GROUP BY 1""",
     "recent": "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M') AS at, left(event_type, 300) AS prompt, left(props, 300) AS response FROM events ORDER BY ts DESC, event_id DESC LIMIT 20",
-    "turn_budgets": """WITH t AS (SELECT conv_id, turn, role, turn % 4 = 3 OR text LIKE '[tool%' AS tool, CASE WHEN turn % 4 = 3 THEN length(text) + 10 ELSE length(text) * 3 END AS n FROM conversations)
-        SELECT conv_id, turn, least(n, CASE WHEN tool THEN 300 WHEN role = 'user' THEN 2000 ELSE 1200 END)::BIGINT AS kept FROM t""",
+    "turn_budgets": """WITH t AS (SELECT conv_id, turn, role, CASE WHEN turn % 4 = 3 THEN '[tool: x] ' || text ELSE text || text || text END AS t FROM conversations),
+        c AS (SELECT *, len(list_filter(string_split(t, chr(10)), lambda x: trim(x) <> '' AND NOT starts_with(ltrim(x), '[tool'))) > 0 AS talk FROM t)
+        SELECT conv_id, turn, least(length(t), CASE WHEN NOT talk THEN 300 WHEN role = 'user' THEN 2000 WHEN role = 'assistant' THEN 1200 ELSE 300 END)::BIGINT AS kept FROM c""",
     "latency_summary": "SELECT event_type AS prompt, count(*) AS calls, sum((event_type <> 'error')::BIGINT)::BIGINT AS ok, round(median(value), 6) AS mid, round(max(value), 6) AS top FROM events GROUP BY 1",
     "breaker": """WITH RECURSIVE e AS (SELECT user_id, epoch(ts) AS t, event_id % 3 = 0 AS ok, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
-        s AS (SELECT DISTINCT user_id, 0::BIGINT AS n, 0 AS fails, NULL::DOUBLE AS opened, NULL::VARCHAR AS state FROM e
-            UNION ALL SELECT user_id, n, CASE WHEN skip THEN fails WHEN ok THEN 0 ELSE fails + 1 END,
-                CASE WHEN skip THEN opened WHEN ok THEN NULL WHEN fails + 1 >= 3 THEN t ELSE opened END, CASE WHEN skip THEN 'skipped' WHEN ok THEN 'ok' ELSE 'failed' END
-            FROM (SELECT e.user_id, e.n, e.t, e.ok, s.fails, s.opened, coalesce(s.fails >= 3 AND e.t - s.opened < 86400, false) AS skip FROM s JOIN e ON e.user_id = s.user_id AND e.n = s.n + 1))
+        s AS (SELECT DISTINCT user_id, 0::BIGINT AS n, 0 AS fails, false AS is_open, NULL::DOUBLE AS last, NULL::VARCHAR AS state FROM e
+            UNION ALL SELECT user_id, n, CASE WHEN skip THEN fails WHEN ok THEN 0 ELSE base + 1 END, CASE WHEN skip THEN true WHEN ok THEN false ELSE base + 1 >= 3 END,
+                CASE WHEN skip OR ok THEN last ELSE t END, CASE WHEN skip THEN 'skipped' WHEN ok THEN 'ok' ELSE 'failed' END
+            FROM (SELECT e.user_id, e.n, e.t, e.ok, s.fails, s.last, s.is_open AND e.t - s.last < 86400 AS skip, CASE WHEN s.is_open THEN 0 ELSE s.fails END AS base FROM s JOIN e ON e.user_id = s.user_id AND e.n = s.n + 1))
         SELECT user_id, state, count(*) AS n FROM s WHERE n > 0 GROUP BY 1, 2""",
     "fact_state": _LADDER + "entity, 'priority' AS attribute, arg_max(value, n) AS value, arg_max(confidence, n) AS confidence, count(reason) AS steps FROM s GROUP BY entity",
     "fact_history": _LADDER + "entity, 'priority' AS attribute, seq, old_value, new_value, old_confidence, new_confidence, reason FROM s WHERE reason IS NOT NULL",
@@ -170,38 +178,65 @@ ORACLE_SQL = {
         s AS (SELECT source, doc_id, n_chars, n_chars AS used, 0 AS chunk, n FROM e WHERE n = 1
             UNION ALL SELECT e.source, e.doc_id, e.n_chars, CASE WHEN s.used + e.n_chars > 8000 THEN e.n_chars ELSE s.used + e.n_chars END, s.chunk + (s.used + e.n_chars > 8000)::INTEGER, e.n FROM s JOIN e ON e.source = s.source AND e.n = s.n + 1)
         SELECT source, doc_id, n_chars, chunk FROM s""",
-    "head_cut": r"""WITH t AS (SELECT doc_id, left(text, 50) || chr(10) || '# One ' || source || chr(10) || 'x' || chr(10) || '## Two' || chr(10) AS t FROM documents)
-        SELECT doc_id, least(length(t), 55) AS head_chars, array_to_string(regexp_extract_all(substring(t, 56), '(?m)^#+ *(.+)$', 1), '|') AS lost, length(t) AS units,
-               CASE WHEN length(t) > 76 THEN 'cut' WHEN length(t) = 76 THEN 'bound' WHEN length(t) >= 76 * 0.9 THEN 'tight' ELSE 'ok' END AS verdict FROM t""",
+    "head_cut": _SECTIONED + r""",
+        h AS (SELECT doc_id, total, trim(regexp_extract(line, '^#{1,6}\s+(.+)$', 1)) AS name, start, coalesce(lead(start) OVER (PARTITION BY doc_id ORDER BY start), total) AS finish FROM l WHERE regexp_matches(line, '^#{1,6}\s+.+$')),
+        n AS (SELECT doc_id, 0 AS kind, start AS place, name FROM h WHERE total > 1500 AND finish > 1500
+              UNION ALL SELECT doc_id, 1, 0, unnest(regexp_extract_all(substring(t, 1501), '(?i)\b(?:memory_id|id)[:=]\s*([a-f0-9]{8,64})\b', 1)) FROM w WHERE length(t) > 1500),
+        f AS (SELECT doc_id, name, min(kind * 1000000000 + place) AS first FROM n GROUP BY 1, 2), g AS (SELECT doc_id, string_agg(name, '|' ORDER BY first) AS lost FROM f GROUP BY 1)
+        SELECT w.doc_id, length(t) AS units, greatest(length(t) - 1500, 0) AS dropped, coalesce(lost, '') AS lost FROM w LEFT JOIN g ON g.doc_id = w.doc_id""",
+    "write_verdicts": _SECTIONED + r""",
+        m AS (SELECT doc_id, min(start) AS mark FROM l WHERE starts_with(ltrim(line), '#') AND contains(line, 'BOOT BOUNDARY') GROUP BY 1),
+        v AS (SELECT w.doc_id, length(t) AS total, w.doc_id % 2 = 0 AS lane, CASE WHEN w.doc_id % 2 = 0 THEN mark END AS mark FROM w LEFT JOIN m ON m.doc_id = w.doc_id)
+        SELECT doc_id, CASE WHEN total <= 1500 THEN CASE WHEN lane AND 1500 - total < 500 THEN 'tight' ELSE 'ok' END WHEN mark IS NULL THEN 'cut' WHEN mark <= 1500 THEN 'bound' ELSE 'lies' END AS status,
+               greatest(total - 1500, 0) AS dropped, CASE WHEN total <= 1500 THEN 1500 - total WHEN mark <= 1500 THEN 1500 - mark ELSE mark - 1500 END AS spare FROM v""",
+    "memory_search": _bm25("(SELECT p_partkey AS id, p_name AS text, p_type AS title, p_brand AS names, p_size FROM part)", "id, names, p_size", {"text": 8.0, "title": 2.0, "names": 3.0}, ["small"], False)
+    + """ SELECT id, round(sc, 6) AS score, date FROM (SELECT *, CASE WHEN p_size % 5 <> 0 THEN '2024-01-' || lpad((1 + p_size % 28)::VARCHAR, 2, '0') END AS date FROM h)
+        WHERE (date IS NULL OR date >= '2024-01-10') AND names = 'Brand#2' ORDER BY sc DESC, coalesce(date, '0000-00-00') DESC, id DESC LIMIT 30""",
     "bm25_search": _bm25("documents", "doc_id", {"text": 8.0, "source": 2.0}, ["the", "idiot", "tion"], False) + " SELECT doc_id, matched, round(sc, 6) AS score FROM h ORDER BY round(sc, 6) DESC, doc_id LIMIT 50",
     "file_search": _bm25("part", "p_partkey", {"p_name": 8.0, "p_type": 4.0, "p_brand": 1.0}, ["small", "ri", "eco"], True) + " SELECT p_partkey, matched, round(sc, 6) AS score FROM h WHERE matched = 3 OR (SELECT count(*) FROM h WHERE matched = 3) < 3",
     "line_search": """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents WHERE contains(lower(text), 'idiot')),
         h AS (SELECT doc_id, k FROM l WHERE contains(lower(line), 'idiot')), w AS (SELECT DISTINCT l.doc_id, l.k, l.line FROM l JOIN h ON h.doc_id = l.doc_id AND abs(h.k - l.k) <= 1)
         SELECT doc_id, k AS line_no, sha256(line) AS line_sha256 FROM w QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY k) <= 12""",
     "bullets": """WITH c AS (SELECT c_custkey, c_mktsegment AS seg, replace(c_name, '#000', '-') AS name FROM customer)
-        SELECT c_custkey, 1::BIGINT AS line_no, seg AS heading, 'fact' AS kind, 0.9::DOUBLE AS confidence, '@' || name || ' pays' AS text, name AS entities FROM c
-        UNION ALL SELECT c_custkey, 4, 'Notes', 'likes', NULL, 'tea @tea @tea', 'tea' FROM c""",
+        SELECT c_custkey, 2::BIGINT AS line_no, seg AS heading, 'fact' AS kind, 0.9::DOUBLE AS confidence, name || ' pays' AS text, name AS entities, '2026-03-09' AS date FROM c
+        UNION ALL SELECT c_custkey, 6, 'Notes', 'lesson', NULL, 'never a.b retry c=1', 'a.b', '2026-03-09' FROM c
+        UNION ALL SELECT c_custkey, 8, 'Notes', 'x', NULL, 'y', '', '2026-03-09' FROM c""",
     "entity_pages": """WITH r AS (SELECT unnest([event_type, 'u' || (user_id % 10)]) AS entity, strftime(ts, '%Y-%m-%d') AS date, event_id AS id, props FROM events),
         t AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY date DESC, id DESC) AS place FROM r)
         SELECT entity, count(*) AS bullets, string_agg('- ' || props, chr(10) ORDER BY place) AS page FROM t WHERE place <= 4 GROUP BY 1""",
-    "topics": """WITH f AS (SELECT doc_id, ' ' || array_to_string(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w: w <> ''), ' ') || ' ' AS flat FROM documents),
-        s AS (SELECT unnest(['of-the', 'in-the', 'idiot', 'de-la']) AS slug) SELECT slug, count(*) AS n, sum(doc_id)::BIGINT AS id_sum FROM f, s WHERE contains(flat, ' ' || replace(slug, '-', ' ') || ' ') GROUP BY 1""",
-    "observation_verdicts": f"""WITH o AS (SELECT p_partkey AS obs_id, CASE p_partkey % 5 WHEN 0 THEN 'user is awesome and kind' WHEN 1 THEN 'write to a' || p_partkey || '@example.com please' WHEN 2 THEN repeat('long claim ', 20)
-            WHEN 3 THEN 'from 10.1.2.' || p_size || ' he works' ELSE 'prefers ' || p_name || ' over all' END AS claim FROM part),
-        e AS (SELECT l_partkey AS obs_id, count(*) AS n, max(1 + l_linenumber % 4) AS weakest, max(CASE WHEN l_orderkey % 50 = 0 THEN 2 ELSE 1 END) AS worst FROM lineitem WHERE l_partkey % 4 <> 3 GROUP BY 1),
-        r AS (SELECT o.obs_id, CASE WHEN length(claim) > 180 THEN 4 ELSE 1 END AS a, CASE WHEN coalesce(n, 0) < 2 THEN 2 ELSE 1 END AS b, CASE WHEN {_FLUFF} THEN 4 ELSE 1 END AS c, {_CLAIM_RANK} AS f,
-            coalesce(worst, 1) AS g, CASE WHEN coalesce(weakest, 4) = 4 THEN 2 ELSE 1 END AS h FROM o LEFT JOIN e ON e.obs_id = o.obs_id),
-        t AS (SELECT *, (['allow', 'review_required', 'local_only', 'hard_block'])[greatest(a, b, c, f, g, h)] AS disposition FROM r)
-        SELECT obs_id, disposition, array_to_string(list_filter([CASE WHEN a > 1 THEN 'too_long' END, CASE WHEN b > 1 THEN 'insufficient_evidence' END, CASE WHEN c > 1 THEN 'generic_fluff' END, CASE WHEN f > 1 THEN 'claim_finding' END,
-            CASE WHEN g > 1 THEN 'evidence_finding' END, CASE WHEN h > 1 THEN 'bucket_floor' END], lambda x: x IS NOT NULL), ',') AS reasons,
-            CASE disposition WHEN 'hard_block' THEN 'blocked' WHEN 'local_only' THEN 'local_only' ELSE 'portable' END AS portability FROM t""",
+    "topics": r"""WITH s(section, slug, names) AS (VALUES ('concepts', 'of-the', 'of-the|of the'), ('concepts', 'in-the', 'in-the|in the'), ('entities', 'idiot', 'idiot|clown'), ('concepts', 'de-la', 'de-la|de la'))
+        SELECT section, slug, count(*) AS n, sum(doc_id)::BIGINT AS id_sum FROM documents, s WHERE regexp_matches(lower(text), '(^|[^\p{L}\p{N}_])(' || names || ')($|[^\p{L}\p{N}_])') GROUP BY 1, 2""",
+    "observation_verdicts": """WITH o AS (SELECT p_partkey AS obs_id, p_partkey % 6 AS kind, p_partkey % 7 = 0 AS malformed, p_size % 4 = 3 AS unknown, p_name,
+            (['trusted_local', 'trusted_curated_import', 'untrusted_web', 'untrusted_web'])[1 + p_size % 4] AS source FROM part),
+        l AS (SELECT l_partkey AS obs_id, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber) - 1 AS place, l_orderkey % 5 = 0 AS told,
+            CASE l_linenumber % 4 WHEN 1 THEN 'trusted_local' WHEN 2 THEN 'untrusted_web' END AS bucket FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 42),
+        e AS (SELECT obs_id, count(*) AS n, bool_or(told) AS told, string_agg(CASE WHEN told THEN 'injection_in_evidence:injection_phrase@evidence[' || place || ']' END, ',' ORDER BY place) AS codes,
+            arg_min(b, CASE b WHEN 'trusted_local' THEN 4 WHEN 'trusted_curated_import' THEN 3 WHEN 'semi_trusted_remote' THEN 2 ELSE 1 END) AS weakest, bool_and(b = 'untrusted_web') AS alone
+            FROM (SELECT l.*, coalesce(bucket, source) AS b FROM l JOIN o USING (obs_id)) GROUP BY 1),
+        j AS (SELECT o.*, coalesce(n, 0) AS n, coalesce(told, false) AS told, codes, coalesce(alone, false) AS alone, malformed OR unknown AS tainted, CASE WHEN malformed OR unknown THEN 'metadata_untrusted' ELSE weakest END AS trust FROM o LEFT JOIN e USING (obs_id)),
+        b AS (SELECT *, greatest(CASE kind WHEN 0 THEN 4 WHEN 1 THEN 4 WHEN 3 THEN 3 WHEN 5 THEN 2 ELSE 1 END, CASE WHEN told THEN 2 ELSE 1 END) AS before, CASE WHEN trust = 'untrusted_web' THEN 2 ELSE 1 END AS floor FROM j),
+        f AS (SELECT *, greatest(before, floor) AS final FROM b)
+        SELECT obs_id, CASE WHEN kind = 2 THEN 'hard_block' WHEN n < 2 THEN 'review_required' WHEN alone AND final = 1 THEN 'local_only' ELSE (['allow', 'review_required', 'local_only', 'hard_block'])[final] END AS disposition,
+            CASE WHEN kind = 2 THEN 'claim_too_long' WHEN n < 2 THEN 'insufficient_evidence' ELSE concat_ws(',', CASE WHEN unknown THEN 'metadata_integrity:unknown_source_platform' END, CASE WHEN malformed THEN 'metadata_integrity:malformed_session_id' END,
+                CASE kind WHEN 1 THEN 'pii_hard:pii_email@claim' WHEN 3 THEN 'pii_soft:pii_ipv4@claim' WHEN 5 THEN 'private_dict:private_client_term@claim' END, codes, CASE WHEN kind = 0 THEN 'generic_fluff' END,
+                CASE WHEN kind = 5 THEN 'redaction:private_dict_salvaged' END, CASE WHEN final <> before THEN 'bucket_floor:untrusted_web=review_required' END, CASE WHEN alone THEN 'provenance:untrusted_web_alone' END) END AS reasons,
+            CASE WHEN kind <> 2 AND n >= 2 THEN trust END AS evidence_trust,
+            CASE WHEN kind = 2 OR n < 2 THEN '' ELSE concat_ws(',', CASE WHEN tainted THEN 'metadata_untrusted' END, CASE WHEN told THEN 'untrusted_instructional_text' END) END AS taint,
+            CASE WHEN kind = 2 OR n < 2 THEN 'portable' WHEN final = 4 THEN 'blocked' WHEN final = 3 OR alone THEN 'local_only' ELSE 'portable' END AS portability,
+            CASE WHEN kind = 5 AND n >= 2 THEN 'works with a client on ' || p_name END AS redacted_claim, CASE WHEN kind = 5 AND n >= 2 THEN 'redactable' ELSE 'none' END AS salvageability FROM f""",
     "evaluation": """WITH r AS (SELECT toxic AS truth, contains(lower(text), 'idiot')::INTEGER AS guess FROM labels JOIN documents USING (doc_id)), l AS (SELECT unnest([0, 1])::INTEGER AS label),
         c AS (SELECT label, count(*) FILTER (truth = label) AS support, count(*) FILTER (guess = label) AS guessed, count(*) FILTER (truth = label AND guess = label) AS tp FROM l, r GROUP BY label)
         SELECT label, support, round(CASE WHEN guessed > 0 THEN tp / guessed ELSE 0 END, 6) AS precision, round(CASE WHEN support > 0 THEN tp / support ELSE 0 END, 6) AS recall, round(CASE WHEN support + guessed > 0 THEN 2 * tp / (support + guessed) ELSE 0 END, 6) AS f1
         FROM c WHERE support + guessed > 0""",
     "trust": f"""SELECT o_custkey, ({_TRUSTED})[max(CASE o_orderpriority WHEN '1-URGENT' THEN 1 WHEN '2-HIGH' THEN 2 WHEN '3-MEDIUM' THEN 3 ELSE 4 END)] AS trust, count(*) AS n_evidence FROM orders GROUP BY 1""",
-    "minted": """WITH p AS (SELECT p_partkey, string_split(p_name, ' ')[-1] AS slug FROM part), e AS (SELECT slug, count(*) AS top FROM p WHERE p_partkey < 100 GROUP BY 1)
-        SELECT p_partkey, 'pref_' || p.slug || '_' || lpad((row_number() OVER (PARTITION BY p.slug ORDER BY p_partkey) + coalesce(top, 0))::VARCHAR, 3, '0') AS minted FROM p LEFT JOIN e ON e.slug = p.slug WHERE p_partkey BETWEEN 100 AND 400""",
+    "evaluation_overall": """WITH r AS (SELECT toxic AS truth, contains(lower(text), 'idiot')::INTEGER AS guess FROM labels JOIN documents USING (doc_id)), l AS (SELECT unnest([0, 1])::INTEGER AS label),
+        c AS (SELECT label, count(*) FILTER (truth = label) AS support, count(*) FILTER (guess = label) AS guessed, count(*) FILTER (truth = label AND guess = label) AS tp FROM l, r GROUP BY label)
+        SELECT (SELECT round(avg((truth = guess)::INTEGER::DOUBLE), 6) FROM r) AS accuracy, round(avg(2 * tp / (support + guessed)), 6) AS macro_f1 FROM c WHERE support + guessed > 0""",
+    "minted": """WITH p AS (SELECT p_partkey, p_size, left(regexp_replace(lower(string_split(p_name, ' ')[1]), '[^a-z0-9]', '', 'g'), 16) AS slug FROM part),
+        used AS (SELECT DISTINCT slug, 2 * (p_size - 40) AS n FROM p WHERE p_size > 40), new AS (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY p_partkey) AS k FROM p WHERE p_size <= 40),
+        every AS (SELECT slug, unnest(range(1, c + 1)) AS n FROM (SELECT slug, (SELECT count(*) FROM p) AS c FROM p GROUP BY slug)),
+        free AS (SELECT slug, n, row_number() OVER (PARTITION BY slug ORDER BY n) AS k FROM every ANTI JOIN used USING (slug, n))
+        SELECT p_partkey, 'pref_' || new.slug || '_' || CASE WHEN n < 1000 THEN lpad(n::VARCHAR, 3, '0') ELSE n::VARCHAR END AS minted FROM new JOIN free ON free.slug = new.slug AND free.k = new.k""",
     "best_claims": """SELECT p_partkey AS claim_id, CASE WHEN p_size % 5 <> 0 THEN round(p_size / 50.0::DOUBLE, 6) END AS confidence FROM part WHERE p_partkey % 3 = 0 AND (p_brand = 'Brand#2' OR p_type = 'ECONOMY')
         ORDER BY coalesce(CASE WHEN p_size % 5 <> 0 THEN p_size / 50.0::DOUBLE END, 0) DESC, p_partkey LIMIT 20""",
     "distinct_sets": "SELECT source, string_agg(DISTINCT lang, ',' ORDER BY lang) AS langs, count(*) AS n FROM documents GROUP BY 1",

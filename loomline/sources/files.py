@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
+import io
+import re
+import zipfile
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from loomline.functions.text import redact
 
 MEMORY = (
     "id string, session_id string, agent_id string, summary string, key_facts array<string>, projects_referenced array<string>, decisions_made array<string>, "
@@ -50,6 +58,20 @@ def content_head(content: Column) -> Column:
     return F.when(F.contains(F.hex(head), F.lit("00")) & F.regexp_like(F.hex(head), F.lit("^(..)*00")), F.lit("")).otherwise(F.decode(head, "UTF-8"))
 
 
+@F.pandas_udf(T.StringType())
+def docx_head(content: pd.Series) -> pd.Series:
+    """First 16 KiB of the text of word-processor files, whose zip no built-in function opens; unreadable ones are empty."""
+
+    def head(data: bytes | None) -> str:
+        try:
+            with zipfile.ZipFile(io.BytesIO(data or b"")) as z, z.open("word/document.xml") as f:
+                return re.sub(rb"<[^>]+>", b" ", f.read(4 * HEAD_BYTES))[:HEAD_BYTES].decode("utf-8", "ignore")
+        except (zipfile.BadZipFile, KeyError, OSError):
+            return ""
+
+    return content.map(head)
+
+
 def html_text(html: Column) -> Column:
     """Visible text of a page: scripts, styles and tags off, common entities decoded, blanks collapsed."""
     text = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>", " ")
@@ -64,6 +86,49 @@ def write_memories(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").partitionBy("agent_id").parquet(path)
 
 
-def write_trace(rows: DataFrame, path: str) -> None:
-    """Tool-call traces as JSON lines per agent and day."""
-    rows.withColumn("day", F.to_date("ts")).write.mode("append").partitionBy("agent_id", "day").json(path)
+def upsert_memories(spark: SparkSession, rows: DataFrame, path: str, key: str = "id", order: str = "created_at") -> str:
+    """Write memories over those of equal id: the last by ``order`` stays, in the tenants' folders that the rows touch.
+
+    The merged table is written beside the old one first and only then dealt into its folders, so a lost executor loses
+    nothing; rows of tenants that are not touched are not read.
+    """
+    from loomline.operators.index import upserted
+
+    touched = [r["agent_id"] for r in rows.select("agent_id").distinct().collect()]
+    store = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not store.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(store):
+        upserted(rows.limit(0), rows, key, order).write.partitionBy("agent_id").parquet(path)
+        return path
+    old = spark.read.schema(rows.schema).parquet(path).where(F.col("agent_id").isin(touched))
+    beside = f"{path.rstrip('/')}__next"
+    upserted(old, rows, key, order).write.mode("overwrite").partitionBy("agent_id").parquet(beside)
+    merged = spark.read.schema(rows.schema).parquet(beside)
+    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("agent_id").parquet(path)
+    beside_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(beside)
+    beside_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(beside_path, True)
+    return path
+
+
+def write_trace(rows: DataFrame, path: str, version: int = 1) -> None:
+    """Tool-call traces (agent_id, ts, ...) as JSON lines by agent and day; each day of an agent has a header line."""
+    dated = rows.withColumn("day", F.to_date("ts")).withColumn("schema_version", F.lit(version))
+    heads = dated.groupBy("agent_id", "day").agg(F.min("ts").alias("ts")).withColumns({"kind": F.lit("header"), "schema_version": F.lit(version)})
+    every = heads.unionByName(dated, allowMissingColumns=True)
+    every.repartition("agent_id", "day").sortWithinPartitions("agent_id", "day", F.col("kind").isNull(), "ts").write.mode("append").partitionBy("agent_id", "day").json(path)
+
+
+def write_pages(pages: DataFrame, path: str, body: str = "page") -> None:
+    """One text file a page under its section and slug."""
+    pages.select("section", "slug", F.col(body).alias("value")).write.mode("overwrite").option("lineSep", "\n").partitionBy("section", "slug").text(path)
+
+
+def write_brief(spark: SparkSession, brief: str, boot: str, day: str, path: str) -> None:
+    """The nightly brief and its shorter companion for startup, a file each, secrets out."""
+    rows = spark.createDataFrame([(day, brief), (f"{day}-boot", boot)], "name string, value string")
+    rows.select("name", redact(F.col("value")).alias("value")).write.mode("append").partitionBy("name").text(path)
+
+
+def write_audit(rows: DataFrame, path: str, most: int = 5 << 20) -> None:
+    """Audit lines as JSON, in files of about ``most`` bytes: a full file is followed by the next."""
+    per_file = max(1, most // 200)
+    rows.write.mode("append").option("maxRecordsPerFile", per_file).json(path)

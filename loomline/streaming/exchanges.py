@@ -94,6 +94,47 @@ def session_counts(stream: DataFrame, key: str, ts: str, gap: str = "60 minutes"
     return stream.withWatermark(ts, late).groupBy(key, F.session_window(ts, gap).alias("w")).agg(F.count("*").alias("n")).select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
+def live_log(spark, path: str) -> DataFrame:
+    """Exchange log files as a stream, as they come: (timestamp, prompt, response, metadata); broken lines give none."""
+    from loomline.sources.files import EXCHANGE
+
+    lines = spark.readStream.option("lineSep", "\n").text(path)
+    parsed = lines.select(F.from_json("value", EXCHANGE + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("x"))
+    return parsed.where("x is not null and x._bad is null").select("x.timestamp", "x.prompt", "x.response", "x.metadata")
+
+
+def flushed(stream: DataFrame, key: str, ts: str, id_col: str, most: int = 6, idle: str = "5 minutes", late: str = "1 hour") -> DataFrame:
+    """(key, batch, ids): batches of ``most`` rows as soon as they are full, and what is left of a key once event time has
+    passed its last row by ``idle``. State is one open batch a key."""
+    rows = stream.withWatermark(ts, late).select(key, ts, id_col)
+    pause = pd.Timedelta(idle).total_seconds()
+    fields = [rows.schema[key], T.StructField("batch", T.LongType()), T.StructField("ids", T.ArrayType(T.LongType()))]
+
+    def flush(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        batch, held, last = state.get if state.exists else (0, [], 0.0)
+        held, out = list(held), []
+        if state.hasTimedOut:
+            if held:
+                out.append((*k, batch, held))
+            state.remove()
+        else:
+            pdf = _frames(frames, ts, id_col)
+            for t, i in zip(pdf[ts], pdf[id_col], strict=True):
+                if held and t.timestamp() - last >= pause:
+                    out.append((*k, batch, held))
+                    batch, held = batch + 1, []
+                held.append(int(i))
+                last = t.timestamp()
+                if len(held) == most:
+                    out.append((*k, batch, held))
+                    batch, held = batch + 1, []
+            state.update((batch, held, last))
+            state.setTimeoutTimestamp(max(int((last + pause) * 1000), state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=[f.name for f in fields])
+
+    return rows.groupBy(key).applyInPandasWithState(flush, T.StructType(fields), "batch long, held array<long>, last double", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def drain(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
     """Run a stream over all that is there (availableNow) into files with a checkpoint beside them; read them back.
 
