@@ -231,19 +231,19 @@ def mint_ids(rows: DataFrame, prefix: str, slug: Column, order: str, existing: D
     u_i - i free ones lie below u_i, so it is k plus the count of those with u_i - i < k: a join on counts of equal gaps, not
     a search number by number.
     """
-    numbered = rows.withColumn("slug", slug).withColumn("k", F.row_number().over(Window.partitionBy("slug").orderBy(order)))
+    numbered = rows.withColumn("slug", slug).withColumn("_k", F.row_number().over(Window.partitionBy("slug").orderBy(order)))
     if existing is None:
-        numbered = numbered.withColumn("number", F.col("k"))
+        numbered = numbered.withColumn("_n", F.col("_k"))
     else:
         used = existing.select("slug", F.col("number").cast("long").alias("u")).where("u > 0").distinct()
         ranked = used.withColumn("gap", F.col("u") - F.row_number().over(Window.partitionBy("slug").orderBy("u")))
         steps = ranked.groupBy("slug", "gap").agg(F.count("*").alias("c"))
         # one ordered pass a slug: taken ids of smaller gap come before the new id whose rank exceeds the gap
-        both = steps.select("slug", F.col("gap").alias("at"), F.lit(0).alias("kind"), "c").unionByName(numbered.select("slug", (F.col("k") - 1).cast("long").alias("at"), F.lit(1).alias("kind"), F.lit(0).cast("long").alias("c")))
-        before = both.withColumn("taken", F.sum("c").over(Window.partitionBy("slug").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0))).where("kind = 1")
-        numbered = numbered.join(before.select("slug", (F.col("at") + 1).cast("int").alias("k"), "taken"), ["slug", "k"]).withColumn("number", F.col("k") + F.col("taken")).drop("taken")
-    shown = F.col("number").cast("string")
-    return numbered.withColumn("minted", F.concat(F.lit(f"{prefix}_"), "slug", F.lit("_"), F.lpad(shown, F.greatest(F.lit(3), F.length(shown)), F.lit("0")))).drop("k", "number")
+        both = steps.select("slug", F.col("gap").alias("at"), F.lit(0).alias("kind"), "c").unionByName(numbered.select("slug", (F.col("_k") - 1).cast("long").alias("at"), F.lit(1).alias("kind"), F.lit(0).cast("long").alias("c")))
+        before = both.withColumn("_taken", F.sum("c").over(Window.partitionBy("slug").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0))).where("kind = 1")
+        numbered = numbered.join(before.select("slug", (F.col("at") + 1).cast("int").alias("_k"), "_taken"), ["slug", "_k"]).withColumn("_n", F.col("_k") + F.col("_taken")).drop("_taken")
+    shown = F.col("_n").cast("string")
+    return numbered.withColumn("minted", F.concat(F.lit(f"{prefix}_"), "slug", F.lit("_"), F.lpad(shown, F.greatest(F.lit(3), F.length(shown)), F.lit("0")))).drop("_k", "_n")
 
 
 def prompt_block(claims: DataFrame, overlays: DataFrame, scopes: list[str] | None = None, limit: int = 20, title: str = "User working-style passport:") -> str:

@@ -39,12 +39,16 @@ def _flat(column: str, porter: bool) -> Column:
     return stemmed_words(flat_words(F.col(column))) if porter else flat_words(F.col(column))
 
 
+def _weighted(words: Column, weight: float) -> Column:
+    return F.transform(words, lambda t: F.struct(t.alias("term"), F.lit(float(weight)).alias("w")))
+
+
 def inverted_index(docs: DataFrame, id_col: str, columns: dict[str, float], porter: bool = False) -> DataFrame:
     """(id, term, weighted frequency, weighted length); columns carry their weights."""
     rows = docs.select(F.col(id_col).alias("id"), *[_flat(c, porter).alias(c) for c in columns])
     words = {c: F.when(F.col(c) == "", F.array().cast("array<string>")).otherwise(F.split(c, " ")) for c in columns}
     length = sum((F.lit(float(w)) * F.size(words[c]) for c, w in columns.items()), F.lit(0.0))
-    every = F.concat(*[F.transform(words[c], lambda t, w=w: F.struct(t.alias("term"), F.lit(float(w)).alias("w"))) for c, w in columns.items()])
+    every = F.concat(*[_weighted(words[c], w) for c, w in columns.items()])
     return rows.select("id", length.alias("length"), F.explode(every).alias("x")).groupBy("id", F.col("x.term").alias("term"), "length").agg(F.sum("x.w").alias("tf"))
 
 

@@ -100,7 +100,7 @@ def nearest_many(index: DataFrame, queries: DataFrame, k: int, id_col: str = "me
 def _nearest_block(index: DataFrame, queries: DataFrame, k: int, id_col: str, query_col: str, vector_col: str) -> DataFrame:
     block = queries.select(F.col(query_col).cast("long").alias("query"), F.col(vector_col).cast("array<double>").alias("v")).where("query is not null and v is not null").toArrow()
     names = block["query"].to_numpy()
-    vectors = np.array(block["v"].to_pylist(), float).reshape(len(names), -1)
+    vectors = np.array(block["v"].to_pylist(), float).reshape(len(names), -1 if len(names) else 0)
     shared = index.sparkSession.sparkContext.broadcast((names, vectors))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

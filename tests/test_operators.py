@@ -24,7 +24,10 @@ def test_overfetch_ranks_before_it_filters(spark):
     assert [r["memory_id"] for r in vector.nearest_escalated(index, q, 4, keep).collect()] == [9, 19, 29, 39]
     with pytest.raises(ValueError, match="dimensions"):
         vector.check_width([1.0], 2)
-    assert vector.nearest(index, [0.0], 3).count() == 0
+    with pytest.raises(Exception, match="the query has 1"):
+        vector.nearest(index, [0.0], 3).collect()
+    with pytest.raises(Exception, match="dimensions"):
+        vector.nearest_many(index, spark.createDataFrame([(1, [0.0])], "query_id long, embedding array<double>"), 2).collect()
 
 
 def test_category_filters_and_nulls(spark):
@@ -51,10 +54,13 @@ def test_expansion_gap_is_strict(spark):
 def test_fact_ladder(spark):
     steps = [("initial", "a", "high_probability"), ("reassert", "a", "verified"), ("rejected", "b", "high_probability"), ("contradicted", "c", "verified"), ("demote", None, None), ("skip", None, None), ("contradicted", "d", "false")]
     events = [("e", "k", n, "demote" if s in ("demote", "skip") else "save", v, c) for n, (s, v, c) in enumerate(steps)]
-    folded = facts.ladder(spark.createDataFrame(events[::-1], "entity string, attribute string, seq long, kind string, value string, confidence string"))
-    r = folded.first()
-    assert (r["value"], r["confidence"]) == ("d", "false") and [h["reason"] for h in r["history"]] == [s for s, _, _ in steps if s != "skip"]
-    assert rows(facts.verified_alerts(folded), "seq") == [(2,)]
+    done = facts.steps(spark.createDataFrame(events[::-1], "entity string, attribute string, seq long, kind string, value string, confidence string"))
+    r = facts.state(done).first()
+    assert (r["value"], r["confidence"], r["steps"]) == ("d", "false", 6)
+    assert [h["reason"] for h in facts.history(done).orderBy("seq").collect()] == [x for x, _, _ in steps if x != "skip"]
+    assert rows(facts.verified_alerts(done), "seq") == [(2,)]
+    lone = facts.steps(spark.createDataFrame([("e", "k", 1, "demote", None, None)], "entity string, attribute string, seq long, kind string, value string, confidence string"))
+    assert rows(facts.state(lone), "entity", "value", "steps") == [("e", None, 0)] and facts.history(lone).count() == 0
 
 
 def test_fact_merge_is_commutative_and_idempotent(spark):
@@ -101,9 +107,11 @@ def test_greedy_chunks_is_not_a_prefix_sum(spark):
 def test_grep_lines_and_bullets(spark):
     df = spark.createDataFrame([(1, "a\nNEEDLE\nb\nc\nneedle"), (2, "none")], "id long, t string")
     assert rows(search.grep_lines(df, "needle", "id", "t"), "line_no", "line") == [(1, "a"), (2, "NEEDLE"), (3, "b"), (4, "c"), (5, "needle")]
-    page = spark.createDataFrame([(1, "# Top\n- fact c=0.9 likes @Ann and @Bo\n* plain\n")], "id long, t string")
-    got = search.markdown_bullets(page, "id", "t").collect()
-    assert [(r["heading"], r["kind"], r["confidence"], r["entities"]) for r in got][0] == ("Top", "fact", 0.9, ["Ann", "Bo"])
+    text = "# Top\n- fact c=0.9 likes @Ann and @a.b-c\n* not one\n- lonely\n####### too deep\n##  Deep \n  -  Decision took @Bo\n- idea c=2 x"
+    got = search.markdown_bullets(spark.createDataFrame([(1, text, "x/2026-03-09.md")], "id long, t string, p string"), "id", "t", "p").collect()
+    assert [(r["line_no"], r["heading"], r["kind"], r["confidence"], r["text"], r["entities"], r["date"]) for r in got] == [
+        (2, "Top", "fact", 0.9, "likes Ann and a.b-c", ["Ann", "a.b-c"], "2026-03-09"), (7, "Deep", "decision", None, "took Bo", ["Bo"], "2026-03-09"), (8, "Deep", "idea", 2.0, "x", [], "2026-03-09"),
+    ]
 
 
 def test_strongest_disposition_ignores_unknown(spark):
@@ -145,26 +153,49 @@ def test_streams_equal_batches(spark, tmp_path):
 def test_registry_has_a_twin_for_every_query_but_the_named():
     from loomline.queries import ORACLE_SQL, QUERIES
 
-    assert set(QUERIES) - set(ORACLE_SQL) == {"fuzzy_claims", "salvaged_notes", "packed_briefs"} and set(ORACLE_SQL) <= set(QUERIES)
+    assert set(QUERIES) - set(ORACLE_SQL) == {"fuzzy_claims", "salvaged_notes", "packed_briefs", "stemmed_search"} and set(ORACLE_SQL) <= set(QUERIES)
 
 
-def test_salvage_and_section_packing(spark):
-    from loomline.operators import nightly
-
-    replies = spark.createDataFrame([(1, '[{"a": 1}, {"b": {"c": "}"}}, {"d": '), (2, "no json"), (3, None)], "id int, r string")
+def test_salvage(spark):
+    replies = spark.createDataFrame([(1, '[{"a": 1}, {"b": {"c": "}"}}, {"d": '), (2, "no json"), (3, None), (4, 'Facts [extracted]: [{"a": "x\ny"}, {"b"'), (5, '```json\n[{"a": 1}]\n```'), (6, '{"a": 2}')], "id int, r string")
     got = {r["id"]: r["o"] for r in replies.select("id", nightly.salvaged(F.col("r")).alias("o")).collect()}
-    assert got == {1: ['{"a": 1}', '{"b": {"c": "}"}}'], 2: [], 3: []}
-    brief = "# Notes\nlong line of notes\n## Built\n- x\n## Open\n- y"
-    assert nightly.pack_sections(brief, 10_000) == brief
-    short = nightly.pack_sections(brief, 30)
-    assert "## Built\n- x" in short and "long line" not in short and short.endswith("left out]")
-
-
-def test_drop_lines_and_grades(spark):
-    from loomline.operators import nightly
-
-    row = spark.range(1).select(nightly.drop_lines(F.lit("a\nb\nc"), F.array(F.lit(2))).alias("d"), nightly.recall_grade(F.lit("the Port is 80"), F.lit("nope"), F.array(F.lit("port"), F.lit("80"), F.lit("x"))).alias("g")).first()
-    assert row["d"] == "a\nc\n[1 lines dropped]" and row["g"] == 0.5
+    assert got == {1: ['{"a": 1}', '{"b": {"c": "}"}}'], 2: [], 3: [], 4: ['{"a": "x\\ny"}'], 5: ['{"a": 1}'], 6: ['{"a": 2}']}
+
+
+def test_section_packing():
+    brief = "Intro line\n# Notes\nlong line of notes\nmore\n## What was Shipped\n- x\n- y\n### Next steps\n- z"
+    whole = pack.pack_sections(brief, 10_000)
+    assert whole == "Intro line\n\n## What was Shipped\n- x\n- y\n\n### Next steps\n- z\n\n# Notes\nlong line of notes\nmore\n\nDROPPED: nothing"
+    for budget in range(40, 140):  # whole lines only, every loss named, never over
+        try:
+            got = pack.pack_sections(brief, budget)
+        except ValueError:
+            assert budget < 60
+            continue
+        assert pack.units(got) <= budget
+        body, _, lost = got.rpartition("DROPPED: ")
+        assert all(line in brief.split("\n") for line in body.split("\n") if line)
+        for name, own in (("preamble", ["Intro line"]), ("Notes", ["long line of notes", "more"]), ("What was Shipped", ["- x", "- y"]), ("Next steps", ["- z"])):
+            missing = [x for x in own if x not in body.split("\n")]
+            assert (name in lost) == bool(missing) and (f"{name} (trimmed)" in lost) == (0 < len(missing) < len(own))
+    assert pack.pack_sections("a\nb\n\U0001F600", 30) == "a\nb\n\U0001F600\n\nDROPPED: nothing"
+    assert pack.pack_sections("one\ntwo\nthree four five", 40).startswith("one\ntwo\n\nDROPPED: narrative (trimmed)")
+
+
+def test_drop_lines_and_recall_scores(spark):
+    v = lambda c: spark.range(1).select(c.alias("v")).first()["v"]
+    drop = lambda t, *n: v(nightly.drop_lines(F.lit(t), F.array(*[F.lit(k) for k in n]).cast("array<int>")))
+    assert drop("a\nb\nc\n", 2, 9, 2) == "a\nc\nDROPPED: 1 invalid stated line(s) after corrective retry"
+    assert drop("a\nb", 7) == "a\nb" and drop("a\nb") == "a\nb" and drop("", 1) == ""
+    assert v(nightly.reported_lines(F.lit("line 3  bad\n  line 12 x\nnot line 4 "))) == [3, 12]
+    none = F.lit(None).cast("array<string>")
+    score = lambda level, ctx, want, kw=None: v(nightly.recall_score(F.lit(level), F.lit(ctx), F.lit(want), F.array(*[F.lit(k) for k in kw]) if kw else none))
+    assert score("needle", "it was $0.47 today", "$0.47") == "correct" and score("needle", "about 62 degrees", "62\u00b0F cold") == "partial"
+    assert score("needle", "the router", "Fixed router classifier") == "partial" and score("needle", "with the rest", "with that") == "wrong" and score("needle", "  ", "x") == "not_found"
+    assert score("chain", "Port 80 open", "x", ["port", "80", "closed", "gone", "no"]) == "partial" and score("chain", "a b c d", "x", ["a", "b", "c", "d", "zz"]) == "correct"
+    assert score("general", "deployed images", "Deployed catalog images today") == "partial" and score("general", "", "Deployed catalog") == "wrong"
+    scores = spark.createDataFrame([("correct",), ("partial",), ("wrong",)], "score string")
+    assert tuple(nightly.recall_accuracy(scores).first()) == (3, 50.0)
 
 
 def _best_claims_by_force(new, active):
@@ -222,4 +253,4 @@ def test_packed_briefs_see_whole_documents(spark, tmp_path):
     rows = [(1, "\n".join(f"line {k}" for k in range(500)), "src1"), (2, "short", "src2")]
     spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: r["brief"] for r in QUERIES["packed_briefs"](spark, str(tmp_path)).collect()}
-    assert got == {i: nightly.pack_sections(f"# Notes\n{t}\n## Built\n- a thing\n## Open\n- {s}", 90) for i, t, s in rows}
+    assert got == {i: pack.pack_sections(f"# Notes\n{t}\n## Built\n- a thing\n## Open\n- {s}", 90) for i, t, s in rows}
