@@ -61,3 +61,17 @@ def verify_manifest(manifest: DataFrame, disk: DataFrame, key: str = "path") ->
     d = disk.select(key, F.col("hash").alias("disk_hash"))
     state = F.when(~F.coalesce(F.col("hash"), F.lit("")).rlike("^[0-9a-f]{64}$"), "malformed").when(F.col("disk_hash").isNull(), "missing").when(F.col("hash") != F.col("disk_hash"), "hash").otherwise("ok")
     return manifest.join(d, key, "left").select(key, state.alias("state"), (F.col("version") + (state == "hash").cast("int")).alias("version"))
+
+
+def repaired(manifest: DataFrame, disk: DataFrame, key: str = "path") -> DataFrame:
+    """The manifest as the disk is: entries without a file go, hashes are those of the files, a version goes up only where
+    the hash changed; files without an entry start at version 1."""
+    d = disk.select(key, F.col("hash").alias("disk_hash"))
+    j = manifest.select(key, F.col("hash").alias("old_hash"), "version").join(d, key, "full_outer").where("disk_hash is not null")
+    version = F.when(F.col("version").isNull(), F.lit(1)).otherwise(F.col("version") + (~F.col("old_hash").eqNullSafe(F.col("disk_hash"))).cast("int"))
+    return j.select(key, F.col("disk_hash").alias("hash"), version.alias("version"))
+
+
+def tenants(*sides: DataFrame) -> DataFrame:
+    """Every tenant that any side names."""
+    return reduce(DataFrame.union, [s.select("agent_id") for s in sides]).where("agent_id is not null").distinct()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
@@ -83,15 +84,15 @@ def bm25(docs: DataFrame, query: Sequence[str], id_col: str, columns: dict[str,
     a few numbers, and those are what is shuffled, once for both.
     """
     wanted = [stem(t.lower()) if porter else t.lower() for t in query]
-    rows = docs.select(F.col(id_col).alias("id"), *[F.concat(F.lit(" "), _flat(c, porter)).alias(c) for c in columns])
+    text = lambda c: stemmed_words(flat_words(F.col(c))) if porter else F.lower(F.coalesce(F.col(c), F.lit("")))
+    rows = docs.select(F.col(id_col).alias("id"), *[text(c).alias(c) for c in columns])
 
     def found(c: str, t: str) -> Column:
-        if prefix:  # every word stands behind a space of its own
-            return (F.length(c) - F.length(F.replace(F.col(c), F.lit(f" {t}"), F.lit("")))) / (len(t) + 1)
-        words = F.split(c, " ")
-        return (F.size(words) - F.size(F.array_remove(words, t))).cast("double")
+        if not re.fullmatch("[a-z0-9]+", t):
+            return F.lit(0)
+        return F.regexp_count(c, F.lit(f"(?<![a-z0-9]){t}" + ("" if prefix else "(?![a-z0-9])")))
 
-    length = sum((w * F.when(F.col(c) == " ", F.lit(0)).otherwise(F.size(F.split(c, " ")) - 1) for c, w in columns.items()), F.lit(0.0))
+    length = sum((w * F.regexp_count(c, F.lit("[a-z0-9]+")) for c, w in columns.items()), F.lit(0.0))
     tf = [sum((w * found(c, t) for c, w in columns.items()), F.lit(0.0)).alias(f"tf{k}") for k, t in enumerate(wanted)]
     names = [f"tf{k}" for k in range(len(wanted))]
     counted = rows.select("id", length.alias("length"), *tf).repartition("id")

@@ -145,6 +145,13 @@ def budgeted_turn(role: Column, text: Column) -> Column:
     return F.substr(text, F.lit(1), turn_budget(role, text))
 
 
+def hot_projection(rows: DataFrame) -> DataFrame:
+    """What a keyword hit shows of an exchange: short texts, at most five actions, a short thought. ``rows`` has session_id,
+    timestamp, prompt, response, actions (tool, command, output) and thinking."""
+    shown = F.transform(F.slice(F.coalesce("actions", F.array()), 1, 5), lambda a: F.concat(F.lit("["), F.coalesce(a["tool"], F.lit("?")), F.lit("] "), F.coalesce(a["command"], F.lit("")), F.lit(" \u2192 "), F.coalesce(a["output"], F.lit(""))))
+    return rows.select("session_id", "timestamp", F.substring("prompt", 1, 200).alias("prompt"), F.substring("response", 1, 200).alias("response"), shown.alias("actions"), F.substring("thinking", 1, 150).alias("thinking"))
+
+
 def hot_listing(entries: DataFrame) -> DataFrame:
     """(session_id, entries, size_kb, modified) of hot sessions (file, is_exchange, bytes, modified), newest name first."""
     by = entries.groupBy(F.regexp_replace("file", r"\.jsonl$", "").alias("session_id"))

@@ -57,6 +57,12 @@ def nearest(index: DataFrame, vector: Sequence[float], k: int, id_col: str = "me
     return scored(index, vector, vector_col).orderBy("distance", id_col).limit(k)
 
 
+def with_sources(hits: DataFrame, sources: DataFrame, id_col: str = "memory_id") -> DataFrame:
+    """Hits with what the source table says of them; hits without a source are orphans and go. Hits are few, so they are
+    what is broadcast."""
+    return sources.join(F.broadcast(hits), id_col)
+
+
 def nearest_filtered(index: DataFrame, vector: Sequence[float], k: int, keep: Column, factor: int = OVERFETCH, id_col: str = "memory_id", exact: bool = False) -> DataFrame:
     """The first k of the nearest k * factor rows that pass the filter; may be fewer, as the pool is ranked first.
 

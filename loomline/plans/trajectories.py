@@ -7,16 +7,20 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomline.operators.vector import nearest_filtered
+from loomline.operators.vector import nearest_filtered, with_sources
 
 #: Weights of similarity, rating and recency, half life in days, candidates per result (fixed values).
 W_SIMILARITY, W_RATING, W_RECENCY, HALF_LIFE, CANDIDATES = 0.60, 0.25, 0.15, 30.0, 6
 
 
-def recall(index: DataFrame, vector: Sequence[float], k: int, task_type: str | None = None, min_rating: int = 1, now_age: str = "age_days") -> DataFrame:
-    """Top k of max(6k, k) neighbours by min-max similarity, rating and recency; an unknown age counts as 0 recency."""
+def recall(index: DataFrame, vector: Sequence[float], k: int, task_type: str | None = None, min_rating: int = 1, now_age: str = "age_days", records: DataFrame | None = None) -> DataFrame:
+    """Top k of max(6k, k) neighbours by min-max similarity, rating and recency; an unknown age counts as 0 recency.
+
+    With ``records`` (memory_id, rating, age ...) the index holds vectors and types only; neighbours without a record go.
+    """
     keep = F.lit(True) if task_type is None else F.coalesce(F.col("task_type") == task_type, F.lit(False))
-    pool = nearest_filtered(index, vector, max(CANDIDATES * k, k), keep, factor=1 if task_type is None else 5).where(F.col("rating") >= min_rating)
+    pool = nearest_filtered(index, vector, max(CANDIDATES * k, k), keep, factor=1 if task_type is None else 5)
+    pool = (pool if records is None else with_sources(pool, records)).where(F.col("rating") >= min_rating)
     everything = Window.partitionBy(F.lit(1))
     lo, hi = F.min("similarity").over(everything), F.max("similarity").over(everything)
     near = F.when(F.col("hi") == F.col("lo"), F.lit(1.0)).otherwise((F.col("similarity") - F.col("lo")) / (F.col("hi") - F.col("lo")))

@@ -338,3 +338,54 @@ def trajectory_counters(spark: SparkSession, d: str) -> DataFrame:
 def file_stems(spark: SparkSession, d: str) -> DataFrame:
     raw = F.expr("CASE c_custkey % 3 WHEN 0 THEN ' !! ' WHEN 1 THEN concat(c_mktsegment, ' X') ELSE ' a/b-c? ' END")
     return A.table(spark, d, "customer").select("c_custkey", X.file_stem(raw).alias("stem"), X.page_slug(raw).alias("slug"))
+
+
+#: Small letters of the documents' languages with what their decomposition is (fixed values).
+_MARKS = {"\u0300": "\u00e0\u00e8\u00ec\u00f2\u00f9aeiou", "\u0301": "\u00e1\u00e9\u00ed\u00f3\u00faaeiou", "\u0302": "\u00e2\u00ea\u00ee\u00f4\u00fbaeiou", "\u0308": "\u00e4\u00eb\u00ef\u00f6\u00fcaeiou"}
+_PLAIN = "lower(text)"
+for _mark, _letters in _MARKS.items():
+    for _k in range(5):
+        _PLAIN = f"replace({_PLAIN}, '{_letters[_k]}', '{_letters[5 + _k]}{_mark}')"
+_PLAIN = f"replace(replace({_PLAIN}, '\u00f1', 'n\u0303'), '\u00e7', 'c\u0327')"
+
+
+@named(f"SELECT doc_id, len(t)::BIGINT AS n_tokens, sha256(array_to_string(t, ' ')) AS tokens_sha256 FROM (SELECT doc_id, {_tokens(_PLAIN)} AS t FROM documents)")
+def decomposed_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Token sets of texts with accents, which come off as signs of their own."""
+    rows = A.table(spark, d, "documents").select("doc_id", X.token_set(F.col("text")).alias("t"))
+    return rows.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.sha2(F.array_join("t", " "), 256).alias("tokens_sha256"))
+
+
+@named("SELECT event_id, 's' AS session_id, left(repeat(props, 40), 200) AS prompt, left(repeat(event_type, 60), 150) AS thinking, CASE WHEN event_id % 2 = 0 THEN 5 ELSE 0 END AS actions, CASE WHEN event_id % 2 = 0 THEN '[ls] ' || event_type || ' \u2192 ' ELSE '' END AS first FROM events")
+def hot_projections(spark: SparkSession, d: str) -> DataFrame:
+    action = F.struct(F.lit("ls").alias("tool"), F.col("event_type").alias("command"), F.lit(None).cast("string").alias("output"))
+    rows = A.table(spark, d, "events").select(F.lit("s").alias("session_id"), F.col("event_id").alias("timestamp"), F.expr("repeat(props, 40)").alias("prompt"), F.lit("r").alias("response"), F.when(F.expr("event_id % 2 = 0"), F.array(*[action] * 7)).alias("actions"), F.expr("repeat(event_type, 60)").alias("thinking"))
+    found = E.hot_projection(rows)
+    return found.select(F.col("timestamp").alias("event_id"), "session_id", "prompt", "thinking", F.size("actions").alias("actions"), F.coalesce(F.try_element_at("actions", F.lit(1)), F.lit("")).alias("first"))
+
+
+@named("WITH m AS (SELECT doc_id FROM documents WHERE doc_id % 5 <> 0) SELECT d.doc_id AS path, CASE WHEN m.doc_id IS NULL THEN 1 WHEN d.doc_id % 7 = 0 THEN 4 ELSE 3 END AS version FROM (SELECT doc_id FROM documents WHERE doc_id % 4 <> 0) d LEFT JOIN m ON m.doc_id = d.doc_id")
+def manifest_repair(spark: SparkSession, d: str) -> DataFrame:
+    from loomline.operators.merge import repaired
+
+    docs = A.table(spark, d, "documents").select(F.col("doc_id").alias("path"), F.sha2("text", 256).alias("hash"))
+    manifest = docs.where("path % 5 != 0").select("path", F.when(F.expr("path % 7 = 0"), F.lit("old")).otherwise(F.col("hash")).alias("hash"), F.lit(3).alias("version"))
+    return repaired(manifest, docs.where("path % 4 != 0")).select("path", "version")
+
+
+@named("SELECT count(*) FILTER (age >= 30) AS cold, count(*) FILTER (age >= 3 AND age < 30) AS warm, count(*) FILTER (age < 3) AS hot FROM (SELECT user_id, (1706745600 - floor(epoch(max(ts)))) / 86400.0 AS age FROM events GROUP BY 1)")
+def tier_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Sessions by tier as one row."""
+    last = A.table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.max("ts").alias("last"))
+    rows = last.select(E.session_tier((F.lit(1_706_745_600) - F.col("last").cast("long")) / 86400.0, F.col("n")).alias("tier"), F.lit(1 << 20).alias("bytes"))
+    stats = E.tier_statistics(rows)
+    one = lambda t: F.coalesce(F.sum(F.when(F.col("tier") == t, F.col("files"))), F.lit(0)).alias(t)
+    return stats.agg(one("cold"), one("warm"), one("hot"))
+
+
+@named("SELECT vec_id AS memory_id FROM embeddings WHERE vec_id NOT IN (SELECT DISTINCT l_suppkey FROM lineitem WHERE l_returnflag = 'R')")
+def superseded_filter(spark: SparkSession, d: str) -> DataFrame:
+    """Memories that no other one supersedes."""
+    index = A.table(spark, d, "embeddings").select(F.col("vec_id").alias("memory_id"), F.array().cast("array<long>").alias("supersedes"))
+    writes = A.table(spark, d, "lineitem").where("l_returnflag = 'R'").select((-F.col("l_orderkey") - 1).alias("memory_id"), F.array("l_suppkey").alias("supersedes"))
+    return D.superseded(index.unionByName(writes)).where("memory_id >= 0").select("memory_id")

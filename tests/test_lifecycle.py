@@ -498,6 +498,24 @@ class _Half:
         raise OSError("down")
 
 
+def test_settings_are_layered_and_checked():
+    from loomline import config
+
+    got = config.load({"max_results": "7", "read_only_agents": ["a"]}, {"LOOMLINE_MAX_RESULTS": "9", "LOOMLINE_PERSONA": "strict", "LOOMLINE_MULTI_TENANT": "no"})
+    assert (got.max_results, got.read_only_agents, got.thresholds, got.multi_tenant) == (9, ("a",), (0.8, 0.6), False)
+    for bad in ({"persona": "x"}, {"dedup_cosine": 2}, {"nope": 1}, {"data_dir": "a/../b"}, {"max_results": 0}):
+        with pytest.raises(ValueError):
+            config.load(bad, {})
+
+
+def test_recipes_come_with_their_records(spark):
+    from loomline.plans.trajectories import recall as recipes
+
+    idx = spark.createDataFrame([(k, [1.0, float(k)], "t") for k in range(4)], "memory_id long, embedding array<double>, category string").withColumn("task_type", F.col("category"))
+    known = spark.createDataFrame([(0, 2, 1.0), (1, 5, 1.0), (3, 5, None)], "memory_id long, rating int, age_days double")
+    assert [r["memory_id"] for r in recipes(idx, [1.0, 0.0], 2, min_rating=3, records=known).collect()] == [1, 3]
+
+
 # --- pages, sinks, streams --------------------------------------------------------------------------------------
 
 
