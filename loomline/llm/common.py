@@ -6,6 +6,8 @@ texts stay UTF-8 bytes from Arrow to hash and are never decoded only to be split
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import uuid
 from collections.abc import Iterable, Iterator
@@ -100,6 +102,7 @@ def materialize(df: DataFrame) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Lets Spark delete shuffle files that nothing refers to now; called after a step that shuffled much."""
+    gc.collect()  # frames of this process that still name them
     spark.sparkContext._jvm.System.gc()
 
 
@@ -110,6 +113,21 @@ def discard(*frames: DataFrame) -> None:
             remove_path(df.sparkSession, path)
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let Spark send its Python workers at most so many rows at a time. A setting of the session, so queries and stages
+    make it and operators do not; they cut what they get all the same."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
+        spark.conf.set(key, str(rows))
+
+
+def tidy() -> None:
+    """Give freed memory back to the system: a worker that is used again keeps it else, beside its next task's."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 #: Rows and bytes that an operator works on at a time; Spark bounds the batches they are cut from by bytes as well.
 SLICE_ROWS, SLICE_BYTES = 1000, 8 << 20
 
@@ -125,6 +143,7 @@ def sized(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 todo += [part.slice(half), part.slice(0, half)]
             elif part.num_rows:
                 yield part
+    tidy()
 
 
 def total_chars(docs: DataFrame, text: str) -> tuple[int, int]:

@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.common import WordHash, discard, materialize, pack_sorted, range_slices, release, shingle_hashes, sized, texts_of, total_chars, unpack_sorted
+from loomline.llm.common import WordHash, discard, materialize, pack_sorted, range_slices, release, shingle_hashes, sized, texts_of, tidy, total_chars, unpack_sorted
 from loomline.llm.components import connected_components
 
 #: Bounds of memory: hashes one task gathers before it sends, hashes of one counting range, entries of the table of
@@ -117,6 +117,7 @@ def _expand(data: bytes) -> np.ndarray:
 
 
 def _add_up(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    tidy()
     hashes = np.concatenate([unpack_sorted(h) for h in table.column("hashes").to_pylist()])
     times = np.concatenate([_expand(t) for t in table.column("times").to_pylist()]).astype(np.uint64)
     order = np.argsort(hashes, kind="stable")

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomline.llm.common import bounded_batches
+
 DOCUMENTS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -19,6 +21,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Every row is judged by its own text: rows with null or repeated ids too. Without labels of both kinds nothing goes
     unless all labels are 1.
     """
+    bounded_batches(spark)
     from loomline.llm import toxicity as model
 
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
@@ -33,6 +36,7 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     Rows without an id come after all others; ties of an id go to one text by its hash; of rows equal in id and text one
     stays. Texts without words are in no group and all stay.
     """
+    bounded_batches(spark)
     from loomline.llm.jaccard_join import jaccard_components
 
     docs = docs.select(*DOCUMENTS).withColumn("_hash", F.xxhash64(F.col("text").cast("string")))
@@ -55,6 +59,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     lose every word go. Rows without an id stay whole and take nothing from others; rows of one id take nothing from
     each other.
     """
+    bounded_batches(spark)
     from loomline.llm.substring_dedup import substring_dedup as dedup
 
     cut = dedup(docs.select(*DOCUMENTS), carry=True)
@@ -67,6 +72,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item; items without words or without an id count for nothing."""
+    bounded_batches(spark)
     from loomline.llm.decontaminate import clean
 
     return clean(docs.select(*DOCUMENTS), spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text"))
@@ -74,6 +80,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document that is left; null and empty texts have none."""
+    bounded_batches(spark)
     import public_tokenizers
 
     from loomline.llm.bpe import encode

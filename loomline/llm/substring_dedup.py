@@ -25,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.common import GOLDEN, WordHash, hash_blocks, mix64, pack_counts, pack_sorted, range_slices, texts_of, total_chars, unpack_counts, unpack_sorted
+from loomline.llm.common import GOLDEN, WordHash, hash_blocks, mix64, pack_counts, pack_sorted, range_slices, texts_of, tidy, total_chars, unpack_counts, unpack_sorted
 
 #: Characters of one block, which one Python worker holds at a time, and blocks at least; windows of one hash range.
-BLOCK_CHARS, LEAST_BLOCKS = 12_000_000, 16
+BLOCK_CHARS, LEAST_BLOCKS = 5_000_000, 16
 RANGE_WINDOWS = 1_500_000
 
 
@@ -75,6 +75,7 @@ def _owners(first: np.ndarray, ends: np.ndarray, number: np.ndarray) -> np.ndarr
 
 def _send(window: int, bits: int):
     def send(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        tidy()
         hashes, ends, _, _, number = _block_hashes(table, window)
         found, first = np.unique(hashes, return_index=True)
         owner = _owners(first, ends, number)
@@ -93,6 +94,7 @@ def _send(window: int, bits: int):
 
 def _mark(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     """Of one hash range: a bit for each block's hash, set if another block has it in a document with a smaller id."""
+    tidy()
     blocks = table.column("block").to_pylist()
     parts = [unpack_sorted(h) for h in table.column("hashes").to_pylist()]
     hashes = np.concatenate(parts)
@@ -133,6 +135,7 @@ SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 def _cut(window: int):
     def cut(docs: pa.Table, marks: pa.Table) -> pa.Table:
+        tidy()
         hashes, ends, texts, order, number = _block_hashes(docs, window)
         ids = docs.column("id")
         found, first, back = np.unique(hashes, return_index=True, return_inverse=True)
