@@ -92,12 +92,15 @@ def bm25(docs: DataFrame, query: Sequence[str], id_col: str, columns: dict[str,
             return F.lit(0)
         return F.regexp_count(c, F.lit(f"(?<![a-z0-9]){t}" + ("" if prefix else "(?![a-z0-9])")))
 
-    length = sum((w * F.regexp_count(c, F.lit("[a-z0-9]+")) for c, w in columns.items()), F.lit(0.0))
+    # a word more or less is a sign more or less: no word is made into a string of its own
+    words = lambda c: F.length(F.regexp_replace(c, "[a-z0-9]+", "#")) - F.length(F.regexp_replace(c, "[a-z0-9]+", ""))
+    length = sum((w * words(c) for c, w in columns.items()), F.lit(0.0))
     tf = [sum((w * found(c, t) for c, w in columns.items()), F.lit(0.0)).alias(f"tf{k}") for k, t in enumerate(wanted)]
     names = [f"tf{k}" for k in range(len(wanted))]
     counted = rows.select("id", length.alias("length"), *tf).repartition("id")
     stats = counted.agg(F.count(F.struct("id")).alias("n"), F.avg("length").alias("mean"), *[F.sum((F.col(c) > 0).cast("int")).alias(f"df{k}") for k, c in enumerate(names)])
-    hits = counted.where(F.greatest(F.lit(0.0), F.lit(0.0), *names) > 0).crossJoin(F.broadcast(stats))
+    # the test needs both sides, else it would move below the exchange, which then would not serve both
+    hits = counted.crossJoin(F.broadcast(stats)).where(F.greatest(F.lit(0.0), F.lit(0.0), *names) * F.col("n") > 0)
     score, matched = F.lit(0.0), F.lit(0)
     for k, c in enumerate(names):
         f, df = F.col(c), F.col(f"df{k}")
