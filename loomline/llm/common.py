@@ -103,6 +103,7 @@ def materialize(df: DataFrame) -> DataFrame:
 def release(spark: SparkSession) -> None:
     """Lets Spark delete shuffle files that nothing refers to now; called after a step that shuffled much."""
     gc.collect()  # frames of this process that still name them
+    spark.range(1).count()  # Spark keeps the plan of the query that ran last
     spark.sparkContext._jvm.System.gc()
 
 

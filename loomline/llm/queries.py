@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomline.adapters import spread
+from loomline.llm.common import bounded_batches
 
 #: Ids that are broadcast at most.
 MAX_BROADCAST = 1_000_000
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
+    bounded_batches(spark)
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return (spread(df) if name in ("documents", "pages") else df).select(*columns)
 
 
 def _remainder(n: int) -> F.Column:
@@ -39,14 +43,14 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The target is the labelled documents of good quality, the background all documents."""
+    """The target is the labelled documents of good quality, the background all documents; own counts are left out."""
     from loomline.llm import lm_score
 
     docs = _table(spark, sf_dir, "documents", "doc_id", "text")
     good = _table(spark, sf_dir, "labels", "doc_id", "quality").where("quality = 1").select("doc_id", F.lit(True).alias("good")).distinct()
     few = good.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST  # beyond that both sides are shuffled
-    model = lm_score.train(docs.join(F.broadcast(good) if few else good, "doc_id", "left"), F.col("good"))
-    return lm_score.score(docs, model).select(F.col("id").alias("doc_id"), "n_tokens", "target_loss", "background_loss", "score")
+    marked = docs.join(F.broadcast(good) if few else good, "doc_id", "left")
+    return lm_score.score_corpus(marked, F.col("good")).select(F.col("id").alias("doc_id"), "n_tokens", "target_loss", "background_loss", "score")
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,9 +41,10 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
     docs = docs.select(*DOCUMENTS).withColumn("_hash", F.xxhash64(F.col("text").cast("string")))
     found = jaccard_components(docs, size=5, percent=80).where("component is not null")
-    place = F.struct(F.col("id").isNull().alias("last"), F.col("id"), F.col("text_hash"))
-    first = found.groupBy(F.col("component").alias("group")).agg(F.min(place).alias("first"))
-    gone = found.join(first, F.col("component") == F.col("group")).where(place != F.col("first")).select("id", "text_hash").distinct()
+    named = F.col("id").eqNullSafe(F.col("component_id"))  # about one row a group, so no group gathers in a task
+    first = found.where(named).groupBy(F.col("component").alias("group")).agg(F.min("text_hash").alias("first"))
+    ties = found.where(named).join(first, F.col("component") == F.col("group")).where("text_hash != first")
+    gone = found.where(~named).select("id", "text_hash").union(ties.select("id", "text_hash")).distinct()
     same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("_hash") == F.col("text_hash"))
     kept = docs.join(gone, same, "left_anti")
     repeated = found.groupBy("id", "text_hash").agg(F.count("*").alias("rows")).where("rows > 1").drop("rows")

@@ -153,10 +153,10 @@ def embedding_texts(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("id", F.length("t").cast("long").alias("chars"), F.sha2("t", 256).alias("text_sha256"))
 
 
-@named("SELECT count(*) AS total, count(*) FILTER (doc_id % 3 <> 0) AS embedded, count(*) FILTER (doc_id % 3 = 0) AS skipped, 0::BIGINT AS failed, count(*) FILTER (doc_id % 3 <> 0 AND length(left(text, 4000)) > 1000) AS truncated FROM documents WHERE length(text) > 0")
+@named("SELECT count(*) AS total, count(*) FILTER (doc_id % 3 <> 0) AS embedded, count(*) FILTER (doc_id % 3 = 0) AS skipped, 0::BIGINT AS failed, count(*) FILTER (doc_id % 3 <> 0 AND length(left(text, 4000)) > 1000) AS truncated FROM documents")
 def index_backfill(spark: SparkSession, d: str) -> DataFrame:
     """Memories that the index lacks are embedded, over-long ones by halves."""
-    rows = A.table(spark, d, "documents").where("length(text) > 0").select(F.col("doc_id").alias("memory_id"), "text")
+    rows = A.table(spark, d, "documents").select(F.col("doc_id").alias("memory_id"), "text")
     index = rows.where("memory_id % 3 = 0").select("memory_id", F.array(F.lit(0.0)).alias("embedding"))
     return I.backfill(rows, index, I.HashEmbedder(most=1000))[1].select(*[F.col(c).cast("long").alias(c) for c in ("total", "embedded", "skipped", "failed", "truncated")])
 
@@ -267,6 +267,17 @@ def topic_prompts(spark: SparkSession, d: str) -> DataFrame:
     return W.topic_prompts(clusters, pages).select("section", "slug", "n", F.sha2("prompt", 256).alias("prompt_sha256"))
 
 
+@named(r"""WITH n(section, slug, names) AS (VALUES ('entities', 'idiot', 'idiot|clown'), ('entities', 'src1', 'src1'), ('concepts', 'of-the', 'of-the|of the')), h AS (SELECT doc_id, lower(left(text, 4000) || ' ' || lang || '  ' || source) AS hay FROM documents WHERE doc_id % 6 <> 0)
+    SELECT section, slug, count(*) AS n, sum(doc_id)::BIGINT AS id_sum FROM (SELECT section, slug, doc_id FROM h, n WHERE regexp_matches(hay, '(^|[^\\p{L}\\p{N}_])(' || names || ')($|[^\\p{L}\\p{N}_])') UNION ALL SELECT 'projects', 'plan-' || lang, doc_id FROM documents WHERE doc_id % 6 <> 0) GROUP BY 1, 2""")
+def topic_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Topics of whole records: projects, named pages, and the writer; records of flush markers only have none."""
+    empty = F.array().cast("array<string>")
+    facts = F.when(F.expr("doc_id % 6 = 0"), F.array(F.lit(P.FLUSH_MARKER))).otherwise(F.array("lang"))
+    rows = A.table(spark, d, "documents").select(F.col("doc_id").alias("memory_id"), F.col("text").alias("summary"), facts.alias("key_facts"), F.array(F.concat(F.lit("Plan "), "lang", F.lit("!"))).alias("projects"), empty.alias("decisions"), F.array("source").alias("writer"))
+    pages = spark.createDataFrame([("entities", "idiot", ["Clown"]), ("entities", "src1", None), ("concepts", "of-the", None)], "section string, slug string, aliases array<string>")
+    return S.cluster(rows, pages).groupBy("section", "slug").agg(F.count("*").alias("n"), F.sum("id").alias("id_sum"))
+
+
 @named("""SELECT c_custkey, '## Cross References' || chr(10) || '- [[entities/ann]]' || chr(10) || 'prose' || CASE WHEN c_custkey % 2 = 0 THEN chr(10) || '- [[projects/deep-sea]]' ELSE '' END || chr(10) || '## Else' || chr(10) || '- nobody' AS body,
     'entities/ann' || CASE WHEN c_custkey % 2 = 0 THEN ',projects/deep-sea' ELSE '' END AS links FROM customer""")
 def cross_references(spark: SparkSession, d: str) -> DataFrame:
@@ -277,10 +288,10 @@ def cross_references(spark: SparkSession, d: str) -> DataFrame:
     return W.checked_references(pages, known).select(F.col("id").alias("c_custkey"), "body", F.array_join("links", ",").alias("links"))
 
 
-@named(r"""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '' ELSE (SELECT CASE WHEN starts_with(p, '#') THEN '' WHEN length(p) > 140 THEN left(p, 140) || chr(8230) ELSE p END FROM (SELECT regexp_replace(string_split(regexp_replace(lang || ' ' || text, '^\s+|\s+$', '', 'g'), chr(10) || chr(10))[1], '^\s+|\s+$', '', 'g') AS p)) END AS tagline FROM documents WHERE NOT contains(text, chr(10) || '##')""")
+@named(r"""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '' ELSE (SELECT CASE WHEN starts_with(p, '#') THEN '' WHEN length(p) > 140 THEN left(p, 140) || chr(8230) ELSE p END FROM (SELECT regexp_replace(string_split(regexp_replace(lang || ' ' || text, '^\s+|\s+$', '', 'g'), chr(10) || chr(10))[1], '^\s+|\s+$', '', 'g') AS p)) END AS tagline FROM documents""")
 def taglines(spark: SparkSession, d: str) -> DataFrame:
     """First paragraph of each page's summary."""
-    docs = A.table(spark, d, "documents").where(~F.contains("text", F.lit("\n##")))
+    docs = A.table(spark, d, "documents").withColumn("text", F.replace("text", F.lit("\n##"), F.lit("\n==")))
     page = F.when(F.expr("doc_id % 3 = 0"), F.concat(F.lit("# T\n"), "text")).otherwise(F.concat(F.lit("# T\n## Summary\n"), "lang", F.lit(" "), "text", F.lit("\n## More\nx")))
     return docs.select("doc_id", W.tagline(page).alias("tagline"))
 

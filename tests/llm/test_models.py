@@ -157,11 +157,35 @@ def test_lm_scores_equal_plain_formula(spark):
         assert r["score"] == pytest.approx(loss(1, own) - loss(0, own))
 
 
+@pytest.mark.parametrize("block_chars", [300, 10**9])
+def test_lm_corpus_leaves_own_counts_out(spark, monkeypatch, block_chars):
+    monkeypatch.setattr(lm_score, "BLOCK_CHARS", block_chars)
+    rng = random.Random(19)
+    rows = [(i, " ".join(rng.choice(COMMON[:12] if i % 2 else COMMON) for _ in range(rng.randrange(0, 60))), i % 3 == 1) for i in range(60)]
+    rows += [(60, None, None), (61, "", True), (None, "The AT the", False), (62, "only here twice", True), (62, "only here twice", True), (63, "lone words", False), (64, "the on " * 20_000, False)]
+    docs = spark.createDataFrame([(*r, 1, "z") for r in rows], "doc_id long, text string, good boolean, block int, target string")
+    got = lm_score.score_corpus(docs, F.col("good")).collect()
+    own = [(t or "").lower().split() for _, t, _ in rows]
+    counted = lambda some: (Counter(x for d in some for x in (["^", *d] if d else [])), Counter(p for d in some for p in zip(["^", *d], d, strict=False)), sum(map(len, some)))
+    size = len({w for d in own for w in d}) + 1
+    want = []
+    for k, (i, _, _) in enumerate(rows):
+        losses = []
+        for good_only in (True, False):
+            uni, bi, total = counted([d for j, d in enumerate(own) if j != k and (rows[j][2] or not good_only)])
+            bits = [-np.log2(lm_score.MIX * bi[a, b] / max(uni[a], 1) + (1 - lm_score.MIX) * (uni[b] + 1) / (total + size)) for a, b in zip(["^", *own[k]], own[k], strict=False)]
+            losses.append(float(np.mean(bits)) if bits else 0.0)
+        want.append((str(i), len(own[k]), *losses, losses[1] - losses[0]))
+    have = sorted((str(r["id"]), r["n_tokens"], r["target_loss"], r["background_loss"], r["score"]) for r in got)
+    for a, b in zip(have, sorted(want), strict=True):
+        assert a[:2] == b[:2] and a[2:] == pytest.approx(b[2:])
+
+
 def test_lm_counts_grow_with_the_corpus(spark, monkeypatch):
-    """More distinct words than 50,000 and more bigrams than fit 2^21 cells apart; rare words keep their own counts."""
+    """More distinct words than 50,000 and more bigrams than 2^21; rare words keep their own counts."""
     monkeypatch.setattr(lm_score, "BLOCK_CHARS", 2_000_000, raising=False)
-    rows = [(i, " ".join(f"w{(i * 977 + k * k * (i % 13 + 1)) % 130_000}" for k in range(1500)), i % 2 == 0) for i in range(800)]
-    rows += [(800, "rare1 rare2 rare1 rare2", True), (801, "rare3 rare2 rare3", False)]
+    rows = [(i, " ".join(f"w{(i * 977 + k * k * (i % 13 + 1)) % 130_000}" for k in range(1500)), i % 2 == 0) for i in range(1700)]
+    rows += [(9000, "rare1 rare2 rare1 rare2", True), (9001, "rare3 rare2 rare3", False)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, good boolean")
     got = {r["id"]: r for r in lm_score.score(docs, lm_score.train(docs, F.col("good"))).collect()}
     uni, bi, total = [Counter(), Counter()], [Counter(), Counter()], [0, 0]
@@ -172,7 +196,7 @@ def test_lm_counts_grow_with_the_corpus(spark, monkeypatch):
             bi[k].update(zip(["^", *own], own, strict=False))
             total[k] += len(own)
     size = len(uni[1])  # all words and the unknown one; the start is none
-    assert size > 50_000 and len(bi[1]) > 500_000
+    assert size > 50_000 and len(bi[1]) > 2**21
     for i, t, _ in rows[::40] + rows[-2:]:
         own = t.split()
         want = [float(np.mean([-np.log2(lm_score.MIX * bi[k][a, b] / max(uni[k][a], 1) + (1 - lm_score.MIX) * (uni[k][b] + 1) / (total[k] + size)) for a, b in zip(["^", *own], own, strict=False)])) for k in (0, 1)]
@@ -185,3 +209,65 @@ def test_lm_empty_inputs(spark):
     assert lm_score.score(empty, model).count() == 0
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     assert {r["id"]: r["score"] for r in lm_score.score(docs, model).collect()} == {1: 0.0, 2: 0.0}
+    assert lm_score.score_corpus(empty, F.col("good")).count() == 0
+    assert {r["id"]: r["score"] for r in lm_score.score_corpus(docs, F.lit(None).cast("boolean")).collect()}.keys() == {1, 2}
+
+
+def test_quality_score_equals_plain_attention():
+    """Features, gated attention and score of a text, computed one passage and one unit at a time."""
+    rng = np.random.default_rng(3)
+    model = quality.Model(rng.normal(0, 1, quality.FEATURES), rng.uniform(0.5, 2, quality.FEATURES), {
+        "W": rng.normal(0, 0.3, (quality.FEATURES, 5)), "c": rng.normal(0, 1, 5), "V": rng.normal(0, 1, (5, 3)), "U": rng.normal(0, 1, (5, 3)), "u": rng.normal(0, 1, 3), "o": rng.normal(0, 1, 5), "b": np.array([0.3]),
+    })
+    text = " ".join("Hello WORLD 12 x9 a,b $$$ hello hello | /p ünï end. supercalifragilistic".split()[k % 12] for k in range(150))
+    words = text.encode().split()
+    sig = lambda z: 1 / (1 + np.exp(-z))
+    encoded, energy = [], []
+    for at in range(0, 150, quality.PASSAGE_WORDS):
+        part = words[at : at + quality.PASSAGE_WORDS]
+        x = np.zeros(quality.FEATURES)
+        for k, w in enumerate(part):
+            code = quality.word_code(w)
+            x[code >> quality.SHAPES & 31] += 1
+            for s in range(quality.SHAPES):
+                x[quality.BUCKETS + s] += code >> s & 1
+            for j, lag in enumerate((1, 2, 4)):
+                x[quality.BUCKETS + quality.SHAPES + j] += at + k >= lag and words[at + k - lag] == w
+        x /= len(part)
+        x[-1] = min(1.0, np.log1p(150) / 10)
+        x = (x.astype(np.float32) - model.mean) / model.scale
+        p = model.parts
+        h = np.array([np.tanh(sum(x[i] * p["W"][i, j] for i in range(quality.FEATURES)) + p["c"][j]) for j in range(5)])
+        encoded.append(h)
+        energy.append(sum(p["u"][j] * np.tanh(h @ p["V"][:, j]) * sig(h @ p["U"][:, j]) for j in range(3)))
+    weight = np.exp(energy) / np.sum(np.exp(energy))
+    want = sig(sum(w * h for w, h in zip(weight, encoded, strict=True)) @ model.parts["o"] + 0.3)
+    score, attention = model.score(quality.passages(quality.WordCodes(), text.encode()), np.array([0]))
+    assert score[0] == pytest.approx(want, rel=1e-5) and attention == pytest.approx(weight, rel=1e-4)
+
+
+def test_toxicity_fit_is_at_a_minimum_of_its_loss():
+    """Moving any learned number a little makes the weighted noisy-or loss no better."""
+    rng = random.Random(4)
+    bags = [([((k % 3,) if rng.random() < 0.7 else (), 1 + k % 2), ((), rng.randrange(1, 6))], int(k % 3 == 0 and rng.random() < 0.9 or rng.random() < 0.1)) for k in range(300)]
+    share, ridge = 0.1, 0.02
+    model = toxicity.fit(bags, ["f0", "f1", "f2"], share, ridge=ridge)
+    labels = [y for _, y in bags]
+    weigh = {1: share / np.mean(labels), 0: (1 - share) / (1 - np.mean(labels))}
+
+    def loss(weights, bias, leak):
+        total = ridge * sum(w * w for w in weights) / 2
+        for bag, y in bags:
+            clean = 1 - leak
+            for hit, n in bag:
+                clean *= (1 - 1 / (1 + np.exp(-bias - sum(weights[f] for f in hit)))) ** n
+            total -= weigh[y] * np.log(1 - clean if y else clean)
+        return total / len(bags)
+
+    weights = [model.weights.get(f"f{k}", 0.0) for k in range(3)]
+    best = loss(weights, model.bias, model.leak)
+    for k in range(3):
+        for step in (-0.1, 0.1):
+            assert loss([w + step * (j == k) for j, w in enumerate(weights)], model.bias, model.leak) >= best - 1e-5
+    for step in (0.9, 1.1):
+        assert loss(weights, model.bias * step, model.leak) >= best - 1e-5 and loss(weights, model.bias, model.leak * step) >= best - 1e-5
