@@ -268,7 +268,7 @@ def topic_prompts(spark: SparkSession, d: str) -> DataFrame:
 
 
 @named(r"""WITH n(section, slug, names) AS (VALUES ('entities', 'idiot', 'idiot|clown'), ('entities', 'src1', 'src1'), ('concepts', 'of-the', 'of-the|of the')), h AS (SELECT doc_id, lower(left(text, 4000) || ' ' || lang || '  ' || source) AS hay FROM documents WHERE doc_id % 6 <> 0)
-    SELECT section, slug, count(*) AS n, sum(doc_id)::BIGINT AS id_sum FROM (SELECT section, slug, doc_id FROM h, n WHERE regexp_matches(hay, '(^|[^\\p{L}\\p{N}_])(' || names || ')($|[^\\p{L}\\p{N}_])') UNION ALL SELECT 'projects', 'plan-' || lang, doc_id FROM documents WHERE doc_id % 6 <> 0) GROUP BY 1, 2""")
+    SELECT section, slug, count(*) AS n, sum(doc_id)::BIGINT AS id_sum FROM (SELECT section, slug, doc_id FROM h, n WHERE regexp_matches(hay, '(^|[^\p{L}\p{N}_])(' || names || ')($|[^\p{L}\p{N}_])') UNION ALL SELECT 'projects', 'plan-' || lang, doc_id FROM documents WHERE doc_id % 6 <> 0) GROUP BY 1, 2""")
 def topic_clusters(spark: SparkSession, d: str) -> DataFrame:
     """Topics of whole records: projects, named pages, and the writer; records of flush markers only have none."""
     empty = F.array().cast("array<string>")
