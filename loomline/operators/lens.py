@@ -17,6 +17,15 @@ from loomline.operators.vector import nearest_many
 BATCH_CHARS, LOG_CHARS, NOTES, SAME = 24_000, 3000, 8, 0.90
 
 
+#: Jobs of the maintenance loop, one round every 300 seconds: every how many rounds, and at which of them (fixed values).
+MAINTENANCE = {"reclassify": (12, 0), "analyst": (12, 6), "muse": (24, 13)}
+
+
+def due(tick: int) -> list[str]:
+    """The jobs of a round of the maintenance loop, by its number from 1; a scheduler runs them as batch jobs."""
+    return [name for name, (every, at) in MAINTENANCE.items() if tick > 0 and tick % every == at]
+
+
 def candidates(logs: DataFrame, marks: DataFrame, lens: str, limit: int) -> DataFrame:
     """Oldest session logs that this lens has not marked; each lens reads every log once, whatever others did."""
     unread = logs.where("category = 'session_log'").join(marks.where(F.col("lens") == lens).select("memory_id"), "memory_id", "left_anti")

@@ -498,6 +498,23 @@ class _Half:
         raise OSError("down")
 
 
+def test_small_rules(spark):
+    from loomline.operators import merge, vector
+
+    assert [t for t in range(49) if "reclassify" in lens.due(t)] == [12, 24, 36, 48] and [t for t in range(49) if "analyst" in lens.due(t)] == [6, 18, 30, 42] and [t for t in range(49) if "muse" in lens.due(t)] == [13, 37]
+    mem = spark.createDataFrame([(1, "ann"), (2, "bob"), (3, None)], "memory_id long, agent_id string")
+    assert rows(recall.tenant_scope(mem, "ann"), "memory_id") == [(1,)] and recall.tenant_scope(mem, None, multi_tenant=False).count() == 3
+    hits = spark.createDataFrame([(1, 0.5), (9, 0.1)], "memory_id long, distance double")
+    assert rows(vector.with_sources(hits, mem), "memory_id", "agent_id") == [(1, "ann")]
+    assert rows(merge.tenants(mem, spark.createDataFrame([("cy",), ("bob",)], "agent_id string")), "agent_id") == [("ann",), ("bob",), ("cy",)]
+    newer = spark.createDataFrame([(1, [2, 3]), (2, None), (3, []), (4, [9])], "memory_id long, supersedes array<long>")
+    assert rows(dedup.superseded(newer), "memory_id") == [(1,), (4,)]
+    claimed = spark.createDataFrame([("c", 1, "promote", None), ("c", 2, "override", "d"), ("d", 3, "promote", None), ("e", 1, "forget", None), ("e", 2, "promote", None)], "claim_id string, seq int, action string, replacement string")
+    assert rows(nightly.latest_status(claimed), "claim_id", "status", "superseded_by") == [("c", "overridden", "d"), ("d", "active", None), ("e", "forgotten", None)]
+    briefs = spark.createDataFrame([("2026-01-02", datetime(2026, 1, 2)), ("2026-01-03-boot", datetime(2026, 1, 3)), ("2026-01-01", datetime(2026, 1, 1))], "name string, modified timestamp")
+    assert tuple(nightly.brief_age(briefs, F.lit("2026-01-02 06:30:00").cast("timestamp")).first()) == ("2026-01-02", 6.5)
+
+
 def test_settings_are_layered_and_checked():
     from loomline import config
 
