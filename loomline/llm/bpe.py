@@ -7,7 +7,9 @@ certainty. Every piece of the public pre-tokenizer pattern is cut at such pairs,
 The vocabulary file is a parameter. The driver reads it once and broadcasts its bytes, whose size is checked.
 
 Defined cases: null and empty texts have no ids and decode to the empty string; special tokens' strings in a text
-become their ids, as in the library's default; ids that no token has raise; other columns are not returned.
+become their ids, as in the library's default; ids that no token has raise; rows with null or repeated ids are encoded
+each; an empty table gives no rows; texts of any length are encoded whole; other columns are not returned, whatever
+their names.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ small enough to broadcast. Scoring runs over whole texts of all rows.
 
 Defined cases: null and empty texts have one empty sentence; without labelled rows of both kinds every score is the
 share of label 1 (0 if there are no labels); rows with null label or null id are not learned from; repeated rows are
-scored alike; other columns are not returned.
+scored alike; ties among features go by name; an empty table gives no rows; texts of any length are scored whole; other
+columns are not returned, whatever their names, unless they are carried.
 """
 
 from __future__ import annotations
