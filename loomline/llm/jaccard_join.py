@@ -256,7 +256,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     release(spark)
 
     # round two: buckets of the lists that still hold several components
-    placed = materialize(_mixed(lists.select("token", "gid", "n"), known).join(groups.select("gid", *BITS), "gid"))
+    placed = materialize(_mixed(lists.select("token", "gid", "n"), known).select("token", "gid", "n"))
     salt = F.explode(F.array(*[F.struct(F.lit(k).alias("way"), F.pmod(F.xxhash64("gid", "token", F.lit(k)), F.ceil(F.col("c") / BUCKET)).alias("salt")) for k in range(STARS)]))
     dealt = placed.join(placed.groupBy("token").agg(F.count("*").alias("c")), "token").select("token", "gid", salt.alias("s")).select("token", "gid", "s.way", "s.salt")
     firsts = dealt.groupBy("token", "way", "salt").agg(F.min("gid").alias("other"))
@@ -265,7 +265,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     release(spark)
 
     # round three: all pairs of lists and groups that hold several components still
-    left = materialize(_mixed(placed.select("token", "gid", "n", *BITS), known_two))
+    left = materialize(_mixed(placed, known_two).join(groups.select("gid", *BITS), "gid"))
     x = left.where("minor").select("token", *_as("x_", "gid", "n", "comp", *BITS))
     y = left.select("token", *_as("y_", "gid", "n", "comp", "minor", *BITS))
     apart = (F.col("x_gid") != F.col("y_gid")) & ~F.coalesce(F.col("x_comp") == F.col("y_comp"), F.lit(False)) & (~F.col("y_minor") | (F.col("x_gid") < F.col("y_gid")))
