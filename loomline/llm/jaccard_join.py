@@ -5,8 +5,8 @@ least ``percent`` / 100. Sets are ordered by one global order, rare shingles fir
 among their first n - ceil(percent * n / 100) + 1, their prefix.
 
 Plan.
-1. Shingles are counted over all documents: each task sends sorted distinct hashes, packed, by hash range, and each
-   range adds them up. Shingles of a level (log2 of the count) above a chosen one form the table of frequent
+1. Shingles are counted, as often as they occur, over all documents: each task sends sorted distinct hashes, packed, by
+   hash range, and each range adds them up. Shingles of a level (log2 of the count) above a chosen one form the table of frequent
    shingles that all workers get; the level rises until the table has at most MAX_FREQUENT entries. The order is
    (level of a frequent shingle or 0, hash). Any global order is right; this one keeps posting lists short.
 2. One pass over the texts writes (id, set size, hash of the set, prefix, parity bits). Equal sets become one class,
@@ -55,6 +55,8 @@ SEND_HASHES, RANGE_HASHES, MAX_FREQUENT, LEAST_FREQUENT = 1_500_000, 1_500_000,
 MAX_BROADCAST, LEADING = 1_000_000, 3
 #: Ways in which round two cuts posting lists into buckets, and groups in a bucket.
 STARS, BUCKET = 2, 8
+#: Leading bits of a shingle by which a worker sees at once that it is not frequent.
+HEAD_BITS = 24
 #: Parity bits of a set, in columns of 64.
 PARITY_BITS = 512
 BITS = [f"p{k}" for k in range(PARITY_BITS // 64)]
@@ -93,7 +95,7 @@ def _sends(size: int, bits: int, mask: int):
 
         for batch in sized(batches):
             for text in texts_of(batch.column(0)):
-                held.append(shingle_set(words, text, size) & np.uint64(mask))
+                held.append(shingle_hashes(words.of(text.lower().split()), size) & np.uint64(mask))
                 count += len(held[-1])
                 if count >= SEND_HASHES:
                     yield packed()
@@ -155,6 +157,8 @@ def _signs(size: int, percent: int, shared):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mask, hot, level = shared.value
         words = WordHash()
+        heads = np.zeros(1 << HEAD_BITS, bool)  # leading bits of frequent shingles: most others need no search
+        heads[hot >> np.uint64(64 - HEAD_BITS)] = True
         for batch in sized(batches):
             n, keys, prefixes, parity = [], [], [], []
             for text in texts_of(batch.column(1)):
@@ -163,9 +167,11 @@ def _signs(size: int, percent: int, shared):
                 keys.append(set_key(found))
                 parity.append(parity_bits(found))
                 if len(hot):
-                    cut = found & np.uint64(mask)
+                    maybe = np.flatnonzero(heads[found >> np.uint64(64 - HEAD_BITS)])
+                    cut = found[maybe] & np.uint64(mask)
                     at = np.minimum(np.searchsorted(hot, cut), len(hot) - 1)
-                    rank = np.where(hot[at] == cut, level[at], 0)
+                    rank = np.zeros(len(found), np.uint8)
+                    rank[maybe] = np.where(hot[at] == cut, level[at], 0)
                     found = found[np.argsort(rank, kind="stable")]
                 prefixes.append(found[: prefix_length(len(found), percent)].view(np.int64) if len(found) else None)
             ends = np.cumsum([0] + [0 if p is None else len(p) for p in prefixes])
