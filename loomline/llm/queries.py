@@ -130,9 +130,36 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(docs).select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manifest of documents by source; the tampered leaf of every other document lacks its text's newlines."""
+    from loomline.llm import merkle
+
+    docs = _table(spark, sf_dir, "documents", "doc_id", "source", "lang", "n_chars", "text")
+    columns = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    hit = (_remainder(2) == 0) & F.contains("text", F.lit("\n"))
+    tampered = F.when(hit, merkle.digest_of(*columns, F.replace("text", F.lit("\n"), F.lit(""))))
+    folded = merkle.merkle_manifest(docs, other=tampered).withColumn("folded_root", merkle.fold_proof(F.col("other"), F.col("proof")))
+    siblings = F.array_join(F.transform("proof", lambda s: F.concat(s["before"], s["after"])), "")
+    return folded.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", F.sha2(siblings, 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomline.llm.importance import resample
+
+    drawn = resample(_table(spark, sf_dir, "documents", "doc_id", "text"), _table(spark, sf_dir, "benchmark", "text"))
+    return drawn.select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomline.llm.simhash import simhash_components
+
+    found = simhash_components(_table(spark, sf_dir, "documents", "doc_id", "text"))
+    return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality, op2_jaccard_join, op3_lm_score, op4_warc, op5_fingerprints, op6_bpe, op7_chat, op8_decontamination, op9_toxicity, op10_substring_dedup)
+    for f in (op1_quality, op2_jaccard_join, op3_lm_score, op4_warc, op5_fingerprints, op6_bpe, op7_chat, op8_decontamination, op9_toxicity, op10_substring_dedup, op11_merkle_manifest, op12_importance_resampling, op13_simhash)
 }
 
 ORACLE_SQL: dict[str, str] = {
