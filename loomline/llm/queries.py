@@ -203,4 +203,62 @@ ORACLE_SQL: dict[str, str] = {
             FROM marked GROUP BY doc_id)
         SELECT w.doc_id, len(words)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
         FROM w LEFT JOIN kept ON kept.doc_id = w.doc_id""",
+    "op11_merkle_manifest": r"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, source, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+                       || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head,
+                   text, replace(text, chr(10), '') AS bare,
+                   list_reduce([4294967295::BIGINT] || list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda i: ord((doc_id::VARCHAR)[i])::BIGINT),
+                       lambda c, b: list_reduce([xor(c, b)] || range(8), lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)) & 1 = 1 AS even
+            FROM documents),
+        leaves AS (
+            SELECT doc_id, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS idx, count(*) OVER (PARTITION BY source) AS n,
+                   sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf, sha256(head || coalesce(strlen(bare) || ':' || bare, '-')) AS other, even
+            FROM d),
+        nodes AS (
+            SELECT tree, 0 AS level, idx, n, leaf AS digest FROM leaves
+            UNION ALL
+            SELECT tree, level + 1, idx // 3, (n + 2) // 3, sha256(string_agg(digest, '' ORDER BY idx)) FROM nodes WHERE n > 1 GROUP BY tree, level, idx // 3, n),
+        tops AS (
+            SELECT 0 AS level, tree AS idx, (SELECT count(*) FROM nodes WHERE n = 1) AS n, digest FROM nodes WHERE n = 1
+            UNION ALL
+            SELECT level + 1, idx // 3, (n + 2) // 3, sha256(string_agg(digest, '' ORDER BY idx)) FROM tops WHERE n > 1 GROUP BY level, idx // 3, n),
+        runs AS (
+            SELECT tree, level, idx // 3 AS run, list(digest ORDER BY idx) AS digests FROM nodes WHERE n > 1 GROUP BY ALL
+            UNION ALL SELECT -1, level, idx // 3, list(digest ORDER BY idx) FROM tops WHERE n > 1 GROUP BY ALL),
+        spots AS (
+            SELECT doc_id, r.level, leaves.idx // (3 ** r.level)::BIGINT % 3 AS pos, digests FROM leaves JOIN runs r ON r.tree = leaves.tree AND r.run = leaves.idx // (3 ** (r.level + 1))::BIGINT
+            UNION ALL SELECT doc_id, 1000 + r.level, leaves.tree // (3 ** r.level)::BIGINT % 3, digests FROM leaves JOIN runs r ON r.tree = -1 AND r.run = leaves.tree // (3 ** (r.level + 1))::BIGINT),
+        proofs AS (
+            SELECT doc_id, list({'b': array_to_string(digests[1 : pos], ''), 'a': array_to_string(digests[pos + 2 :], '')} ORDER BY level) AS steps FROM spots GROUP BY doc_id),
+        done AS (
+            SELECT doc_id, leaf, tree, coalesce(steps, []) AS steps, CASE WHEN even THEN other ELSE leaf END AS start FROM leaves LEFT JOIN proofs USING (doc_id)),
+        folded AS (
+            SELECT *, list_reduce([{'b': start, 'a': ''}] || steps, lambda x, s: {'b': sha256(s.b || x.b || s.a), 'a': ''}).b AS folded_root, (SELECT digest FROM tops WHERE n = 1) AS root FROM done)
+        SELECT doc_id, leaf, nodes.digest AS subroot, root, sha256(array_to_string(list_transform(steps, lambda s: s.b || s.a), '')) AS proof_sha256, folded_root, folded_root = root AS verified
+        FROM folded JOIN nodes ON nodes.tree = folded.tree AND nodes.n = 1""",
+    "op12_importance_resampling": r"""
+        WITH crc AS (SELECT list(list_reduce([i] || range(8), lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) ORDER BY i) AS t FROM range(256) r(i)),
+        texts AS (
+            SELECT 0 AS side, doc_id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark),
+        words AS (
+            SELECT side, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts),
+        features AS (
+            SELECT side, doc_id, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) || list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS f FROM words),
+        counted AS (SELECT side, doc_id, f, count(*) AS n FROM features GROUP BY ALL),
+        coded AS (
+            SELECT f, xor(list_reduce([4294967295::BIGINT] || list_transform(range(1, 2 * strlen(f), 2), lambda i: (16 * (strpos('0123456789ABCDEF', h[i]) - 1) + strpos('0123456789ABCDEF', h[i + 1]) - 1)::BIGINT),
+                lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])), 4294967295) % 10000 AS bucket
+            FROM (SELECT f, hex(f) AS h FROM (SELECT DISTINCT f FROM counted)), crc),
+        hits AS (SELECT side, doc_id, bucket, sum(n)::BIGINT AS n FROM counted JOIN coded USING (f) GROUP BY ALL),
+        totals AS (SELECT bucket, coalesce(sum(n) FILTER (side = 0), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (side = 1), 0)::DOUBLE AS t FROM hits GROUP BY bucket),
+        alls AS (SELECT sum(s) AS all_s, sum(t) AS all_t FROM totals),
+        gains AS (SELECT bucket, floor(1000 * ln((t + 1) * (all_s + 10000) / ((s + 1) * (all_t + 10000))))::BIGINT AS gain FROM totals, alls),
+        weights AS (SELECT doc_id, sum(n * gain)::BIGINT AS weight, sum(n)::BIGINT AS n_features FROM hits JOIN gains USING (bucket) WHERE side = 0 GROUP BY doc_id),
+        scored AS (
+            SELECT words.doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+                   coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || sha256('42:' || words.doc_id)[1:8])::BIGINT + 0.5) / 4294967296::DOUBLE)))::BIGINT AS score
+            FROM words LEFT JOIN weights ON weights.doc_id = words.doc_id WHERE side = 0),
+        ranked AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM scored WHERE n_words >= 20)
+        SELECT scored.doc_id, n_features, weight, score, rank FROM scored LEFT JOIN ranked ON ranked.doc_id = scored.doc_id AND rank <= 5 * n // 100""",
 }

@@ -87,13 +87,18 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def position_sets(size: int, shared: int) -> list[tuple[int, ...]]:
-    """Sets of ``size`` of the 8 positions such that any ``shared`` positions hold one of them, chosen greedily."""
-    left, out = [set(c) for c in combinations(range(BYTES), shared)], []
+    """Sets of ``size`` of the 8 positions such that any ``shared`` positions hold one of them.
+
+    The fewer of: sets chosen greedily; all sets within so few parts of the positions that one part has ``size`` of them.
+    """
+    left, greedy = [set(c) for c in combinations(range(BYTES), shared)], []
     while left:
         best = max(combinations(range(BYTES), size), key=lambda s: sum(set(s) <= c for c in left))
-        out.append(best)
+        greedy.append(best)
         left = [c for c in left if not set(best) <= c]
-    return out
+    parts = (shared - 1) // (size - 1) if size > 1 else 1
+    within = [c for k in range(parts) for c in combinations(range(k, BYTES, parts), size)]
+    return min(greedy, within, key=len)
 
 
 def _mask(positions: tuple[int, ...]) -> int:
