@@ -14,100 +14,17 @@ from pyspark.sql import types as T
 
 from loomline.functions.porter import stem
 from loomline.functions.text import page_slug
+from loomline.functions.words import words_of
+from loomline.operators.fulltext import bm25, change_index
+from loomline.sources.commits import remove
 
-#: Standard published constants of BM25.
-K1, B = 1.2, 0.75
 
-
-def flat_words(text: Column) -> Column:
-    """The text's words in lower case, one space between two and none around."""
-    return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+", " "))
-
-
-def terms(text: Column) -> Column:
-    flat = flat_words(text)
-    return F.when(flat == "", F.array().cast("array<string>")).otherwise(F.split(flat, " "))
-
-
-@F.pandas_udf(T.StringType())
-def stemmed_words(flat: pd.Series) -> pd.Series:
-    """Each word of flat texts by its Porter stem, for which there is no built-in function."""
-    own = lru_cache(100_000)(stem)
-    return flat.map(lambda t: " ".join(map(own, t.split())) if t else t)
-
-
-def _flat(column: str, porter: bool) -> Column:
-    return stemmed_words(flat_words(F.col(column))) if porter else flat_words(F.col(column))
-
-
-def _weighted(words: Column, weight: float) -> Column:
-    return F.transform(words, lambda t: F.struct(t.alias("term"), F.lit(float(weight)).alias("w")))
-
-
-def inverted_index(docs: DataFrame, id_col: str, columns: dict[str, float], porter: bool = False) -> DataFrame:
-    """(id, term, weighted frequency, weighted length); columns carry their weights."""
-    rows = docs.select(F.col(id_col).alias("id"), *[_flat(c, porter).alias(c) for c in columns])
-    words = {c: F.when(F.col(c) == "", F.array().cast("array<string>")).otherwise(F.split(c, " ")) for c in columns}
-    length = sum((F.lit(float(w)) * F.size(words[c]) for c, w in columns.items()), F.lit(0.0))
-    every = F.concat(*[_weighted(words[c], w) for c, w in columns.items()])
-    return rows.select("id", length.alias("length"), F.explode(every).alias("x")).groupBy("id", F.col("x.term").alias("term"), "length").agg(F.sum("x.w").alias("tf"))
-
-
-def write_index(docs: DataFrame, id_col: str, columns: dict[str, float], path: str, mode: str = "overwrite", porter: bool = False, buckets: int = 64) -> None:
-    """Postings under ``path``/postings by bucket of the term, and lengths under ``path``/lengths; ``append`` adds documents,
-    ``overwrite`` builds anew."""
-    rows = inverted_index(docs, id_col, columns, porter)
-    rows.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets))).write.mode(mode).partitionBy("bucket").parquet(f"{path}/postings")
-    lengths = docs.select(F.col(id_col).alias("id"), sum((F.lit(float(w)) * F.size(F.filter(F.split(_flat(c, porter), " "), lambda t: t != "")) for c, w in columns.items()), F.lit(0.0)).alias("length"))
-    lengths.write.mode(mode).parquet(f"{path}/lengths")
-
-
-def bm25_indexed(spark, path: str, query: Sequence[str], porter: bool = False, buckets: int = 64) -> DataFrame:
-    """(id, score, matched) from a written index: only the query's terms' buckets are read."""
-    wanted = sorted({stem(t.lower()) if porter else t.lower() for t in query})
-    postings = spark.read.parquet(f"{path}/postings")
-    bucket = spark.createDataFrame([(t,) for t in wanted], "term string").select(F.pmod(F.xxhash64("term"), F.lit(buckets)).alias("b")).distinct().collect()
-    found = postings.where(F.col("bucket").isin([r["b"] for r in bucket]) & F.col("term").isin(wanted))
-    stats = spark.read.parquet(f"{path}/lengths").agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
-    df = found.groupBy("term").agg(F.count("*").alias("df"))
-    rows = found.join(F.broadcast(df), "term").crossJoin(F.broadcast(stats))
-    idf = F.log(1.0 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    return rows.groupBy("id").agg(F.sum(part).alias("score"), F.count("*").cast("int").alias("matched"))
-
-
-def bm25(docs: DataFrame, query: Sequence[str], id_col: str, columns: dict[str, float], prefix: bool = False, porter: bool = False) -> DataFrame:
-    """(id, score, matched) over all documents without an index.
-
-    ``matched`` counts the query terms that a document has; ``prefix`` lets a term match every word it begins; ``porter``
-    compares stems. Texts are read and cut into words once: what both the statistics and the scores need of a document is
-    a few numbers, and those are what is shuffled, once for both.
-    """
-    wanted = [stem(t.lower()) if porter else t.lower() for t in query]
-    text = lambda c: stemmed_words(flat_words(F.col(c))) if porter else F.lower(F.coalesce(F.col(c), F.lit("")))
-    rows = docs.select(F.col(id_col).alias("id"), *[text(c).alias(c) for c in columns])
-
-    def found(c: str, t: str) -> Column:
-        if not re.fullmatch("[a-z0-9]+", t):
-            return F.lit(0)
-        return F.regexp_count(c, F.lit(f"(?<![a-z0-9]){t}" + ("" if prefix else "(?![a-z0-9])")))
-
-    # a word more or less is a sign more or less: no word is made into a string of its own
-    words = lambda c: F.length(F.regexp_replace(c, "[a-z0-9]+", "#")) - F.length(F.regexp_replace(c, "[a-z0-9]+", ""))
-    length = sum((w * words(c) for c, w in columns.items()), F.lit(0.0))
-    tf = [sum((w * found(c, t) for c, w in columns.items()), F.lit(0.0)).alias(f"tf{k}") for k, t in enumerate(wanted)]
-    names = [f"tf{k}" for k in range(len(wanted))]
-    counted = rows.select("id", length.alias("length"), *tf).repartition("id")
-    stats = counted.agg(F.count(F.struct("id")).alias("n"), F.avg("length").alias("mean"), *[F.sum((F.col(c) > 0).cast("int")).alias(f"df{k}") for k, c in enumerate(names)])
-    # the test needs both sides, else it would move below the exchange, which then would not serve both
-    hits = counted.crossJoin(F.broadcast(stats)).where(F.greatest(F.lit(0.0), F.lit(0.0), *names) * F.col("n") > 0)
-    score, matched = F.lit(0.0), F.lit(0)
-    for k, c in enumerate(names):
-        f, df = F.col(c), F.col(f"df{k}")
-        idf = F.log(1.0 + (F.col("n") - df + 0.5) / (df + 0.5))
-        score = score + idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-        matched = matched + (f > 0).cast("int")
-    return hits.select("id", score.alias("score"), matched.alias("matched"))
+def write_index(docs: DataFrame, id_col: str, columns: Sequence[str], path: str, mode: str = "overwrite", porter: bool = False, buckets: int = 64) -> None:
+    """A full-text index of documents: ``overwrite`` builds it anew, ``append`` adds documents or replaces those of equal id."""
+    spark = docs.sparkSession
+    if mode == "overwrite":
+        remove(spark, path)
+    change_index(spark, path, docs, id_col=id_col, columns=list(columns), porter=porter, buckets=buckets)
 
 
 def relaxed(hits: DataFrame, n_terms: int, least: int = 3) -> DataFrame:
@@ -136,8 +53,8 @@ def memory_search(records: DataFrame, query: Sequence[str], since: str | None =
 def snippet(text: str, query: Sequence[str], size: int = 12, marks: tuple[str, str] = (">>", "<<"), more: str = " \u2026 ") -> str:
     """The ``size`` words of a text, from the first best place, that hold most of the stems that begin with a query term."""
     words = (text or "").split()
-    wanted = [stem(t.lower()) for t in query]
-    clean = [stem("".join(c for c in w.lower() if c.isalnum())) for w in words]
+    wanted = [stem(w) for t in query for w in words_of(t)]
+    clean = [stem("".join(words_of(w))) for w in words]
     hit = [next((t for t in wanted if c.startswith(t)), None) for c in clean]
     starts = range(max(1, len(words) - size + 1))
     best = max(starts, key=lambda a: (len({h for h in hit[a : a + size] if h}), -a), default=0)

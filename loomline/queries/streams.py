@@ -2,27 +2,14 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomline.queries import twins
+from loomline.sources.commits import scratch
 from loomline.streaming import exchanges as X
 
 
-def _scratch(spark: SparkSession) -> str:
-    """A fresh path in the shared folder of the session; a temporary one only in local mode without that setting."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = f"file://{os.path.join(tempfile.gettempdir(), 'checkpoints')}"
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def _events(spark: SparkSession, d: str) -> DataFrame:
     schema = spark.read.parquet(f"{d}/events.parquet").schema
     rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
@@ -30,19 +17,19 @@ def _events(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stream_retry_dedup(spark: SparkSession, d: str) -> DataFrame:
-    kept = X.drain(X.drop_retries(_events(spark, d), ["user_id", "prompt"], "ts", "event_id", within=86_400, late="40 days"), _scratch(spark))
+    kept = X.drain(X.drop_retries(_events(spark, d), ["user_id", "prompt"], "ts", "event_id", within=86_400, late="40 days"), scratch(spark, "stream"))
     return kept.groupBy("user_id").agg(F.count("*").alias("kept"), F.sum("event_id").alias("id_sum"))
 
 
 def stream_rate_limited(spark: SparkSession, d: str) -> DataFrame:
-    found = X.drain(X.accept_limited(_events(spark, d), ["user_id"], "ts", "event_id", limit=3, within=86_400, late="40 days"), _scratch(spark))
+    found = X.drain(X.accept_limited(_events(spark, d), ["user_id"], "ts", "event_id", limit=3, within=86_400, late="40 days"), scratch(spark, "stream"))
     return found.groupBy("user_id", "accepted").agg(F.count("*").alias("n"))
 
 
 def stream_turn_pairs(spark: SparkSession, d: str) -> DataFrame:
     schema = spark.read.parquet(f"{d}/conversations.parquet").schema
     rows = spark.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet").parquet(d)
-    pairs = X.drain(X.pair_turns(rows), _scratch(spark))
+    pairs = X.drain(X.pair_turns(rows), scratch(spark, "stream"))
     return pairs.select("conv_id", "turn", F.length("prompt").cast("long").alias("prompt_chars"), F.sha2("response", 256).alias("response_sha256"))
 
 

@@ -11,10 +11,12 @@ from loomline.functions import text as X
 from loomline.operators import claims as C
 from loomline.operators import dedup as D
 from loomline.operators import facts as K
+from loomline.operators import fulltext as T
 from loomline.operators import merge as M
 from loomline.operators import pack as B
 from loomline.operators import search as S
 from loomline.operators import sessions as E
+from loomline.sources.commits import scratch
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
@@ -275,6 +277,25 @@ def bm25_search(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "matched", F.round("score", 6).alias("score")).orderBy(F.col("score").desc(), "doc_id").limit(50)
 
 
+def accent_search(spark: SparkSession, d: str) -> DataFrame:
+    """Words with and without accents, and a phrase; every hit."""
+    found = S.bm25(_docs(spark, d), ["CAFE", "für", "d'une", "l ete"], "doc_id", {"text": 1.0, "lang": 4.0})
+    return found.select(F.col("id").alias("doc_id"), "matched", F.round("score", 6).alias("score"))
+
+
+def indexed_search(spark: SparkSession, d: str) -> DataFrame:
+    """A written index after all documents came, the French ones changed, the Spanish ones went, all was compacted and the German
+    ones changed."""
+    path, docs = scratch(spark, "index"), _docs(spark, d).select("doc_id", "text", "lang", "source")
+    put = lambda part, **gone: T.change_index(spark, path, part, id_col="doc_id", columns=["text", "source"], buckets=16, **gone)
+    put(docs)
+    put(docs.where("lang = 'fr'").withColumn("text", F.concat("text", F.lit(" Caf\u00e9 na\u00efve"))), drop=docs.where("lang = 'es'"))
+    T.compact(spark, path)
+    put(docs.where("lang = 'de'").withColumn("source", F.lit("\u00dcber")))
+    found = T.indexed(spark, path, ["cafe", "naive", "uber", "idiot"], {"text": 8.0, "source": 2.0})
+    return found.select(F.col("id").alias("doc_id"), "matched", F.round("score", 6).alias("score"))
+
+
 def file_search(spark: SparkSession, d: str) -> DataFrame:
     """Prefix terms over name, path and content; all terms, or any if too few documents have all."""
     docs = A.table(spark, d, "part").select("p_partkey", "p_name", "p_type", "p_brand")
@@ -382,7 +403,7 @@ QUERIES = {
         redacted, redaction_kinds, suggested_category, category_keywords, routine_logs, token_sets, personal_data, card_numbers, secret_detectors, injections, fluff, ids_and_slugs,
         written_near_duplicates, write_decision, retry_dedup, rate_limited, session_numbers, session_windows, turn_pairs, session_tiers, recent, turn_budgets, latency_summary, breaker,
         fact_state, fact_history, fact_contradictions, fact_alerts, fact_query, fact_merge, three_way_merge, delete_guard, log_union, file_diff, vanished_groups, manifest_check,
-        newest_within_budget, greedy_chunks, head_cut, write_verdicts, bm25_search, file_search, stemmed_search, memory_search, line_search, bullets, entity_pages, topics,
+        newest_within_budget, greedy_chunks, head_cut, write_verdicts, bm25_search, accent_search, indexed_search, file_search, stemmed_search, memory_search, line_search, bullets, entity_pages, topics,
         observation_verdicts, fuzzy_claims, evaluation, evaluation_overall, trust, minted, best_claims, distinct_sets,
     )
 }

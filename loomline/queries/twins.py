@@ -79,12 +79,17 @@ def _chosen(column: str) -> str:
 
 
 def _bm25(table: str, key: str, columns: dict[str, float], terms: list[str], prefix: bool) -> str:
-    words = lambda c: f"list_filter(regexp_split_to_array(lower({c}), '[^a-z0-9]+'), lambda w: w <> '')"
-    length = " + ".join(f"{w} * len({words(c)})" for c, w in columns.items())
-    test = (lambda t: f"starts_with(w, '{t}')") if prefix else (lambda t: f"w = '{t}'")
-    tf = ", ".join("(" + " + ".join(f"{w} * len(list_filter({words(c)}, lambda w: {test(t)}))" for c, w in columns.items()) + f")::DOUBLE AS tf{k}" for k, t in enumerate(terms))
+    """Words without accents in lower case; a phrase is one or more of them between single spaces."""
+    flat = lambda c: f"(' ' || array_to_string(regexp_extract_all(lower(strip_accents({c})), '[\\p{{L}}\\p{{N}}]+'), ' ') || ' ')"
+    count = lambda c: f"(length({flat(c)}) - length(replace({flat(c)}, ' ', '')) - 1 - ({flat(c)} = '  ')::INTEGER)"
+    length = " + ".join(count(c) for c in columns)
+    end = "" if prefix else " "
+    hits = lambda c, t: f"((length({flat(c)}) - length(replace({flat(c)}, ' {t}{end}', ''))) / {len(t) + 1 + len(end)})"
+    # neighbours share a space, so each space is two
+    twice = lambda c, t: hits(c, t).replace(flat(c), f"replace({flat(c)}, ' ', '  ')") if " " not in t else f"len(regexp_extract_all({flat(c)}, ' {t}{end}'))"
+    tf = ", ".join("(" + " + ".join(f"{w} * {twice(c, t)}" for c, w in columns.items()) + f")::DOUBLE AS tf{k}" for k, t in enumerate(terms))
     dfs = ", ".join(f"count(*) FILTER (tf{k} > 0) AS df{k}" for k in range(len(terms)))
-    score = " + ".join(f"ln(1.0 + (n - df{k} + 0.5) / (df{k} + 0.5)) * tf{k} * 2.2 / (tf{k} + 1.2 * (0.25 + 0.75 * length / mean))" for k in range(len(terms)))
+    score = " + ".join(f"greatest(ln((n - df{k} + 0.5) / (df{k} + 0.5)), 1e-6) * tf{k} * 2.2 / (tf{k} + 1.2 * (0.25 + 0.75 * length / mean))" for k in range(len(terms)))
     hit = " + ".join(f"(tf{k} > 0)::INTEGER" for k in range(len(terms)))
     return f"""WITH c AS (SELECT {key}, ({length})::DOUBLE AS length, {tf} FROM {table}), st AS (SELECT count(*) AS n, avg(length) AS mean, {dfs} FROM c),
         h AS (SELECT {key}, ({hit})::INTEGER AS matched, {score} AS sc FROM c, st WHERE {hit} > 0)"""
@@ -193,6 +198,10 @@ ORACLE_SQL = {
     + """ SELECT id, round(sc, 6) AS score, date FROM (SELECT *, CASE WHEN p_size % 5 <> 0 THEN '2024-01-' || lpad((1 + p_size % 28)::VARCHAR, 2, '0') END AS date FROM h)
         WHERE (date IS NULL OR date >= '2024-01-10') AND names = 'Brand#2' ORDER BY sc DESC, coalesce(date, '0000-00-00') DESC, id DESC LIMIT 30""",
     "bm25_search": _bm25("documents", "doc_id", {"text": 8.0, "source": 2.0}, ["the", "idiot", "tion"], False) + " SELECT doc_id, matched, round(sc, 6) AS score FROM h ORDER BY round(sc, 6) DESC, doc_id LIMIT 50",
+    "accent_search": _bm25("documents", "doc_id", {"text": 1.0, "lang": 4.0}, ["cafe", "fur", "d une", "l ete"], False) + " SELECT doc_id, matched, round(sc, 6) AS score FROM h",
+    "indexed_search": _bm25(
+        """(SELECT doc_id, CASE WHEN lang = 'fr' THEN text || ' Caf\u00e9 na\u00efve' ELSE text END AS text, CASE WHEN lang = 'de' THEN '\u00dcber' ELSE source END AS source
+            FROM documents WHERE lang IS DISTINCT FROM 'es')""", "doc_id", {"text": 8.0, "source": 2.0}, ["cafe", "naive", "uber", "idiot"], False) + " SELECT doc_id, matched, round(sc, 6) AS score FROM h",
     "file_search": _bm25("part", "p_partkey", {"p_name": 8.0, "p_type": 4.0, "p_brand": 1.0}, ["small", "ri", "eco"], True) + " SELECT p_partkey, matched, round(sc, 6) AS score FROM h WHERE matched = 3 OR (SELECT count(*) FROM h WHERE matched = 3) < 3",
     "line_search": """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents WHERE contains(lower(text), 'idiot')),
         h AS (SELECT doc_id, k FROM l WHERE contains(lower(line), 'idiot')), w AS (SELECT DISTINCT l.doc_id, l.k, l.line FROM l JOIN h ON h.doc_id = l.doc_id AND abs(h.k - l.k) <= 1)
