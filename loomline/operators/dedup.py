@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomline.functions import scores
-from loomline.functions.text import overlap
+from loomline.functions.text import ascii_token_set, overlap
 from loomline.operators.vector import nearest_many
 
 COSINE, OVERLAP, MIN_TOKENS, TOP, EXCERPT, WINDOW_DAYS, REPORTED = 0.80, 0.55, 5, 5, 240, 7, 10
@@ -27,11 +27,16 @@ def unordered(pairs: DataFrame, a: str = "query", b: str = "id", best: tuple[str
 
 
 def not_allowed(pairs: DataFrame, allow: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """Pairs without those an allow-list (x, y) names; '*' stands for any id."""
+    """Pairs without those an allow-list (x, y) names; '*' stands for any id.
+
+    Each pair asks for the seven entries that would allow it, in one join; pairs are computed once.
+    """
     p, q, star = F.col(a).cast("string"), F.col(b).cast("string"), F.lit("*")
-    for x, y in ((p, q), (q, p), (p, star), (star, q), (q, star), (star, p), (star, star)):  # equal keys, so that large lists are shuffled
-        pairs = pairs.join(allow.select(F.col("x").alias("allow_x"), F.col("y").alias("allow_y")), (F.col("allow_x") == x) & (F.col("allow_y") == y), "left_anti")
-    return pairs
+    keys = [F.struct(x.alias("x"), y.alias("y")) for x, y in ((p, q), (q, p), (p, star), (star, q), (q, star), (star, p), (star, star))]
+    asked = pairs.withColumn("allow_key", F.explode(F.array(*keys)))
+    listed = allow.select(F.struct("x", "y").alias("allow_key"), F.lit(True).alias("allowed")).distinct()
+    seen = asked.join(listed, "allow_key", "left").groupBy(*pairs.columns).agg(F.max("allowed").alias("allowed"))
+    return seen.where("allowed is null").drop("allowed")
 
 
 def write_status(duplicate: Column, interactive: Column, force: Column, supersedes: Column) -> Column:
@@ -60,11 +65,39 @@ def excerpt(text: Column) -> Column:
     return F.substring(F.replace(text, F.lit("\n"), F.lit(" ")), 1, EXCERPT)
 
 
-def held_matches(queries: DataFrame, index: DataFrame, allow: DataFrame | None = None, top: int = TOP) -> DataFrame:
+def _tokens_of(rows: DataFrame, texts: DataFrame, id_col: str, name: str, also: tuple[str, ...] = ()) -> DataFrame:
+    """Rows with the token sets of the texts (id, tokens or text) of their ids: joined first, cut into tokens then."""
+    source = "tokens" if "tokens" in texts.columns else "text"
+    own = texts.select(F.col("id").alias(id_col), F.col(source).alias(name), *also)
+    joined = rows.join(own, id_col)
+    return joined if source == "tokens" else joined.withColumn(name, ascii_token_set(F.col(name)))
+
+
+def near_pairs(
+    queries: DataFrame, index: DataFrame, top: int = TOP, cosine: float = COSINE, share: float = OVERLAP, min_tokens: int = MIN_TOKENS, texts: DataFrame | None = None, query_texts: DataFrame | None = None,
+    also: tuple[str, ...] = (),
+) -> DataFrame:
+    """(query, id, cosine, overlap, shared, also...) of each query's nearest ``top`` rows of the index that are near by both measures.
+
+    ``queries`` and ``index`` have id and vector, and tokens or text unless ``query_texts`` and ``texts`` have those. The search reads vectors only;
+    texts are joined to the pairs that are near by cosine, and only those are cut into tokens.
+    """
+    texts, query_texts = index if texts is None else texts, queries if query_texts is None else query_texts
+    asked = queries.select(F.col("id").alias("query"), "vector")
+    found = nearest_many(index.select("id", "vector"), asked, top, "id", "query", "vector")
+    found = found.where((F.col("cosine") >= cosine) & (F.col("query") != F.col("id"))).select("query", "id", "cosine")
+    rows = _tokens_of(_tokens_of(found, query_texts, "query", "query_tokens"), texts, "id", "tokens", also)
+    rows = rows.where(F.size("query_tokens") >= min_tokens).withColumn("overlap", overlap(F.col("query_tokens"), F.col("tokens"))).where(F.col("overlap") >= share)
+    shared = F.array_sort(F.array_intersect("query_tokens", "tokens")).alias("shared")
+    return rows.select("query", "id", F.round("cosine", 4).alias("cosine"), F.round("overlap", 4).alias("overlap"), shared, *also)
+
+
+def held_matches(queries: DataFrame, index: DataFrame, allow: DataFrame | None = None, top: int = TOP, texts: DataFrame | None = None, query_texts: DataFrame | None = None) -> DataFrame:
     """What a write is shown: (query, id, age_days, cosine, overlap, shared, excerpt) of the known near duplicates of new
-    records; a pair on the allow-list is none."""
-    pairs = nearest_candidates(queries, index, top)
-    found = near_duplicates(pairs).join(index.select("id", F.round("age_days", 1).alias("age_days"), excerpt(F.col("text")).alias("excerpt")), "id")
+    records; a pair on the allow-list is none. ``texts`` (id, text, age_days) is the index itself unless given."""
+    texts = index if texts is None else texts
+    own = texts.select("id", *[c for c in ("tokens",) if c in texts.columns], "text", F.round("age_days", 1).alias("age_days"), excerpt(F.col("text")).alias("excerpt"))
+    found = near_pairs(queries, index, top, texts=own, query_texts=query_texts, also=("age_days", "excerpt"))
     return found if allow is None else not_allowed(found, allow, "query", "id")
 
 
@@ -81,14 +114,16 @@ def demoted(index: DataFrame, writes: DataFrame, id_col: str = "memory_id") -> D
     return index.join(gone, id_col, "left_anti")
 
 
-def nightly_scan(memories: DataFrame, index: DataFrame, allow: DataFrame | None = None, window_days: float = WINDOW_DAYS, top: int = TOP) -> DataFrame:
+def nightly_scan(
+    memories: DataFrame, index: DataFrame, allow: DataFrame | None = None, window_days: float = WINDOW_DAYS, top: int = TOP, texts: DataFrame | None = None, cosine: float = COSINE, share: float = OVERLAP
+) -> DataFrame:
     """Unordered near-duplicate pairs (a, b, cosine, overlap) of memories of the last days with anything in the index.
 
-    ``memories`` has id, vector, tokens, age_days and superseded_by; ``index`` id, vector and tokens. A memory that is not
-    indexed or has few tokens starts no search; each pair counts once, with its best scores.
+    ``memories`` has id, vector, age_days and superseded_by, ``index`` id and vector; both have tokens or text unless ``texts`` has them.
+    A memory that is not indexed or has few tokens starts no search; each pair counts once, with its best scores.
     """
-    recent = memories.where((F.col("age_days") <= window_days) & F.col("superseded_by").isNull() & F.col("vector").isNotNull() & (F.size("tokens") >= MIN_TOKENS))
-    found = unordered(near_duplicates(nearest_candidates(recent, index, top + 1)))
+    recent = memories.where((F.col("age_days") <= window_days) & F.col("superseded_by").isNull() & F.col("vector").isNotNull())
+    found = unordered(near_pairs(recent, index, top + 1, cosine, share, texts=texts, query_texts=texts))
     return found if allow is None else not_allowed(found, allow)
 
 

@@ -98,39 +98,94 @@ def query_blocks(queries: DataFrame, id_col: str) -> list[DataFrame]:
 
 
 def nearest_many(index: DataFrame, queries: DataFrame, k: int, id_col: str = "memory_id", query_col: str = "query_id", vector_col: str = "embedding") -> DataFrame:
-    """(query, id, distance, rank) of every query's k nearest rows; equal distances go by id; queries are broadcast block by
-    block."""
-    return reduce(DataFrame.unionAll, [_nearest_block(index, b, k, id_col, query_col, vector_col) for b in query_blocks(queries, query_col)])
+    """(query, id, distance, cosine, rank) of every query's k nearest rows; equal distances go by id; queries are broadcast
+    block by block."""
+    blocks = [_nearest_block(index, b, k, id_col, query_col, vector_col) for b in query_blocks(queries, query_col)]
+    return reduce(DataFrame.unionAll, blocks)
 
 
-def _nearest_block(index: DataFrame, queries: DataFrame, k: int, id_col: str, query_col: str, vector_col: str) -> DataFrame:
+#: Rows and queries of one product of matrices.
+TILE_ROWS, TILE_QUERIES = 4096, 512
+
+
+class Best:
+    """The k nearest of each query so far, as arrays; all queries and rows of a batch are compared by products of matrices.
+
+    |a - b|^2 = |a|^2 + |b|^2 - 2ab finds who may be among the k nearest, with a margin far above its rounding errors; of those the
+    distance is computed as it is defined.
+    """
+
+    def __init__(self, vectors: np.ndarray, k: int, bound: np.ndarray | None = None):
+        self.vectors, self.k = vectors, k
+        self.squares = (vectors**2).sum(axis=1)
+        self.far = np.full(len(vectors), np.inf) if bound is None else bound.copy()
+        self.query, self.id, self.distance, self.cosine = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
+
+    def add(self, ids: np.ndarray, matrix: np.ndarray, chosen: np.ndarray | None = None) -> None:
+        """Rows to compare with all queries, or with the ``chosen`` ones."""
+        chosen = np.arange(len(self.vectors)) if chosen is None else chosen
+        for a in range(0, len(ids), TILE_ROWS):
+            rows, own = matrix[a : a + TILE_ROWS], ids[a : a + TILE_ROWS]
+            squares, found = (rows**2).sum(axis=1), []
+            for b in range(0, len(chosen), TILE_QUERIES):
+                q = chosen[b : b + TILE_QUERIES]
+                near = squares[:, None] + self.squares[q] - 2 * (rows @ self.vectors[q].T)
+                limit = self.far[q] ** 2
+                if len(rows) > self.k:
+                    limit = np.minimum(limit, np.partition(near, self.k - 1, axis=0)[self.k - 1])
+                i, j = np.nonzero(near <= limit + 1e-9 * (1 + squares.max() + self.squares[q]))
+                found.append((q[j], i))
+            self._merge(rows, own, np.sqrt(squares), *map(np.concatenate, zip(*found, strict=True))) if found else None
+
+    def _merge(self, rows: np.ndarray, ids: np.ndarray, lengths: np.ndarray, q: np.ndarray, i: np.ndarray) -> None:
+        distance = np.sqrt(((rows[i] - self.vectors[q]) ** 2).sum(axis=1))
+        both = lengths[i] * np.sqrt(self.squares[q])
+        cosine = np.divide((rows[i] * self.vectors[q]).sum(axis=1), both, out=np.zeros(len(q)), where=both > 0)
+        query, id_, distance, cosine = (np.concatenate(x) for x in ((self.query, q), (self.id, ids[i]), (self.distance, distance), (self.cosine, cosine)))
+        order = np.lexsort((id_, distance, query))
+        starts = np.searchsorted(query[order], np.arange(len(self.vectors)))
+        keep = order[np.arange(len(order)) - starts[query[order]] < self.k]
+        self.query, self.id, self.distance, self.cosine = query[keep], id_[keep], distance[keep], cosine[keep]
+        full = np.bincount(self.query, minlength=len(self.vectors)) == self.k
+        worst = np.zeros(len(self.vectors))
+        np.maximum.at(worst, self.query, self.distance)
+        self.far = np.where(full, np.minimum(self.far, worst), self.far)
+
+    def batch(self, names: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"query": pa.array(names[self.query]), "id": pa.array(self.id), "distance": pa.array(self.distance), "cosine": pa.array(self.cosine)})
+
+
+BEST = "query long, id long, distance double, cosine double"
+
+
+def matrix_of(column: pa.Array, width: int) -> np.ndarray:
+    if len(column.flatten()) != len(column) * width:
+        raise ValueError(f"a vector of the index does not have the queries' {width} dimensions")
+    return column.flatten().to_numpy().reshape(len(column), width)
+
+
+def collected(queries: DataFrame, query_col: str, vector_col: str) -> tuple[np.ndarray, np.ndarray]:
+    """Names and vectors of a block of queries, on the driver to be broadcast."""
     block = queries.select(F.col(query_col).cast("long").alias("query"), F.col(vector_col).cast("array<double>").alias("v")).where("query is not null and v is not null").toArrow()
     names = block["query"].to_numpy()
-    vectors = np.array(block["v"].to_pylist(), float).reshape(len(names), -1 if len(names) else 0)
-    shared = index.sparkSession.sparkContext.broadcast((names, vectors))
+    return names, np.array(block["v"].to_pylist(), float).reshape(len(names), -1 if len(names) else 0)
+
+
+def ranked(found: DataFrame, k: int) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy("query").orderBy("distance", "id"))
+    return found.withColumn("rank", place).where(F.col("rank") <= k).select("query", "id", "distance", "cosine", "rank")
+
+
+def _nearest_block(index: DataFrame, queries: DataFrame, k: int, id_col: str, query_col: str, vector_col: str) -> DataFrame:
+    shared = index.sparkSession.sparkContext.broadcast(collected(queries, query_col, vector_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, vectors = shared.value
-        ids, far = [np.zeros(0, np.int64)] * len(names), [np.zeros(0)] * len(names)
+        best = Best(vectors, k)
         for batch in batches:
-            if not batch.num_rows or not len(names):
-                continue
-            own, rows = batch.column(0).to_numpy(), batch.column(1)
-            if len(rows.values) != len(rows) * vectors.shape[1]:
-                raise ValueError(f"a vector of the index does not have the queries' {vectors.shape[1]} dimensions")
-            matrix = rows.flatten().to_numpy().reshape(len(rows), -1)
-            for q, v in enumerate(vectors):
-                d = np.sqrt(((matrix - v) ** 2).sum(axis=1))
-                if len(far[q]) >= k:
-                    some = np.flatnonzero(d <= far[q][-1])
-                else:
-                    some = np.arange(len(d))
-                all_ids, all_far = np.concatenate((ids[q], own[some])), np.concatenate((far[q], d[some]))
-                best = np.lexsort((all_ids, all_far))[:k]
-                ids[q], far[q] = all_ids[best], all_far[best]
-        counts = [len(x) for x in ids]
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, counts)), pa.array(np.concatenate([*ids, np.zeros(0, np.int64)])), pa.array(np.concatenate([*far, np.zeros(0)]))], names=["query", "id", "distance"])
+            if batch.num_rows and len(names):
+                best.add(batch.column(0).to_numpy(), matrix_of(batch.column(1), vectors.shape[1]))
+        yield best.batch(names)
 
     rows = index.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("id is not null and v is not null")
-    kept = rows.mapInArrow(run, "query long, id long, distance double")
-    return kept.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("distance", "id"))).where(F.col("rank") <= k).select("query", "id", "distance", "rank")
+    return ranked(rows.mapInArrow(run, BEST), k)

@@ -100,34 +100,40 @@ def evicted_tier(spark: SparkSession, d: str) -> DataFrame:
 _KNOWN = f"i AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, {_tokens('text')} AS t, text, doc_id % 30 AS age FROM embeddings JOIN documents ON doc_id = vec_id)"
 
 
-def _known(spark: SparkSession, d: str) -> DataFrame:
-    v = A.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    docs = A.table(spark, d, "documents").select(F.col("doc_id").alias("id"), X.ascii_token_set(F.col("text")).alias("tokens"), "text", F.expr("doc_id % 30").alias("age_days"))
-    return v.join(docs, "id")
+def _vectors(spark: SparkSession, d: str) -> DataFrame:
+    return A.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
 
 
-@named(f"""WITH {_KNOWN}, p AS (SELECT q.id AS query, i.id, q.v AS qv, i.v AS v, q.t AS qt, i.t AS t, i.text, i.age, row_number() OVER (PARTITION BY q.id ORDER BY list_distance(q.v, i.v), i.id) AS r FROM i q, i WHERE q.id % 50 = 0)
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    return A.table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", F.expr("doc_id % 30").alias("age_days"))
+
+
+@named(f"""WITH {_KNOWN}, w AS (SELECT 1000000000 + id AS id, list_transform(v, lambda x, k: x + 0.01::DOUBLE * ((k + id) % 5 - 2)) AS v, text || ' written anew' AS text FROM i), q AS (SELECT id, v, {_tokens('text')} AS t FROM w WHERE id % 50 = 0),
+        p AS (SELECT q.id AS query, i.id, q.v AS qv, i.v AS v, q.t AS qt, i.t AS t, i.text, i.age, row_number() OVER (PARTITION BY q.id ORDER BY list_distance(q.v, i.v), i.id) AS r FROM q, i)
     SELECT query, id, age::DOUBLE AS age_days, round(list_cosine_similarity(qv, v), 4) AS cosine, len(list_intersect(qt, t)) AS shared, left(replace(text, chr(10), ' '), 240) AS excerpt FROM p
-    WHERE r <= 5 AND query <> id AND len(qt) >= 5 AND list_cosine_similarity(qv, v) >= 0.8 AND len(list_intersect(qt, t))::DOUBLE / least(len(qt), len(t)) >= 0.55""")
+    WHERE r <= 5 AND query <> id AND len(qt) >= 5 AND list_cosine_similarity(qv, v) >= 0.8 AND len(list_intersect(qt, t))::DOUBLE / least(len(qt), len(t)) >= 0.55 AND id % 250 <> 0""")
 def held_writes(spark: SparkSession, d: str) -> DataFrame:
-    """What the writers of every fiftieth record are shown of known near duplicates."""
-    known = _known(spark, d)
-    found = D.held_matches(known.where("id % 50 = 0"), known)
+    """What the writers of new versions of every fiftieth record, its vector moved a little, are shown of known near duplicates; any pair with some records is allowed."""
+    vectors, texts = _vectors(spark, d), _texts(spark, d)
+    index = vectors.join(texts.select("id"), "id")
+    new = F.col("id") + 1_000_000_000
+    moved = index.where((F.col("id") + 1_000_000_000) % 50 == 0).select(F.expr("transform(vector, (x, k) -> x + 0.01D * ((k + 1 + id) % 5 - 2))").alias("vector"), new.alias("id"))
+    written = texts.select(new.alias("id"), F.concat("text", F.lit(" written anew")).alias("text"))
+    allow = vectors.where("id % 250 = 0").select(F.lit("*").alias("x"), F.col("id").cast("string").alias("y"))
+    found = D.held_matches(moved, index, allow, texts=texts, query_texts=written)
     return found.select("query", "id", F.col("age_days").cast("double").alias("age_days"), "cosine", F.size("shared").cast("long").alias("shared"), "excerpt")
 
 
 @named(f"""WITH {_KNOWN}, p AS (SELECT q.id AS query, i.id, q.v AS qv, i.v AS v, q.t AS qt, i.t AS t, row_number() OVER (PARTITION BY q.id ORDER BY list_distance(q.v, i.v), i.id) AS r FROM i q, i WHERE q.age <= 7 AND q.id % 11 <> 0 AND len(q.t) >= 5),
     s AS (SELECT least(query, id) AS a, greatest(query, id) AS b, round(list_cosine_similarity(qv, v), 4) AS c, round(len(list_intersect(qt, t))::DOUBLE / nullif(least(len(qt), len(t)), 0), 4) AS o FROM p
         WHERE r <= 6 AND query <> id AND list_cosine_similarity(qv, v) >= 0.3 AND len(list_intersect(qt, t))::DOUBLE / nullif(least(len(qt), len(t)), 0) >= 0.1)
-    SELECT a, b, max(c) AS cosine, max(o) AS overlap FROM s WHERE NOT (a % 5 = 0 AND b % 5 = 0) GROUP BY 1, 2""")
+    SELECT a, b, max(c) AS cosine, max(o) AS overlap FROM s WHERE a % 25 <> 0 AND b % 25 <> 0 GROUP BY 1, 2""")
 def nightly_duplicates(spark: SparkSession, d: str) -> DataFrame:
     """Unordered pairs of the last week's memories with anything like them, without allowed pairs; thresholds for this data."""
-    known = _known(spark, d)
-    recent = known.withColumn("superseded_by", F.when(F.expr("id % 11 = 0"), F.lit(1))).where("age_days <= 7 and superseded_by is null and size(tokens) >= 5")
-    pairs = D.unordered(D.near_duplicates(D.nearest_candidates(recent, known, 6), cosine=0.3, share=0.1))
-    fives = known.where("id % 5 = 0").select(F.col("id").cast("string").alias("x"))
-    allow = pairs.where("a % 5 = 0 and b % 5 = 0").select(F.col("a").cast("string").alias("x"), F.col("b").cast("string").alias("y")).join(fives, "x", "left_semi")
-    return D.not_allowed(pairs, allow).select("a", "b", "cosine", "overlap")
+    vectors, texts = _vectors(spark, d), _texts(spark, d)
+    index = vectors.join(texts.select("id", "age_days"), "id").withColumn("superseded_by", F.when(F.expr("id % 11 = 0"), F.lit(1)))
+    allow = vectors.where("id % 25 = 0").select(F.lit("*").alias("x"), F.col("id").cast("string").alias("y"))
+    return D.nightly_scan(index, index, allow, texts=texts, cosine=0.3, share=0.1).select("a", "b", "cosine", "overlap")
 
 
 @named("SELECT doc_id AS memory_id, CASE WHEN w.id IS NOT NULL THEN w.id ELSE CASE WHEN doc_id % 17 = 0 THEN doc_id + 1 END END AS superseded_by FROM documents LEFT JOIN (SELECT o_custkey AS doc_id, max(o_orderkey) AS id FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1) w USING (doc_id)")

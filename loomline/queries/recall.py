@@ -9,6 +9,8 @@ from loomline import adapters as A
 from loomline.functions import scores
 from loomline.operators import recall as R
 from loomline.operators import vector as V
+from loomline.operators.pivots import nearest_in_cells, write_cells
+from loomline.sources.commits import scratch
 
 _IMPORTANCE = "CASE category " + " ".join(f"WHEN '{c}' THEN {v}::DOUBLE" for c, v in scores.CATEGORY_IMPORTANCE.items()) + " ELSE 0.5::DOUBLE END"
 _ACCESS = "least(1::DOUBLE, log2(1.0 + coalesce(access_count, 0)) / log2(7.0))"
@@ -44,6 +46,15 @@ def knn_many(spark: SparkSession, d: str) -> DataFrame:
     return V.nearest_many(index, queries, 5).select(F.col("query").alias("query_id"), F.col("id").alias("memory_id"), F.col("rank").cast("long").alias("place"), F.round("distance", 6).alias("distance"))
 
 
+def knn_cells(spark: SparkSession, d: str) -> DataFrame:
+    """The same from a written index of cells, of which those too far from a query are not read."""
+    path, index = scratch(spark, "cells"), A.vectors(spark, d)
+    write_cells(index, path)
+    queries = index.where("memory_id % 50 = 0").select(F.col("memory_id").alias("query_id"), "embedding")
+    found, _ = nearest_in_cells(spark, path, queries, 5)
+    return found.select(F.col("query").alias("query_id"), F.col("id").alias("memory_id"), F.col("rank").cast("long").alias("place"), F.round("distance", 6).alias("distance"))
+
+
 def _tiers(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     """The cached tiers and the vector tier over one scored index; positions follow each tier's order."""
     from pyspark.sql import Window
@@ -195,7 +206,7 @@ _POOL = f"""pool AS (SELECT s.*, row_number() OVER (ORDER BY distance, memory_id
     p AS (SELECT pool.*, coalesce(access_count, 0) AS access_count FROM pool LEFT JOIN access USING (memory_id))"""
 
 QUERIES = {
-    "knn": knn, "knn_filtered": knn_filtered, "knn_included": knn_included, "knn_escalated": knn_escalated, "knn_many": knn_many,
+    "knn": knn, "knn_filtered": knn_filtered, "knn_included": knn_included, "knn_escalated": knn_escalated, "knn_many": knn_many, "knn_cells": knn_cells,
     "l1_search": l1_search, "l2_search": l2_search, "l3_scan": l3_scan, "tier_union": tier_union, "fusion": fusion,
     "recall_focus": recall_focus, "recall_explore": recall_explore, "expansion_gate": expansion_gate, "metadata_filter": metadata_filter,
     "stale_warnings": stale_warnings, "disk_truth": disk_truth, "access_counts": access_counts, "trajectory_recall": trajectory_recall,
@@ -243,3 +254,5 @@ ORACLE_SQL = {
     "latest_per_key": "SELECT user_id, event_id, event_type AS prompt FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
     "newest_per_agent": _with("memories", rest="SELECT agent_id, memory_id, round(m.age_days, 6) AS age_days FROM memories m WHERE m.age_days IS NOT NULL QUALIFY row_number() OVER (PARTITION BY agent_id ORDER BY m.age_days, memory_id DESC) <= 3"),
 }
+
+ORACLE_SQL["knn_cells"] = ORACLE_SQL["knn_many"]

@@ -104,10 +104,9 @@ def ids_and_slugs(spark: SparkSession, d: str) -> DataFrame:
 
 def written_near_duplicates(spark: SparkSession, d: str) -> DataFrame:
     """Each fiftieth memory against all: near by cosine and by token overlap."""
-    v = A.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    index = v.join(_docs(spark, d).select(F.col("doc_id").alias("id"), X.ascii_token_set(F.col("text")).alias("tokens")), "id")
-    pairs = D.nearest_candidates(index.where("id % 50 = 0"), index, top=6)
-    return D.near_duplicates(pairs, cosine=0.3, share=0.1).select("query", "id", F.round("cosine", 4).alias("cosine"), F.round("overlap", 4).alias("overlap"))
+    texts = _docs(spark, d).select(F.col("doc_id").alias("id"), "text")
+    index = A.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")).join(texts.select("id"), "id")
+    return D.near_pairs(index.where("id % 50 = 0"), index, 6, 0.3, 0.1, texts=texts, query_texts=texts).select("query", "id", "cosine", "overlap")
 
 
 def write_decision(spark: SparkSession, d: str) -> DataFrame:
