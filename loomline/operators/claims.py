@@ -183,26 +183,65 @@ def normalized(claim: Column) -> Column:
     return F.regexp_replace(F.lower(F.trim(claim)), r"\s+", " ")
 
 
-def fuzzy_duplicates(claims: DataFrame, active: DataFrame, least: float = DUPLICATE_RATIO, most: int = 20_000) -> DataFrame:
-    """(obs_id, claim_id, ratio) of the best active claim for each new one.
+#: Rarest signs of a claim that are looked up first.
+FIRST_SIGNS = 4
 
-    Equal texts are compared once, as the smallest claim id of a text is its best. Texts of active claims are broadcast
-    in blocks of about ``most``. Lengths and then common characters bound the ratio from above, so pairs that cannot
-    reach it are dropped early and none else.
+
+def _signs(text: Column) -> Column:
+    """Distinct pairs of neighbouring characters."""
+    last = F.length(text) - 1
+    pairs = F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(text, i, F.lit(2)))
+    return F.when(last < 1, F.array().cast("array<string>")).otherwise(F.array_distinct(pairs))
+
+
+def lost_signs(n: Column, least: Column) -> Column:
+    """How many of a text's signs may be missing from a text whose ratio to it is at least ``least``.
+
+    Of texts of n and L characters, M >= least * (n + L) / 2 match in order. A character of the one that does not takes two
+    of its signs along, a character of the other that does not comes between two, so 2(n - M) + (L - M) are lost at most; that
+    is largest at one of the ends of the lengths L that can reach the ratio at all.
+    """
+    lost = lambda other: 2 * n + other - 1.5 * least * (n + other)
+    return F.floor(F.greatest(lost(n * least / (2 - least)), lost(n * (2 - least) / least)) + 1e-9).cast("int")
+
+
+def _best_of(pairs: DataFrame, texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(x, claim_id, ratio) of the best text of each x among the candidates (x, claim_id), if it reaches the x's ``least``."""
+    both = pairs.join(texts.select("claim_id", "y"), "claim_id").join(wanted.select("x", "least"), "x")
+    able = 2 * F.least(F.length("x"), F.length("y")) >= F.col("least") * (F.length("x") + F.length("y")) - 1e-9
+    found = both.where(able).withColumn("ratio", similarity_ratio("x", "y", "least")).where("ratio is not null")
+    best = F.min(F.struct((-F.col("ratio")).alias("less"), "claim_id")).alias("b")
+    return found.groupBy("x").agg(best).select("x", "b.claim_id", (-F.col("b.less")).alias("ratio"))
+
+
+def fuzzy_duplicates(claims: DataFrame, active: DataFrame, least: float = DUPLICATE_RATIO) -> DataFrame:
+    """(obs_id, claim_id, ratio) of the best active claim for each new one; of equal ratios the smallest claim id.
+
+    Equal texts are compared once. A claim that has its equal needs no search. Others look up their rarest pairs of neighbouring
+    characters: a few first, which mostly finds a good claim; then as many as a claim better or as good cannot lack all of,
+    which for a good one are few again. So every join is on equal keys, and texts are compared that share a rare sign, not all with
+    all. A claim with fewer signs than may be lost looks up all texts of the lengths that can reach the ratio.
     """
-    texts = active.select("claim_id", normalized(F.col("claim")).alias("y")).groupBy("y").agg(F.min("claim_id").alias("claim_id"))
-    blocks = max(1, -(-texts.count() // most))
+    texts = active.select("claim_id", normalized(F.col("claim")).alias("y")).where("y is not null").groupBy("y").agg(F.min("claim_id").alias("claim_id"))
     rows = claims.select("obs_id", normalized(F.col("claim")).alias("x"))
-    wanted = rows.select("x").distinct()
-    able = 2 * F.least(F.length("x"), F.length("y")) >= least * (F.length("x") + F.length("y"))
-    best = F.row_number().over(Window.partitionBy("x").orderBy(F.col("ratio").desc(), "claim_id"))
-    found = []
-    for k in range(blocks):
-        block = F.broadcast(texts.where(F.pmod(F.xxhash64("y"), F.lit(blocks)) == k))
-        pairs = wanted.join(block, able).withColumn("ratio", similarity_ratio("x", "y", F.lit(least))).where(F.col("ratio") >= least)
-        found.append(pairs.withColumn("r", best).where("r = 1").select("x", "claim_id", "ratio"))
-    top = reduce(DataFrame.unionAll, found).withColumn("r", best).where("r = 1")
-    return rows.join(top, "x").select("obs_id", "claim_id", F.round("ratio", 6).alias("ratio"))
+    asked = rows.select("x").where("x is not null").distinct()
+    equal = asked.join(texts, F.col("x") == F.col("y")).select("x", "claim_id", F.lit(1.0).alias("ratio"))
+    wanted = asked.join(equal.select("x"), "x", "left_anti").withColumn("least", F.lit(float(least)))
+    listed = texts.select("claim_id", F.explode(_signs(F.col("y"))).alias("sign"))
+    often = listed.groupBy("sign").agg(F.count("*").alias("n"))
+    signs = wanted.select("x", F.explode(_signs(F.col("x"))).alias("sign")).join(often, "sign", "left")
+    place = F.row_number().over(Window.partitionBy("x").orderBy(F.coalesce("n", F.lit(0)), "sign"))
+    signs = signs.withColumn("place", place).withColumn("signs", F.count("*").over(Window.partitionBy("x")))
+    first = _best_of(signs.where(F.col("place") <= FIRST_SIGNS).join(listed, "sign").select("x", "claim_id").distinct(), texts, wanted)
+    known = wanted.join(first.select("x", "ratio"), "x", "left").select("x", F.coalesce("ratio", "least").alias("least")).withColumn("lost", lost_signs(F.length("x"), F.col("least")))
+    full = signs.join(known.select("x", "lost"), "x").where(F.col("place") <= F.col("lost") + 1)
+    by_sign = full.where(F.col("signs") > F.col("lost")).join(listed, "sign").select("x", "claim_id")
+    able = known.join(signs.where("place = 1").select("x", "signs"), "x", "left").where(F.coalesce("signs", F.lit(0)) <= F.col("lost"))
+    n = F.length("x")
+    lengths = F.sequence(F.ceil(n * F.col("least") / (2 - F.col("least")) - 1e-9), F.floor(n * (2 - F.col("least")) / F.col("least") + 1e-9))
+    by_length = able.where(n > 0).select("x", F.explode(lengths).alias("length")).join(texts.select("claim_id", F.length("y").cast("long").alias("length")), "length").select("x", "claim_id")
+    best = _best_of(by_sign.union(by_length).distinct(), texts, known)
+    return rows.join(best.unionByName(equal), "x").select("obs_id", "claim_id", F.round("ratio", 6).alias("ratio"))
 
 
 def active_claims(claims: DataFrame, scopes: list[str] | None = None, limit: int = 20) -> DataFrame:

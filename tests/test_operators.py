@@ -1,6 +1,7 @@
 """Invariants and laws of the operators: ladders, merges, folds, packing, tiers, streams."""
 
 import json
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -198,14 +199,14 @@ def test_drop_lines_and_recall_scores(spark):
     assert tuple(nightly.recall_accuracy(scores).first()) == (3, 50.0)
 
 
-def _best_claims_by_force(new, active):
+def _best_claims_by_force(new, active, least=claims.DUPLICATE_RATIO):
     import difflib
 
     clean = lambda t: " ".join(t.lower().split())
     out = set()
     for i, x in new:
         ranked = sorted((-difflib.SequenceMatcher(None, clean(x), clean(y)).ratio(), j) for j, y in active)
-        if ranked and -ranked[0][0] >= claims.DUPLICATE_RATIO:
+        if ranked and -ranked[0][0] >= least:
             out.add((i, ranked[0][1], round(-ranked[0][0], 6)))
     return out
 
@@ -214,10 +215,26 @@ def test_fuzzy_duplicates_in_blocks(spark):
     words = ("linen", "almond", "steel", "puff", "navy", "ghost")
     active = [(k, f"The user likes  a {words[k % 6]} {words[k % 5]} of Brand#{k % 7}") for k in range(60)]
     new = [(k, f"the user liked a {words[k % 4]} {words[k % 6]} of Brand#{k % 9}") for k in range(20)] + [(99, "nothing alike")]
-    got = claims.fuzzy_duplicates(spark.createDataFrame(new, "obs_id long, claim string"), spark.createDataFrame(active, "claim_id long, claim string"), most=7)
+    got = claims.fuzzy_duplicates(spark.createDataFrame(new, "obs_id long, claim string"), spark.createDataFrame(active, "claim_id long, claim string"))
     assert {tuple(r) for r in got.collect()} == _best_claims_by_force(new, active)
 
 
+def test_fuzzy_duplicates_of_any_texts_equal_brute_force(spark):
+    """Short, repetitive, empty and long texts at several ratios; no nested loops; few pairs are compared."""
+    rng = random.Random(3)
+    some = ["", "a", "ab", "aaaa", "aaaaa", "abab", "ababab", "The  cat", "the cat", "the cab", "the car sat", "x" * 40, "x" * 38 + "y", "ü ß", "Ü ß!"]
+    some += ["".join(rng.choices("abc ", k=rng.randrange(1, 14))) for _ in range(60)]
+    some += [" ".join(rng.choices(["likes", "green", "tea", "coffee", "late", "tests"], k=6)) for _ in range(40)]
+    active = [(i, t) for i, t in enumerate(some)] + [(1000, None)]
+    new = [(i, t[: rng.randrange(len(t) + 1)] + rng.choice(["", "e", " a"]) + t[rng.randrange(len(t) + 1) :]) for i, t in enumerate(some)] + [(5000, None)]
+    a, n = spark.createDataFrame(active, "claim_id long, claim string").cache(), spark.createDataFrame(new, "obs_id long, claim string").cache()
+    for least in (0.85, 0.6):
+        got = claims.fuzzy_duplicates(n, a, least)
+        want = _best_claims_by_force([x for x in new if x[1] is not None], [x for x in active if x[1] is not None], least)
+        assert {tuple(r) for r in got.collect()} == want
+    assert "NestedLoop" not in claims.fuzzy_duplicates(n, a)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_fuzzy_claims_searches_all_parts(spark, tmp_path):
     rows = [(k, f"part {chr(97 + k % 26) * 9} {k * 7919}", f"Brand#{k % 5}") for k in range(1, 151)]
     spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
