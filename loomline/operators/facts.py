@@ -20,7 +20,8 @@ def normalized_entity(entity: Column) -> Column:
 
 
 def normalized_attribute(attribute: Column) -> Column:
-    return F.regexp_replace(F.lower(F.trim(attribute)), r"\s+", "_")
+    """Blanks and hyphens within are underscores, one for each."""
+    return F.translate(F.lower(F.trim(attribute)), " -", "__")
 
 
 def steps(events: DataFrame, keys: tuple[str, ...] = ("entity", "attribute")) -> DataFrame:
@@ -95,21 +96,24 @@ def query_facts(facts: DataFrame, entity: str | None = None, attribute: str | No
 
 
 def merge_rows(host: DataFrame, other: DataFrame, keys: tuple[str, ...] = ("entity", "attribute")) -> DataFrame:
-    """Full outer merge of (value, confidence, created_at, last_updated) by a total order.
+    """Full outer merge of facts by a total order, the same whichever side is the host.
 
-    One side false: it wins if it is not older. Equal values: the newer, with the higher confidence and the earlier
-    creation. Else the higher confidence, then the newer, then the larger value.
+    One side false: it wins if it is not older. Equal values: the newer row, with the higher confidence and the earlier
+    creation; of equal times that with the larger evidence, agent and memory. Else the higher confidence, then the newer, then the
+    larger value. evidence_source, source_agent and source_memory_id go with their row, where the tables have them.
     """
-    names = ("value", "confidence", "created_at", "last_updated")
+    aside = tuple(c for c in ("evidence_source", "source_agent", "source_memory_id") if c in host.columns and c in other.columns)
+    names = ("value", "confidence", *aside, "created_at", "last_updated")
     a = host.select(*keys, F.struct(*names).alias("a"))
     b = other.select(*keys, F.struct(*names).alias("b"))
     j = a.join(b, list(keys), "full_outer")
     A, B = F.col("a"), F.col("b")
     a_false, b_false = A["confidence"] == "false", B["confidence"] == "false"
-    newer = F.greatest(A["last_updated"], B["last_updated"])
     a_newer, tie = A["last_updated"] > B["last_updated"], A["last_updated"] == B["last_updated"]
     top = F.when(rank(A["confidence"]) >= rank(B["confidence"]), A["confidence"]).otherwise(B["confidence"])
-    same = F.struct(A["value"].alias("value"), top.alias("confidence"), F.least(A["created_at"], B["created_at"]).alias("created_at"), newer.alias("last_updated"))
+    text = lambda r: F.struct(*[F.coalesce(r[c], F.lit("")).alias(c) for c in aside]) if aside else F.lit(0)
+    later = F.when(a_newer | (tie & (text(A) >= text(B))), A).otherwise(B)
+    same = F.struct(A["value"].alias("value"), top.alias("confidence"), *[later[c].alias(c) for c in aside], F.least(A["created_at"], B["created_at"]).alias("created_at"), later["last_updated"].alias("last_updated"))
     by_order = (
         F.when(rank(A["confidence"]) > rank(B["confidence"]), A).when(rank(A["confidence"]) < rank(B["confidence"]), B)
         .when(a_newer, A).when(~tie, B).when(A["value"] >= B["value"], A).otherwise(B)
