@@ -7,7 +7,7 @@ bits (4); a row's component is the smallest id that its links reach.
 Method. ``bits`` differing bits touch at most ``bits`` of the 8 bytes, so linked fingerprints share at least 8 - ``bits``
 positional bytes. Lists of single positional bytes would hold a 256th of all fingerprints each; so postings are of
 sets of positions, chosen so that every choice of 8 - ``bits`` positions holds one of them, and of as many bytes as it takes
-for a list to hold a few fingerprints by chance. Pairs that meet in a list tally their shared positional bytes;
+for few lists to hold two fingerprints by chance. Pairs that meet in a list tally their shared positional bytes;
 those with the guaranteed number are retained and verified by counting bits.
 
 Plan. Texts are read once, fingerprints written; equal fingerprints are one from then on, however many copies have
@@ -44,9 +44,9 @@ from loomline.llm.common import discard, materialize, sized, texts_of
 from loomline.llm.components import connected_components
 
 SHINGLE, BITS, SEED = 4, 4, 42
-#: Fingerprints that a list may hold by chance; of a list: members that are all compared, members compared with all,
-#: members of one chunk of the rest.
-BY_CHANCE, HOT, MINOR, CHUNK = 8, 64, 256, 1000
+#: Fingerprints that a list may hold by chance: so few that most postings are alone in their list and go at once. Of a list: members
+#: that are all compared, members compared with all, members of one chunk of the rest.
+BY_CHANCE, HOT, MINOR, CHUNK = 0.25, 64, 256, 1000
 #: Shingles of a text that are hashed at a time.
 SLICE = 100_000
 
