@@ -144,12 +144,18 @@ def parse_category(reply: Column, allowed: tuple[str, ...]) -> Column:
     return F.when(clean.isin(list(allowed)), clean).when(F.size(named) == 1, named[0])
 
 
+#: Words, digits and spaces of a JVM pattern are then those of all scripts, as in ``operators.detect``.
+UNICODE = "(?U)"
+#: Decimal digits of all scripts and their values, for ``translate``.
+_DIGITS = tuple(map("".join, zip(*((c, str(unicodedata.decimal(c))) for c in map(chr, range(0x10000)) if unicodedata.category(c) == "Nd"), strict=True)))
+
+
 #: What a text must hold before a personal-data detector can find anything in it.
 _PII_NEEDS = {
     "pii_email": lambda t: F.contains(t, F.lit("@")),
     "pii_dob": lambda t: t.rlike("(?i)dob|birth|born"),
     "pii_ipv6": lambda t: t.rlike("[0-9A-Fa-f]:[0-9A-Fa-f]"),
-    **{name: (lambda t: t.rlike("[0-9]")) for name in ("pii_phone", "pii_ssn_tin", "pii_credit_card_luhn", "pii_ipv4", "pii_gps_coords", "pii_street_address")},
+    **{name: (lambda t: t.rlike(r"\p{Nd}")) for name in ("pii_phone", "pii_ssn_tin", "pii_credit_card_luhn", "pii_ipv4", "pii_gps_coords", "pii_street_address")},
     "pii_employee_id": lambda t: t.rlike("(?i)emp"), "pii_customer_id": lambda t: t.rlike("(?i)cust"), "pii_case_number": lambda t: t.rlike("(?i)case|ticket"),
     "pii_mrn": lambda t: t.rlike("(?i)mrn|medical"), "pii_badge_number": lambda t: t.rlike("(?i)badge"),
 }
@@ -160,9 +166,9 @@ def detector_counts(text: Column) -> dict[str, Column]:
     out = {}
     for name, _, _, pattern in P.PII:
         if name == "pii_credit_card_luhn":
-            count = F.size(F.filter(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: luhn(F.regexp_replace(m, r"\D", ""))))
+            count = F.size(F.filter(F.regexp_extract_all(text, F.lit(UNICODE + pattern), F.lit(0)), lambda m: luhn(F.translate(F.regexp_replace(m, UNICODE + r"\D", ""), *_DIGITS))))
         else:
-            count = F.regexp_count(text, F.lit(pattern))
+            count = F.regexp_count(text, F.lit(UNICODE + pattern))
         out[name] = F.when(_PII_NEEDS[name](text), count).otherwise(F.lit(0))
     return out
 
@@ -176,7 +182,7 @@ def luhn(digits: Column) -> Column:
 
 
 def injection_count(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(r"(?i)\b(?:" + "|".join(P.INJECTIONS) + r")\b"))
+    return F.regexp_count(text, F.lit(r"(?iU)\b(?:" + "|".join(P.INJECTIONS) + r")\b"))
 
 
 def is_fluff(claim: Column) -> Column:

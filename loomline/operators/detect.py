@@ -44,7 +44,7 @@ def replaced(text: Column, terms: dict[str, list[str]], replacements: dict[str,
     for kind in PRIVATE:
         for term in terms.get(kind, []):
             if term.strip() and replacements.get(term):
-                text = F.regexp_replace(text, private_patterns({kind: [term]})[PRIVATE[kind]], replacements[term].replace("\\", "\\\\").replace("$", "\\$"))
+                text = F.regexp_replace(text, "(?U)" + private_patterns({kind: [term]})[PRIVATE[kind]], replacements[term].replace("\\", "\\\\").replace("$", "\\$"))
     return text
 
 

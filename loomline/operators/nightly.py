@@ -48,7 +48,7 @@ def is_self_derived(summary: Column, facts: Column, decisions: Column, batch: st
 def private_hits(text: Column, terms: dict[str, list[str]]) -> dict[str, Column]:
     """Per bucket whether a private term stands in the text as a word of its own, without case."""
     quoted = lambda t: "\\Q" + t + "\\E"
-    return {bucket: text.rlike(r"(?i)(?<!\w)(?:" + "|".join(map(quoted, own)) + r")(?!\w)") for bucket, own in terms.items()}
+    return {bucket: text.rlike(r"(?iU)(?<!\w)(?:" + "|".join(map(quoted, own)) + r")(?!\w)") for bucket, own in terms.items()}
 
 
 def classify_seeds(seeds: DataFrame, facts: DataFrame, keys: tuple[str, ...] = ("entity", "attribute")) -> DataFrame:
@@ -340,13 +340,13 @@ def asked(rows: DataFrame, column: str, model: Callable[[str], str], answer: str
     return rows.withColumn(answer, run(column))
 
 
-def map_reduce_brief(sections: DataFrame, brief: Callable[[str], str], roll_up: Callable[[str], str]) -> str:
+def map_reduce_brief(sections: DataFrame, brief: Callable[[str], str], roll_up: Callable[[str], str], title: str = "# Briefs by agent") -> str:
     """One joint brief: a model's brief of each agent's section, run on the executors, then one of all briefs in order of the
     agents. Agents whose call fails are left out; if all fail, that raises. The briefs, one an agent, meet on the driver."""
     done = asked(sections, "section", brief, "brief").where("brief is not null").select("agent_id", "brief").orderBy("agent_id").collect()
     if not done:
         raise RuntimeError("every agent's brief failed")
-    return roll_up("# Per-agent briefs to synthesize\n\n" + "\n\n---\n\n".join(f"## Agent {r['agent_id']} brief\n\n{r['brief']}" for r in done))
+    return roll_up("\n\n".join([title, *(f"## {r['agent_id']}\n\n{r['brief']}" for r in done)]))
 
 
 def extraction_input(memories: DataFrame, agents: Sequence[str], batch: str, budget: int = 20_000) -> DataFrame:

@@ -262,9 +262,9 @@ def brief_age(spark: SparkSession, d: str) -> DataFrame:
 
 
 @named(f"""WITH {_CHRONICLE}, c AS (SELECT 'projects' AS section, lang AS slug, ts, doc_id % 5 AS s, '### [' || ts || '] ' || agent || ' session=s' || (doc_id % 5) || chr(10) || left(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), 2400) || chr(10) || 'Key facts:' || chr(10) || '  - ' || lang || chr(10) || 'Decisions: go; stop' || chr(10) AS block FROM h)
-    SELECT section, slug, count(*) AS n, sha256('# Topic: ' || section || '/' || slug || chr(10) || chr(10) || 'You''re compiling the wiki page for `' || section || '/' || slug || '`.' || chr(10) || chr(10)
-        || CASE WHEN slug = 'en' THEN '## Existing page (rewrite to integrate new info; drop what''s contradicted; preserve what''s still true)' || chr(10) || chr(10) || 'old' || chr(10) || chr(10) || '---' || chr(10) ELSE '(No existing page \u2014 this is a fresh compile.)' || chr(10) END
-        || chr(10) || '## New memories (' || count(*) || ' entries)' || chr(10) || chr(10) || string_agg(block, chr(10) ORDER BY ts, block)) AS prompt_sha256 FROM c GROUP BY 1, 2""")
+    SELECT section, slug, count(*) AS n, sha256('Topic ' || section || '/' || slug || ': write its page from the records below.' || chr(10) || chr(10)
+        || CASE WHEN slug = 'en' THEN 'Page so far, to be brought up to date:' || chr(10) || chr(10) || 'old' ELSE 'There is no page yet.' END
+        || chr(10) || chr(10) || 'Records (' || count(*) || '):' || chr(10) || chr(10) || string_agg(block, chr(10) ORDER BY ts, block)) AS prompt_sha256 FROM c GROUP BY 1, 2""")
 def topic_prompts(spark: SparkSession, d: str) -> DataFrame:
     """What a topic's page is compiled from."""
     rows = _harvested(spark, d).withColumn("block", W.memory_block(F.col("timestamp"), F.col("agent_id"), F.col("session_id"), F.col("summary"), F.col("key_facts"), F.col("decisions")))

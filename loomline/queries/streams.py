@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomline.queries import twins
 from loomline.sources.commits import scratch
+from loomline.sources.tail import tailed
 from loomline.streaming import exchanges as X
 
 
@@ -41,11 +42,21 @@ def page_text(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("page_id", F.length("t").cast("long").alias("chars"), F.contains("t", F.lit("track(")).alias("has_script"))
 
 
-QUERIES = {f.__name__: f for f in (stream_retry_dedup, stream_rate_limited, stream_turn_pairs, page_text)}
+def stream_tailed_turns(spark: SparkSession, d: str) -> DataFrame:
+    """Turns written as growing logs and tailed by byte offsets: rows and characters by role, and whether every line was whole."""
+    logs = scratch(spark, "logs")
+    spark.read.parquet(f"{d}/conversations.parquet").select(F.to_json(F.struct("conv_id", "turn", "role", "text")).alias("value")).write.text(logs)
+    lines = X.drain(tailed(spark, logs, suffix=".txt", slice_bytes=str(8 << 20)), scratch(spark, "stream"))
+    rows = lines.select(F.from_json("line", "conv_id long, turn long, role string, text string").alias("m"), (F.col("end") - F.col("start") == F.octet_length("line") + 1).alias("whole"))
+    return rows.groupBy("m.role").agg(F.count("*").alias("n"), F.sum("m.conv_id").alias("conv_sum"), F.sum(F.length("m.text")).alias("chars"), F.bool_and("whole").alias("whole"))
+
+
+QUERIES = {f.__name__: f for f in (stream_retry_dedup, stream_rate_limited, stream_turn_pairs, stream_tailed_turns, page_text)}
 ORACLE_SQL = {
     "stream_retry_dedup": twins.ORACLE_SQL["retry_dedup"],
     "stream_rate_limited": twins.ORACLE_SQL["rate_limited"],
     "stream_turn_pairs": twins.ORACLE_SQL["turn_pairs"],
+    "stream_tailed_turns": "SELECT role, count(*) AS n, sum(conv_id)::BIGINT AS conv_sum, sum(length(text))::BIGINT AS chars, true AS whole FROM conversations GROUP BY role",
     "page_text": r"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>', ' ', 'g'), '(?is)<style\b.*?</style\s*>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g') AS t FROM pages),
         b AS (SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g')) AS t FROM a)
         SELECT page_id, length(t) AS chars, contains(t, 'track(') AS has_script FROM b""",

@@ -282,7 +282,7 @@ def test_briefs_and_extraction(spark):
     sections = nightly.agent_sections(df.withColumn("block", block), budget=150)
     assert {r["agent_id"]: (r["entries"], r["dropped"]) for r in sections.collect()} == {"ann": (2, 2), "bob": (1, 0)}
     brief = nightly.map_reduce_brief(sections, _brief, lambda text: text)
-    assert brief == "# Per-agent briefs to synthesize\n\n## Agent ann brief\n\nbrief of ann"  # bob's call fails
+    assert brief == "# Briefs by agent\n\n## ann\n\nbrief of ann"  # bob's call fails
     with pytest.raises(RuntimeError, match="every"):
         nightly.map_reduce_brief(sections.where("agent_id = 'bob'"), _brief, str)
     chunks = nightly.extraction_input(df, [], "nightly", budget=60).orderBy("agent_id", "chunk").collect()
@@ -537,6 +537,8 @@ def test_pages(spark, v, tmp_path):
     known = spark.createDataFrame([(0, "e", "ann"), (1, "p", "deep-sea"), (2, "p", "sea")], "place int, section string, slug string")
     r = wiki.checked_references(pages, known).first()
     assert r["body"] == "x\n## Cross-References\n- [[e/ann]]\n- [[p/deep-sea]]\ntext\n## Next\n- nobody" and r["links"] == ["e/ann", "p/deep-sea"]
+    both = known.unionByName(spark.createDataFrame([(3, "z", "ann")], known.schema))  # a slug in two sections means the last
+    assert wiki.checked_references(pages, both).first()["links"] == ["z/ann", "p/deep-sea"]
     tag = lambda t: v(wiki.tagline(F.lit(t)))
     assert tag("# T\n## Summary\n\none\ntwo\n\nthree\n## X") == "one\ntwo" and tag("# T\n## Summary\n" + "y" * 200) == "y" * 140 + "\u2026" and tag("none") == ""
     page = v(wiki.rendered_page(F.lit("p"), F.lit("deep-sea"), F.lit(" body words "), F.lit(2), F.lit(5), "2026"))
