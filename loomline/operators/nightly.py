@@ -13,7 +13,8 @@ from pyspark.sql import types as T
 
 from loomline.functions import patterns as P
 from loomline.functions import text as X
-from loomline.operators.pack import greedy_chunks
+from loomline.operators.pack import greedy_chunks, halve_until
+from loomline.sources.commits import remove, scratch
 
 #: Marks of the nightly batch's own output, without case; {batch} is the name it signs with (fixed values).
 SELF_SIGNS = ("dream-contradictions", "dream-git-sync-drift", "{batch} dream \u2014", "by {batch}-dream.py_", "verified-vs-extracted", "dream brief")
@@ -324,12 +325,16 @@ def agent_sections(rows: DataFrame, budget: int = 1_000_000) -> DataFrame:
     return out.select("agent_id", "entries", lost.alias("dropped"), F.concat_ws("\n", head, "body").alias("section"))
 
 
-def asked(rows: DataFrame, column: str, model: Callable[[str], str], answer: str = "reply") -> DataFrame:
-    """Rows with a model's reply to a column's text, null where the call failed: one failure costs one row."""
+def asked(rows: DataFrame, column: str, model: Callable[[str], str], answer: str = "reply", too_large: Callable[[Exception], bool] | None = None, least: int = 20_000) -> DataFrame:
+    """Rows with a model's reply to a column's text, null where the call failed: one failure costs one row.
+
+    With ``too_large``, which knows the errors that a shorter text may mend, a text is halved on those down to ``least``
+    characters; its end stays, which of chronological texts is the newest.
+    """
 
     def call(text: str | None) -> str | None:
         try:
-            return model(text or "")
+            return halve_until(model, text or "", too_large, least, tail=True)[0] if too_large else model(text or "")
         except Exception:
             return None
 
@@ -340,13 +345,66 @@ def asked(rows: DataFrame, column: str, model: Callable[[str], str], answer: str
     return rows.withColumn(answer, run(column))
 
 
-def map_reduce_brief(sections: DataFrame, brief: Callable[[str], str], roll_up: Callable[[str], str], title: str = "# Briefs by agent") -> str:
-    """One joint brief: a model's brief of each agent's section, run on the executors, then one of all briefs in order of the
-    agents. Agents whose call fails are left out; if all fail, that raises. The briefs, one an agent, meet on the driver."""
-    done = asked(sections, "section", brief, "brief").where("brief is not null").select("agent_id", "brief").orderBy("agent_id").collect()
-    if not done:
-        raise RuntimeError("every agent's brief failed")
-    return roll_up("\n\n".join([title, *(f"## {r['agent_id']}\n\n{r['brief']}" for r in done)]))
+#: Characters of one joint brief's input.
+ROLL_UP = 400_000
+
+
+def briefs(sections: DataFrame, brief: Callable[[str], str], too_large: Callable[[Exception], bool] | None = None) -> DataFrame:
+    """(first, agents, brief): a model's brief of each agent's section; agents whose call fails are left out."""
+    done = asked(sections, "section", brief, "brief", too_large).where("brief is not null")
+    return done.select(F.col("agent_id").alias("first"), F.lit(1).cast("long").alias("agents"), F.concat(F.lit("## "), "agent_id", F.lit("\n\n"), "brief").alias("brief"))
+
+
+def _titled(title: str, parts: Sequence[str]) -> str:
+    return "\n\n".join([title, *parts])
+
+
+def roll_up_level(rows: DataFrame, roll_up: Callable[[str], str], title: str, most: int, too_large: Callable[[Exception], bool] | None = None) -> DataFrame:
+    """One level of a roll-up: neighbouring briefs (first, agents, brief) are joined to inputs of at most ``most`` characters,
+    and a model's brief of each takes their place. A single brief beyond that is an input of its own; a group whose call
+    fails is left out, which ``agents``, the number of agents that a brief stands for, shows."""
+    spark, place = rows.sparkSession, scratch(rows.sparkSession, "briefs")
+    sized = rows.withColumn("chars", F.length("brief") + 2)
+    total = sized.agg(F.sum("chars")).first()[0] or 0
+    # blocks by range of agents, so that no running total goes over all briefs; written, as block numbers must not change
+    sized.repartitionByRange(max(1, total // (32 * most)), "first").withColumn("block", F.spark_partition_id()).write.parquet(place)
+    narrow = spark.read.parquet(place)
+    groups = greedy_chunks(narrow.select("block", "first", "chars"), ["block"], "first", "chars", most - len(title)).select("block", "first", "chunk")
+    members = F.array_sort(F.collect_list(F.struct("first", "brief")))
+    joined = narrow.join(groups, ["block", "first"]).groupBy("block", "chunk").agg(F.min("first").alias("first"), F.sum("agents").alias("agents"), members.alias("m"))
+    texts = joined.select("first", "agents", F.array_join(F.concat(F.array(F.lit(title)), F.transform("m", lambda x: x["brief"])), "\n\n").alias("text"))
+    return asked(texts, "text", roll_up, "reply", too_large).where("reply is not null").select("first", "agents", F.col("reply").alias("brief"))
+
+
+def map_reduce_brief(sections: DataFrame, brief: Callable[[str], str], roll_up: Callable[[str], str], title: str = "# Briefs by agent", most: int = ROLL_UP, too_large: Callable[[Exception], bool] | None = None) -> str:
+    """One joint brief: a model's brief of each agent's section, rolled up in order of the agents.
+
+    While the briefs are more than ``most`` characters, they are rolled up level by level on the executors; only what fits
+    one input comes to the driver, for the last call. Every level is written once, so that no call is made twice. Agents
+    and groups whose call fails are left out; if all fail, that raises, and so does a model whose roll-ups do not get
+    shorter than what they join, as no input would ever hold them.
+    """
+    spark = sections.sparkSession
+    held = scratch(spark, "briefs")
+    briefs(sections, brief, too_large).write.parquet(held)
+    before = None
+    while True:
+        rows = spark.read.parquet(held)
+        size = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("brief") + 2), F.lit(0)).alias("chars")).first()
+        if not size["n"]:
+            raise RuntimeError("every agent's brief failed" if before is None else "every roll-up failed")
+        if size["n"] == 1 or size["chars"] + len(title) <= most:
+            break
+        if before is not None and (size["n"], size["chars"]) >= before:
+            raise RuntimeError("roll-ups do not get shorter than the briefs that they join")
+        before, above = (size["n"], size["chars"]), scratch(spark, "briefs")
+        roll_up_level(rows, roll_up, title, most, too_large).write.parquet(above)
+        remove(spark, held)
+        held = above
+    parts = [r["brief"] for r in rows.orderBy("first").collect()]
+    remove(spark, held)
+    text = _titled(title, parts)
+    return halve_until(roll_up, text, too_large, tail=True)[0] if too_large else roll_up(text)
 
 
 def extraction_input(memories: DataFrame, agents: Sequence[str], batch: str, budget: int = 20_000) -> DataFrame:
@@ -367,6 +425,13 @@ def extract_facts(memories: DataFrame, agents: Sequence[str], batch: str, model:
     return valid_facts(found, today).select("id.agent_id", "id.chunk", "pos", "entity", "attribute", "value", "evidence_source")
 
 
+def stale_recipes(recipes: DataFrame, recalled: DataFrame, now: Column, days: float = 90) -> DataFrame:
+    """(id, used) of recipes (id, created) neither made nor recalled (id, ts) in the last ``days``; a null time is none."""
+    latest = recalled.groupBy("id").agg(F.max("ts").alias("recalled"))
+    used = recipes.select("id", "created").join(latest, "id", "left").select("id", F.greatest("created", "recalled").alias("used"))
+    return used.where(now.cast("double") - F.col("used").cast("double") > days * 86_400)
+
+
 def brief_age(briefs: DataFrame, now: Column, companion: str = "-boot") -> DataFrame:
     """The newest brief (name, modified) that is no companion, with its age in hours."""
     latest = briefs.where(~F.col("name").endswith(companion)).agg(F.max_by(F.struct("name", "modified"), "name").alias("b")).where("b is not null")

@@ -38,13 +38,13 @@ def canonical_text(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""WITH m AS (SELECT conv_id, turn, role, text, conv_id * 1000 + turn AS made FROM conversations), n AS (SELECT * FROM m WHERE made > 20000 AND role = 'assistant' ORDER BY made DESC LIMIT 50)
     SELECT 'message' AS kind, 's' || conv_id AS session_id, make_timestamp(made * 1000000) AS timestamp, left(text, 2000) AS summary FROM n WHERE length(text) > 100
-    UNION ALL SELECT 'summary', 's' || conv_id, make_timestamp(made * 1000000), left(text, 80) FROM m WHERE turn = 0 AND made > 20000""")
+    UNION ALL SELECT 'summary', 's' || conv_id, make_timestamp(made * 1000000), text FROM m WHERE turn = 0 AND made > 20000""")
 def legacy_messages(spark: SparkSession, d: str) -> DataFrame:
     """What the older store adds: summaries, and substantial answers among the newest ones."""
     c = A.table(spark, d, "conversations").withColumn("created_at", F.timestamp_seconds(F.expr("conv_id * 1000 + turn")))
     who = c.select(F.col("conv_id").alias("conversation_id"), F.lit("a").alias("agent_id"), F.concat(F.lit("s"), "conv_id").alias("session_id")).distinct()
     messages = c.select(F.col("conv_id").alias("conversation_id"), F.expr("conv_id * 1000 + turn").alias("message_id"), "role", F.col("text").alias("content"), "created_at")
-    told = c.where("turn = 0").select(F.col("conv_id").alias("conversation_id"), F.substring("text", 1, 80).alias("content"), "created_at")
+    told = c.where("turn = 0").select(F.col("conv_id").alias("conversation_id"), F.col("text").alias("content"), "created_at")
     return N.harvest_store(who, messages, told, F.timestamp_seconds(F.lit(20_000))).drop("agent_id")
 
 
@@ -183,14 +183,13 @@ def audit_trail(spark: SparkSession, d: str) -> DataFrame:
     return N.audit_rows(A.table(spark, d, "events"), ["user_id", "event_id", "event_type"], "event_id", "user_id").select("user_id", "event_id", "seq", "hash")
 
 
-@query("""WITH r AS (SELECT user_id, max(ts) AS recalled FROM events WHERE event_id % 50 = 0 GROUP BY 1), t AS (SELECT c_custkey AS id, TIMESTAMP '2023-10-01' + to_days((c_custkey % 200)::INTEGER) AS created FROM customer)
+@query("""WITH r AS (SELECT user_id, max(ts) AS recalled FROM events GROUP BY 1), t AS (SELECT c_custkey AS id, TIMESTAMP '2023-10-01' + to_days((c_custkey % 200)::INTEGER) AS created FROM customer)
     SELECT id, greatest(created, coalesce(recalled, created)) AS used FROM t LEFT JOIN r ON r.user_id = t.id WHERE epoch(TIMESTAMP '2024-04-30') - epoch(greatest(created, coalesce(recalled, created))) > 90 * 86400""")
 def stale_trajectories(spark: SparkSession, d: str) -> DataFrame:
     """Recipes neither made nor recalled for 90 days."""
-    recalled = A.table(spark, d, "events").where("event_id % 50 = 0").groupBy(F.col("user_id").alias("id")).agg(F.max("ts").alias("recalled"))
+    recalled = A.table(spark, d, "events").select(F.col("user_id").alias("id"), "ts")
     made = A.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.expr("TIMESTAMP '2023-10-01' + make_dt_interval(CAST(c_custkey % 200 AS INT))").alias("created"))
-    rows = made.join(recalled, "id", "left").withColumn("used", F.greatest("created", "recalled"))
-    return rows.where(F.lit("2024-04-30").cast("timestamp").cast("double") - F.col("used").cast("double") > 90 * 86400).select("id", "used")
+    return N.stale_recipes(made, recalled, F.lit("2024-04-30").cast("timestamp"))
 
 
 @query("SELECT event_id FROM events WHERE event_id % 3 = 0 OR event_id % 3 = 1 AND event_id % 2 = 0 AND length(props) < 40")

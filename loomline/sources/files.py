@@ -7,11 +7,12 @@ import re
 import zipfile
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomline.functions.text import redact
+from loomline.sources.commits import exists, remove, scratch
 
 MEMORY = (
     "id string, session_id string, agent_id string, summary string, key_facts array<string>, projects_referenced array<string>, decisions_made array<string>, "
@@ -86,26 +87,32 @@ def write_memories(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").partitionBy("agent_id").parquet(path)
 
 
+def _deal(spark: SparkSession, beside: str, path: str, schema: T.StructType) -> None:
+    """Put a merged table into its tenants' folders, then drop it: may be done over until the last step."""
+    merged = spark.read.schema(schema).parquet(beside)
+    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("agent_id").parquet(path)
+    remove(spark, beside)
+
+
 def upsert_memories(spark: SparkSession, rows: DataFrame, path: str, key: str = "id", order: str = "created_at") -> str:
     """Write memories over those of equal id: the last by ``order`` stays, in the tenants' folders that the rows touch.
 
     The merged table is written beside the old one first and only then dealt into its folders, so a lost executor loses
-    nothing; rows of tenants that are not touched are not read.
+    nothing; rows of tenants that are not touched are not read. A writer that died while dealing left a whole table beside
+    (it has its success mark), which the next call deals first; one that died before left a torn one, which goes.
     """
     from loomline.operators.index import upserted
 
-    touched = [r["agent_id"] for r in rows.select("agent_id").distinct().collect()]
-    store = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not store.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(store):
+    beside = f"{path.rstrip('/')}__next"
+    if exists(spark, f"{beside}/_SUCCESS"):
+        _deal(spark, beside, path, rows.schema)
+    if not exists(spark, path):
         upserted(rows.limit(0), rows, key, order).write.partitionBy("agent_id").parquet(path)
         return path
+    touched = [r["agent_id"] for r in rows.select("agent_id").distinct().collect()]
     old = spark.read.schema(rows.schema).parquet(path).where(F.col("agent_id").isin(touched))
-    beside = f"{path.rstrip('/')}__next"
     upserted(old, rows, key, order).write.mode("overwrite").partitionBy("agent_id").parquet(beside)
-    merged = spark.read.schema(rows.schema).parquet(beside)
-    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("agent_id").parquet(path)
-    beside_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(beside)
-    beside_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(beside_path, True)
+    _deal(spark, beside, path, rows.schema)
     return path
 
 
@@ -128,7 +135,22 @@ def write_brief(spark: SparkSession, brief: str, boot: str, day: str, path: str)
     rows.select("name", redact(F.col("value")).alias("value")).write.mode("append").partitionBy("name").text(path)
 
 
-def write_audit(rows: DataFrame, path: str, most: int = 5 << 20) -> None:
-    """Audit lines as JSON, in files of about ``most`` bytes: a full file is followed by the next."""
-    per_file = max(1, most // 200)
-    rows.write.mode("append").option("maxRecordsPerFile", per_file).json(path)
+def write_audit(rows: DataFrame, path: str, most: int = 5 << 20, order: str = "ts") -> None:
+    """Audit lines as JSON in order, in files of at most ``most`` bytes; a longer line may fill a file beyond that.
+
+    Lines are dealt by range of ``order`` into blocks of some 32 files, and a block's running total of bytes says which file
+    a line begins in; a line of the greatest length still fits behind the last place at which one may begin.
+    """
+    spark, target = rows.sparkSession, f"{path.rstrip('/')}"
+    lines = rows.select(F.col(order).alias("at"), F.to_json(F.struct(*[F.col(c) for c in rows.columns])).alias("line"))
+    sized = lines.withColumn("bytes", F.octet_length("line") + 1)
+    seen = sized.agg(F.sum("bytes").alias("all"), F.max("bytes").alias("longest")).first()
+    if not seen["all"]:
+        return
+    room, place = max(1, most - seen["longest"]), scratch(spark, "audit")
+    sized.repartitionByRange(-(-seen["all"] // (32 * room)), "at", "line").withColumn("block", F.spark_partition_id()).write.parquet(place)
+    before = F.sum("bytes").over(Window.partitionBy("block").orderBy("at", "line").rowsBetween(Window.unboundedPreceding, 0)) - F.col("bytes")
+    numbered = spark.read.parquet(place).withColumn("file", F.floor(before / room))
+    dealt = numbered.repartition("block", "file").sortWithinPartitions("block", "file", "at", "line")
+    dealt.select("block", "file", F.col("line").alias("value")).write.mode("append").partitionBy("block", "file").text(target)
+    remove(spark, place)

@@ -6,7 +6,8 @@ timeout, so it stays bounded by the keys active within the window. Watermarks ar
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import time
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from loomline.sources.commits import exists
+
 
 def _frames(frames: Iterator[pd.DataFrame], *order: str) -> pd.DataFrame:
     parts = list(frames)
@@ -135,6 +138,75 @@ def flushed(stream: DataFrame, key: str, ts: str, id_col: str, most: int = 6, id
     return rows.groupBy(key).applyInPandasWithState(flush, T.StructType(fields), "batch long, held array<long>, last double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def buffered(stream: DataFrame, key: str, order: list[str], entry: str, deliver: Callable[[tuple, list[str]], None] | None = None, most: int = 8, idle: float = 120, backlog: int = 200) -> DataFrame:
+    """(key, n, entries, lost): a key's entries are delivered together once there are ``most``, or once ``idle`` seconds of
+    the clock have passed without another one, whether or not anything else arrives.
+
+    ``deliver`` hands a key's entries on, from the executors; where it raises, they wait for the key's next entry or the
+    next timer, and of those that wait only the newest ``backlog`` are kept; ``lost`` says how many went since the last
+    delivery. Deliveries that a lost executor or a restart repeats have the same entries, so they are at least once, while
+    the returned rows follow the sink. Entries of one micro-batch are taken by ``order``; a null entry is none. State is one
+    buffer a key and ends with its delivery. How many rows of a key meet is bounded by the source's rows a micro-batch.
+    """
+    if not 0 < most <= backlog or idle <= 0:
+        raise ValueError("most is at least 1 and at most backlog, idle is positive")
+    rows = stream.where(F.col(entry).isNotNull()).select(key, *order, F.col(entry).cast("string").alias("_entry"))
+    fields = [rows.schema[key], T.StructField("n", T.IntegerType()), T.StructField("entries", T.ArrayType(T.StringType())), T.StructField("lost", T.LongType())]
+
+    def flush(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held, lost = state.get if state.exists else ([], 0)
+        held, out = list(held), []
+
+        def send() -> None:
+            nonlocal held, lost
+            try:
+                if deliver is not None:
+                    deliver(k, held)
+            except Exception:
+                lost += max(0, len(held) - backlog)
+                held = held[-backlog:]
+            else:
+                out.append((*k, len(held), held, lost))
+                held, lost = [], 0
+
+        if state.hasTimedOut:
+            send()
+        else:
+            for x in _frames(frames, *order)["_entry"]:
+                held.append(x)
+                if len(held) >= most:
+                    send()
+        if held:
+            state.update((held, lost))
+            state.setTimeoutDuration(int(idle * 1000))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(out, columns=[f.name for f in fields])
+
+    return rows.groupBy(key).applyInPandasWithState(flush, T.StructType(fields), "held array<string>, lost long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def run_until_still(stream: DataFrame, path: str, every: str = "200 milliseconds", longest: float = 3600) -> DataFrame:
+    """Run a stream with clock timers until it has read what there is and holds no more state, then read its files back.
+
+    Timers keep such a stream busy for ever, so availableNow would not end. Raises if it is not still after ``longest`` s.
+    """
+    query = stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").trigger(processingTime=every).start()
+    until = time.monotonic() + longest
+    try:
+        while time.monotonic() < until:
+            query.awaitTermination(0.2)  # raises what ended it
+            done = query.recentProgress
+            if len(done) > 1 and not done[-1].numInputRows and not sum(s.numRowsTotal for s in done[-1].stateOperators):
+                break
+        else:
+            raise TimeoutError("the stream still reads or waits")
+    finally:
+        query.stop()
+    spark, out = stream.sparkSession, f"{path}/out"
+    return spark.read.schema(stream.schema).parquet(out) if exists(spark, out) else spark.createDataFrame([], stream.schema)
+
+
 def drain(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
     """Run a stream over all that is there (availableNow) into files with a checkpoint beside them; read them back.
 
