@@ -244,12 +244,64 @@ def fuzzy_duplicates(claims: DataFrame, active: DataFrame, least: float = DUPLIC
     return rows.join(best.unionByName(equal), "x").select("obs_id", "claim_id", F.round("ratio", 6).alias("ratio"))
 
 
-def active_claims(claims: DataFrame, scopes: list[str] | None = None, limit: int = 20) -> DataFrame:
-    """Active claims of the scopes, surest first; null confidence counts as 0."""
+def _in_force(scopes: list[str] | None) -> Column:
     keep = F.col("status") == "active"
-    if scopes is not None:
-        keep = keep & F.arrays_overlap("scope", F.array(*[F.lit(s) for s in scopes]))
-    return claims.where(keep).orderBy(F.coalesce("confidence", F.lit(0.0)).desc(), "claim_id").limit(limit)
+    return keep & F.coalesce(F.arrays_overlap("scope", F.array(*[F.lit(s) for s in scopes])), F.lit(False)) if scopes else keep
+
+
+#: What a claim file holds of an owner: sections of claims, claims of what is not wanted, and overlays (fixed shape).
+CLAIM = "struct<claim_id:string,claim:string,type:string,scope:array<string>,confidence:double,status:string>"
+CLAIM_FILE = f"owner_id string, stable_core map<string,array<{CLAIM}>>, negative_constraints array<{CLAIM}>, situational_overlays array<struct<overlay_id:string,name:string,traits:array<string>,status:string>>"
+
+
+def section_claims(claim_files: DataFrame) -> DataFrame:
+    """(owner_id, section, place, claim columns): every claim of claim files (``CLAIM_FILE``), ``place`` being its order in the
+    file; constraints come after all sections. Null sections and files without claims have no rows."""
+    core = claim_files.select("owner_id", F.posexplode("stable_core").alias("a", "name", "items")).select("owner_id", F.concat(F.lit("stable_core."), "name").alias("section"), "a", F.posexplode("items").alias("b", "c"))
+    never = claim_files.select("owner_id", F.lit("negative_constraints").alias("section"), F.lit((1 << 31) - 1).alias("a"), F.posexplode("negative_constraints").alias("b", "c"))
+    return core.unionByName(never).select("owner_id", "section", F.struct("a", "b").alias("place"), "c.*")
+
+
+def exported(claim_files: DataFrame, scopes: list[str] | None = None, limit: int = 20) -> DataFrame:
+    """(owner_id, claims, overlays) of every claim file: its active claims in the scopes, the ``limit`` surest, of equally sure
+    ones the first of the file, and its active overlays in their order. Both are empty where there are none."""
+    sure = Window.partitionBy("owner_id").orderBy(F.coalesce("confidence", F.lit(0.0)).desc(), "place")
+    top = section_claims(claim_files).where(_in_force(scopes)).withColumn("r", F.row_number().over(sure)).where(F.col("r") <= limit)
+    told = F.array_sort(F.collect_list(F.struct("r", "claim_id", "claim", "type", "scope", "confidence")))
+    claims = top.groupBy("owner_id").agg(F.transform(told, lambda x: x.dropFields("r")).alias("claims"))
+    worn = F.transform(F.filter("situational_overlays", lambda o: o["status"] == "active"), lambda o: F.struct(o["overlay_id"].alias("overlay_id"), o["name"].alias("name"), F.coalesce(o["traits"], F.array().cast("array<string>")).alias("traits")))
+    rows = claim_files.select("owner_id", F.coalesce(worn, F.array().cast("array<struct<overlay_id:string,name:string,traits:array<string>>>")).alias("overlays")).join(claims, "owner_id", "left")
+    none = F.array().cast("array<struct<claim_id:string,claim:string,type:string,scope:array<string>,confidence:double>>")
+    return rows.select("owner_id", F.coalesce("claims", none).alias("claims"), "overlays")
+
+
+#: Numbers that words of confidence stand for, and that of anything else (fixed values).
+CONFIDENCE, UNSURE = {"low": 0.3, "medium": 0.6, "high": 0.9}, 0.6
+
+
+def confidence_number(raw: Column) -> Column:
+    """A number held to 0..1, or a word's number, without case and blanks; anything else and null are 0.6."""
+    word, number = F.lower(F.trim(raw)), raw.try_cast("double")
+    of_word = F.coalesce(*[F.when(word == k, F.lit(v)) for k, v in CONFIDENCE.items()], F.lit(UNSURE))
+    return F.when(number.isNotNull() & ~F.isnan(number), F.greatest(F.lit(0.0), F.least(F.lit(1.0), number))).otherwise(of_word)
+
+
+def corpus_observations(entries: DataFrame) -> DataFrame:
+    """Labelled corpus entries (id, label, rationale, observation) as pending observations with numbered evidence and the
+    label that a validation is measured by; a context becomes a tag."""
+    o, empty = (lambda c: F.col(f"observation.{c}")), F.lit("")
+    one = lambda e, k: F.struct(F.concat("id", F.lit("_ev_"), k.cast("string")).alias("evidence_id"), F.coalesce(e["turn_ref"], F.concat("id", F.lit(":turn-"), k.cast("string"))).alias("turn_ref"), F.coalesce(e["quote"], empty).alias("excerpt"), e["origin_type"].alias("origin_type"), e["provenance_bucket"].alias("bucket"))
+    none = F.array().cast("array<struct<evidence_id:string,turn_ref:string,excerpt:string,origin_type:string,bucket:string>>")
+    tags = F.when(F.coalesce(o("context"), empty) != "", F.array(o("context"))).otherwise(F.array().cast("array<string>"))
+    return entries.select(
+        F.col("id").alias("obs_id"), F.coalesce(o("pattern"), empty).alias("claim"), confidence_number(o("confidence")).alias("confidence"), F.lit("pending").alias("status"), F.coalesce(o("source_platform"), empty).alias("platform"),
+        o("source_session_id").alias("session_id"), F.coalesce(F.transform(o("evidence"), one), none).alias("evidence"), tags.alias("tags"), "label", F.coalesce("rationale", empty).alias("rationale"),
+    )
+
+
+def active_claims(claims: DataFrame, scopes: list[str] | None = None, limit: int = 20) -> DataFrame:
+    """Active claims of the scopes, of all if there are none named, surest first; null confidence counts as 0."""
+    return claims.where(_in_force(scopes)).orderBy(F.coalesce("confidence", F.lit(0.0)).desc(), "claim_id").limit(limit)
 
 
 #: Words that name nothing (fixed values).

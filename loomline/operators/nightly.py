@@ -425,6 +425,24 @@ def extract_facts(memories: DataFrame, agents: Sequence[str], batch: str, model:
     return valid_facts(found, today).select("id.agent_id", "id.chunk", "pos", "entity", "attribute", "value", "evidence_source")
 
 
+def project_notes(memories: DataFrame) -> DataFrame:
+    """(memory_id, project, facts, text): a note for every project that a memory (memory_id, session_id, summary, key_facts,
+    projects) refers to, with the facts that name it, without case. Without projects there is none; nulls name nothing."""
+    rows = memories.select("memory_id", "session_id", F.coalesce("summary", F.lit("")).alias("summary"), F.coalesce("key_facts", F.array().cast("array<string>")).alias("all"), F.explode("projects").alias("project"))
+    named = rows.withColumn("facts", F.filter("all", lambda f: F.coalesce(F.contains(F.lower(f), F.lower("project")), F.lit(False)))).where("project is not null")
+    listed = F.when(F.size("facts") > 0, F.concat(F.lit("Facts:\n"), F.array_join(F.transform("facts", lambda f: F.concat(F.lit("- "), f)), "\n"))).otherwise(F.lit(""))
+    text = F.concat(F.lit("Project: "), "project", F.lit("\nSession: "), F.coalesce("session_id", F.lit("")), F.lit("\nSummary: "), "summary", F.lit("\n"), listed)
+    return named.select("memory_id", "project", "facts", text.alias("text"))
+
+
+def health(tenants: DataFrame, parts: Column) -> DataFrame:
+    """One row: sessions by tier summed over tenants (hot, warm, cold), and ok, degraded or down as all, some or none of the
+    parts (an array of booleans; null is not well) are well. Without tenants the sums are 0."""
+    well = F.size(F.filter(parts, lambda p: F.coalesce(p, F.lit(False))))
+    status = F.when(well == F.size(parts), "ok").when(well > 0, "degraded").otherwise("down")
+    return tenants.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("hot", "warm", "cold")]).withColumn("status", status)
+
+
 def stale_recipes(recipes: DataFrame, recalled: DataFrame, now: Column, days: float = 90) -> DataFrame:
     """(id, used) of recipes (id, created) neither made nor recalled (id, ts) in the last ``days``; a null time is none."""
     latest = recalled.groupBy("id").agg(F.max("ts").alias("recalled"))

@@ -170,3 +170,12 @@ def dedup_seed(exchanges: DataFrame, now: float, window: float = DEDUP_SECONDS,
     tail = exchanges.join(F.broadcast(last), "file", "left_semi").orderBy(F.col("line").desc()).limit(newest)
     known = F.sha2(F.concat(F.col("prompt"), F.lit("\x00"), F.col("response")), 256)
     return tail.where(F.lit(now) - F.col("seconds") < window).groupBy(known.alias("hash")).agg(F.max("seconds").alias("written"))
+
+
+def with_results(calls: DataFrame, results: DataFrame, key: str = "call_id", order: str = "place", most: int = 200) -> DataFrame:
+    """Tool calls with status, exit code and the start of the output of their result (key, order, status, exit_code, output);
+    of several the last counts, and a call without one stays, with nulls. A result's missing status or output is empty."""
+    last = results.groupBy(key).agg(F.max_by(F.struct("status", "exit_code", "output"), order).alias("r"))
+    found = calls.join(last, key, "left")
+    known = lambda c: F.when(F.col("r").isNotNull(), F.coalesce(f"r.{c}", F.lit("")))
+    return found.select(*calls.columns, known("status").alias("status"), F.col("r.exit_code").alias("exit_code"), F.substring(known("output"), 1, most).alias("output"))

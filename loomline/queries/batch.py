@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomline import adapters as A
 from loomline.functions import patterns as P
+from loomline.operators import claims as C
 from loomline.operators import merge as M
 from loomline.operators import nightly as N
 from loomline.operators import pack as B
@@ -57,18 +58,22 @@ def seed_states(spark: SparkSession, d: str) -> DataFrame:
     return N.classify_seeds(seeds, facts).groupBy("state").agg(F.count("*").alias("n"))
 
 
-@query("SELECT c.event_id, r.event_type AS status FROM events c LEFT JOIN events r ON r.event_id = c.event_id + 1 AND r.event_type <> 'view' WHERE c.event_type = 'click'")
+@query("""SELECT c.event_id, r.event_type AS status, CASE WHEN r.event_id IS NOT NULL THEN left(repeat(r.props, 20), 200) END AS output FROM events c LEFT JOIN events r ON r.event_id = c.event_id + 1 AND r.event_type <> 'view' WHERE c.event_type = 'click'""")
 def tool_results(spark: SparkSession, d: str) -> DataFrame:
     """Tool calls with their results by call id; calls without a result stay."""
     e = A.table(spark, d, "events")
-    results = e.where("event_type != 'view'").select((F.col("event_id") - 1).alias("event_id"), F.col("event_type").alias("status"))
-    return e.where("event_type = 'click'").select("event_id").join(results, "event_id", "left")
+    results = e.where("event_type != 'view'").select((F.col("event_id") - 1).alias("event_id"), F.lit(0).alias("place"), F.col("event_type").alias("status"), F.lit(0).alias("exit_code"), F.repeat("props", F.lit(20)).alias("output"))
+    return E.with_results(e.where("event_type = 'click'").select("event_id"), results, "event_id").drop("exit_code")
 
 
-@query("SELECT p_partkey, array_to_string(list_filter([p_name, p_type, p_brand], lambda f: contains(f, 'ring')), '|') AS facts FROM part")
+@query("""WITH p AS (SELECT p_partkey AS memory_id, unnest(['Ring', upper(p_brand), 'none such']) AS project, [p_name, p_type, p_brand] AS f FROM part), n AS (SELECT memory_id, project, list_filter(f, lambda x: contains(lower(x), lower(project))) AS facts FROM p)
+    SELECT memory_id, project, array_to_string(facts, '|') AS facts, sha256('Project: ' || project || chr(10) || 'Session: s' || memory_id || chr(10) || 'Summary: ' || chr(10) || CASE WHEN len(facts) > 0 THEN 'Facts:' || chr(10) || array_to_string(list_transform(facts, lambda x: '- ' || x), chr(10)) ELSE '' END) AS text_sha256 FROM n""")
 def project_facts(spark: SparkSession, d: str) -> DataFrame:
-    """Of each memory the facts that name a project."""
-    return A.table(spark, d, "part").select("p_partkey", F.array_join(F.filter(F.array("p_name", "p_type", "p_brand"), lambda f: F.contains(f, F.lit("ring"))), "|").alias("facts"))
+    """Of each memory and project a note with the facts that name the project."""
+    rows = A.table(spark, d, "part").select(
+        F.col("p_partkey").alias("memory_id"), F.concat(F.lit("s"), "p_partkey").alias("session_id"), F.lit(None).cast("string").alias("summary"), F.array("p_name", "p_type", "p_brand").alias("key_facts"), F.array(F.lit("Ring"), F.upper("p_brand"), F.lit("none such")).alias("projects")
+    )
+    return N.project_notes(rows).select("memory_id", "project", F.array_join("facts", "|").alias("facts"), F.sha2("text", 256).alias("text_sha256"))
 
 
 @query(f"WITH {A.SQL['memories']} SELECT agent_id, category, count(*) AS n FROM memories GROUP BY 1, 2")
@@ -82,14 +87,17 @@ def session_streams(spark: SparkSession, d: str) -> DataFrame:
     return A.exchanges(spark, d).groupBy("user_id", F.col("prompt").alias("event_type")).agg(F.count("*").alias("batches"), F.sum(F.length("response")).alias("chars")).where("batches >= 14")
 
 
-@query(f"""WITH {A.SQL['memories']}, a AS (SELECT memory_id, age_days > 300 AS stale, n_chars < 300 AS thin, sha256(summary) <> sha256(CASE WHEN memory_id % 9 = 0 THEN 'x' ELSE summary END) AS edited FROM memories)
-    SELECT coalesce(stale, false) AS stale, thin, edited, count(*) AS n FROM a GROUP BY 1, 2, 3""")
+@query("""WITH p AS (SELECT doc_id, CASE WHEN doc_id % 8 <> 0 THEN doc_id % 60 END AS age, doc_id % 7 AS memories, doc_id % 9 = 0 AS edited FROM documents WHERE doc_id % 5 <> 0)
+    SELECT coalesce(age > 30, false) AS stale, memories < 3 AS thin, edited, count(*) AS n FROM p GROUP BY 1, 2, 3""")
 def page_audit(spark: SparkSession, d: str) -> DataFrame:
-    """Stale, thin and hand-edited pages."""
-    m = A.memories(spark, d)
-    stored = F.when(F.expr("memory_id % 9 = 0"), F.lit("x")).otherwise(F.col("summary"))
-    rows = m.select(F.coalesce(F.col("age_days") > 300, F.lit(False)).alias("stale"), (F.col("n_chars") < 300).alias("thin"), (F.sha2("summary", 256) != F.sha2(stored, 256)).alias("edited"))
-    return rows.groupBy("stale", "thin", "edited").agg(F.count("*").alias("n"))
+    """Stale, thin and hand-edited pages among those that the run did not write."""
+    from loomline.operators.wiki import audited
+
+    page = F.concat(F.lit("---\nsource-memory-count: "), F.expr("doc_id % 7"), F.lit("\n---\n"), "text")
+    then = F.expr("CASE WHEN doc_id % 8 != 0 THEN TIMESTAMP '2024-06-01' - make_dt_interval(CAST(doc_id % 60 AS INT)) END")
+    pages = A.table(spark, d, "documents").select(F.lit("projects").alias("section"), F.col("doc_id").alias("slug"), page.alias("text"), then.alias("last_compiled"), F.when(F.expr("doc_id % 9 = 0"), F.lit("x")).otherwise(F.sha2(page, 256)).alias("stored_hash"))
+    found = audited(pages, pages.where("slug % 5 = 0"), F.lit("2024-06-01").cast("timestamp"))
+    return found.groupBy("stale", "thin", "edited").agg(F.count("*").alias("n"))
 
 
 @query("SELECT event_type, max(ts) AS cursor, count(*) FILTER (ts > TIMESTAMP '2024-01-15') AS pending FROM events GROUP BY 1")
@@ -244,11 +252,13 @@ def latest_brief(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy(F.col("source").alias("channel")).agg(latest.alias("latest"))
 
 
-@query("SELECT sum(n)::BIGINT AS sessions, CASE WHEN min(ok) = 1 THEN 'ok' WHEN max(ok) = 1 THEN 'degraded' ELSE 'down' END AS status FROM (SELECT user_id, count(*) AS n, (user_id % 7 <> 0)::INTEGER AS ok FROM events GROUP BY 1)")
+@query("""SELECT count(*) FILTER (n >= 20) AS hot, count(*) FILTER (n >= 10 AND n < 20) AS warm, count(*) FILTER (n < 10) AS cold, 'degraded' AS status FROM (SELECT user_id, count(*) AS n FROM events GROUP BY 1)""")
 def health(spark: SparkSession, d: str) -> DataFrame:
-    by = A.table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("n")).withColumn("ok", F.expr("CAST(user_id % 7 != 0 AS INT)"))
-    status = F.when(F.min("ok") == 1, "ok").when(F.max("ok") == 1, "degraded").otherwise("down")
-    return by.agg(F.sum("n").alias("sessions"), status.alias("status"))
+    """Users by their events as sessions of tenants; one of two parts is well."""
+    by = A.table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("n"))
+    one = lambda c, name: F.sum(c.cast("long")).alias(name)
+    tenants = by.groupBy(F.expr("user_id % 10").alias("tenant")).agg(one(F.col("n") >= 20, "hot"), one((F.col("n") >= 10) & (F.col("n") < 20), "warm"), one(F.col("n") < 10, "cold"))
+    return N.health(tenants, F.array(F.lit(True), F.lit(False)))
 
 
 @query("SELECT user_id, CASE WHEN min(user_id % 3) = 0 THEN 'hot' WHEN min(user_id % 3) = 1 THEN 'warm' ELSE 'cold' END AS tier FROM events GROUP BY 1")
@@ -268,12 +278,38 @@ def conflict_winners(spark: SparkSession, d: str) -> DataFrame:
     return A.table(spark, d, "orders").select("o_orderkey", M.resolve(path, h, s, side(3, 4, "b"), side(2, 6, "a")).alias("winner"))
 
 
-@query("SELECT p_partkey, greatest(0, least(1, CASE p_partkey % 5 WHEN 0 THEN 0.3 WHEN 1 THEN 0.6 WHEN 2 THEN 0.9 WHEN 3 THEN 0.6 ELSE p_size / 25.0 END))::DOUBLE AS confidence FROM part")
+@query("""SELECT p_partkey, greatest(0, least(1, CASE p_partkey % 5 WHEN 0 THEN 0.3 WHEN 1 THEN 0.6 WHEN 2 THEN 0.9 WHEN 3 THEN 0.6 ELSE p_size / 25.0 END))::DOUBLE AS confidence, 'o' || p_partkey || '_ev_0|o' || p_partkey || ':turn-0|' || p_name || '|' || 'o' || p_partkey || '_ev_1|t1|' AS evidence,
+        CASE WHEN p_partkey % 2 = 0 THEN p_type ELSE '' END AS tags, 'p' || p_size AS label FROM part""")
 def corpus_confidence(spark: SparkSession, d: str) -> DataFrame:
-    """Words and numbers of confidence as numbers in 0..1, 0.6 if absent."""
-    raw = F.expr("CASE p_partkey % 5 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' WHEN 2 THEN 'high' WHEN 4 THEN CAST(p_size / 25.0D AS STRING) END")
-    number = F.when(raw == "low", 0.3).when(raw == "medium", 0.6).when(raw == "high", 0.9).otherwise(F.coalesce(raw.try_cast("double"), F.lit(0.6)))
-    return A.table(spark, d, "part").select("p_partkey", F.greatest(F.lit(0.0), F.least(F.lit(1.0), number)).alias("confidence"))
+    """Labelled entries as observations: words and numbers of confidence as numbers in 0..1, evidence numbered."""
+    raw = F.expr("CASE p_partkey % 5 WHEN 0 THEN ' Low' WHEN 1 THEN 'medium' WHEN 2 THEN 'high' WHEN 4 THEN CAST(p_size / 25.0D AS STRING) END")
+    none = F.lit(None).cast("string")
+    piece = lambda quote, turn: F.struct(quote.alias("quote"), turn.alias("turn_ref"), none.alias("origin_type"), none.alias("provenance_bucket"))
+    seen = F.struct(F.col("p_name").alias("pattern"), raw.alias("confidence"), F.lit("cli").alias("source_platform"), F.lit("s").alias("source_session_id"), F.when(F.expr("p_partkey % 2 = 0"), F.col("p_type")).alias("context"), F.array(piece(F.col("p_name"), none), piece(none, F.lit("t1"))).alias("evidence"))
+    entries = A.table(spark, d, "part").select("p_partkey", F.concat(F.lit("o"), "p_partkey").alias("id"), F.concat(F.lit("p"), "p_size").alias("label"), none.alias("rationale"), seen.alias("observation"))
+    found = C.corpus_observations(entries)
+    listed = F.array_join(F.transform("evidence", lambda e: F.concat_ws("|", e["evidence_id"], e["turn_ref"], e["excerpt"])), "|")
+    return found.select(F.substr("obs_id", F.lit(2)).cast("long").alias("p_partkey"), "confidence", listed.alias("evidence"), F.array_join("tags", "|").alias("tags"), "label")
+
+
+@query("""WITH c AS (SELECT o_custkey AS owner, o_orderkey AS id, o_orderpriority AS sec, o_orderstatus = 'P' AS never, CASE WHEN o_orderkey % 4 <> 0 THEN (o_orderkey % 10) / 10.0 ELSE 0 END AS conf FROM orders WHERE o_orderkey % 3 <> 0 AND o_orderkey % 7 <> 0),
+    r AS (SELECT *, row_number() OVER (PARTITION BY owner ORDER BY conf DESC, never, CASE WHEN never THEN '' ELSE sec END, id) AS r FROM c), t AS (SELECT owner, string_agg(id::VARCHAR, ',' ORDER BY r) AS claims FROM r WHERE r <= 4 GROUP BY 1)
+    SELECT o.o_custkey::VARCHAR AS owner_id, coalesce(any_value(claims), '') AS claims, CASE WHEN o.o_custkey % 2 = 0 THEN 'calm:slow+kind' ELSE '' END AS overlays FROM orders o LEFT JOIN t ON t.owner = o.o_custkey GROUP BY o.o_custkey""")
+def claim_export(spark: SparkSession, d: str) -> DataFrame:
+    """Each customer's orders as a claim file with a section a priority and orders in part as constraints: its surest active
+    claims within scopes, and its overlays."""
+    scope = F.expr("CASE WHEN o_orderkey % 7 != 0 THEN array('work', 'x') ELSE array('home') END")
+    status = F.expr("CASE WHEN o_orderkey % 3 != 0 THEN 'active' ELSE 'retired' END")
+    confidence = F.expr("CASE WHEN o_orderkey % 4 != 0 THEN (o_orderkey % 10) / 10.0D END")
+    claim = F.struct(F.col("o_orderkey").alias("k"), F.struct(F.col("o_orderkey").cast("string").alias("claim_id"), F.lit("c").alias("claim"), F.lit("t").alias("type"), scope.alias("scope"), confidence.alias("confidence"), status.alias("status")).alias("c"))
+    in_order = lambda c: F.transform(F.array_sort(F.collect_list(c)), lambda x: x["c"])
+    orders = A.table(spark, d, "orders").select(F.col("o_custkey").alias("owner"), F.when(F.col("o_orderstatus") != "P", F.col("o_orderpriority")).alias("sec"), claim.alias("x"))
+    parts = orders.groupBy("owner", "sec").agg(in_order("x").alias("items"))
+    core = F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("sec").isNotNull(), F.struct("sec", "items")))))
+    made = parts.groupBy("owner").agg(core.alias("stable_core"), F.first(F.when(F.col("sec").isNull(), F.col("items")), ignorenulls=True).alias("negative_constraints"))
+    worn = F.expr("CASE WHEN owner % 2 = 0 THEN array(named_struct('overlay_id', '1', 'name', 'calm', 'traits', array('slow', 'kind'), 'status', 'active'), named_struct('overlay_id', '2', 'name', 'off', 'traits', array('x'), 'status', 'off')) END")
+    found = C.exported(made.select(F.col("owner").cast("string").alias("owner_id"), "stable_core", "negative_constraints", worn.alias("situational_overlays")), ["work"], 4)
+    return found.select("owner_id", F.array_join(F.transform("claims", lambda c: c["claim_id"]), ",").alias("claims"), F.array_join(F.transform("overlays", lambda o: F.concat(o["name"], F.lit(":"), F.array_join(o["traits"], "+"))), ";").alias("overlays"))
 
 
 @query("""WITH c AS (SELECT user_id || '/' || strftime(ts, '%Y-%m-%d') AS flush_id, event_id, event_type, props FROM events WHERE event_type IN ('click', 'purchase', 'signup'))
