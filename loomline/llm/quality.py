@@ -6,7 +6,7 @@ a_k ~ exp(u . (tanh(V h_k) * sigmoid(U h_k))), and the weighted passage represen
 sigmoid(o . sum(a_k h_k) + b). All of W, V, U, u, o are learned from document labels.
 
 Fitting uses a bounded sample of labelled rows: at most ``sample``, half of each label, in an order by hash of the
-id. Features are made on the executors; the driver gets those of the sample, every passage of every whole text, about
+id, weighted back to the ratio of all labels, so that a score means the same at every size of the table. Features are made on the executors; the driver gets those of the sample, every passage of every whole text, about
 half a byte a character. Scoring uses every passage of every whole text. The model has a fixed size.
 
 Defined cases: null and empty texts are one passage without words, scored like any other; without labelled rows of
@@ -106,13 +106,17 @@ def _forward(p: dict[str, np.ndarray], x: np.ndarray, starts: np.ndarray):
     return _sigmoid(z @ p["o"] + p["b"][0]), a, h, v, g, z, sizes
 
 
-def fit(bags: list[np.ndarray], labels: np.ndarray, hidden: int = 16, attention: int = 8, steps: int = 250, seed: int = 7) -> Model:
-    """Full-batch Adam on the documents' log loss; gradients by hand."""
+def fit(bags: list[np.ndarray], labels: np.ndarray, hidden: int = 16, attention: int = 8, steps: int = 250, seed: int = 7, share: float | None = None) -> Model:
+    """Full-batch Adam on the documents' log loss; gradients by hand. With ``share``, that of the ones among all labels, the
+    documents are weighted to it, however many of either label were drawn."""
     if not len(bags) or labels.min() == labels.max():
         share = float(labels.mean()) if len(bags) else 0.5
         zero = {"W": (FEATURES, hidden), "c": (hidden,), "V": (hidden, attention), "U": (hidden, attention), "u": (attention,), "o": (hidden,)}
         parts = {k: np.zeros(s) for k, s in zero.items()} | {"b": np.array([np.log(max(share, 1e-6) / max(1 - share, 1e-6))])}
         return Model(np.zeros(FEATURES), np.ones(FEATURES), parts)
+    drawn = labels.mean()
+    share = drawn if share is None else share
+    weight = np.where(labels == 1, share / drawn, (1 - share) / (1 - drawn)) / len(labels)
     x = np.concatenate(bags).astype(float)
     starts = np.cumsum([0] + [len(b) for b in bags[:-1]])
     mean, scale = x.mean(0), x.std(0) + 0.02
@@ -123,7 +127,7 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, hidden: int = 16, attention:
     m, w = {k: np.zeros_like(q) for k, q in p.items()}, {k: np.zeros_like(q) for k, q in p.items()}
     for t in range(1, steps + 1):
         s, a, h, v, g, z, sizes = _forward(p, x, starts)
-        d = (s - labels) / len(labels)
+        d = (s - labels) * weight
         dz = np.repeat(d[:, None] * p["o"], sizes, axis=0)
         da = (dz * h).sum(1)
         de = a * (da - np.repeat(np.add.reduceat(a * da, starts), sizes))
@@ -138,8 +142,10 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, hidden: int = 16, attention:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = 3000) -> Model:
-    """Fit on a bounded sample of labelled rows, whose ids (at most ``sample``) are broadcast to the texts."""
+    """Fit on a bounded sample of labelled rows, half of either label where there are so many, weighted back to the ratio of
+    all labels; the sample's ids (at most ``sample``) are broadcast to the texts."""
     labels = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label in (0, 1)").distinct()
+    share = labels.agg(F.avg("label")).first()[0]
     order = [F.xxhash64("id"), F.col("id")]
     picked = labels.where("label = 1").orderBy(*order).limit(sample // 2).union(labels.where("label = 0").orderBy(*order).limit(sample // 2))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(picked), "id")
@@ -151,7 +157,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.array([b.tobytes() for b in bags], pa.binary())], names=["id", "label", "bag"])
 
     rows = sorted(texts.select("id", "text", "label").mapInArrow(run, "id long, label int, bag binary").collect(), key=lambda r: (r["id"], bytes(r["bag"]), r["label"]))
-    return fit([np.frombuffer(r["bag"], np.float32).reshape(-1, FEATURES) for r in rows], np.array([r["label"] for r in rows], float))
+    return fit([np.frombuffer(r["bag"], np.float32).reshape(-1, FEATURES) for r in rows], np.array([r["label"] for r in rows], float), share=share)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

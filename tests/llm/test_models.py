@@ -111,6 +111,29 @@ def test_quality_gradient_fits_and_attention_is_a_distribution():
     assert np.mean((s >= 0.5) == np.array(labels)) > 0.97 and np.allclose(np.add.reduceat(a, starts), 1)
 
 
+@pytest.mark.parametrize("ones, zeros", [(360, 40), (200, 200), (20, 380)])
+def test_quality_keeps_the_ratio_of_the_labels(spark, ones, zeros):
+    """Texts that tell nothing score the share of the ones, although the sample holds as many of either as it can."""
+    n = ones + zeros
+    docs = spark.createDataFrame([(i, "all the same words") for i in range(n)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < ones)) for i in range(n)], "doc_id long, quality int")
+    model = quality.train(docs, labels, sample=120)
+    assert abs(quality.score(docs.limit(1), model).first()["score"] - ones / n) < 0.03
+
+
+def test_quality_trained_on_odd_rows(spark):
+    rows = labelled(random.Random(8), 120, noise)
+    odd = [(900, None, 0), (901, "", 0), (902, " \n\t", 1), (903, "word " * 30_000, 1), (0, rows[0][1], rows[0][2]), (None, "x y", 1)]
+    docs = spark.createDataFrame([(i, t, "x") for i, t, _ in rows + odd], "doc_id long, text string, score string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows + odd[:4]], "doc_id long, quality int")
+    got = quality.score(docs, quality.train(docs, labels)).collect()
+    assert len(got) == len(rows) + len(odd) and all(0 <= r["score"] <= 1 for r in got)
+    by = {}
+    for r in got:
+        by.setdefault(r["id"], []).append((r["score"], r["n_passages"]))
+    assert len(by[0]) == 2 and by[0][0] == by[0][1] and by[900] == by[901] == by[902] and by[903][0][1] == -(-30_000 // quality.PASSAGE_WORDS)
+
+
 def test_quality_odd_rows(spark):
     docs = spark.createDataFrame([(1, None), (None, ""), (2, "x " * 30_000), (2, "x")], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, quality int")
