@@ -64,6 +64,23 @@ def recall_pass(spark: SparkSession, d: str) -> DataFrame:
     return found.select("memory_id", F.round("relevance", 6).alias("relevance"), F.col("tier").cast("int").alias("tier"), "position")
 
 
+@named(f"""WITH {A.SQL['vectors']}, hot AS (SELECT NULL::BIGINT AS memory_id, 0.75::DOUBLE AS relevance, 0 AS tier, row_number() OVER (ORDER BY event_type DESC, event_id) AS position FROM (SELECT * FROM events WHERE contains(lower({_HAY}), 'k": 7') ORDER BY event_type DESC, event_id LIMIT 3)),
+    newest AS (SELECT * FROM vectors WHERE category = 'session_log' ORDER BY -coalesce(age_days, 0) DESC, memory_id LIMIT 80), one AS (SELECT embedding AS ov FROM newest ORDER BY -coalesce(age_days, 0) DESC, memory_id LIMIT 1),
+    near AS (SELECT memory_id, list_cosine_similarity(embedding, ov) AS cosine FROM newest, one),
+    l3 AS (SELECT memory_id, cosine AS relevance, 4 AS tier, row_number() OVER (ORDER BY cosine DESC, memory_id) AS position FROM (SELECT * FROM near WHERE cosine > 0.4 ORDER BY cosine DESC, memory_id LIMIT 15)),
+    u AS (SELECT * FROM hot UNION ALL SELECT * FROM l3 WHERE (SELECT count(*) FROM hot) < 5) SELECT coalesce(memory_id, -1) AS memory_id, round(relevance, 6) AS relevance, tier::INTEGER AS tier, position FROM u""")
+def recall_open(spark: SparkSession, d: str) -> DataFrame:
+    """Session logs like the newest one, asked for by category, of an index whose rows are not classified yet: keyword hits
+    come through, no tier of the index serves, and so the base rows are scanned."""
+    base = A.vectors(spark, d).withColumn("created_at", -F.coalesce("age_days", F.lit(0.0)))
+    index = A.vectors(spark, d).withColumn("category", F.lit(None).cast("string"))
+    rows = A.table(spark, d, "events").select("event_id", F.col("event_type").alias("file"), F.col("event_id").alias("line"), F.concat_ws(" ", "props", "event_type").alias("haystack"))
+    cached = index.withColumn("age_seconds", F.expr("(memory_id * 613) % 172800"))
+    latest = base.where("category = 'session_log'").orderBy(F.col("created_at").desc(), "memory_id").first()["embedding"]
+    found = R.retrieve(index, base, rows, list(latest), 'k": 7', 5, cached, category="session_log")
+    return found.select(F.coalesce("memory_id", F.lit(-1)).alias("memory_id"), F.round("relevance", 6).alias("relevance"), F.col("tier").cast("int").alias("tier"), "position")
+
+
 @named("""WITH s AS (SELECT user_id AS id, count(*) AS n, max(ts) AS t FROM events WHERE event_type = 'view' GROUP BY 1), l AS (SELECT user_id AS id, count(*) AS n, max(ts) AS t FROM events WHERE event_type <> 'view' GROUP BY 1)
     SELECT coalesce(s.id, l.id) AS memory_id, coalesce(s.n, 0) + coalesce(l.n, 0) AS access_count, greatest(s.t, l.t) AS last_accessed FROM s FULL JOIN l ON s.id = l.id""")
 def access_bump(spark: SparkSession, d: str) -> DataFrame:
