@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomline.operators.pack import halve_until
+from loomline.sources.commits import scratch
 
 TEXT_CAP, LEAST_CHARS = 4000, 500
 
@@ -173,10 +174,12 @@ def embedded(rows: DataFrame, embedder: Embedder, id_col: str = "memory_id", tex
 
 
 def backfill(memories: DataFrame, index: DataFrame, embedder: Embedder, id_col: str = "memory_id") -> tuple[DataFrame, DataFrame]:
-    """(the index with what it lacked, one row of statistics): only memories without a row are embedded. The statistics and
-    the index embed lazily and apart; write the index first."""
+    """(the index with what it lacked, one row of statistics): only memories without a row are embedded, once: what
+    they became is written to the shared folder, and both results read it there."""
     missing = memories.join(index.select(id_col), id_col, "left_anti")
-    new = embedded(missing, embedder, id_col).where("embedding is not null")
+    made, place = embedded(missing, embedder, id_col), scratch(memories.sparkSession, "embedded")
+    made.write.parquet(place)
+    new = memories.sparkSession.read.schema(made.schema).parquet(place).where("embedding is not null")
     more = missing.drop("text").join(new, id_col) if set(missing.columns) > {id_col, "text"} else new
     columns = [c for c in index.columns if c in more.columns]
     filled = index.unionByName(more.select(*columns), allowMissingColumns=True)

@@ -183,9 +183,11 @@ def backlog(files: DataFrame, idle: float = 600) -> DataFrame:
 
 
 def longest_prefix(rows: DataFrame, prefixes: DataFrame, path: str, prefix: str) -> DataFrame:
-    """Each path with its longest prefix: sizes by channel and the like."""
-    heads = F.transform(F.sequence(F.lit(0), F.length(path)), lambda n: F.substring(F.col(path), F.lit(1), n))
-    j = rows.withColumn("head", F.explode(heads)).join(prefixes, F.col("head") == F.col(prefix)).drop("head")
+    """Each path with its longest prefix: sizes by channel and the like. A path is looked up by its heads of the lengths that
+    prefixes have, which are few; a null or shorter path has none of them."""
+    lengths = sorted(r["n"] for r in prefixes.where(F.col(prefix).isNotNull()).select(F.length(prefix).alias("n")).distinct().collect())
+    heads = F.array(*[F.when(F.length(path) >= n, F.substring(path, 1, n)) for n in lengths] or [F.lit(None).cast("string")])
+    j = rows.withColumn("head", F.explode(F.array_compact(heads))).join(prefixes, F.col("head") == F.col(prefix)).drop("head")
     return j.withColumn("r", F.row_number().over(Window.partitionBy(path).orderBy(F.length(prefix).desc(), prefix))).where("r = 1").drop("r")
 
 

@@ -2,7 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from loomline.operators import claims, nightly, sessions
+from loomline.operators import claims, index, nightly, sessions
 
 
 def test_claim_files_are_unnested_and_exported(spark):
@@ -54,3 +54,27 @@ def test_calls_meet_their_last_result(spark):
     results = spark.createDataFrame([("c1", 1, "old", 1, "o"), ("c1", 2, "ok", 0, "y" * 300), ("c2", 1, None, None, None), (None, 1, "s", 0, "z"), ("c9", 1, "s", 0, "z")], "call_id string, place int, status string, exit_code int, output string")
     got = {r["tool"]: (r["status"], r["exit_code"], r["output"]) for r in sessions.with_results(calls, results).collect()}
     assert got == {"ls": ("ok", 0, "y" * 200), "cat": ("", None, ""), "rm": (None, None, None), "x": (None, None, None)}
+
+
+def test_paths_meet_their_longest_prefix(spark):
+    paths = spark.createDataFrame([("a/b/c",), ("a/x",), ("b",), ("",), (None,)], "path string")
+    found = lambda *p: {r["path"]: r["p"] for r in nightly.longest_prefix(paths, spark.createDataFrame([(x,) for x in p], "p string"), "path", "p").collect()}
+    assert found("a/", "a/b", "a/b/c/d", None) == {"a/b/c": "a/b", "a/x": "a/"}
+    assert found("", "b") == {"a/b/c": "", "a/x": "", "b": "b", "": ""} and found() == {}
+
+
+def test_backfill_embeds_every_text_once(spark, tmp_path):
+    class Counting:
+        name, width, most = "counting", 1, 4000
+
+        def embed(self, texts, query=False):
+            for t in texts:
+                with open(tmp_path / "calls", "a") as f:
+                    f.write(f"{t}\n")
+            return [[1.0] for _ in texts]
+
+    rows = spark.createDataFrame([(k, f"text {k}") for k in range(6)], "memory_id long, text string")
+    have = spark.createDataFrame([(0, [9.0])], "memory_id long, embedding array<double>")
+    filled, statistics = index.backfill(rows, have, Counting())
+    assert tuple(statistics.first()) == (6, 5, 1, 0, 0) and filled.count() == 6 and filled.where("memory_id = 0").first()["embedding"] == [9.0]
+    assert sorted((tmp_path / "calls").read_text().splitlines()) == [f"text {k}" for k in range(1, 6)]
