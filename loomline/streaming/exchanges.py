@@ -1,7 +1,8 @@
 """Streaming forms of the stateful exchange operators.
 
 State is one small value per key (a time, a list of at most ``limit`` times, an open turn) and is dropped by event-time
-timeout, so it stays bounded by the keys active within the window. Watermarks are set by the caller's stream.
+timeout, so it stays bounded by the keys active within the window; states of many keys are held together (``keyed``). Watermarks
+are set by the caller's stream.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from loomline.sources.commits import exists
+from loomline.streaming.keyed import by_key
 
 
 def _frames(frames: Iterator[pd.DataFrame], *order: str) -> pd.DataFrame:
@@ -25,71 +27,41 @@ def _frames(frames: Iterator[pd.DataFrame], *order: str) -> pd.DataFrame:
 
 def drop_retries(stream: DataFrame, keys: list[str], ts: str, id_col: str, within: float = 900, late: str = "1 hour") -> DataFrame:
     """Exchanges that are not within ``within`` seconds of the last copy kept; a dropped copy extends nothing."""
-    rows = stream.withWatermark(ts, late)
+    rows = stream.withWatermark(ts, late).withColumn("seconds", F.col(ts).cast("double"))
     fields = [rows.schema[k] for k in keys] + [rows.schema[id_col], T.StructField("seconds", T.DoubleType())]
 
-    def keep(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last = state.get[0] if state.exists else None
-        out = []
-        pdf = _frames(frames, ts, id_col)
-        for t, i in zip(pdf[ts], pdf[id_col], strict=True):
-            seconds = t.timestamp()
-            if last is None or seconds - last >= within:
-                last = seconds
-                out.append((*key, i, seconds))
-        state.update((last,))
-        state.setTimeoutTimestamp(max(int((last + within) * 1000), state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=[f.name for f in fields])
+    def keep(key: tuple, row: tuple, last: tuple | None) -> tuple[list[tuple], tuple]:
+        i, seconds = row
+        return ([], last) if last is not None and seconds - last[0] < within else ([(*key, i, seconds)], (seconds,))
 
-    return rows.groupBy(*keys).applyInPandasWithState(keep, T.StructType(fields), "last double", "append", GroupStateTimeout.EventTimeTimeout)
+    return by_key(rows.select(*keys, ts, id_col, "seconds"), keys, [ts, id_col], [id_col, "seconds"], keep, T.StructType(fields), "last double", lambda last: last[0] + within)
 
 
 def accept_limited(stream: DataFrame, keys: list[str], ts: str, id_col: str, limit: int = 10, within: float = 3600, late: str = "1 hour") -> DataFrame:
     """(keys, id, accepted): at most ``limit`` accepted rows in any window of ``within`` seconds."""
-    rows = stream.withWatermark(ts, late)
+    rows = stream.withWatermark(ts, late).withColumn("seconds", F.col(ts).cast("double"))
     fields = [rows.schema[k] for k in keys] + [rows.schema[id_col], T.StructField("accepted", T.BooleanType())]
 
-    def accept(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        recent = list(state.get[0]) if state.exists else []
-        out = []
-        pdf = _frames(frames, ts, id_col)
-        for t, i in zip(pdf[ts], pdf[id_col], strict=True):
-            seconds = t.timestamp()
-            recent = [r for r in recent if seconds - r < within]
-            out.append((*key, i, len(recent) < limit))
-            if out[-1][-1]:
-                recent.append(seconds)
-        state.update((recent,))
-        if recent:
-            state.setTimeoutTimestamp(max(int((recent[-1] + within) * 1000), state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=[f.name for f in fields])
+    def accept(key: tuple, row: tuple, held: tuple | None) -> tuple[list[tuple], tuple | None]:
+        i, seconds = row
+        recent = [r for r in held[0] if seconds - r < within] if held else []
+        ok = len(recent) < limit
+        recent += [seconds] if ok else []
+        return [(*key, i, ok)], (recent,) if recent else held
 
-    return rows.groupBy(*keys).applyInPandasWithState(accept, T.StructType(fields), "recent array<double>", "append", GroupStateTimeout.EventTimeTimeout)
+    return by_key(rows.select(*keys, ts, id_col, "seconds"), keys, [ts, id_col], [id_col, "seconds"], accept, T.StructType(fields), "recent array<double>", lambda held: held[0][-1] + within)
 
 
 def pair_turns(stream: DataFrame, key: str = "conv_id", order: str = "turn") -> DataFrame:
     """(key, order, prompt, response): a user turn waits in state until the next turn shows whether it is answered."""
     fields = [stream.schema[key], stream.schema[order], T.StructField("prompt", T.StringType()), T.StructField("response", T.StringType())]
 
-    def pair(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = state.get if state.exists else None
-        out = []
-        pdf = _frames(frames, order)
-        for turn, role, text in zip(pdf[order], pdf["role"], pdf["text"], strict=True):
-            if role == "assistant" and held is not None and held[1] is not None:
-                out.append((*k, held[0], held[1], text))
-            held = (int(turn), text) if role == "user" else (int(turn), None)
-        if held is not None:
-            state.update(held)
-        yield pd.DataFrame(out, columns=[f.name for f in fields])
+    def pair(own: tuple, row: tuple, held: tuple | None) -> tuple[list[tuple], tuple]:
+        turn, role, text = row
+        told = [(*own, held[0], held[2], text)] if role == "assistant" and held is not None and held[1] else []
+        return told, (turn, role == "user", text if role == "user" else None)
 
-    return stream.groupBy(key).applyInPandasWithState(pair, T.StructType(fields), "turn long, prompt string", "append", GroupStateTimeout.NoTimeout)
+    return by_key(stream.select(key, order, "role", "text"), [key], [order], [order, "role", "text"], pair, T.StructType(fields), f"turn {stream.schema[order].dataType.simpleString()}, asked boolean, prompt string")
 
 
 def session_counts(stream: DataFrame, key: str, ts: str, gap: str = "60 minutes", late: str = "1 hour") -> DataFrame:
