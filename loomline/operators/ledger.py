@@ -14,16 +14,13 @@ of one key are one fact.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from loomline.operators.facts import LADDER, normalized_attribute, normalized_entity
 from loomline.operators.fold import Step, fields, streamed
+from loomline.streaming.keyed import by_key
 
 KEYS = ("entity", "attribute")
 FACT = ("value", "confidence", "evidence_source", "source_memory_id", "source_agent", "created_at", "last_updated")
@@ -100,27 +97,15 @@ def ledger(events: DataFrame) -> DataFrame:
 
 
 def ledger_stream(events: DataFrame) -> DataFrame:
-    """``ledger`` of a stream: the state of a key is its whole fact, and events of a batch are taken in the order of seq."""
+    """``ledger`` of a stream: the state of a key is its whole fact, and events of a batch are taken in the order of seq; states are held by buckets of keys."""
     rows = checked(events).where("problem is null").drop("problem")
     schema = _schema(rows)
 
-    def take(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        fact = state.get if state.exists else None
-        parts = [f for f in frames if len(f)]
-        if not parts:
-            return
-        table = pd.concat(parts).sort_values("seq", kind="stable")
-        plain = table[list(EVENT)].astype(object)
-        out = []
-        for event in plain.where(plain.notna(), None).itertuples(index=False, name=None):
-            new, reason = after(fact, event)
-            out.append(_entry(key, event, fact, new, reason))
-            fact = new
-        if fact is not None:
-            state.update(fact)
-        yield pd.DataFrame(out, columns=schema.names)
-
-    return rows.groupBy(*KEYS).applyInPandasWithState(take, schema, STATE, "append", GroupStateTimeout.NoTimeout)
+    def take(key: tuple, event: tuple, fact: tuple | None) -> tuple[list[tuple], tuple | None]:
+        new, reason = after(fact, event)
+        return [_entry(key, event, fact, new, reason)], new
+
+    return by_key(rows, list(KEYS), ["seq"], list(EVENT), take, schema, STATE)
 
 
 def facts_of(done: DataFrame) -> DataFrame:
