@@ -34,6 +34,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.withColumns(casts) if casts else df
 
 
+def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A driver table as a stream of its files, be it one file or a folder of them. A stream's path must be a folder or a
+    pattern; this one matches the table only."""
+    path = f"{sf_dir}/{name}.parquet"
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[t]")
+
+
 def pick(values: tuple[str, ...], index: str) -> F.Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (F.expr(index) % len(values) + 1).cast("int"))
 

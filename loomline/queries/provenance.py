@@ -43,9 +43,7 @@ def fact_problems(spark: SparkSession, d: str) -> DataFrame:
 
 def stream_fact_rows(spark: SparkSession, d: str) -> DataFrame:
     """The same facts from a stream of the assertions."""
-    schema = spark.read.parquet(f"{d}/orders.parquet").schema
-    orders = spark.readStream.schema(schema).option("pathGlobFilter", "orders.parquet").parquet(d)
-    return L.facts_of(drain(L.ledger_stream(_events(orders)), scratch(spark, "stream")))
+    return L.facts_of(drain(L.ledger_stream(_events(A.stream(spark, d, "orders"))), scratch(spark, "stream")))
 
 
 def fact_row_merge(spark: SparkSession, d: str) -> DataFrame:

@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomline import adapters as A
 from loomline.operators.nightly import map_reduce_brief
 from loomline.queries import twins
 from loomline.sources import cursors as C
@@ -20,9 +21,7 @@ from loomline.streaming import sinks as K
 
 
 def _events(spark: SparkSession, d: str) -> DataFrame:
-    schema = spark.read.parquet(f"{d}/events.parquet").schema
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    return rows.select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("prompt"))
+    return A.stream(spark, d, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("prompt"))
 
 
 def stream_retry_dedup(spark: SparkSession, d: str) -> DataFrame:
@@ -36,9 +35,7 @@ def stream_rate_limited(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stream_turn_pairs(spark: SparkSession, d: str) -> DataFrame:
-    schema = spark.read.parquet(f"{d}/conversations.parquet").schema
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet").parquet(d)
-    pairs = X.drain(X.pair_turns(rows), scratch(spark, "stream"))
+    pairs = X.drain(X.pair_turns(A.stream(spark, d, "conversations")), scratch(spark, "stream"))
     return pairs.select("conv_id", "turn", F.length("prompt").cast("long").alias("prompt_chars"), F.sha2("response", 256).alias("response_sha256"))
 
 

@@ -5,7 +5,10 @@ import os
 import duckdb
 from pyspark.sql import functions as F
 
+from loomline.operators import ledger as L
 from loomline.queries import ORACLE_SQL, QUERIES
+from loomline.queries import provenance as R
+from loomline.streaming import exchanges as X
 
 
 def _twin(d, name):
@@ -30,3 +33,41 @@ def test_recall_grades_rounds_halves_as_its_twin(spark, tmp_path):
     spark.createDataFrame([(91, "abcde " + "z" * 39)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     spark.createDataFrame([(91, "q", "en", "src1", 1)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     assert _equals_twin(spark, tmp_path, "recall_grades") == [(91, "wrong")]
+
+
+def _states(stream, path):
+    """Rows that a stream gives, and the most states that it held."""
+    query = stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    held = max(o.numRowsTotal for p in query.recentProgress for o in p.stateOperators)
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/out"), held
+
+
+def _arrivals(spark, rows, at, path):
+    """Rows as a stream of two files: those under the condition come first."""
+    rows.where(at).coalesce(1).write.parquet(path)
+    rows.where(f"NOT ({at})").coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def test_streams_read_tables_in_several_files_and_pairs_keep_null_texts(spark, tmp_path):
+    rows = [(c, t, ("user", "assistant")[t % 2], None if (c + t) % 5 == 0 else f"text {c} {t}") for c in range(40) for t in range(6)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3).write.parquet(f"{tmp_path}/conversations.parquet")
+    assert len(_equals_twin(spark, tmp_path, "stream_turn_pairs")) == 120
+
+
+def test_facts_of_many_keys_are_held_in_few_states(spark, tmp_path):
+    orders = spark.range(9000).select(F.col("id").alias("o_orderkey"), F.expr("id % 3000").alias("o_custkey"), F.lit("F").alias("o_orderstatus"), F.expr("concat(id % 4, '-X')").alias("o_orderpriority"), F.expr("timestamp_seconds(id * 1000)").alias("o_orderdate"))
+    events = R._events(orders)
+    stream = _arrivals(spark, events, "seq < 4500", f"{tmp_path}/in")
+    found, held = _states(L.ledger_stream(stream), f"{tmp_path}/run")
+    assert held <= 1024
+    assert sorted(L.facts_of(found).collect(), key=repr) == sorted(L.facts_of(L.ledger(events)).collect(), key=repr)
+
+
+def test_retries_of_many_keys_are_held_in_few_states(spark, tmp_path):
+    rows = spark.range(6000).select(F.expr("id % 3000").alias("user_id"), F.lit("x").alias("prompt"), F.expr("timestamp_seconds(1700000000 + (id DIV 3000) * (id % 200))").alias("ts"), F.col("id").alias("event_id"))
+    found, held = _states(X.drop_retries(_arrivals(spark, rows, "event_id < 3000", f"{tmp_path}/in"), ["user_id", "prompt"], "ts", "event_id", within=100, late="1 hour"), f"{tmp_path}/run")
+    assert held <= 1024 and found.count() == 3000 + 1500
+    limited, held = _states(X.accept_limited(_arrivals(spark, rows, "event_id < 3000", f"{tmp_path}/in2"), ["user_id"], "ts", "event_id", limit=1, within=100, late="1 hour"), f"{tmp_path}/run2")
+    assert held <= 1024 and limited.where("accepted").count() == 3000 + 1500
