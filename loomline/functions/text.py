@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
@@ -14,10 +15,15 @@ from pyspark.sql import types as T
 from loomline.functions import patterns as P
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once a row: a lambda's variable is, any other expression within a lambda once an element."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def lines(text: Column) -> Column:
     """Lines by any line boundary; a boundary at the end opens no line."""
     every = F.split(text, "\r\n|[\n\x0b\x0c\r\x1c-\x1e\x85\u2028\u2029]")
-    return F.when(F.element_at(every, -1) == "", F.slice(every, 1, F.size(every) - 1)).otherwise(every)
+    return bound(every, lambda e: F.when(F.element_at(e, -1) == "", F.slice(e, 1, F.size(e) - 1)).otherwise(e))
 
 
 def stripped(text: Column) -> Column:

@@ -97,11 +97,14 @@ def reported_lines(report: Column) -> Column:
 def drop_lines(text: Column, numbers: Column) -> Column:
     """Text without the numbered lines (from 1) and with a last line that says how many went; numbers of no line count
     for nothing, and without any other the text stays as it is."""
-    every = X.lines(text)
-    valid = F.filter(F.array_distinct(numbers), lambda n: (n >= 1) & (n <= F.size(every)))
-    kept = F.filter(every, lambda _, i: ~F.array_contains(valid, (i + 1).cast("int")))
-    loss = F.concat(F.lit("DROPPED: "), F.size(valid).cast("string"), F.lit(" invalid stated line(s) after corrective retry"))
-    return F.when(F.coalesce(F.size(valid), F.lit(0)) > 0, X.stripped(F.array_join(F.concat(kept, F.array(loss)), "\n"))).otherwise(text)
+
+    def kept(every: Column, valid: Column) -> Column:
+        rest = F.filter(every, lambda _, i: ~F.array_contains(valid, (i + 1).cast("int")))
+        loss = F.concat(F.lit("DROPPED: "), F.size(valid).cast("string"), F.lit(" invalid stated line(s) after corrective retry"))
+        return F.when(F.coalesce(F.size(valid), F.lit(0)) > 0, X.stripped(F.array_join(F.concat(rest, F.array(loss)), "\n"))).otherwise(text)
+
+    asked = F.array_distinct(numbers)
+    return X.bound(X.lines(text), lambda every: X.bound(F.filter(asked, lambda n: (n >= 1) & (n <= F.size(every))), lambda valid: kept(every, valid)))
 
 
 def agent_of(source: Column) -> Column:

@@ -71,3 +71,11 @@ def test_retries_of_many_keys_are_held_in_few_states(spark, tmp_path):
     assert held <= 1024 and found.count() == 3000 + 1500
     limited, held = _states(X.accept_limited(_arrivals(spark, rows, "event_id < 3000", f"{tmp_path}/in2"), ["user_id"], "ts", "event_id", limit=1, within=100, late="1 hour"), f"{tmp_path}/run2")
     assert held <= 1024 and limited.where("accepted").count() == 3000 + 1500
+
+
+def test_dropped_lines_cuts_a_text_into_lines_once(spark, tmp_path):
+    texts = ["a\nb\n c\nd\n", "one", "", None, "\n\n\n", "x\n" * 500]
+    spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = QUERIES["dropped_lines"](spark, str(tmp_path))
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    assert len(_equals_twin(spark, tmp_path, "dropped_lines")) == len(texts)
