@@ -80,10 +80,41 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({WORD})"), F.lit(1))
 
 
+def folded_text(text: Column, between: str = " ") -> Column:
+    """A text's folded words in order, ``between`` (blanks) between two of them.
+
+    Letters are looked up one by one, then all that is between words is replaced: accents within a word are gone by then, and
+    others stand beside something else that ends a word. No word becomes a string of its own.
+    """
+    a, b = folding()
+    return F.trim(F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), a, b), f"[^{LETTER}]++", between))
+
+
+def count_folded(flat: Column, between: str = " ") -> Column:
+    """How many words a folded text has."""
+    blanks = F.length(flat) - F.length(F.replace(flat, F.lit(" "), F.lit("")))
+    return F.when(flat == "", F.lit(0)).otherwise((blanks / len(between)).cast("int") + 1)
+
+
 def count_words(text: Column) -> Column:
-    """How many words a text has; a word more or less is a sign more or less, so no word becomes a string of its own."""
-    text = F.coalesce(text, F.lit(""))
-    return F.length(F.regexp_replace(text, WORD, "#")) - F.length(F.regexp_replace(text, WORD, ""))
+    """How many words a text has."""
+    return count_folded(folded_text(text))
+
+
+#: What is between the words of a text that phrases are counted in, so that neighbours share no blank.
+APART = "  "
+
+
+def count_phrase(flat: Column, phrase: list[str], prefix: bool = False) -> Column:
+    """Occurrences of a phrase of folded words in a folded text with APART between its words; with ``prefix`` its last word may
+    go on. Occurrences of several words may overlap, so those are counted by where they begin."""
+    if not phrase:
+        return F.lit(0)
+    found, own = f" {APART.join(phrase)}{'' if prefix else ' '}", F.concat(F.lit(" "), flat, F.lit(" "))
+    if len(phrase) == 1:
+        return ((F.length(own) - F.length(F.replace(own, F.lit(found), F.lit("")))) / len(found)).cast("int")
+    literal = "".join(c if c.isalnum() or c == " " else f"\\x{{{ord(c):x}}}" for c in found)
+    return F.when(F.contains(own, F.lit(found)), F.regexp_count(own, F.lit(f"(?={literal})"))).otherwise(F.lit(0))
 
 
 @lru_cache(1)

@@ -26,22 +26,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomline.functions.porter import stem
-from loomline.functions.words import LETTER, count_words, fold, folded, phrase_pattern, words, words_of
+from loomline.functions.words import APART, count_folded, count_phrase, count_words, folded_text, words_of
 from loomline.sources.commits import commit, commits, remove
 
 #: Standard published constants of BM25, and the least weight of a phrase that most documents have.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
 
-@F.pandas_udf(T.StringType())
-def stemmed_words(flat: pd.Series) -> pd.Series:
-    """Words between spaces, each folded and by its Porter stem, for which there is no built-in function."""
-    own = lru_cache(100_000)(lambda w: stem(fold(w)))
-    return flat.map(lambda t: " ".join(map(own, t.split(" "))) if t else t)
+@lru_cache(1_000_000)
+def _stem(word: str) -> str:
+    return stem(word)
 
 
-def _stemmed(text: Column) -> Column:
-    return stemmed_words(F.array_join(words(text), " "))
+@F.pandas_udf(T.StringType())
+def stemmed_words(flat: pd.Series) -> pd.Series:
+    """Folded words between blanks by their Porter stems, for which there is no built-in function."""
+    return flat.map(lambda t: " ".join([_stem(w) if w else w for w in t.split(" ")]) if t else t)
 
 
 def _idf(n: Column, df: Column) -> Column:
@@ -59,19 +59,16 @@ def _queried(query: Sequence[str], porter: bool) -> list[list[str]]:
 def bm25(docs: DataFrame, query: Sequence[str], id_col: str, columns: dict[str, float], prefix: bool = False, porter: bool = False) -> DataFrame:
     """(id, score, matched) over all documents without an index; columns carry their weights.
 
-    ``matched`` counts the phrases that a document has; ``porter`` compares stems. Texts are searched as they are, by expressions
-    that accept every spelling of a letter, so none is folded; what both the statistics and the scores need of a document is a few
-    numbers, and those are what is shuffled, once for both.
+    ``matched`` counts the phrases that a document has; ``porter`` compares stems. A text is folded once, then its words and
+    phrases are counted by literal search; what both the statistics and the scores need of a document is a few numbers, and those
+    are what is shuffled, once for both.
     """
-    rows = docs.select(F.col(id_col).alias("id"), *[(_stemmed(F.col(c)) if porter else F.coalesce(F.col(c), F.lit(""))).alias(c) for c in columns])
-    if porter:
-        patterns = [f"(?<![^ ])(?={'[ ]'.join(map(_literal, p))}{'' if prefix else '(?![^ ])'})" if p else None for p in _queried(query, True)]
-    else:
-        patterns = [phrase_pattern(t, prefix) for t in query]
-    found = lambda c, p: F.regexp_count(c, F.lit(p)) if p else F.lit(0)
-    length = sum((count_words(F.col(c)) for c in columns), F.lit(0))
-    tf = [sum((F.lit(float(w)) * found(c, p) for c, w in columns.items()), F.lit(0.0)).alias(f"tf{k}") for k, p in enumerate(patterns)]
-    names = [f"tf{k}" for k in range(len(patterns))]
+    flat = [folded_text(F.col(c), APART) for c in columns]
+    rows = docs.select(F.col(id_col).alias("id"), *[(stemmed_words(t) if porter else t).alias(c) for c, t in zip(columns, flat, strict=True)])
+    phrases = _queried(query, porter)
+    length = sum((count_folded(F.col(c), APART) for c in columns), F.lit(0))
+    tf = [sum((F.lit(float(w)) * count_phrase(F.col(c), p, prefix) for c, w in columns.items()), F.lit(0.0)).alias(f"tf{k}") for k, p in enumerate(phrases)]
+    names = [f"tf{k}" for k in range(len(phrases))]
     counted = rows.select("id", length.alias("length"), *tf).repartition("id")
     stats = counted.agg(F.count(F.struct("id")).alias("n"), F.avg("length").alias("mean"), *[F.sum((F.col(c) > 0).cast("int")).alias(f"df{k}") for k, c in enumerate(names)])
     # the test needs both sides, else it would move below the exchange, which then would not serve both
@@ -83,10 +80,6 @@ def bm25(docs: DataFrame, query: Sequence[str], id_col: str, columns: dict[str,
     return hits.select("id", score.alias("score"), matched.alias("matched"))
 
 
-def _literal(word: str) -> str:
-    return "".join(c if c.isalnum() else f"\\x{{{ord(c):x}}}" for c in word)
-
-
 # --- the index ---
 
 
@@ -95,19 +88,15 @@ def _bucket(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(F.substring(term, 1, 2)), F.lit(buckets)).cast("int")
 
 
-def _placed(found: str, k: int) -> Column:
-    return F.transform(found, lambda w, i: F.struct(F.lit(k).alias("col"), w.alias("raw"), i.alias("place")))
-
-
 def postings(docs: DataFrame, id_col: str, columns: Sequence[str], porter: bool = False) -> DataFrame:
     """(id, col, term, at, words): places of each folded term in a column, and the document's words over all columns."""
-    every = [words(F.col(f"`{c}`")).alias(f"w{k}") for k, c in enumerate(columns)]
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), *every)
-    total = sum((F.size(f"w{k}") for k in range(len(columns))), F.lit(0)).cast("long")
-    placed = F.flatten(F.array(*[_placed(f"w{k}", k) for k in range(len(columns))]))
-    each = rows.select("id", total.alias("words"), F.explode(placed).alias("x")).select("id", "words", F.col("x.col").alias("col"), folded(F.col("x.raw")).alias("term"), F.col("x.place").alias("place"))
-    if porter:
-        each = each.withColumn("term", stemmed_words("term"))
+    flat = [folded_text(F.col(f"`{c}`")) for c in columns]
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), *[(stemmed_words(t) if porter else t).alias(f"w{k}") for k, t in enumerate(flat)])
+    own = lambda k: F.when(F.col(f"w{k}") == "", F.array().cast("array<string>")).otherwise(F.split(f"w{k}", " "))
+    total = sum((count_folded(F.col(f"w{k}")) for k in range(len(columns))), F.lit(0)).cast("long")
+    counted = rows.select("id", total.alias("words"), *[own(k).alias(f"w{k}") for k in range(len(columns))])
+    sides = [counted.select("id", "words", F.lit(k).alias("col"), F.posexplode(f"w{k}").alias("place", "term")) for k in range(len(columns))]
+    each = reduce(DataFrame.unionAll, sides)
     return each.groupBy("id", "words", "col", "term").agg(F.sort_array(F.collect_list("place")).alias("at"))
 
 

@@ -29,7 +29,8 @@ def write_index(docs: DataFrame, id_col: str, columns: Sequence[str], path: str,
 
 def relaxed(hits: DataFrame, n_terms: int, least: int = 3) -> DataFrame:
     """Documents with all terms; if those are fewer than ``least``, documents with any."""
-    full = hits.agg(F.sum((F.col("matched") == n_terms).cast("int")).alias("full"))
+    # a hit's score is above zero; asking for it makes the count need the same columns as the hits, so that one exchange serves both
+    full = hits.agg(F.sum(((F.col("matched") == n_terms) & (F.col("score") > 0)).cast("int")).alias("full"))
     return hits.crossJoin(F.broadcast(full)).where((F.col("matched") == n_terms) | (F.col("full") < least)).drop("full")
 
 

@@ -79,3 +79,18 @@ def test_dropped_lines_cuts_a_text_into_lines_once(spark, tmp_path):
     rows = QUERIES["dropped_lines"](spark, str(tmp_path))
     assert rows._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
     assert len(_equals_twin(spark, tmp_path, "dropped_lines")) == len(texts)
+
+
+def test_searches_fold_a_text_once_and_read_it_once(spark, tmp_path):
+    texts = ["Café café CAFE l'été", "d'une l ete or l ete", "für fur fur", "", "cafés", "noted idiots", "noting an idiot's notes", "the idiot the idiot"]
+    rows = [(k, t, ("en", "fr")[k % 2], f"src{k % 3}", 1) for k, t in enumerate(texts * 3)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("accent_search", "bm25_search", "indexed_search"):
+        assert _equals_twin(spark, tmp_path, name)
+    for name in ("accent_search", "bm25_search", "stemmed_search"):
+        plan = QUERIES[name](spark, str(tmp_path))
+        plan.collect()
+        text = plan._jdf.queryExecution().executedPlan().toString()
+        final = text[: text.index("== Initial Plan ==")] if "== Initial Plan ==" in text else text
+        assert "(?<!" not in final, "looks behind at every place of a text"
+        assert final.count("translate(") <= 2 + (name == "stemmed_search"), "folds a column again"
