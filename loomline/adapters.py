@@ -14,16 +14,22 @@ NOW = 1_735_689_600  # 2025-01-01T00:00:00Z
 AGE = "((({id}) * 7919) % 34560000) / 86400.0D"
 
 
-#: Bytes of a table that is dealt out evenly: smaller ones are not worth it, larger ones have row groups for all cores.
-SPREAD_BYTES = (4 << 20, 512 << 20)
+#: Bytes below which a table is not worth dealing out, above which its row groups are counted first, and of a piece of such a table.
+SPREAD_BYTES, PIECE_BYTES = (4 << 20, 512 << 20), 32 << 20
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A small table of fewer files than there are cores, dealt evenly over the cores: all its rows may lie in one row group,
-    which is one task's. Columns and filters are still pushed to the scan. Other tables stay as they are."""
+    """A table that fewer tasks would read than there are cores, dealt evenly: all its rows may lie in one row group, which is one
+    task's, however large it is. Columns and filters are still pushed to the scan. Other tables stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if SPREAD_BYTES[0] <= size <= SPREAD_BYTES[1] and len(df.inputFiles()) < cores else df
+    if size < SPREAD_BYTES[0]:
+        return df
+    if size <= SPREAD_BYTES[1]:
+        return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    # the parts of files that hold the middle of a row group; no column is read for it
+    tasks = df.select(F.input_file_name(), F.input_file_block_start()).distinct().count()
+    return df.repartition(max(cores, -(-size // PIECE_BYTES))) if tasks < cores else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
