@@ -17,10 +17,11 @@ postings and adds up the commits' numbers. ``compact`` makes all live versions o
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import lru_cache, reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -92,12 +93,36 @@ def postings(docs: DataFrame, id_col: str, columns: Sequence[str], porter: bool
     """(id, col, term, at, words): places of each folded term in a column, and the document's words over all columns."""
     flat = [folded_text(F.col(f"`{c}`")) for c in columns]
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), *[(stemmed_words(t) if porter else t).alias(f"w{k}") for k, t in enumerate(flat)])
-    own = lambda k: F.when(F.col(f"w{k}") == "", F.array().cast("array<string>")).otherwise(F.split(f"w{k}", " "))
     total = sum((count_folded(F.col(f"w{k}")) for k in range(len(columns))), F.lit(0)).cast("long")
-    counted = rows.select("id", total.alias("words"), *[own(k).alias(f"w{k}") for k in range(len(columns))])
-    sides = [counted.select("id", "words", F.lit(k).alias("col"), F.posexplode(f"w{k}").alias("place", "term")) for k in range(len(columns))]
-    each = reduce(DataFrame.unionAll, sides)
-    return each.groupBy("id", "words", "col", "term").agg(F.sort_array(F.collect_list("place")).alias("at"))
+    counted = rows.select("id", total.alias("words"), *[F.col(f"w{k}") for k in range(len(columns))])
+    schema = T.StructType([counted.schema["id"], counted.schema["words"], *T.StructType.fromDDL("col int, term string, at array<int>").fields])
+    return counted.mapInArrow(_placed, schema)
+
+
+#: Documents whose postings are made at a time.
+PLACED_ROWS = 256
+
+
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Postings of documents (id, words, folded words of each column): a document's words meet in its row, so none is shuffled."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, PLACED_ROWS):
+            part = batch.slice(a, PLACED_ROWS)
+            row, col, term, ends, at = [], [], [], [0], []
+            for k in range(part.num_columns - 2):
+                for i, flat in enumerate(part.column(k + 2).to_pylist()):
+                    places: dict[str, list[int]] = {}
+                    for place, word in enumerate(flat.split(" ") if flat else ()):
+                        places.setdefault(word, []).append(place)
+                    row += [i] * len(places)
+                    col += [k] * len(places)
+                    term += places
+                    for own in places.values():
+                        at += own
+                        ends.append(len(at))
+            taken = pa.array(row, pa.int32())
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(at, pa.int32()))
+            yield pa.RecordBatch.from_arrays([part.column(0).take(taken), part.column(1).take(taken), pa.array(col, pa.int32()), pa.array(term, pa.string()), lists], names=["id", "words", "col", "term", "at"])
 
 
 def _state(spark: SparkSession, path: str) -> tuple[int, list[dict]]:

@@ -5,6 +5,8 @@ import os
 import duckdb
 from pyspark.sql import functions as F
 
+from loomline import adapters as A
+from loomline.operators import fulltext as T
 from loomline.operators import ledger as L
 from loomline.queries import ORACLE_SQL, QUERIES
 from loomline.queries import provenance as R
@@ -94,3 +96,22 @@ def test_searches_fold_a_text_once_and_read_it_once(spark, tmp_path):
         final = text[: text.index("== Initial Plan ==")] if "== Initial Plan ==" in text else text
         assert "(?<!" not in final, "looks behind at every place of a text"
         assert final.count("translate(") <= 2 + (name == "stemmed_search"), "folds a column again"
+
+
+def test_postings_meet_in_their_document_without_a_shuffle(spark):
+    docs = spark.createDataFrame([(1, "b a, B", "x"), (2, None, ""), (3, "", "a a")], "id long, text string, name string")
+    rows = T.postings(docs, "id", ["text", "name"])
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, rows.collect())) == [(1, 4, 0, "a", [1]), (1, 4, 0, "b", [0, 2]), (1, 4, 1, "x", [0]), (3, 2, 1, "a", [0, 1])]
+
+
+def test_large_tables_of_one_row_group_are_dealt_out(spark, tmp_path, monkeypatch):
+    rows = spark.range(5000).select(F.col("id").alias("doc_id"), F.sha2(F.col("id").cast("string"), 256).alias("text"))
+    rows.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(A, "SPREAD_BYTES", (1, 1000))
+    monkeypatch.setattr(A, "PIECE_BYTES", 1 << 30)
+    table = A.table(spark, str(tmp_path), "documents")
+    busy = table.groupBy(F.spark_partition_id()).count().count()
+    assert busy == spark.sparkContext.defaultParallelism and table.count() == 5000
+    rows.repartition(spark.sparkContext.defaultParallelism).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    assert "Exchange" not in A.table(spark, str(tmp_path), "documents")._jdf.queryExecution().executedPlan().toString()
