@@ -66,11 +66,12 @@ def excerpt(text: Column) -> Column:
 
 
 def _tokens_of(rows: DataFrame, texts: DataFrame, id_col: str, name: str, also: tuple[str, ...] = ()) -> DataFrame:
-    """Rows with the token sets of the texts (id, tokens or text) of their ids: joined first, cut into tokens then."""
+    """Rows with the token sets of the texts (id, tokens or text) of their ids: joined first, cut into tokens then. Sets are exploded
+    arrays of one, for a filter on them does not move below that, where it would cut every text, and they are computed once."""
     source = "tokens" if "tokens" in texts.columns else "text"
     own = texts.select(F.col("id").alias(id_col), F.col(source).alias(name), *also)
     joined = rows.join(own, id_col)
-    return joined if source == "tokens" else joined.withColumn(name, ascii_token_set(F.col(name)))
+    return joined if source == "tokens" else joined.withColumn(name, F.explode(F.array(ascii_token_set(F.col(name)))))
 
 
 def near_pairs(

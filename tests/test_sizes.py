@@ -115,3 +115,14 @@ def test_large_tables_of_one_row_group_are_dealt_out(spark, tmp_path, monkeypatc
     assert busy == spark.sparkContext.defaultParallelism and table.count() == 5000
     rows.repartition(spark.sparkContext.defaultParallelism).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
     assert "Exchange" not in A.table(spark, str(tmp_path), "documents")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_only_texts_of_near_pairs_are_cut_into_tokens(spark, tmp_path):
+    rows = spark.range(200).select(F.col("id").alias("doc_id"), F.expr("concat('alpha beta gamma delta epsilon zeta', id % 9)").alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(30).cast("long").alias("n_chars"))
+    rows.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(200).select(F.col("id").alias("vec_id"), F.expr("transform(sequence(1, 8), k -> cast(1 + 0.1 * sin(k * id) AS float))").alias("embedding"), F.lit(1).alias("label")).write.parquet(f"{tmp_path}/embeddings.parquet")
+    for name in ("written_near_duplicates", "nightly_duplicates"):
+        plan = QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+        filters = [x for x in plan.splitlines() if "Filter" in x and "[a-z0-9]+" in x]
+        assert not filters, name
+        assert _equals_twin(spark, tmp_path, name)
