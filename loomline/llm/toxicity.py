@@ -33,6 +33,20 @@ from loomline.llm.common import sized
 
 SENTENCE_END = re.compile(r"[.!?\n]+")
 WORD = re.compile(r"\w+")
+#: Characters whose lower case depends on what stands around them, or is more than a word's one letter.
+ODD_CASE = re.compile("[\u03a3\u0130]")
+ODD_SIGN = re.compile(r"[^\w\x00-\x7f]+")
+RUN = re.compile(rb"\n+")
+#: Bytes of lower-cased text: those of words stay, sentence ends are newlines and all others are spaces.
+TOKENS = bytes(10 if chr(b) in ".!?\n" else b if b > 127 or WORD.match(chr(b)) else 32 for b in range(256))
+
+
+def sentence_words(text: str) -> list[bytes]:
+    """The text's sentences, each the lower-cased words in UTF-8 with spaces between."""
+    if ODD_CASE.search(text):
+        return [" ".join(w.lower() for w in WORD.findall(part)).encode() for part in SENTENCE_END.split(text)]
+    low = text.lower()
+    return RUN.split((low if low.isascii() else ODD_SIGN.sub(" ", low)).encode().translate(TOKENS))
 
 
 def word_features(word: str) -> list[str]:
@@ -146,38 +160,54 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 class _WordWeight(dict):
-    """Features with weight of a word as it stands in a text; most words have none."""
+    """Numbers of a lower-cased word's features with weight; only words that begin as a feature are looked up."""
+
+    def __init__(self, number: dict[str, int]):
+        self.number = number
+        self.heads = {f.removesuffix("-").encode()[:4] for f in number}
+
+    def __missing__(self, word: bytes) -> tuple[int, ...]:
+        if len(self) >= 250_000:
+            self.clear()
+        found = self[word] = tuple(self.number[f] for f in word_features(word.decode()) if f in self.number)
+        return found
+
+
+class _SentenceLogs(dict):
+    """What the log of a text's product of 1 - p gains by a sentence with just these words, and the sentence's score."""
 
-    def __init__(self, weights: dict[str, float]):
-        self.weights = weights
+    def __init__(self, words: _WordWeight, model: Model):
+        self.words, self.bias, self.empty = words, model.bias, np.logaddexp(0, model.bias)
+        self.weights = [model.weights[f] for f in words.number]
 
-    def __missing__(self, word: str) -> tuple[str, ...]:
+    def __missing__(self, hits: frozenset[bytes]) -> tuple[float, float]:
         if len(self) >= 250_000:
             self.clear()
-        found = self[word] = tuple(f for f in word_features(word) if f in self.weights)
+        z = self.bias + sum([self.weights[k] for k in sorted({k for w in hits for k in self.words[w]})])
+        found = self[hits] = self.empty - np.logaddexp(0, z), float(_sigmoid(np.array(z)))
         return found
 
 
 class Scorer:
     def __init__(self, model: Model):
-        self.model, self.words = model, _WordWeight(model.weights)
-        self.base = float(_sigmoid(np.array(model.bias)))
+        self.model, self.words = model, _WordWeight({f: k for k, f in enumerate(sorted(model.weights))})
+        self.sentences = _SentenceLogs(self.words, model)
 
     def score(self, text: str) -> tuple[float, list[dict]]:
         """Score of a text, and its sentences that score at least the cut with their character spans."""
-        words, model = self.words, self.model
-        hits = [m for m in WORD.finditer(text) if words[m.group()]] if any(map(words.__getitem__, set(WORD.findall(text)))) else []
-        ends = [m.start() for m in SENTENCE_END.finditer(text)]
-        logs = (len(ends) + 1) * -np.logaddexp(0, model.bias)
-        spans, by_sentence = [], {}
-        for m in hits:
-            by_sentence.setdefault(int(np.searchsorted(ends, m.start(), side="right")), set()).update(words[m.group()])
-        for k, features in sorted(by_sentence.items()):
-            z = model.bias + sum(model.weights[f] for f in sorted(features))
-            logs += np.logaddexp(0, model.bias) - np.logaddexp(0, z)
-            if (p := float(_sigmoid(np.array(z)))) >= model.cut:
-                start = ends[k - 1] if k else 0
-                spans.append({"start": start, "end": ends[k] if k < len(ends) else len(text), "score": p})
+        words, model, sentences, heads = self.words, self.model, self.sentences, self.words.heads
+        parts = sentence_words(text)
+        known = {w for w in set(b" ".join(parts).split(b" ")) if w[:4] in heads and words[w]}
+        logs = len(parts) * -sentences.empty
+        offending = []
+        for k, part in enumerate(parts) if known else ():
+            if hits := known.intersection(part.split(b" ")):
+                gained, p = sentences[frozenset(hits)]
+                logs += gained
+                if p >= model.cut:
+                    offending.append((k, p))
+        ends = [m.start() for m in SENTENCE_END.finditer(text)] if offending else []
+        spans = [{"start": ends[k - 1] if k else 0, "end": ends[k] if k < len(ends) else len(text), "score": p} for k, p in offending]
         return float(min(1.0, max(0.0, -np.expm1(logs + np.log1p(-model.leak))))), spans
 
 

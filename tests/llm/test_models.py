@@ -78,6 +78,30 @@ def test_toxicity_noisy_or_by_hand():
     assert score == pytest.approx(1 - np.prod([1 - x for x in p])) and [(s["start"], s["end"]) for s in spans] == [(19, 34)]
 
 
+def test_toxicity_words_of_any_letters():
+    """Scores and spans are those of words and sentences found one by one, whatever letters stand in the text."""
+    model = toxicity.Model(-2.0, {"bad": 2.5, "caf\u00e9": 1.5, "stra-": 3.0, "\u03b1\u03c2": 4.0, "\u03b1\u03c3": -1.0, "i": 0.7, "\u00fcber-": 2.2, "k": 1.1, "ab": 0.9}, leak=0.01)
+    pieces = ["bad", "BAD", "Caf\u00c9", "cafe\u0301", "Stra\u00dfen", "stra", "\u0391\u03a3", "\u0391\u03a3'\u0391", "\u0130", "I", "\u212a", "\u00dcberall", "\U0001f600", "\u2014", "a\u0301b", "ab_", "x\x00ab", "\x1cab\x1f", ".", "!?", "\n", "\r\n", "\u2028", "\u3002", " ", "\u00a0", ""]
+    rng, scorer, sig = random.Random(8), toxicity.Scorer(model), lambda z: 1 / (1 + np.exp(-z))
+    for text in [*pieces, *("".join(rng.choice(pieces) + rng.choice(("", " ")) for _ in range(rng.randrange(40))) for _ in range(400))]:
+        ends = [m.start() for m in toxicity.SENTENCE_END.finditer(text)]
+        p = [sig(model.bias + sum(model.weights.get(f, 0) for f in {f for w in toxicity.WORD.findall(part) for f in toxicity.word_features(w)})) for part in toxicity.SENTENCE_END.split(text)]
+        score, spans = scorer.score(text)
+        assert score == pytest.approx(1 - (1 - model.leak) * np.prod([1 - x for x in p]))
+        want = [(ends[k - 1] if k else 0, [*ends, len(text)][k], pytest.approx(x)) for k, x in enumerate(p) if x >= model.cut]
+        assert [(s["start"], s["end"], s["score"]) for s in spans] == want
+
+
+def test_toxicity_time_grows_with_the_text():
+    """A text of many sentences with known words: each is met once."""
+    import time
+
+    scorer = toxicity.Scorer(toxicity.Model(-9.0, {"bad": 2.0, "worse": 4.0}))
+    began = time.process_time()
+    assert scorer.score("so bad it is. " * 40_000)[1] == []
+    assert time.process_time() - began < 5
+
+
 def test_toxicity_odd_rows(spark):
     docs = spark.createDataFrame([(1, None), (1, ""), (None, "..."), (2, "a" * 100_000)], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, toxic int")
