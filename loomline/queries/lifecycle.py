@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomline import adapters as A
 from loomline.functions import patterns as P
 from loomline.functions import text as X
+from loomline.llm.common import discard, materialize
 from loomline.operators import claims as C
 from loomline.operators import dedup as D
 from loomline.operators import detect as G
@@ -287,7 +288,10 @@ def topic_prompts(spark: SparkSession, d: str) -> DataFrame:
     rows = _harvested(spark, d).withColumn("block", W.memory_block(F.col("timestamp"), F.col("agent_id"), F.col("session_id"), F.col("summary"), F.col("key_facts"), F.col("decisions")))
     clusters = rows.select(F.lit("projects").alias("section"), F.col("key_facts")[0].alias("slug"), "timestamp", "block")
     pages = spark.createDataFrame([("projects", "en", " old\n")], "section string, slug string, body string")
-    return W.topic_prompts(clusters, pages).select("section", "slug", "n", F.sha2("prompt", 256).alias("prompt_sha256"))
+    clusters = materialize(clusters)  # counted, sampled and sorted
+    found = W.prompt_digests(*W.topic_prompt_parts(clusters, pages)).withColumnRenamed("sha256", "prompt_sha256")
+    discard(clusters)
+    return found
 
 
 @named(r"""WITH n(section, slug, names) AS (VALUES ('entities', 'idiot', 'idiot|clown'), ('entities', 'src1', 'src1'), ('concepts', 'of-the', 'of-the|of the')), h AS (SELECT doc_id, lower(left(text, 4000) || ' ' || lang || '  ' || source) AS hay FROM documents WHERE doc_id % 6 <> 0)
