@@ -20,9 +20,12 @@ from loomline.sources.commits import remove, scratch
 SELF_SIGNS = ("dream-contradictions", "dream-git-sync-drift", "{batch} dream \u2014", "by {batch}-dream.py_", "verified-vs-extracted", "dream brief")
 
 
-def resolve_category(explicit: Column, summary: Column, facts: Column, model: Column) -> Column:
-    """Struct of category and the method that gave it: explicit, noise, model or pattern; patterns ask for another look."""
-    routine = X.is_routine(summary, facts)
+def resolve_category(explicit: Column, summary: Column, facts: Column, model: Column, routine: Column | None = None) -> Column:
+    """Struct of category and the method that gave it: explicit, noise, model or pattern; patterns ask for another look.
+
+    ``routine`` says which records are routine logs where something else than their summary and facts decides it.
+    """
+    routine = X.is_routine(summary, facts) if routine is None else routine
     category = F.when(explicit.isNotNull(), explicit).when(routine, F.lit("session_log")).when(model.isNotNull(), model).otherwise(X.suggest_category(summary))
     method = F.when(explicit.isNotNull(), F.lit("explicit")).when(routine, F.lit("noise")).when(model.isNotNull(), F.lit("model")).otherwise(F.lit("pattern"))
     return F.struct(category.alias("category"), method.alias("method"), (method == "pattern").alias("needs_reclassification"))

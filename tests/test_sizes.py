@@ -187,3 +187,11 @@ def test_canonical_text_has_a_row_for_each_document(spark, tmp_path):
     _documents(spark, ["", None, " ", "\t\n", "a", " " * 5000, "e\u0301\U0001f469\u200d\U0001f467\r\n" * 700, "x" * 3996, "y" * 3999], tmp_path, ("en", "", None))
     twin = _equals_twin(spark, tmp_path, "canonical_text")
     assert len(twin) == 27 and twin[0][1] == hashlib.sha256(b"\nen\nsrc0").hexdigest() and sum(digest is None for _, digest in twin) == 11
+
+
+def test_category_resolution_of_odd_texts_equals_its_twin(spark, tmp_path):
+    """Empty, null and blank texts and quoted logs are no noise; boundaries of words are ASCII, and without case s and k have three forms."""
+    texts = ["", None, " ", "\t\n", "[AUTO-CAPTURE] bug", "x (auto-sync from JSONL) policy", "invoked tool: picked", "\u00e9port", "a bug\u00e9", "a\u0301port", "inci\u017fe", "ho\u017ft", "a\u017fervice", "a bro\u212ae", "PIC\u212aED", "\u00e9:8080", "a:8080\u00e9", " :8080", "x10.0.0.1", "\u00df10.0.0.1", "wouldn't it be", "is the AI agent\u00e9", "report", "nothing"]
+    _documents(spark, [t for t in texts for _ in range(84)], tmp_path)
+    assert len(_equals_twin(spark, tmp_path, "category_resolution")) > 8
+    assert len(_equals_twin(spark, tmp_path, "suggested_category")) > 5
